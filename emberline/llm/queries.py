@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from emberline.llm import secret_scan, sharding, toxicity, warc
+from emberline.llm import decontamination, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, toxicity, warc
 
-QUERIES = {f.__name__: f for f in (warc.op1_warc, sharding.op8_sharding, secret_scan.op9_secret_scan, toxicity.op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        warc.op1_warc,
+        substring_dedup.op2_substring_dedup,
+        decontamination.op3_decontamination,
+        ngram_join.op4_ngram_join,
+        mixing.op5_mixing,
+        pii.op6_pii,
+        quality.op7_quality,
+        sharding.op8_sharding,
+        secret_scan.op9_secret_scan,
+        toxicity.op10_toxicity,
+    )
+}
 ORACLES: dict[str, str] = {}
