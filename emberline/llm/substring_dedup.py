@@ -34,6 +34,8 @@ from emberline.operators.skew import grouped_pass
 from emberline.session import forget, table, written
 
 WINDOW, ROUNDS = 35, 4
+#: Words that a symbol stands for at least if it is to rule out windows.
+LEAST = 2
 #: Documents per group in which texts meet what was found about them, and words of a task's piece.
 GROUP_DOCS, PIECE_WORDS = 2000, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,8 +55,8 @@ def _near(values: np.ndarray, doc: np.ndarray, own: np.ndarray, side: int) -> np
     return out
 
 
-def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, document, first, past): the last round's symbols and the words [first, past) that decide each."""
+def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, document, first, past, size): the last round's symbols, the words [first, past) that decide each, and how many it stands for."""
     at = np.arange(len(words))
     sym, st, en, lo, hi = words, at, at + 1, at, at + 1
     with np.errstate(over="ignore"):
@@ -83,7 +85,7 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             hi2[f], en2[f] = hi[f + 1], en[f + 1]
             keep = ~second
             sym, st, en, lo, hi, doc = new[keep], st[keep], en2[keep], lo2[keep], hi2[keep], doc[keep]
-    return sym, doc, lo, hi
+    return sym, doc, lo, hi, en - st
 
 
 def _pieces(rids: np.ndarray, texts: list[bytes | None], known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -234,10 +236,10 @@ def _shared_symbols(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
         known = WordHashes()
         for b in batches:
             for rids, words, first in _pieces(b.column(0).to_numpy(), b.column(1).to_pylist(), known):
-                sym, doc, lo, hi = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
+                sym, doc, _, _, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
                 number = np.arange(len(sym)) - np.searchsorted(doc, doc)
-                short = hi - lo <= WINDOW
-                yield from _batched(_sent(sym[short], rids, doc[short], number[short], buckets, groups))
+                told = (size >= LEAST) & (size <= WINDOW)  # by the symbol alone, so that all its places count alike
+                yield from _batched(_sent(sym[told], rids, doc[told], number[told], buckets, groups))
 
     return _counted(rows.select("rid", "t").mapInArrow(run, _FOUND), groups)
 
@@ -268,9 +270,9 @@ def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: i
             shared, i = _learn(t, lo, hi)
             ids = all_rids[i:hi]
             for rids, words, first in _pieces(ids, t.column("body").slice(i, hi - i).to_pylist(), words_of):
-                sym, doc, a, b = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
+                sym, doc, a, b, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
                 begin = np.searchsorted(doc, np.arange(len(rids)))
-                single = b - a <= WINDOW
+                single = (b - a <= WINDOW) & (size >= LEAST) & (size <= WINDOW)
                 for d, rid in enumerate(rids.tolist()):
                     if (s := shared.get(rid)) is not None:
                         single[begin[d] + s] = False
