@@ -159,9 +159,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray |
     return np.array([[*mean, 0], [*spread, 1], w])
 
 
-def _features(rows: DataFrame, model, keep: list[str], text: str, score: bool) -> DataFrame:
+def _features(rows: DataFrame, model, keep: list[str], text: str, score: str | None) -> DataFrame:
     kinds = dict(rows.dtypes)
-    names = ["score"] if score else list(_FEATURES)
+    names = [score] if score else list(_FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
@@ -185,22 +185,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     held[found["kind"].to_numpy(int), found["slot"].to_numpy(int)] = found["ratio"].to_numpy(np.float32)
     model = Model(held, order, None)
     fit = rows.where(part).withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(fit_rows)
-    seen = _features(fit, spark.sparkContext.broadcast(model), ["_y"], "_t", False).toPandas()
+    seen = _features(fit, spark.sparkContext.broadcast(model), ["_y"], "_t", None).toPandas()
     model.curve = fit_curve(seen[list(_FEATURES)].to_numpy(float), seen["_y"].to_numpy(float))
     return model
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:
     """The columns ``keep`` and the score of each row."""
-    return _features(docs, docs.sparkSession.sparkContext.broadcast(model), keep, text, True)
+    return _features(docs, docs.sparkSession.sparkContext.broadcast(model), keep, text, score)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is below ``threshold``, with their columns."""
     model = train(docs, labels, text, key)
-    doubled = docs.withColumn("_scored", F.col(text))
-    names = docs.columns
-    return scored(doubled, model, names, "_scored").where(F.col("score") < threshold).drop("score")
+    return scored(docs, model, docs.columns, text, "_score").where(F.col("_score") < threshold).drop("_score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from emberline.session import fresh_path, table, written
 PIECE_BYTES = 8 << 20
 #: Payloads smaller than this are stored again instead of referred to.
 REVISIT_MIN_BYTES = 0
-_FIELDS = "page_id long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, content_type string, payload binary"
+_FIELDS = "page_id long, record_type string, record_id string, target_uri string, refers_to long, payload_digest string, payload_bytes long, content_type string, payload binary"
 _PREDICATES = {"page_id", "record_type", "record_id", "target_uri", "payload_digest"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
