@@ -34,9 +34,12 @@ from emberline.session import fresh_path, table, written
 
 #: Bytes of a file after which the next record may begin a new piece.
 PIECE_BYTES = 8 << 20
+#: Bytes of records that pass between Python and the JVM at a time; a longer record passes alone.
+BATCH_BYTES = 4 << 20
 #: Payloads smaller than this are stored again instead of referred to.
 REVISIT_MIN_BYTES = 0
 _FIELDS = "page_id long, record_type string, record_id string, target_uri string, refers_to long, payload_digest string, payload_bytes long, content_type string, payload binary"
+_ARROW = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kind]) for name, kind in (f.split() for f in _FIELDS.split(", "))])
 _PREDICATES = {"page_id", "record_type", "record_id", "target_uri", "payload_digest"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -139,6 +142,10 @@ def _page(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, payload: bool):
         self.path, self.payload = path, payload
@@ -169,7 +176,18 @@ class WarcReader(DataSourceReader):
             pieces = [Piece(f.base_name, 0, None) for f in found if f.base_name.endswith((".warc.gz", ".warc"))]
         return pieces
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in self.rows(partition):
+            held.append(row)
+            size += 512 + len(row[-1] or b"")
+            if size >= BATCH_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def rows(self, partition: Piece | None) -> Iterator[tuple]:
         if partition is None:
             return
         fs, root = _store(self.path)
@@ -296,7 +314,13 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = REVISIT_MIN_BYTES,
     later = join_on_hot_key(ids, first, "d", "n", ["first"], F.xxhash64("k")).where("first is not null and not (k <=> first)").select("k", "d", "first").distinct()
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("d", F.sha1("payload"))
     rows = rows.join(later.withColumnRenamed("d", "d2"), F.col("page_id").eqNullSafe(F.col("k")) & (F.col("d") == F.col("d2")), "left")
-    rows.select("page_id", "url", "payload", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit")).write.format("warc").mode("append").option("path", path).save()
+    rows = rows.select("page_id", "url", "payload", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
+    limit, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set(limit, BATCH_BYTES)
+    try:
+        rows.write.format("warc").mode("append").option("path", path).save()
+    finally:
+        spark.conf.set(limit, before)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
