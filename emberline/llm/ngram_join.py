@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm.arrow import arrow_pass
 from emberline.operators.components import connected_components
 from emberline.operators.skew import grouped_pass, join_on_hot_key, small_or_shuffled
 from emberline.session import forget, table, written
@@ -64,7 +65,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -105,7 +106,7 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             names = [np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).astype(np.int64).item() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], [key, "rid", "s", "sig"])
 
-    return docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, rid long, s long, sig binary")
+    return arrow_pass(docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string")), run, f"`{key}` {kind}, rid long, s long, sig binary")
 
 
 def _children(nodes: np.ndarray, sigs: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ def _paths(sets: DataFrame, runs: int, depth: int = 2) -> DataFrame:
             rows = b.take(pa.array(of))
             yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), *rows.columns], ["node", "s", "sig"])
 
-    return sets.select("s", "sig").mapInArrow(run, "node long, s long, sig binary")
+    return arrow_pass(sets.select("s", "sig"), run, "node long, s long, sig binary")
 
 
 def _deeper(rows: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def _deeper(rows: DataFrame) -> DataFrame:
             again = b.take(pa.array(of))
             yield pa.RecordBatch.from_arrays([again.column(0), pa.array(nodes.astype(np.int64)), again.column(1), again.column(2)], ["parent", "node", "s", "sig"])
 
-    return rows.select("node", "s", "sig").mapInArrow(run, "parent long, node long, s long, sig binary")
+    return arrow_pass(rows.select("node", "s", "sig"), run, "parent long, node long, s long, sig binary")
 
 
 def _in_blocks(rows: DataFrame, group: str, count: str, size: int) -> DataFrame:
@@ -304,7 +305,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: fl
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t, known).tobytes() for t in _texts(b.column(3))], pa.binary())], ["s", "component", "m", "sh"])
 
     bodies = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string").alias("_t")).join(small_or_shuffled(needed), "rid")
-    bodies = bodies.select("s", "component", "m", "_t").mapInArrow(again, "s long, component long, m long, sh binary")
+    bodies = arrow_pass(bodies.select("s", "component", "m", "_t"), again, "s long, component long, m long, sh binary")
     placed = _in_blocks(bodies, "component", "m", BLOCK).select("key", "s", "own", "other", "sh")
     linked = written(grouped_pass(placed, "key", [], _linked, "s long, root long, links long"), "linked")
     links = linked.groupBy("s").agg(F.sum("links").alias("links"), F.min("root").alias("root"))

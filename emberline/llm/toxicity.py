@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.llm.arrow import arrow_pass
 from emberline.operators.skew import small_or_shuffled
 from emberline.session import table, written
 
@@ -55,7 +56,7 @@ def word_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
             counts.pop("", None)
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "ordinary": pa.array([c[0] for c in counts.values()], pa.int64()), "toxic": pa.array([c[1] for c in counts.values()], pa.int64())})
 
-    parts = rows.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y")).mapInArrow(run, "word string, ordinary long, toxic long")
+    parts = arrow_pass(rows.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y")), run, "word string, ordinary long, toxic long")
     return parts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -118,7 +119,7 @@ class Model:
                         r = contexts[zlib.crc32(whole[i : i + k - 1].encode()) % slots]
                     if r == r:
                         got += float(r)
-            if len(self.seen) > 400_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
             self.seen[word] = got
         return got
@@ -165,13 +166,16 @@ def _features(rows: DataFrame, model, keep: list[str], text: str, score: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
-        for b in batches:
-            f = np.array([held.features(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, 3)
-            new = [held.score(f)] if score else list(f.T)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(v, pa.float64()) for v in new]], [*keep, *names])
+        try:
+            for b in batches:
+                f = np.array([held.features(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, 3)
+                new = [held.score(f)] if score else list(f.T)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(v, pa.float64()) for v in new]], [*keep, *names])
+        finally:
+            held.seen.clear()  # the model outlives the task in its worker
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{n} double" for n in names])
-    return rows.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return arrow_pass(rows.select(*keep, F.col(text).cast("string").alias("_text")), run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", order: int = ORDER, slots: int = SLOTS, fit_rows: int = FIT_ROWS) -> Model:
