@@ -2,12 +2,15 @@
 
 Words are lower-cased. A mask keeps some positions of a span of words and ignores the others; the hash of the kept words is a seed. The
 seeds of all benchmark positions are joined with those of all document positions; a hit fixes how the item would lie in the document.
-Each such placement is then verified word by word: the best segment under +1 for an equal word and -3 for a substituted one must have at
-least ``MIN_WORDS`` words (all of the item's, if it has fewer) of which at least ``MIN_SHARE`` are equal.
+Each such placement is then verified word by word: the longest stretch of the item inside the document of which at least ``MIN_SHARE``
+are equal must have at least ``MIN_WORDS`` words (all of the item's, if it has fewer). Substituted words count wherever they stand.
+
+No such stretch is without a seed: n words with at most n / 5 substituted hold four equal words in a row if n is 13, 14 or over 15, and
+of 15 words the one pattern without is met by the second mask, as is that of 11; items of up to ``FEW`` words are searched by three in a
+row as well.
 
 The benchmark's side is broadcast if its seeds are few enough (a checked count); else the join shuffles. Defined cases: null texts
-have no words; items of fewer than ``SHORT`` words are no evidence and are not searched; items shorter than a mask's span are searched by
-``SHORT`` words in a row; repeated rows are treated alike; an empty table of either kind gives no hits.
+have no words; items of fewer than ``SHORT`` words are no evidence and are not searched; repeated rows are treated alike; an empty table of either kind gives no hits.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from emberline.operators.skew import small_or_shuffled
 from emberline.session import table, written
 
 #: Kept positions of each mask.
-MASKS = [(0, 1, 2, 5, 7, 9), (0, 1, 4, 6, 9, 10), (0, 2, 3, 7, 8, 11)]
-SHORT, MIN_WORDS, MIN_SHARE, MISS = 6, 13, 0.8, -3
+MASKS = [(0, 1, 2, 3), (0, 1, 4, 6, 9, 10)]
+SHORT, FEW, MIN_WORDS, MIN_SHARE = 6, 10, 13, 0.8
+#: What an equal and a substituted word add to a sum that is not negative where ``MIN_SHARE`` are equal.
+HIT, MISS = 1, -4
 
 
 def _hashes(text: Column) -> Column:
@@ -52,8 +57,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """(key, _rid, item, doc_start, item_start, n_words, n_equal): the best verified placement of each item in each document."""
     items = benchmark.select(F.col(item), _hashes(F.col(item_text)).alias("_b")).where(F.size("_b") >= SHORT)
     items = written(items.distinct(), "items")
-    span = max(map(max, MASKS)) + 1
-    masks = MASKS + ([tuple(range(SHORT))] if items.where(F.size("_b") < span).limit(1).count() else [])
+    masks = MASKS + ([(0, 1, 2)] if items.where(F.size("_b") <= FEW).limit(1).count() else [])
     tests = written(_seeds(items, masks, "_b").select(F.col(item).alias("_item"), F.col("_at").alias("_item_at"), "_seed").distinct(), "seeds")
     lean = docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("_rid"), F.col(text).alias("_t"))
     found = _seeds(lean.select("_rid", _hashes(F.col("_t")).alias("_h")), masks).select("_rid", "_at", "_seed").join(small_or_shuffled(tests), "_seed")
@@ -61,22 +65,26 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     with_hits = small_or_shuffled(hits.select("_rid").distinct())
     bodies = lean.join(with_hits, "_rid").select(key, "_rid", _hashes(F.col("_t")).alias("_h")).dropDuplicates(["_rid"])
     placed = bodies.join(hits, "_rid").join(small_or_shuffled(items.withColumnRenamed(item, "_item")), "_item")
-    equal = F.transform("_b", lambda b, j: F.coalesce(F.when(j + F.col("_shift") >= 0, F.get("_h", j + F.col("_shift"))) == b, F.lit(False)))
+    first = F.greatest(F.lit(0), -F.col("_shift"))
+    inside = F.sequence(first, F.least(F.size("_b"), F.size("_h") - F.col("_shift")) - 1)
+    placed = placed.withColumn("_e", F.transform(inside, lambda j: F.get("_h", j + F.col("_shift")) == F.get("_b", j))).withColumn("_first", first)
+    need = F.least(F.lit(MIN_WORDS), F.size("_b"))
+    likely = placed.where(F.size(F.filter("_e", lambda same: same)) >= MIN_SHARE * need)
     zero = F.lit(0)
-    state = F.struct(zero.alias("at"), zero.alias("from"), zero.alias("sum"), zero.alias("same"), zero.alias("best"), zero.alias("start"), zero.alias("end"), zero.alias("equal"))
+    state = F.struct(zero.alias("at"), zero.alias("sum"), F.array().cast("array<int>").alias("low"), zero.alias("start"), zero.alias("n"))
 
     def step(a: Column, same: Column) -> Column:
-        gain = F.when(same, 1).otherwise(MISS)
-        fresh = (a["sum"] + gain) <= 0
-        total = F.when(fresh, 0).otherwise(a["sum"] + gain)
-        count = F.when(fresh, 0).otherwise(a.same + same.cast("int"))
-        start = F.when(fresh, a["at"] + 1).otherwise(a["from"])
-        better = total > a.best
-        return F.struct((a["at"] + 1).alias("at"), start.alias("from"), total.alias("sum"), count.alias("same"), F.greatest(total, a.best).alias("best"), F.when(better, start).otherwise(a.start).alias("start"), F.when(better, a["at"] + 1).otherwise(a.end).alias("end"), F.when(better, count).otherwise(a.equal).alias("equal"))
-
-    best = placed.withColumn("_e", equal).withColumn("_s", F.aggregate("_e", state, step)).withColumn("n_words", F.col("_s.end") - F.col("_s.start"))
-    good = best.where((F.col("n_words") >= F.least(F.lit(MIN_WORDS), F.size("_b"))) & (F.col("_s.equal") >= MIN_SHARE * F.col("n_words")))
-    one = good.groupBy(key, "_rid", F.col("_item").alias(item)).agg(F.max_by(F.struct((F.col("_s.start") + F.col("_shift")).alias("doc_start"), F.col("_s.start").alias("item_start"), "n_words", F.col("_s.equal").alias("n_equal")), F.struct("_s.best", -F.col("_shift"))).alias("o"))
+        # low[k] is where the sum first fell to -(k + 1): the longest stretch that ends here starts where it first fell to what it is
+        at, total = a["at"] + 1, a["sum"] + F.when(same, HIT).otherwise(MISS)
+        low = F.when(-total > F.size(a.low), F.concat(a.low, F.array_repeat(at, -total - F.size(a.low)))).otherwise(a.low)
+        start = F.when(total >= 0, 0).otherwise(F.get(low, -total - 1))
+        better = at - start > a.n
+        return F.struct(at.alias("at"), total.alias("sum"), low.alias("low"), F.when(better, start).otherwise(a.start).alias("start"), F.when(better, at - start).otherwise(a.n).alias("n"))
+
+    best = likely.withColumn("_s", F.aggregate("_e", state, step)).withColumn("n_words", F.col("_s.n"))
+    good = best.where(F.col("n_words") >= need).withColumn("item_start", F.col("_first") + F.col("_s.start"))
+    good = good.withColumn("n_equal", F.size(F.filter(F.slice("_e", F.col("_s.start") + 1, F.col("n_words")), lambda same: same)))
+    one = good.groupBy(key, "_rid", F.col("_item").alias(item)).agg(F.max_by(F.struct((F.col("item_start") + F.col("_shift")).alias("doc_start"), "item_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("_shift"))).alias("o"))
     return one.select(key, "_rid", item, "o.*")
 
 

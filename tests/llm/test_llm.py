@@ -125,6 +125,40 @@ def test_decontamination(spark, docs, none):
     assert decontamination.find_overlaps(none, bench).count() == 0 and decontamination.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_substituted_words(spark):
+    rng = random.Random(3)
+    items, docs, want = [], [], set()
+
+    def add(words, swapped, found):
+        copy = [f"odd{i}" if i in swapped else w for i, w in enumerate(words)]
+        docs.append((len(docs), " ".join(["pre", *copy, "post"])))
+        if found:
+            want.add((len(docs) - 1, items[-1][0]))
+
+    for n in (6, 7, 8, 9, 10, 11, 12, 13, 15, 20):
+        words = [f"i{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        every = list(itertools.combinations(range(n), n // 5))
+        for swapped in every if len(every) < 500 else [(0, 1, n - 2, n - 1), *rng.sample(every, 100)]:
+            add(words, swapped, True)
+        more = list(itertools.combinations(range(n), n // 5 + 1))
+        for swapped in rng.sample(more, min(20, len(more))):
+            e = [i not in swapped for i in range(n)]
+            longest = max((b - a for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(e[a:b]) >= 4 * (b - a)), default=0)
+            add(words, swapped, longest >= min(13, n))
+    # a stretch in an item that otherwise differs, and an item of which only a part stands at the document's end
+    words = [f"long{i}" for i in range(60)]
+    items.append((60, " ".join(words)))
+    add(words, {*range(20), 22, 31, *range(33, 60)}, True)
+    docs.append((len(docs), "pre " + " ".join(words[:12])))
+    docs.append((len(docs), "pre " + " ".join(words[:13])))
+    want.add((len(docs) - 1, 60))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontamination.find_overlaps(d, spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    assert set(zip(found["doc_id"], found["item_id"], strict=True)) == want
+    assert (found["n_equal"] >= 0.8 * found["n_words"]).all() and (found["doc_start"] >= 0).all()
+
+
 def brute_classes(texts):
     known = ngram_join.WordHashes()
     sets = [frozenset(ngram_join.shingles((t or "").encode(), known).tolist()) for t in texts]
