@@ -5,9 +5,9 @@ class; all shorter orders are continuation counts over both classes together, so
 back to the same probability in both and tells nothing. A word's evidence is its toxic less its ordinary log-likelihood; a text's is
 the sum over its words divided by their number. A logistic curve turns that and the strongest words' share into a score.
 
-Counts cover every labelled training row. Two things are bounded, as documented parameters: the table of log-likelihood ratios that
-scoring tasks hold (``SLOTS`` entries; where grams share an entry the most frequent one has it) and the labelled rows to which the curve
-is fitted (``FIT_ROWS``, those of least hash among rows that the models did not see).
+Scoring tasks hold the log-likelihood ratio of every counted gram, keyed by a 64-bit hash of the gram, 12 bytes each: a gram that was
+not counted is found in no entry and falls back to its context. One thing is bounded, as a documented parameter: the labelled rows to
+which the curve is fitted (``FIT_ROWS``, those of least hash among rows that the models did not see).
 
 Defined cases: a null or empty text has no words and gets the curve's value at zero evidence; a null label is no label; several labels
 of one document count as their maximum; without labels of both classes every score is 0; equal texts get equal scores.
@@ -16,7 +16,6 @@ of one document count as their maximum; without labels of both classes every sco
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from emberline.llm.arrow import arrow_pass
 from emberline.operators.skew import small_or_shuffled
 from emberline.session import table, written
 
-ORDER, DISCOUNT, SLOTS, FIT_ROWS, THRESHOLD = 5, 0.75, 1 << 20, 20_000, 0.7
+ORDER, DISCOUNT, FIT_ROWS, THRESHOLD = 5, 0.75, 20_000, 0.7
 #: Evidence of a word from which it counts as strong.
 STRONG = 3.0
 _EDGES = "#*$%&|<>.,;:!?\"'()[]{}"
@@ -60,8 +59,21 @@ def word_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def ratios(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT, slots: int = SLOTS) -> DataFrame:
-    """(slot, kind, ratio): log-likelihood ratios of seen grams (kind 0) and of any other character after a seen context (kind 1)."""
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def gram_keys(grams: np.ndarray) -> np.ndarray:
+    """64-bit hashes of grams, given as rows of code points."""
+    out = np.full(len(grams), 0x9E3779B97F4A7C15, np.uint64)
+    for at in range(grams.shape[1]):
+        out = (out ^ grams[:, at]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def ratios(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+    """(gram, kind, ratio): log-likelihood ratios of seen grams (kind 0) and of any other character after a seen context (kind 1)."""
     padded = F.concat(F.lit("^" * (order - 1)), "word", F.lit("$"))
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: padded.substr(i, F.lit(order)))).alias("gram"), "ordinary", "toxic")
     top = written(grams.groupBy("gram").agg(F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1")), "grams")
@@ -88,48 +100,57 @@ def ratios(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT, slo
         left = F.when(F.col(f"s{c}") > 0, discount * F.col(f"t{c}") / F.col(f"s{c}")).otherwise(1.0)
         return (F.greatest(F.col(c) - discount, F.lit(0.0)) / F.greatest(F.col(f"s{c}"), F.lit(1)) + left * F.col("q")) if seen else left
 
-    slot = lambda c: F.crc32(F.col(c).cast("binary")) % slots
     full = full.withColumn("h", F.expr(f"left(gram, {order - 1})"))
-    seen = full.select(slot("gram").alias("slot"), F.lit(0).alias("kind"), F.log(likely("c1", True) / likely("c0", True)).alias("ratio"), (F.col("c0") + F.col("c1")).alias("n"), F.col("gram").alias("who"))
-    other = full.groupBy("h").agg(*[F.first(x).alias(x) for x in ("sc0", "sc1", "tc0", "tc1")]).select(slot("h").alias("slot"), F.lit(1).alias("kind"), F.log(likely("c1", False) / likely("c0", False)).alias("ratio"), (F.col("sc0") + F.col("sc1")).alias("n"), F.col("h").alias("who"))
-    return seen.union(other).groupBy("slot", "kind").agg(F.max_by("ratio", F.struct("n", "who")).alias("ratio"))
+    seen = full.select("gram", F.lit(0).alias("kind"), F.log(likely("c1", True) / likely("c0", True)).alias("ratio"))
+    other = full.groupBy("h").agg(*[F.first(x).alias(x) for x in ("sc0", "sc1", "tc0", "tc1")]).select(F.col("h").alias("gram"), F.lit(1).alias("kind"), F.log(likely("c1", False) / likely("c0", False)).alias("ratio"))
+    return seen.union(other)
 
 
 class Model:
-    """What scoring tasks hold: a bounded table of ratios and the curve."""
+    """What scoring tasks hold: the ratios of grams (kind 0) and contexts (kind 1), each with its sorted keys, and the curve."""
 
-    def __init__(self, table: np.ndarray, order: int, curve: np.ndarray | None):
+    def __init__(self, table: list[tuple[np.ndarray, np.ndarray]], order: int, curve: np.ndarray | None):
         self.table, self.order, self.curve, self.seen = table, order, curve, {}
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
 
-    def word(self, word: str) -> float:
-        """The evidence of a raw word; words are remembered, up to a bound on memory."""
-        got = self.seen.get(word)
-        if got is None:
-            plain, got = _plain(word), 0.0
-            if plain:
-                k, slots, (grams, contexts) = self.order, self.table.shape[1], self.table
-                whole = "^" * (k - 1) + plain + "$"
-                for i in range(len(plain) + 1):
-                    gram = whole[i : i + k].encode()
-                    r = grams[zlib.crc32(gram) % slots]
-                    if r != r:
-                        r = contexts[zlib.crc32(whole[i : i + k - 1].encode()) % slots]
-                    if r == r:
-                        got += float(r)
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = got
-        return got
+    def ratios(self, kind: int, grams: np.ndarray) -> np.ndarray:
+        """The ratios of grams or contexts, given as rows of code points; not a number where one was not counted."""
+        (keys, values), sought = self.table[kind], gram_keys(grams)
+        if not len(keys):
+            return np.full(len(sought), np.nan)
+        at = np.minimum(keys.searchsorted(sought), len(keys) - 1)
+        return np.where(keys[at] == sought, values[at], np.nan)
+
+    def remember(self, words: list[str]) -> None:
+        """Keep the evidence of raw words."""
+        k, plain = self.order, [_plain(w) for w in words]
+        points = _points("".join(["^" * (k - 1) + p + "$" for p in plain]))
+        sizes = np.array([len(p) + k for p in plain])
+        starts = np.cumsum(sizes) - sizes
+        # a window per character of each word and its end; none crosses into the next word
+        counts = sizes - k + 1
+        first = np.cumsum(counts) - counts
+        at = np.arange(counts.sum()) + np.repeat(starts - first, counts)
+        grams = np.lib.stride_tricks.sliding_window_view(points, k)[at]
+        r = self.ratios(0, grams)
+        unseen = np.flatnonzero(np.isnan(r))
+        r[unseen] = np.nan_to_num(self.ratios(1, grams[unseen, : k - 1]))
+        evidence = np.where(counts > 1, np.add.reduceat(r, first), 0.0)
+        self.seen.update(zip(words, evidence.tolist(), strict=True))
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         words = text.split() if text else []
         if not words:
             return 0.0, 0.0, 0.0
-        known, seen = self.word, self.seen
-        each = np.fromiter([seen[w] if w in seen else known(w) for w in words], float, len(words))
+        if len(self.seen) > 200_000:  # a bound on memory
+            self.seen.clear()
+        seen = self.seen
+        new = [w for w in words if w not in seen]
+        if new:
+            self.remember(list(dict.fromkeys(new)))
+        each = np.array([seen[w] for w in words])
         n = len(each)
         strong = np.minimum(each[each > STRONG], 12.0)
         return float(np.clip(each, -12, 12).mean()), float(strong.sum() / n), math.log1p(float(strong.sum()))
@@ -178,16 +199,30 @@ def _features(rows: DataFrame, model, keep: list[str], text: str, score: str | N
     return arrow_pass(rows.select(*keep, F.col(text).cast("string").alias("_text")), run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", order: int = ORDER, slots: int = SLOTS, fit_rows: int = FIT_ROWS) -> Model:
+def _ratio_table(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ratios of each kind with their sorted keys."""
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    for b in found.select("gram", "kind", F.col("ratio").cast("float").alias("ratio")).toArrow().to_batches():
+        kinds, values = b.column(1).to_numpy(), b.column(2).to_numpy()
+        for kind in (0, 1):
+            own = b.column(0).filter(pa.array(kinds == kind)).to_pylist()
+            if own:
+                parts[kind].append((gram_keys(_points("".join(own)).reshape(len(own), -1)), values[kinds == kind]))
+    out = []
+    for own in parts:
+        keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in own]])
+        order = np.argsort(keys)
+        out.append((keys[order], np.concatenate([np.zeros(0, np.float32), *[v for _, v in own]])[order]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", order: int = ORDER, fit_rows: int = FIT_ROWS) -> Model:
     """Models from the rows whose crc32 of the key, as text, leaves 0 or 2 when divided by 3. A sixth of these is kept for the curve."""
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y")).withColumn("_c", F.crc32(F.col(key).cast("string").cast("binary"))).where("_c % 3 <> 1")
     rows = docs.select(key, F.col(text).alias("_t")).join(small_or_shuffled(known), key)
     part = F.floor(F.col("_c") / 3) % 6 == 0
-    found = ratios(word_counts(rows.where(~part), "_t", "_y"), order, slots=slots).toPandas()
-    held = np.full((2, slots), np.nan, np.float32)
-    held[found["kind"].to_numpy(int), found["slot"].to_numpy(int)] = found["ratio"].to_numpy(np.float32)
-    model = Model(held, order, None)
+    model = Model(_ratio_table(ratios(word_counts(rows.where(~part), "_t", "_y"), order)), order, None)
     fit = rows.where(part).withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(fit_rows)
     seen = _features(fit, spark.sparkContext.broadcast(model), ["_y"], "_t", None).toPandas()
     model.curve = fit_curve(seen[list(_FEATURES)].to_numpy(float), seen["_y"].to_numpy(float))

@@ -346,6 +346,32 @@ def test_toxicity(spark, none):
     assert toxicity.without_toxic(none.select("doc_id", "text"), known).count() == 0
 
 
+def test_toxicity_of_every_gram(spark):
+    """Each counted gram has its own ratio, and none that was not counted has one, however many there are."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzéßж"
+    pool = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(6, 12))) for _ in range(150_000)})
+    words = spark.createDataFrame([(w, i % 3, i % 2 + 1) for i, w in enumerate(pool)], "word string, ordinary long, toxic long")
+    table = toxicity._ratio_table(toxicity.ratios(words))
+    model = toxicity.Model(table, toxicity.ORDER, None)
+    counted = sorted({whole[i : i + 5] for w in pool for whole in [f"^^^^{w}$"] for i in range(len(w) + 1)})
+    as_points = lambda grams: toxicity._points("".join(grams)).reshape(len(grams), -1)
+    assert len(table[0][0]) == len(counted) == len(np.unique(table[0][0])) > 1 << 18
+    assert len(table[1][0]) == len({g[:4] for g in counted})
+    assert not np.isnan(model.ratios(0, as_points(counted))).any()
+    unseen = sorted({"".join(rng.choice(letters) for _ in range(5)) for _ in range(2000)} - set(counted))
+    assert unseen and np.isnan(model.ratios(0, as_points(unseen))).all()
+    raw = [*rng.sample(pool, 20), "Abcdé!", "ж", "##", "日本語"]
+    model.remember(raw)
+    for w in raw:
+        whole, want = f"^^^^{toxicity._plain(w)}$", 0.0
+        for i in range(len(toxicity._plain(w)) + 1 if toxicity._plain(w) else 0):
+            r = model.ratios(0, as_points([whole[i : i + 5]]))[0]
+            r = model.ratios(1, as_points([whole[i : i + 4]]))[0] if np.isnan(r) else r
+            want += 0.0 if np.isnan(r) else r
+        assert abs(model.seen[w] - want) < 1e-4
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
