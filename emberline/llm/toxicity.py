@@ -7,7 +7,8 @@ the sum over its words divided by their number. A logistic curve turns that and
 
 Scoring tasks hold the log-likelihood ratio of every counted gram, keyed by a 64-bit hash of the gram, 12 bytes each: a gram that was
 not counted is found in no entry and falls back to its context. One thing is bounded, as a documented parameter: the labelled rows to
-which the curve is fitted (``FIT_ROWS``, those of least hash among rows that the models did not see).
+which the curve is fitted (``FIT_ROWS``, those of least hash among a sixth that is left out of the counts until then). The final counts
+cover every labelled training row, that sixth included.
 
 Defined cases: a null or empty text has no words and gets the curve's value at zero evidence; a null label is no label; several labels
 of one document count as their maximum; without labels of both classes every score is 0; equal texts get equal scores.
@@ -217,16 +218,19 @@ def _ratio_table(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", order: int = ORDER, fit_rows: int = FIT_ROWS) -> Model:
-    """Models from the rows whose crc32 of the key, as text, leaves 0 or 2 when divided by 3. A sixth of these is kept for the curve."""
+    """Models from the rows whose crc32 of the key, as text, leaves 0 or 2 when divided by 3. A sixth of these is kept for
+    the curve and counted after it is fitted."""
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y")).withColumn("_c", F.crc32(F.col(key).cast("string").cast("binary"))).where("_c % 3 <> 1")
     rows = docs.select(key, F.col(text).alias("_t")).join(small_or_shuffled(known), key)
     part = F.floor(F.col("_c") / 3) % 6 == 0
-    model = Model(_ratio_table(ratios(word_counts(rows.where(~part), "_t", "_y"), order)), order, None)
+    counts = written(word_counts(rows.where(~part), "_t", "_y"), "words")
+    model = Model(_ratio_table(ratios(counts, order)), order, None)
     fit = rows.where(part).withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(fit_rows)
     seen = _features(fit, spark.sparkContext.broadcast(model), ["_y"], "_t", None).toPandas()
-    model.curve = fit_curve(seen[list(_FEATURES)].to_numpy(float), seen["_y"].to_numpy(float))
-    return model
+    curve = fit_curve(seen[list(_FEATURES)].to_numpy(float), seen["_y"].to_numpy(float))
+    every = counts.union(word_counts(rows.where(part), "_t", "_y")).groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return Model(_ratio_table(ratios(every, order)), order, curve)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:

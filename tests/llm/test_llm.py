@@ -372,6 +372,23 @@ def test_toxicity_of_every_gram(spark):
         assert abs(model.seen[w] - want) < 1e-4
 
 
+def test_toxicity_counts_rows_of_the_curve(spark):
+    rng = random.Random(10)
+    rows, labels = [], []
+    for i in range(600):
+        w, c = prose(rng, 30).split(), zlib.crc32(str(i).encode())
+        if i % 4 == 0:
+            w[3] = "grunk"
+            if c % 3 != 1 and c // 3 % 6 == 0:
+                w[9] = w[19] = "quivvox"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    assert any("quivvox" in t for _, t in rows)
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    model.remember(["quivvox"])
+    assert model.seen["quivvox"] > toxicity.STRONG
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
