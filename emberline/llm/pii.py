@@ -7,7 +7,8 @@ the same script, digits digits, separators, case, country codes, top-level domai
 names keep their length and take the ending of the gender that the form of address tells.
 
 Collisions are checked over all entities of the table: one whose replacement is another's, or is an original value, draws again with the
-next attempt until none is left. Defined cases: null texts stay null, empty texts stay empty, an empty table gives no rows, other columns
+next attempt until none is left. After every ``WIDEN`` attempts names and e-mail addresses grow by two letters, so a free one always
+exists. Numbers keep their format; where their digits do not suffice for all values of a table an error is raised. Defined cases: null texts stay null, empty texts stay empty, an empty table gives no rows, other columns
 are kept, letters of scripts other than Latin, Greek and Cyrillic stay, and numbers that fail the Luhn check are not card numbers.
 """
 
@@ -20,6 +21,8 @@ from emberline.operators.skew import small_or_shuffled
 from emberline.session import forget, table, written
 
 KEY = "surrogate-key"
+#: Attempts after which a replacement of letters grows.
+WIDEN = 6
 #: Forms of address by the gender that they tell: female, male, untold.
 TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "госпожа", "Κυρία"],
@@ -120,15 +123,16 @@ def keyed_hash(kind: Column, value: Column, attempt: Column, key: str) -> Column
     return F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string")).cast("binary"), 512)
 
 
-def drawn(kind: Column, value: Column, h: Column) -> Column:
-    """The replacement of a canonical value; ``h`` is its keyed hash."""
+def drawn(kind: Column, value: Column, h: Column, attempt: Column) -> Column:
+    """The replacement of a canonical value; ``h`` is the keyed hash of its ``attempt``."""
+    more = F.floor(attempt / WIDEN).cast("int") * 2
     number = _letters(value, h)
     body = F.concat(F.substring(value, 1, 1), F.substring(number, F.lit(2), F.length(value) - 2))
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(h, i * 7 + 1, F.lit(5)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
     domain = F.regexp_extract(value, r"(\.[^.]+)$", 1)
-    mail = F.concat(_letters(F.substring(value, F.lit(1), F.length(value) - F.length(domain)), h), domain)
-    person = _name(F.substring(value, F.lit(3), F.length(value)), h, F.left(value, F.lit(1)))
+    mail = F.concat(_letters(F.concat(F.repeat(F.lit("x"), more), F.substring(value, F.lit(1), F.length(value) - F.length(domain))), h), domain)
+    person = _name(F.concat(F.repeat(F.substring(value, 3, 1), more), F.substring(value, F.lit(3), F.length(value))), h, F.left(value, F.lit(1)))
     return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "person", person).when(kind == "card", F.concat(body, check.cast("string"))).otherwise(number)
 
 
@@ -153,28 +157,35 @@ def _mentions(docs: DataFrame, text: str) -> DataFrame:
 
 
 def entities(docs: DataFrame, text: str = "text", key: str = KEY, attempts: int = 50) -> DataFrame:
-    """(kind, value, told, attempt, surrogate): every entity of the table with its settled replacement; no two of a kind are equal."""
+    """(kind, value, told, attempt, surrogate): every entity of the table with its settled replacement; no two of a kind are equal.
+
+    An error is raised if the colliding ones have not become fewer for ``attempts`` rounds in a row.
+    """
     m = _mentions(docs.select(F.col(text)), text).where(F.size("_m") > 0).select(F.explode("_m").alias("m")).withColumn("kind", kind_of(F.col("m"))).where("kind is not null")
     held = m.select("kind", canonical(F.col("m"), F.col("kind")).alias("value")).distinct().withColumn("attempt", F.lit(0))
 
     def with_draw(rows: DataFrame) -> DataFrame:
-        return written(rows.withColumn("h", keyed_hash(F.col("kind"), F.col("value"), F.col("attempt"), key)).withColumn("surrogate", drawn(F.col("kind"), F.col("value"), F.col("h"))).select("kind", "value", "attempt", "surrogate"), "entities")
+        return written(rows.withColumn("h", keyed_hash(F.col("kind"), F.col("value"), F.col("attempt"), key)).withColumn("surrogate", drawn(F.col("kind"), F.col("value"), F.col("h"), F.col("attempt"))).select("kind", "value", "attempt", "surrogate"), "entities")
 
     held = with_draw(held)
-    for _ in range(attempts):
+    least, idle = None, 0
+    while True:
         originals = held.select("kind", F.when(F.col("kind") == "person", F.expr("substring(value, 3)")).otherwise(F.col("value")).alias("surrogate"), F.lit("").alias("of"), F.lit(0).alias("attempt"))
         claims = originals.union(held.select("kind", "surrogate", F.col("value").alias("of"), "attempt"))
         # of one replacement's claimants an original value wins, else the one that has drawn most often, else the least value
         winner = claims.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct((F.col("of") != "").alias("late"), (-F.col("attempt")).alias("drawn"), "of")).alias("w")).where("n > 1")
         losers = held.join(winner, ["kind", "surrogate"]).where("w.of <> value").select("kind", "value", (F.col("attempt") + 1).alias("again"))
         losers = written(losers, "losers")
-        if losers.limit(1).count() == 0:
-            break
+        left = losers.count()
+        if left == 0:
+            return held
+        least, idle = (left, 0) if least is None or left < least else (least, idle + 1)
+        if idle >= attempts:
+            raise ValueError(f"{left} values have no free replacement of their format")
         fresh = held.join(small_or_shuffled(losers), ["kind", "value"], "left").withColumn("attempt", F.coalesce("again", "attempt")).drop("again", "surrogate")
         now = with_draw(fresh)
         forget(held)
         held = now
-    return held
 
 
 def surrogated(docs: DataFrame, text: str = "text", key: str = KEY, found: str | None = None) -> DataFrame:
@@ -193,8 +204,9 @@ def surrogated(docs: DataFrame, text: str = "text", key: str = KEY, found: str |
     steps = [
         lambda m: F.struct(m.alias("original"), kind_of(m).alias("kind")),
         lambda x: F.struct(x.original.alias("original"), x.kind.alias("kind"), canonical(x.original, x.kind).alias("value")),
-        lambda x: F.struct(x.original.alias("original"), x.kind.alias("kind"), x.value.alias("value"), keyed_hash(x.kind, x.value, F.coalesce(F.try_element_at("_again", F.concat_ws(":", x.kind, x.value)), F.lit(0)), key).alias("h")),
-        lambda x: F.struct(x.original.alias("original"), x.kind.alias("kind"), x.value.alias("value"), drawn(x.kind, x.value, x.h).alias("new")),
+        lambda x: F.struct(x.original.alias("original"), x.kind.alias("kind"), x.value.alias("value"), F.coalesce(F.try_element_at("_again", F.concat_ws(":", x.kind, x.value)), F.lit(0)).alias("attempt")),
+        lambda x: F.struct(x.original.alias("original"), x.kind.alias("kind"), x.value.alias("value"), x.attempt.alias("attempt"), keyed_hash(x.kind, x.value, x.attempt, key).alias("h")),
+        lambda x: F.struct(x.original.alias("original"), x.kind.alias("kind"), x.value.alias("value"), drawn(x.kind, x.value, x.h, x.attempt).alias("new")),
         lambda x: F.struct(x.kind.alias("kind"), x.original.alias("original"), F.when(x.kind.isNull(), x.original).otherwise(formatted(x.original, x.kind, x.value, x.new)).alias("replacement")),
     ]
     at = "_m"

@@ -237,6 +237,24 @@ def test_pii_collisions(spark):
     assert all(mails[o] == n for (k, o), n in new.items() if k == "email")
 
 
+def test_pii_short_names(spark):
+    """More people than names of their length: every one gets a replacement of their own, the same wherever they stand."""
+    names = [a + b for a in "BCDFGHKLMN" for b in "aeiouylnrs"]
+    d = spark.createDataFrame([(i, f"Mr {n} met Mr {names[i - 1]}, 田{i}中@例え.io") for i, n in enumerate(names)], "doc_id long, text string")
+    e = pii.entities(d).toPandas()
+    assert (e["kind"] == "person").sum() == len(names) and (e["kind"] == "email").sum() == len(names)
+    assert not e.duplicated(["kind", "surrogate"]).any()
+    originals = {(k, v[2:] if k == "person" else v) for k, v in zip(e["kind"], e["value"], strict=True)}
+    assert not originals & set(zip(e["kind"], e["surrogate"], strict=True))
+    people = e[e["kind"] == "person"]
+    assert people["surrogate"].str.endswith("n").all() and (people["surrogate"].str.len() % 2 == 0).all()
+    new = {}
+    for r in pii.surrogated(d, found="x").collect():
+        for x in r["x"]:
+            assert new.setdefault(x["original"], x["replacement"]) == x["replacement"] and x["replacement"] in r["text"]
+    assert len(set(new.values())) == len(new) == 2 * len(names)
+
+
 def brute_quality(t):
     w, t = split(t), t or ""
     seen, lines = set(), 0
