@@ -10,7 +10,8 @@ of 15 words the one pattern without is met by the second mask, as is that of 11;
 row as well.
 
 The benchmark's side is broadcast if its seeds are few enough (a checked count); else the join shuffles. Defined cases: null texts
-have no words; items of fewer than ``SHORT`` words are no evidence and are not searched; repeated rows are treated alike; an empty table of either kind gives no hits.
+have no words; items of fewer than ``SHORT`` words are searched by all their words in a row and must be equal; items
+without an id are searched like others and are found as null; items without words are in no text; repeated rows are treated alike; an empty table of either kind gives no hits.
 """
 
 from __future__ import annotations
@@ -55,16 +56,21 @@ def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], hashes: str = "_h") ->
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, _rid, item, doc_start, item_start, n_words, n_equal): the best verified placement of each item in each document."""
-    items = benchmark.select(F.col(item), _hashes(F.col(item_text)).alias("_b")).where(F.size("_b") >= SHORT)
-    items = written(items.distinct(), "items")
-    masks = MASKS + ([(0, 1, 2)] if items.where(F.size("_b") <= FEW).limit(1).count() else [])
-    tests = written(_seeds(items, masks, "_b").select(F.col(item).alias("_item"), F.col("_at").alias("_item_at"), "_seed").distinct(), "seeds")
+    items = benchmark.select(F.col(item).alias("_id"), _hashes(F.col(item_text)).alias("_b")).where(F.size("_b") > 0)
+    items = written(items.distinct().withColumn("_item", F.xxhash64("_id", "_b")), "items")
+    masks = MASKS + ([(0, 1, 2)] if items.where(F.size("_b").between(SHORT, FEW)).limit(1).count() else [])
+    tests = _seeds(items.where(F.size("_b") >= SHORT), masks, "_b").select("_item", F.col("_at").alias("_item_at"), "_seed")
+    for (n,) in items.where(F.size("_b") < SHORT).select(F.size("_b")).distinct().collect():
+        whole = _seed_at("_b", len(masks), tuple(range(n)))(F.lit(0))
+        tests = tests.union(items.where(F.size("_b") == n).select("_item", F.lit(0).alias("_item_at"), whole.alias("_seed")))
+        masks = [*masks, tuple(range(n))]
+    tests = written(tests.distinct(), "seeds")
     lean = docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("_rid"), F.col(text).alias("_t"))
     found = _seeds(lean.select("_rid", _hashes(F.col("_t")).alias("_h")), masks).select("_rid", "_at", "_seed").join(small_or_shuffled(tests), "_seed")
     hits = written(found.groupBy("_rid", "_item", (F.col("_at") - F.col("_item_at")).alias("_shift")).agg(F.count("*").alias("_hits")), "hits")
     with_hits = small_or_shuffled(hits.select("_rid").distinct())
     bodies = lean.join(with_hits, "_rid").select(key, "_rid", _hashes(F.col("_t")).alias("_h")).dropDuplicates(["_rid"])
-    placed = bodies.join(hits, "_rid").join(small_or_shuffled(items.withColumnRenamed(item, "_item")), "_item")
+    placed = bodies.join(hits, "_rid").join(small_or_shuffled(items), "_item")
     first = F.greatest(F.lit(0), -F.col("_shift"))
     inside = F.sequence(first, F.least(F.size("_b"), F.size("_h") - F.col("_shift")) - 1)
     placed = placed.withColumn("_e", F.transform(inside, lambda j: F.get("_h", j + F.col("_shift")) == F.get("_b", j))).withColumn("_first", first)
@@ -84,7 +90,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     best = likely.withColumn("_s", F.aggregate("_e", state, step)).withColumn("n_words", F.col("_s.n"))
     good = best.where(F.col("n_words") >= need).withColumn("item_start", F.col("_first") + F.col("_s.start"))
     good = good.withColumn("n_equal", F.size(F.filter(F.slice("_e", F.col("_s.start") + 1, F.col("n_words")), lambda same: same)))
-    one = good.groupBy(key, "_rid", F.col("_item").alias(item)).agg(F.max_by(F.struct((F.col("item_start") + F.col("_shift")).alias("doc_start"), "item_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("_shift"))).alias("o"))
+    one = good.groupBy(key, "_rid", F.col("_id").alias(item)).agg(F.max_by(F.struct((F.col("item_start") + F.col("_shift")).alias("doc_start"), "item_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("_shift"))).alias("o"))
     return one.select(key, "_rid", item, "o.*")
 
 

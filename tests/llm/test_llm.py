@@ -159,6 +159,17 @@ def test_decontamination_of_substituted_words(spark):
     assert (found["n_equal"] >= 0.8 * found["n_words"]).all() and (found["doc_start"] >= 0).all()
 
 
+def test_decontamination_of_short_and_unnamed_items(spark):
+    long = [f"q{i}" for i in range(15)]
+    items = [(1, "one"), (2, "Only two"), (3, "now these five words here"), (None, " ".join(long)), (None, "a nameless pair"), (6, ""), (7, None)]
+    texts = ["x ONE", "only two", "two only", "so now these five words here", "now these five words there", "z " + " ".join(long), "a nameless pair", "ones"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_overlaps(d, bench).collect()}
+    assert got == {(0, 1), (1, 2), (3, 3), (5, None), (6, None)}
+    assert {r["doc_id"] for r in decontamination.decontaminated(d, bench).collect()} == {2, 4, 7}
+
+
 def brute_classes(texts):
     known = ngram_join.WordHashes()
     sets = [frozenset(ngram_join.shingles((t or "").encode(), known).tolist()) for t in texts]
