@@ -9,14 +9,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes, by a scan of its rows, up to which a lookup table is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
-def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if the counted rows are within ``limit``."""
-    n = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: eight bytes per field and the contents of strings, binaries and arrays."""
+    out = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            out = out + F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind.startswith("array<struct") or kind.startswith(("map", "struct")):
+            out = out + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        elif kind.startswith("array"):
+            out = out + F.coalesce(F.size(c), F.lit(0)) * 8
+        out = out + 8
+    return out.cast("long")
+
+
+def bytes_of(df: DataFrame) -> int:
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only if the measured bytes are within ``limit``; else a merge join, whose skewed partitions can be split."""
+    return F.broadcast(df) if bytes_of(df) <= limit else df.hint("shuffle_merge")
 
 
 def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, values: list[str], salt: Column, share: int = 1000) -> DataFrame:
@@ -67,11 +87,15 @@ def _table(held: list[pa.RecordBatch], key: str) -> tuple[pa.Table, np.ndarray]:
     return t, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
 
 
-def grouped_pass(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Shuffle by the integer ``key``, sort, and hand ``fn`` tables of whole groups: one call serves many small groups."""
+def grouped_pass(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, partitions: int | None = None) -> DataFrame:
+    """Shuffle by the integer ``key``, sort, and hand ``fn`` tables of whole groups: one call serves many small groups.
+
+    ``partitions`` is for data whose size the caller has counted; else the session's number holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, key):
             yield from fn(t, starts)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    dealt = df.repartition(key) if partitions is None else df.repartition(partitions, key)
+    return dealt.sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,35 +29,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; an own one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets an own folder; on a cluster a folder of one machine would lose tables, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "file://" + os.path.join(tempfile.gettempdir(), "emberline-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="emberline-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver delete ``path`` when it ends."""
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here and survives lost executors."""
+    """``df`` as a table in the shared folder: lineage ends here and survives lost executors. It is deleted when the driver ends."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path:
+            fs, target = _file_system(df.sparkSession, path)
+            fs.delete(target, True)
+            fs.cancelDeleteOnExit(target)
