@@ -6,8 +6,13 @@ a limit on repetition. The token budget is given, or as small as lets every sour
 passes and a part of one: the first documents of a keyed permutation, which is a permutation of blocks and of rows within blocks. A cut
 is thus a (block key, row key) pair per source, and each document compares its own keys with it: texts are not shuffled.
 
-Defined cases: null and empty sources are one source, a null text has no tokens, a source without tokens passes once, rows with equal
-source, key and text are taken together or not at all, and a part of a pass never exceeds its budget. An empty table gives no rows.
+The mixture is realised as an order: pass by pass, a source's blocks are spread evenly over the whole, each pass in a permutation of its own,
+so any stretch of the result has about the target weights. ``placed`` gives every copy its pass and its gapless position.
+
+Defined cases: null and empty sources are one source, a null text has no tokens, a source without tokens passes once, texts count whole,
+however long; rows with equal source, key and text are repeated rows: they are taken together or not at all, and have neighbouring
+positions in an order that does not matter; ties of keys are ties of hashes only; a part of a pass never exceeds its budget. An empty
+table gives no rows. Columns of the rows keep their names and values, whatever these are: the plan's columns stand beside the row, not in it.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from pyspark.sql import functions as F
 
 from emberline.llm.words import n_words
 from emberline.operators.skew import join_on_hot_key
-from emberline.session import table, written
+from emberline.session import forget, table, written
 
 REPEATS, BLOCK_ROWS, SEED = 2.0, 1000, "mix"
+#: Copies that one task numbers, on average.
+CELL_ROWS = 20_000
 
 
 def _stats(sources: DataFrame, points: list[float]) -> list[tuple[float, float]]:
@@ -60,7 +67,7 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
 
 def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget_tokens: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(lean, sources): per row its source, keys and tokens; per source its weight, full passes and the keys at which a part ends."""
-    lean = written(_keyed(docs, key, text, source, seed).select("_source", "_row", n_words(F.col(text)).alias("n_tokens")), "lean")
+    lean = written(_keyed(docs, key, text, source, seed).select("_source", "_row", n_words(F.col(f"row.{text}")).alias("n_tokens")), "lean")
     raw = lean.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     sources = written(raw, "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -75,19 +82,33 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     weights = written(weights, "weights")
     rows = _blocked(join_on_hot_key(lean, weights, "_source", "rows", ["blocks", "part"], F.col("_row")), seed)
     by_block = written(rows.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("t"), F.max("part").alias("part")), "blocks")
-    upto = F.sum("t").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
-    border = by_block.withColumn("upto", upto).where("upto > part").groupBy("_source").agg(F.min(F.struct("_block", (F.col("upto") - F.col("t")).alias("before"))).alias("b")).select("_source", F.col("b._block").alias("cut_block"), F.col("b.before").alias("before"))
-    border = written(border, "border")
+    # the cut is sought in slices of the block keys first, then among the blocks of one slice: no window holds all blocks of a source
+    sliced = by_block.withColumn("slice", F.shiftright("_block", 52))
+    by_slice = sliced.groupBy("_source", "slice").agg(F.sum("t").alias("t"), F.max("part").alias("part"))
+    at_slice = _border(by_slice, "slice", F.lit(0))
+    inner = sliced.join(at_slice.withColumnRenamed("before", "start"), ["_source", "slice"])
+    border = written(_border(inner, "_block", F.col("start")).withColumnRenamed("_block", "cut_block"), "border")
     # rows of the blocks in which parts end: a source has one such block, of about block_rows rows
     at = rows.join(border.select(F.col("_source").alias("s2"), F.col("cut_block"), F.col("before")), (F.col("_source") == F.col("s2")) & (F.col("_block") == F.col("cut_block")))
-    inside = F.sum("n_tokens").over(Window.partitionBy("_source", "_block").orderBy("_row").rangeBetween(Window.unboundedPreceding, 0))
+    at = at.groupBy("_source", "_block", "_row").agg(F.sum("n_tokens").alias("n_tokens"), F.max("before").alias("before"), F.max("part").alias("part"))  # repeated rows go together
+    inside = F.sum("n_tokens").over(Window.partitionBy("_source", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
     cut = at.withColumn("upto", F.col("before") + inside).where("upto <= part").groupBy("_source").agg(F.max("_row").alias("cut_row"))
-    out = weights.join(border.select("_source", "cut_block"), "_source", "left").join(cut, "_source", "left")
-    return lean, written(out, "plan")
+    out = written(weights.join(border.select("_source", "cut_block"), "_source", "left").join(cut, "_source", "left"), "plan")
+    forget(by_block, border, sources, weights)
+    return lean, out
+
+
+def _border(parts: DataFrame, by: str, start) -> DataFrame:
+    """(_source, by, before): per source the first part, in order of ``by``, in which the tokens exceed the budget of a part of a pass."""
+    upto = start + F.sum("t").over(Window.partitionBy("_source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    over = parts.withColumn("upto", upto).where("upto > part")
+    return over.groupBy("_source").agg(F.min(F.struct(by, (F.col("upto") - F.col("t")).alias("before"))).alias("b")).select("_source", f"b.{by}", "b.before")
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
-    return docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("_row", F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    """(row, _source, _row): the rows as one column beside their source and key."""
+    own = docs.select(F.struct("*").alias("row"))
+    return own.select("row", F.coalesce(F.col(f"row.{source}").cast("string"), F.lit("")).alias("_source"), F.xxhash64(F.lit(seed), F.col(f"row.{key}"), F.crc32(F.coalesce(F.col(f"row.{text}"), F.lit("")).cast("binary"))).alias("_row"))
 
 
 def _blocked(rows: DataFrame, seed: str) -> DataFrame:
@@ -95,22 +116,55 @@ def _blocked(rows: DataFrame, seed: str) -> DataFrame:
 
 
 def copies(docs: DataFrame, sources: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """The rows of ``docs`` with exponent, weight and copies, from a plan's sources. Texts stay where they are."""
-    values = ["blocks", "exponent", "weight", "full", "part", "cut_block", "cut_row"]
+    """(row, exponent, weight, passes, full, copies, block_key, row_key): each row of ``docs``, as one column, beside what a plan's sources say of it."""
+    values = ["blocks", "exponent", "weight", "passes", "full", "part", "cut_block", "cut_row"]
     rows = _blocked(join_on_hot_key(_keyed(docs, key, text, source, seed), sources, "_source", "rows", values, F.col("_row")), seed)
     in_part = F.when(F.col("cut_block").isNull(), True).when(F.col("_block") != F.col("cut_block"), F.col("_block") < F.col("cut_block")).otherwise(F.coalesce(F.col("_row") <= F.col("cut_row"), F.lit(False)))
-    return rows.withColumn("copies", (F.col("full") + (in_part & (F.col("part") > 0)).cast("long")).cast("long"))
+    many = (F.col("full") + (in_part & (F.col("part") > 0)).cast("long")).cast("long")
+    return rows.select("row", "exponent", "weight", "passes", "full", many.alias("copies"), F.col("_block").alias("block_key"), F.col("_row").alias("row_key"))
+
+
+def _passes(many: DataFrame, seed: str) -> DataFrame:
+    """A line per copy: ``pass`` from 1, ``spot`` in [0, 1) and what orders copies at one spot.
+
+    A full pass permutes blocks by a hash of its number; the part of a pass keeps the order in which it was cut, so its blocks fill its
+    share of the whole evenly.
+    """
+    each = many.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    block = F.when(F.col("pass") > F.col("full"), F.col("block_key")).otherwise(F.xxhash64(F.lit(seed), "pass", "block_key"))
+    share = F.shiftright(block, 11).cast("double") / float(1 << 53) + 0.5
+    spot = F.least((F.col("pass") - 1 + share) / F.greatest(F.col("passes"), F.col("pass") - 1 + share + 1e-9), F.lit(1 - 1e-12))
+    return each.withColumn("spot", spot).withColumn("_b", block).withColumn("_r", F.xxhash64(F.lit(seed), "pass", "row_key"))
+
+
+def placed(many: DataFrame, seed: str = SEED, keep: tuple = ()) -> DataFrame:
+    """The lines of the mixture in their order: the columns ``keep`` of :func:`copies`, ``pass`` and ``position``, gapless from 0.
+
+    Copies are dealt into cells by their spot; each cell is numbered alone and starts where the cells before it end.
+    """
+    lean = written(_passes(many, seed).select(*keep, "pass", "spot", "_b", "_r"), "passes")
+    cells = max(1, -(-lean.count() // CELL_ROWS))
+    lean = lean.withColumn("_cell", F.floor(F.col("spot") * cells).cast("int"))
+    counts = lean.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_slice", F.floor(F.col("_cell") / 4096))
+    slices = counts.groupBy("_slice").agg(F.sum("_n").alias("_m"))
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.join(slices.select("_slice", ahead("_m", Window.orderBy("_slice")).alias("_s")), "_slice").select("_cell", (F.col("_s") + ahead("_n", Window.partitionBy("_slice").orderBy("_cell"))).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy("spot", "_b", "_r")) - 1
+    return lean.withColumn("_i", inside).join(starts, "_cell").select(*keep, "pass", (F.col("_start") + F.col("_i")).cast("long").alias("position"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mixture, each as often as it has copies, with the columns of ``docs``."""
+    """The rows of the mixture, each as often as it has copies, with the columns of ``docs`` alone; sorted within its partitions by spot."""
     names = {k: options[k] for k in ("key", "text", "source", "seed") if k in options}
-    _, sources = plan(docs, **options)
-    many = copies(docs, sources, **names).where("copies > 0")
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    lean, sources = plan(docs, **options)
+    forget(lean)
+    return _passes(copies(docs, sources, **names), names.get("seed", SEED)).sortWithinPartitions("spot", "_b", "_r").select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    _, sources = plan(docs)
-    return copies(docs, sources).select("doc_id", "source", n_words("text").alias("n_tokens"), F.round("exponent", 6).alias("exponent"), F.round("weight", 9).alias("weight"), "copies", F.col("_block").alias("block_key"), F.col("_row").alias("row_key"))
+    lean, sources = plan(docs)
+    forget(lean)
+    many = copies(docs.select("doc_id", "source", "text"), sources)
+    keep = many.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), n_words("row.text").alias("n_tokens"), F.round("exponent", 6).alias("exponent"), F.round("weight", 9).alias("weight"), "passes", "full", "copies", "block_key", "row_key")
+    return placed(keep, keep=("doc_id", "source", "n_tokens", "exponent", "weight", "copies", "block_key", "row_key"))

@@ -4,16 +4,19 @@ A document is the set of its runs of five words. Documents with one set form one
 values are its sampled tokens: a path from the root picks two positions per node (by a hash of the node) and goes on to the child named by
 position and value, so sets that share sampled tokens meet again. Two levels are chosen without looking at the data; a node that then
 holds more than ``LIMIT`` sets is split further, unless its sets are so alike that splitting would not help: these, and nodes at the last
-level, are compared block by block. Runs are repeated until the target recall. Nodes give candidate components, as stars: no pair list of
-a group is ever made. Each component's sets are then intersected exactly, again block by block where it is large, which yields the
-links (similarity of at least 0.8), their number per document and the classes (what links connect).
+level, are compared block by block. Runs are repeated until the target recall. In a node two sets are candidates if their sizes allow the
+similarity and enough sampled tokens are equal; what candidates connect is handed on as stars: no pair list of a group is ever made.
 
-Comparing all blocks of a class costs the square of its number of *different* sets, in blocks; that is what counting its links takes.
-Copies cost nothing beyond their membership.
+Sets that candidates connect are intersected exactly. Where these are more than ``BLOCK``, they are dealt into blocks and pairs of blocks
+are first compared by sampled tokens, so that a set's body goes only to pairs of blocks in which it has a candidate: a long chain costs its
+candidates, not its square. The links found (similarity of at least 0.8) are counted, and classes are what links connect.
 
-Defined cases: words are runs of characters other than space and 9 to 13; a text of one to four words is one run; a null or empty text
-has no runs, no links and a class of its own; null ids come last in a class; equal rows share class and links; an empty table gives no
-rows. Names of graph nodes are 64-bit hashes of whole sets.
+Within a class, all candidates are intersected: that is what counting its links takes. Copies cost nothing beyond their membership.
+
+Defined cases: words are runs of characters other than space and 9 to 13; a text of one to four words is one run, whole texts count,
+however long; a null or empty text has no runs, no links, no copies and a class of its own; null ids come last in a class; equal rows are
+copies of one another; ties of least id go to the least hash of the row; an empty table gives no rows; columns other than key and text are
+kept by ``deduplicated`` whatever their names, and ignored by ``classes``. Names of graph nodes are 64-bit hashes of whole sets.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ CANDIDATE = SIMILARITY - 3.5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / POSITIO
 #: Share of equal sampled tokens in a node from which it is compared in blocks.
 DENSE = 0.3
 #: Sets of one component that are intersected in one block.
-BLOCK = 256
+BLOCK = 128
 
 _RANDOM = np.random.default_rng(20)
 _TIMES = _RANDOM.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +99,7 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rid, s, sig): s names the set; null without words."""
+    """(key, rid, s, sig, size): s names the set, size counts its runs; null without words."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +107,9 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             sets = [shingles(t, known) for t in _texts(b.column(2))]
             names = [np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).astype(np.int64).item() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], [key, "rid", "s", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) or None for s in sets], pa.int32())], [key, "rid", "s", "sig", "size"])
 
-    return arrow_pass(docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string")), run, f"`{key}` {kind}, rid long, s long, sig binary")
+    return arrow_pass(docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string")), run, f"`{key}` {kind}, rid long, s long, sig binary, size int")
 
 
 def _children(nodes: np.ndarray, sigs: np.ndarray) -> np.ndarray:
@@ -125,7 +128,7 @@ def _sig_array(column: pa.Array) -> np.ndarray:
 
 
 def _paths(sets: DataFrame, runs: int, depth: int = 2) -> DataFrame:
-    """(node, s, sig) for each set and chosen path."""
+    """(node, s, sig, size) for each set and chosen path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,13 +137,13 @@ def _paths(sets: DataFrame, runs: int, depth: int = 2) -> DataFrame:
             for _ in range(depth):
                 nodes, of = _children(nodes, sigs[of]).ravel(), np.repeat(of, CHOSEN)
             rows = b.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), *rows.columns], ["node", "s", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), *rows.columns], ["node", "s", "sig", "size"])
 
-    return arrow_pass(sets.select("s", "sig"), run, "node long, s long, sig binary")
+    return arrow_pass(sets.select("s", "sig", "size"), run, "node long, s long, sig binary, size int")
 
 
 def _deeper(rows: DataFrame) -> DataFrame:
-    """(parent, node, s, sig): the rows of large nodes with the children that they go to."""
+    """(parent, node, s, sig, size): the rows of large nodes with the children that they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,9 +151,9 @@ def _deeper(rows: DataFrame) -> DataFrame:
             nodes = _children(parents.astype(np.uint64), _sig_array(b.column(2))).ravel()
             of = np.repeat(np.arange(len(parents)), CHOSEN)
             again = b.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([again.column(0), pa.array(nodes.astype(np.int64)), again.column(1), again.column(2)], ["parent", "node", "s", "sig"])
+            yield pa.RecordBatch.from_arrays([again.column(0), pa.array(nodes.astype(np.int64)), again.column(1), again.column(2), again.column(3)], ["parent", "node", "s", "sig", "size"])
 
-    return arrow_pass(rows.select("node", "s", "sig"), run, "parent long, node long, s long, sig binary")
+    return arrow_pass(rows.select("node", "s", "sig", "size"), run, "parent long, node long, s long, sig binary, size int")
 
 
 def _in_blocks(rows: DataFrame, group: str, count: str, size: int) -> DataFrame:
@@ -174,43 +177,56 @@ def _labels(near: np.ndarray) -> np.ndarray:
     return label
 
 
+def _near(sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which sets of a group are candidates: their sizes allow the similarity and enough sampled tokens are equal."""
+    m = len(sigs)
+    near = np.empty((m, m), bool)
+    for i in range(0, m, 64):
+        near[i : i + 64] = (sigs[i : i + 64, None, :] == sigs[None, :, :]).mean(2) >= CANDIDATE
+    return near & (np.minimum.outer(sizes, sizes) >= SIMILARITY * np.maximum.outer(sizes, sizes) - 1e-9)
+
+
 def _stars(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Candidate stars of whole nodes."""
-    s, sigs = t.column("s").to_numpy(), None
+    s, sizes, sigs = t.column("s").to_numpy(), t.column("size").to_numpy().astype(np.float64), None
     ends = np.append(starts[1:], len(s))
     a, b = [], []
     for lo, hi in zip(starts, ends, strict=True):
         if hi - lo < 2:
             continue
         if sigs is None:
-            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        part = sigs[lo:hi]
-        if hi - lo == 2:
-            if s[lo] != s[lo + 1] and (part[0] == part[1]).mean() >= CANDIDATE:
-                a.append(s[lo])
-                b.append(s[lo + 1])
-            continue
-        near = np.empty((hi - lo, hi - lo), bool)
-        for i in range(0, hi - lo, 64):
-            near[i : i + 64] = (part[i : i + 64, None, :] == part[None, :, :]).mean(2) >= CANDIDATE
-        label = _labels(near)
-        other = label != np.arange(hi - lo)
+            sigs = _sig_array(t.column("sig"))
+        label = _labels(_near(sigs[lo:hi], sizes[lo:hi]))
+        other = (label != np.arange(hi - lo)) & (s[lo + label] != s[lo:hi])
         a += list(s[lo + label[other]])
         b += list(s[lo:hi][other])
     if a:
         yield pa.RecordBatch.from_pydict({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
 
+def _meeting(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, s, own, other): the sets that have a candidate in their pair of blocks."""
+    own, other, sizes, sigs = t.column("own").to_numpy(), t.column("other").to_numpy(), t.column("size").to_numpy().astype(np.float64), _sig_array(t.column("sig"))
+    for lo, hi in zip(starts, np.append(starts[1:], len(own)), strict=True):
+        near = _near(sigs[lo:hi], sizes[lo:hi])
+        np.fill_diagonal(near, False)
+        if (own[lo:hi] != other[lo:hi]).any():  # two different blocks: pairs within one are another task's
+            near &= own[lo:hi][:, None] != own[lo:hi][None, :]
+        stay = lo + np.flatnonzero(near.any(1))
+        if len(stay):
+            yield from t.take(pa.array(stay)).select(["key", "s", "own", "other"]).to_batches()
+
+
 def candidates(sets: DataFrame, recall: float = RECALL) -> DataFrame:
     """(src, dst): stars that connect the sets of each candidate component."""
     rows = _paths(sets, runs_for(recall))
     counts = lambda r: written(r.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > LIMIT), "large")
     large = counts(rows)
     if large.limit(1).count() == 0:
-        return grouped_pass(rows.select("node", "s", "sig"), "node", [], _stars, "src long, dst long")
-    calm = rows.join(small_or_shuffled(large.select("node")), "node", "left_anti").select("node", "s", "sig")
+        return grouped_pass(rows.select("node", "s", "sig", "size"), "node", [], _stars, "src long, dst long")
+    calm = rows.join(small_or_shuffled(large.select("node")), "node", "left_anti").select("node", "s", "sig", "size")
     out = [grouped_pass(calm, "node", [], _stars, "src long, dst long")]
-    open_rows = written(rows.join(small_or_shuffled(large), "node").select("node", "m", "s", "sig"), "open")
+    open_rows = written(rows.join(small_or_shuffled(large), "node").select("node", "m", "s", "sig", "size"), "open")
     blocks = []
     for _ in range(2, DEPTH):
         below = _deeper(open_rows)
@@ -218,18 +234,18 @@ def candidates(sets: DataFrame, recall: float = RECALL) -> DataFrame:
         alike = sizes.groupBy("parent").agg((F.sum(F.col("m").cast("double") ** 2) / CHOSEN).alias("pairs"), (F.sum("m") / CHOSEN).alias("all")).select("parent", (F.col("pairs") / F.col("all") ** 2 >= DENSE).alias("dense"))
         alike = written(alike, "alike")
         judged = open_rows.join(small_or_shuffled(alike.withColumnRenamed("parent", "node")), "node")
-        blocks.append(judged.where("dense").select("node", "m", "s", "sig"))
-        sparse = written(below.join(small_or_shuffled(alike.where("not dense").select("parent")), "parent", "left_semi").select("node", "s", "sig"), "sparse")
+        blocks.append(judged.where("dense").select("node", "m", "s", "sig", "size"))
+        sparse = written(below.join(small_or_shuffled(alike.where("not dense").select("parent")), "parent", "left_semi").select("node", "s", "sig", "size"), "sparse")
         large = counts(sparse)
-        out.append(grouped_pass(sparse.join(small_or_shuffled(large.select("node")), "node", "left_anti").select("node", "s", "sig"), "node", [], _stars, "src long, dst long"))
-        open_rows = written(sparse.join(small_or_shuffled(large), "node").select("node", "m", "s", "sig"), "open")
+        out.append(grouped_pass(sparse.join(small_or_shuffled(large.select("node")), "node", "left_anti").select("node", "s", "sig", "size"), "node", [], _stars, "src long, dst long"))
+        open_rows = written(sparse.join(small_or_shuffled(large), "node").select("node", "m", "s", "sig", "size"), "open")
         if open_rows.limit(1).count() == 0:
             break
     blocks.append(open_rows)
     dense = blocks[0]
     for more in blocks[1:]:
         dense = dense.union(more)
-    paired = _in_blocks(dense.dropDuplicates(["node", "s"]), "node", "m", LIMIT // 2).select("key", "s", "sig")
+    paired = _in_blocks(dense.dropDuplicates(["node", "s"]), "node", "m", LIMIT // 2).select("key", "s", "sig", "size")
     out.append(grouped_pass(paired, "key", [], _stars, "src long, dst long"))
     result = out[0]
     for more in out[1:]:
@@ -267,11 +283,10 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Exact links of whole components or pairs of blocks: per set its local root and number of links."""
-    s, own, other, raw = t.column("s").to_numpy(), t.column("own").to_numpy(), t.column("other").to_numpy(), t.column("sh")
-    ends = np.append(starts[1:], len(s))
-    out_s, out_root, out_n = [], [], []
-    for lo, hi in zip(starts, ends, strict=True):
+    """Exact links of whole components or pairs of blocks: per set its local root, its linked sets and the documents that have these."""
+    s, own, other, n, raw = t.column("s").to_numpy(), t.column("own").to_numpy(), t.column("other").to_numpy(), t.column("n").to_numpy(), t.column("sh")
+    out_s, out_root, out_n, out_docs = [], [], [], []
+    for lo, hi in zip(starts, np.append(starts[1:], len(s)), strict=True):
         _, first = np.unique(s[lo:hi], return_index=True)
         at = lo + first
         if len(at) < 2:
@@ -282,56 +297,69 @@ def _linked(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         np.fill_diagonal(near, False)
         if (own[at] != other[at]).any():  # two different blocks: pairs within one are another task's
             near &= own[at][:, None] != own[at][None, :]
-        label = _labels(near)
         out_s += list(s[at])
-        out_root += list(s[at][label])
+        out_root += list(s[at][_labels(near)])
         out_n += list(near.sum(1))
+        out_docs += list(near @ n[at])
     if out_s:
-        yield pa.RecordBatch.from_pydict({"s": pa.array(out_s, pa.int64()), "root": pa.array(out_root, pa.int64()), "links": pa.array(out_n, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"s": pa.array(out_s, pa.int64()), "root": pa.array(out_root, pa.int64()), "sets": pa.array(out_n, pa.int64()), "docs": pa.array(out_docs, pa.int64())})
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """(key, rid, class_id, n_links, first): one row per document; ``first`` is the rid of the class's least (key, rid)."""
+    """(key, rid, class_id, n_links, n_copies, first): one row per document.
+
+    ``n_links`` counts the other documents of similarity 0.8 or more, copies included; ``n_copies`` those of them with the same set. ``first``
+    is the rid of the class's least (key, rid).
+    """
     signed = written(_signed(docs, key, text), "signed")
-    sets = written(signed.where("s is not null").groupBy("s").agg(F.count("*").alias("n"), F.min("sig").alias("sig"), F.min("rid").alias("any_rid"), F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "rid")).alias("least")), "sets")
+    sets = written(signed.where("s is not null").groupBy("s").agg(F.count("*").alias("n"), F.min("sig").alias("sig"), F.min("size").alias("size"), F.min("rid").alias("any_rid"), F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "rid")).alias("least")), "sets")
     found = written(candidates(sets, recall).distinct(), "candidates")
     members = connected_components(found).withColumnRenamed("node", "s")
+    forget(found)
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    needed = written(members.join(sizes, "component").join(sets.select("s", "any_rid"), "s").select("s", "component", "m", F.col("any_rid").alias("rid")), "needed")
+    needed = written(members.join(sizes, "component").join(sets.select("s", "any_rid", "n", "sig", "size"), "s").select("s", "component", "m", "n", "sig", "size", F.col("any_rid").alias("rid")), "needed")
+    many = needed.where(F.col("m") > BLOCK)
+    chained = many.limit(1).count() > 0
+    placed = needed.where(F.col("m") <= BLOCK).select(F.xxhash64("component").alias("key"), "s", F.lit(0).alias("own"), F.lit(0).alias("other"))
+    if chained:
+        pairs = _in_blocks(many, "component", "m", BLOCK).select("key", "s", "own", "other", "sig", "size")
+        placed = written(placed.union(grouped_pass(pairs, "key", [], _meeting, "key long, s long, own int, other int")), "placed")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t, known).tobytes() for t in _texts(b.column(3))], pa.binary())], ["s", "component", "m", "sh"])
-
-    bodies = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string").alias("_t")).join(small_or_shuffled(needed), "rid")
-    bodies = arrow_pass(bodies.select("s", "component", "m", "_t"), again, "s long, component long, m long, sh binary")
-    placed = _in_blocks(bodies, "component", "m", BLOCK).select("key", "s", "own", "other", "sh")
-    linked = written(grouped_pass(placed, "key", [], _linked, "s long, root long, links long"), "linked")
-    links = linked.groupBy("s").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if needed.where(F.col("m") > BLOCK).limit(1).count():
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([shingles(t, known).tobytes() for t in _texts(b.column(2))], pa.binary())], ["s", "n", "sh"])
+
+    texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(text).cast("string").alias("_t")).join(small_or_shuffled(needed.select("rid", "s", "n")), "rid")
+    bodies = arrow_pass(texts.select("s", "n", "_t"), again, "s long, n long, sh binary")
+    meant = bodies.join(small_or_shuffled(placed), "s").select("key", "s", "own", "other", "n", "sh")
+    linked = written(grouped_pass(meant, "key", [], _linked, "s long, root long, sets long, docs long"), "linked")
+    links = linked.groupBy("s").agg(F.sum("docs").alias("docs"), F.min("root").alias("root"))
+    if chained:
         whole = connected_components(linked.select(F.col("s").alias("src"), F.col("root").alias("dst")))
         links = links.join(whole.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s")).drop("component")
-    named = sets.select("s", "n", "least").join(links, "s", "left").withColumn("root", F.coalesce("root", "s")).withColumn("n_links", F.coalesce("links", F.lit(0)).cast("long"))
-    named = written(named.drop("links"), "named")
+    named = sets.select("s", "n", "least").join(links, "s", "left").withColumn("root", F.coalesce("root", "s")).withColumn("n_links", (F.coalesce("docs", F.lit(0)) + F.col("n") - 1).cast("long"))
+    named = written(named.drop("docs"), "named")
     least = named.groupBy("root").agg(F.min("least").alias("c"))
     final = written(named.join(least, "root").select("s", "n", "n_links", F.col("c.id").alias("class_id"), F.col("c.rid").alias("first")), "classes")
-    out = join_on_hot_key(signed.select(key, "rid", "s"), final, "s", "n", ["n_links", "class_id", "first"], F.col("rid"))
+    forget(linked, needed, named, sets, *([placed] if chained else []))
+    out = join_on_hot_key(signed.select(key, "rid", "s"), final.withColumn("n_copies", F.col("n") - 1), "s", "n", ["n_links", "n_copies", "class_id", "first"], F.col("rid"))
     alone = F.col("s").isNull()
-    return out.select(key, "rid", F.when(alone, F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("rid")).otherwise(F.col("first")).alias("first"))
+    none = F.lit(0)
+    return out.select(key, "rid", F.when(alone, F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", none).cast("long").alias("n_links"), F.coalesce("n_copies", none).cast("long").alias("n_copies"), F.when(alone, F.col("rid")).otherwise(F.col("first")).alias("first"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """One row of each class, that of least key; rows without words all stay."""
-    each = written(classes(docs, key, text, recall), "membership")
-    rows = docs.withColumn("_rid", F.xxhash64(F.col(key), F.col(text)))
-    gone = written(each.where("rid <> first").select(F.col("rid").alias("_rid")).distinct(), "gone")
-    rows = rows.join(small_or_shuffled(gone), "_rid", "left_anti")
-    twice = written(each.where(F.col("rid") == F.col("first")).groupBy(F.col("rid").alias("_rid")).agg(F.count("*").alias("c")).where("c > 1").select("_rid"), "twice")
+    """One row of each class, that of least key; rows without words all stay. Columns stay as they are."""
+    each = written(classes(docs.select(key, text), key, text, recall), "membership")
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.struct("*").alias("row"))
+    gone = written(each.where("rid <> first").select("rid").distinct(), "gone")
+    rows = rows.join(small_or_shuffled(gone), "rid", "left_anti")
+    twice = written(each.where(F.col("rid") == F.col("first")).groupBy("rid").agg(F.count("*").alias("c")).where("c > 1").select("rid"), "twice")
     if twice.limit(1).count():  # equal rows: texts move only for these
-        rows = rows.join(small_or_shuffled(twice), "_rid", "left_anti").unionByName(rows.join(small_or_shuffled(twice), "_rid", "left_semi").dropDuplicates(["_rid"]))
-    return rows.select(*docs.columns)
+        rows = rows.join(small_or_shuffled(twice), "rid", "left_anti").unionByName(rows.join(small_or_shuffled(twice), "rid", "left_semi").dropDuplicates(["rid"]))
+    return rows.select("row.*")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")

@@ -2,20 +2,23 @@
 
 A window is ``WINDOW`` words in a row of one document. Every word goes that a window covers whose word sequence also starts anywhere
 else. Recompression names runs of one symbol and pairs of a left and a right symbol, round after round. A name is the hash of what it
-stands for and the sides are a hash of the symbol, so names are global without a dictionary, and a symbol that stands inside a repeat stands
-in its other occurrences too. For each symbol the words on which its existence depends are tracked: a window that holds all of them has
-the symbol wherever it starts. So a symbol that occurs once in the whole table rules out all windows that hold its words.
-
-1. The symbols of the last round are counted over all documents; each document learns which of its symbols are shared.
-2. Windows that no unshared symbol rules out are verified: their own hashes are counted over all documents.
+stands for and the sides are a hash of the symbol, so names are global without a dictionary and rounds need no exchange: equal substrings
+get equal symbols in their interior, in whatever task. For each symbol the words on which its existence depends are tracked: a window that
+holds all of them has the symbol, at the same place, wherever it starts.
+
+1. The symbols of the last round are counted over all documents; each document learns which of its symbols are shared. A symbol that stands
+   nowhere else rules out all windows that hold the words it depends on.
+2. What the shared symbols leave is named: a window's name is made of its interior symbols and their places in it, and beside it stands a
+   second hash, of its 35 words themselves, which verifies what the symbols reveal. Both, 128 bits together, are counted over all documents.
 3. Documents learn their repeated windows and drop the words that these cover.
 
-Step 1 only rules out, so the result does not depend on the parse; equal windows are told by a 64-bit hash of 35 word hashes. Counting
-works on packed arrays: each task sends a key once, and tells its own documents itself what it finds twice, so a passage that stands in a
-third of all rows reaches a counting task once per sending task. Shuffle files of finished steps are released before the next.
+Counting works on packed arrays: each task sends a key once, and tells its own documents itself what it finds twice, so a passage that
+stands in a third of all rows reaches a counting task once per sending task. Shuffle partitions follow the measured bytes of the texts, and
+shuffle files of finished steps are released before the next.
 
-Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; equal rows lose all words if they have a
-window; ties do not arise; an empty table gives no rows; extra columns are ignored by ``removals`` and kept by ``deduplicated``.
+Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; texts are taken whole, however long; equal rows
+lose all words if they have a window; ties do not arise; an empty table gives no rows; extra columns, whatever their names, are ignored by
+both functions.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.ngram_join import WordHashes, _mix, _texts
+from emberline.llm.arrow import arrow_pass
+from emberline.llm.ngram_join import WordHashes, _mix
 from emberline.operators.skew import grouped_pass
 from emberline.session import forget, table, written
 
@@ -38,6 +42,8 @@ WINDOW, ROUNDS = 35, 4
 LEAST = 2
 #: Documents per group in which texts meet what was found about them, and words of a task's piece.
 GROUP_DOCS, PIECE_WORDS = 2000, 1 << 20
+#: Bytes of texts whose findings one shuffle partition takes.
+PARTITION_BYTES = 12 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _FOUND = "bucket long, kind int, body binary"
@@ -55,8 +61,9 @@ def _near(values: np.ndarray, doc: np.ndarray, own: np.ndarray, side: int) -> np
     return out
 
 
-def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, document, first, past, size): the last round's symbols, the words [first, past) that decide each, and how many it stands for."""
+def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """(symbol, document, place, first, past, size): the last round's symbols, the word at which each begins, the words [first, past) that
+    decide it, and how many it stands for."""
     at = np.arange(len(words))
     sym, st, en, lo, hi = words, at, at + 1, at, at + 1
     with np.errstate(over="ignore"):
@@ -85,7 +92,7 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             hi2[f], en2[f] = hi[f + 1], en[f + 1]
             keep = ~second
             sym, st, en, lo, hi, doc = new[keep], st[keep], en2[keep], lo2[keep], hi2[keep], doc[keep]
-    return sym, doc, lo, hi, en - st
+    return sym, doc, st, lo, hi, en - st
 
 
 def _pieces(rids: np.ndarray, texts: list[bytes | None], known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,16 +156,29 @@ def _told(rids: np.ndarray, doc: np.ndarray, at: np.ndarray, groups: int) -> Ite
         yield int(home[a]), _by_document(rids, doc[a:b], at[a:b])
 
 
+def _equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys (rows of one or two numbers) together, and where in it a new key begins."""
+    order = np.argsort(keys[:, 0], kind="stable") if keys.shape[1] == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    return order, new
+
+
 def _sent(keys: np.ndarray, rids: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int, groups: int) -> Iterator[tuple[int, int, bytes]]:
     """What a task sends: kind 1: each of its keys once (document -1 if it has the key twice); kind 0: what is settled here."""
-    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    twice = count[back] > 1
+    if not len(keys):
+        return
+    order, new = _equal(keys)
+    first = np.flatnonzero(new)
+    several = np.diff(np.append(first, len(keys))) > 1
+    twice = np.zeros(len(keys), bool)
+    twice[order] = several[np.cumsum(new) - 1]
     for home, body in _told(rids, doc[twice], at[twice], groups):
         yield home % buckets, 0, np.int64(home).tobytes() + body
-    many = np.unique(keys[twice])
+    many = keys[order[first[several]]]
     key = np.concatenate([keys[~twice], many])
     of, pos = np.concatenate([doc[~twice], np.full(len(many), -1)]), np.concatenate([at[~twice], np.zeros(len(many), at.dtype)])
-    home = (key >> np.uint64(20)) % np.uint64(buckets)
+    home = (key[:, 0] >> np.uint64(20)) % np.uint64(buckets)
     order = np.lexsort((pos, of, home))
     key, of, pos, home = key[order], of[order], pos[order], home[order]
     own = np.append(rids, 0)  # the last stands for -1
@@ -184,8 +204,8 @@ def _batched(rows: Iterator[tuple[int, int, bytes]], most: int = 8 << 20) -> Ite
         yield _rows(held)
 
 
-def _counted(sent: DataFrame, groups: int) -> DataFrame:
-    """(bucket: group of documents, kind 0, body): positions whose key stands anywhere else."""
+def _counted(sent: DataFrame, groups: int, width: int, partitions: int) -> DataFrame:
+    """(bucket: group of documents, kind 0, body): positions whose key, of ``width`` numbers, stands anywhere else."""
 
     def count(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         kinds, bodies = t.column("kind").to_numpy(), t.column("body")
@@ -199,8 +219,8 @@ def _counted(sent: DataFrame, groups: int) -> DataFrame:
                         yield int(np.frombuffer(body, np.int64, 1)[0]), 0, body[8:]
                         continue
                     n = int(np.frombuffer(body, np.int64, 1)[0])
-                    keys.append(np.frombuffer(body, np.uint64, n, 8))
-                    r, c, at = _positions(body[8 + 8 * n :])
+                    keys.append(np.frombuffer(body, np.uint64, n * width, 8).reshape(n, width))
+                    r, c, at = _positions(body[8 + 8 * width * n :])
                     rid.append(np.repeat(r, c))
                     pos.append(at)
                     many = np.repeat(r == 0, c)
@@ -211,11 +231,9 @@ def _counted(sent: DataFrame, groups: int) -> DataFrame:
                 if not keys:
                     continue
                 key, r, p = np.concatenate(keys), np.concatenate(rid), np.concatenate(pos)
-                order = np.argsort(key, kind="stable")
-                same = key[order][1:] == key[order][:-1]
+                order, new = _equal(key)
                 shared = np.zeros(len(key), bool)
-                shared[order[1:][same]] = True
-                shared[order[:-1][same]] = True
+                shared[order] = ~new | ~np.append(new[1:], True)
                 shared &= r != 0
                 ids, doc = np.unique(r[shared], return_inverse=True)
                 for home, body in _told(ids, doc, p[shared], groups):
@@ -223,7 +241,7 @@ def _counted(sent: DataFrame, groups: int) -> DataFrame:
 
         yield from _batched(told())
 
-    return grouped_pass(sent, "bucket", ["kind"], count, _FOUND)
+    return grouped_pass(sent, "bucket", ["kind"], count, _FOUND, partitions)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -231,17 +249,17 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1) + F.when(F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1) == 0, 1).otherwise(0)).alias("rid"), F.col(text).cast("string").cast("binary").alias("t"))
 
 
-def _shared_symbols(rows: DataFrame, buckets: int, groups: int) -> DataFrame:
+def _shared_symbols(rows: DataFrame, buckets: int, groups: int, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
             for rids, words, first in _pieces(b.column(0).to_numpy(), b.column(1).to_pylist(), known):
-                sym, doc, _, _, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
+                sym, doc, _, _, _, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
                 number = np.arange(len(sym)) - np.searchsorted(doc, doc)
                 told = (size >= LEAST) & (size <= WINDOW)  # by the symbol alone, so that all its places count alike
-                yield from _batched(_sent(sym[told], rids, doc[told], number[told], buckets, groups))
+                yield from _batched(_sent(sym[told][:, None], rids, doc[told], number[told], buckets, groups))
 
-    return _counted(rows.select("rid", "t").mapInArrow(run, _FOUND), groups)
+    return _counted(arrow_pass(rows.select("rid", "t"), run, _FOUND), groups, 1, partitions)
 
 
 def _meet(rows: DataFrame, found: DataFrame, groups: int) -> DataFrame:
@@ -262,7 +280,23 @@ def _learn(t: pa.Table, lo: int, hi: int) -> tuple[dict[int, np.ndarray], int]:
     return {r: np.concatenate(p) for r, p in known.items()}, i
 
 
-def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: int) -> DataFrame:
+def _hashed(words: np.ndarray, start: np.ndarray, power: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """A hash of the words of each window, whatever stands before it."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1])])
+    return _mix((total[start + WINDOW] - total[start]) * back[start])
+
+
+def _named(sym: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, start: np.ndarray, power: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The name of each window: its interior symbols, which the words [a, b) decide, with their places in it."""
+    inner = b - a <= WINDOW
+    value = _mix(sym[inner] ^ _A) * power[at[inner]]
+    edge = np.zeros(len(power), np.uint64)
+    np.add.at(edge, np.maximum(b[inner] - WINDOW, first[inner]), value)
+    np.subtract.at(edge, a[inner] + 1, value)
+    return _mix(np.cumsum(edge)[start] * back[start] + _B)
+
+
+def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: int, partitions: int) -> DataFrame:
     def verify(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         words_of = WordHashes()
         all_rids = t.column("rid").fill_null(0).to_numpy()
@@ -270,7 +304,7 @@ def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: i
             shared, i = _learn(t, lo, hi)
             ids = all_rids[i:hi]
             for rids, words, first in _pieces(ids, t.column("body").slice(i, hi - i).to_pylist(), words_of):
-                sym, doc, a, b, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
+                sym, doc, at, a, b, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
                 begin = np.searchsorted(doc, np.arange(len(rids)))
                 single = (b - a <= WINDOW) & (size >= LEAST) & (size <= WINDOW)
                 for d, rid in enumerate(rids.tolist()):
@@ -288,16 +322,15 @@ def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: i
                     power = np.full(len(words) + 1, _BASE)
                     power[0] = 1
                     power = np.multiply.accumulate(power)
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1])])
                     back = np.full(len(words) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))
                     back[0] = 1
                     back = np.multiply.accumulate(back)
-                    keys = _mix((total[start + WINDOW] - total[start]) * back[start])
+                    keys = np.column_stack([_named(sym, at, a, b, first[doc], start, power, back), _hashed(words, start, power, back)])
                 of = np.searchsorted(first, start, side="right") - 1
                 yield from _batched(_sent(keys, rids, of, start - first[of], buckets, groups))
 
-    sent = grouped_pass(_meet(rows, found, groups), "bucket", ["kind"], verify, _FOUND)
-    return _counted(sent, groups)
+    sent = grouped_pass(_meet(rows, found, groups), "bucket", ["kind"], verify, _FOUND, partitions)
+    return _counted(sent, groups, 2, partitions)
 
 
 def _release(spark: SparkSession) -> None:
@@ -309,11 +342,12 @@ def _release(spark: SparkSession) -> None:
 def _applied(docs: DataFrame, key: str, text: str, with_text: bool) -> DataFrame:
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
-    n = docs.count()
-    groups, buckets = max(8, n // GROUP_DOCS), max(48, n // 2500)
-    symbols = written(_shared_symbols(rows, buckets, groups), "symbols")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    groups, buckets = max(8, n // GROUP_DOCS, 2 * partitions), max(48, n // 2500, 2 * partitions)
+    symbols = written(_shared_symbols(rows, buckets, groups, partitions), "symbols")
     _release(spark)
-    windows = written(_repeated_windows(rows.select("rid", "t"), symbols, buckets, groups), "windows")
+    windows = written(_repeated_windows(rows.select("rid", "t"), symbols, buckets, groups, partitions), "windows")
     forget(symbols)
     _release(spark)
     kind = dict(docs.dtypes)[key]
@@ -341,7 +375,7 @@ def _applied(docs: DataFrame, key: str, text: str, with_text: bool) -> DataFrame
             yield pa.RecordBatch.from_arrays([t.column(key).slice(i, hi - i).combine_chunks(), t.column("rid").slice(i, hi - i).combine_chunks(), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string())], [key, "rid", "n_words", "n_removed", what.split()[0]])
 
     met = _meet(rows, windows, groups)
-    return grouped_pass(met, "bucket", ["kind"], cut, f"`{key}` {kind}, rid long, n_words long, n_removed long, {what}")
+    return grouped_pass(met, "bucket", ["kind"], cut, f"`{key}` {kind}, rid long, n_words long, n_removed long, {what}", partitions)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -105,7 +105,7 @@ def test_parse_is_local():
     found = []
     for pad in (30, 41):  # a symbol decided by shared words is there in both texts
         w = np.concatenate([rng.integers(0, 9, pad).astype(np.uint64), inner, rng.integers(0, 9, 17).astype(np.uint64)])
-        sym, _, lo, hi, _ = substring_dedup.parse(substring_dedup._mix(w + np.uint64(1)), np.zeros(len(w), np.int64))
+        sym, _, _, lo, hi, _ = substring_dedup.parse(substring_dedup._mix(w + np.uint64(1)), np.zeros(len(w), np.int64))
         inside = (lo >= pad) & (hi <= pad + 200)
         found.append((set(sym[inside].tolist()), set(sym.tolist())))
     assert found[0][0] and found[0][0] <= found[1][1] and found[1][0] <= found[0][1]
@@ -174,7 +174,7 @@ def brute_classes(texts):
     known = ngram_join.WordHashes()
     sets = [frozenset(ngram_join.shingles((t or "").encode(), known).tolist()) for t in texts]
     near = lambda a, b: bool(a) and bool(b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
-    links = [len({b for b in sets if b != a and near(a, b)}) for a in sets]
+    links = [sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
     label = list(range(len(sets)))
     for _ in sets:
         for i, j in itertools.combinations(range(len(sets)), 2):
