@@ -21,7 +21,7 @@ def give_back() -> None:
         trim(0)
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow``, in batches of ``BATCH_BYTES`` (the session's limit is lowered to that) and giving memory back after each task."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_LIMIT).rstrip("bB")) <= BATCH_BYTES:

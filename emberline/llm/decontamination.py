@@ -9,9 +9,12 @@ No such stretch is without a seed: n words with at most n / 5 substituted hold f
 of 15 words the one pattern without is met by the second mask, as is that of 11; items of up to ``FEW`` words are searched by three in a
 row as well.
 
-The benchmark's side is broadcast if its seeds are few enough (a checked count); else the join shuffles. Defined cases: null texts
-have no words; items of fewer than ``SHORT`` words are searched by all their words in a row and must be equal; items
-without an id are searched like others and are found as null; items without words are in no text; repeated rows are treated alike; an empty table of either kind gives no hits.
+The benchmark's seeds are broadcast, in up to ``PASSES`` slices of bounded bytes, each of which reads the documents once; beyond that the join
+shuffles. Of a placement only the words under the item go on. Defined cases: null texts have no words; items of fewer than ``SHORT`` words
+are searched by all their words in a row and must be equal; items without an id are searched like others and are found as null; items
+without words are in no text; texts are searched whole, however long; of an item's placements in a document that with most equal words
+counts, of equal ones the shorter, then the one furthest to the left; repeated rows are treated alike; an empty table of either kind gives no
+hits; columns of other names are ignored by ``find_overlaps`` and kept by ``decontaminated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.words import words
-from emberline.operators.skew import small_or_shuffled
+from emberline.operators.skew import BROADCAST_BYTES, bytes_of, small_or_shuffled
 from emberline.session import table, written
 
 #: Kept positions of each mask.
@@ -28,6 +31,8 @@ MASKS = [(0, 1, 2, 3), (0, 1, 4, 6, 9, 10)]
 SHORT, FEW, MIN_WORDS, MIN_SHARE = 6, 10, 13, 0.8
 #: What an equal and a substituted word add to a sum that is not negative where ``MIN_SHARE`` are equal.
 HIT, MISS = 1, -4
+#: Slices of seeds, of ``BROADCAST_BYTES`` each, that are broadcast one after another before the join shuffles instead.
+PASSES = 4
 
 
 def _hashes(text: Column) -> Column:
@@ -65,16 +70,27 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         tests = tests.union(items.where(F.size("_b") == n).select("_item", F.lit(0).alias("_item_at"), whole.alias("_seed")))
         masks = [*masks, tuple(range(n))]
     tests = written(tests.distinct(), "seeds")
-    lean = docs.select(key, F.xxhash64(F.col(key), F.col(text)).alias("_rid"), F.col(text).alias("_t"))
-    found = _seeds(lean.select("_rid", _hashes(F.col("_t")).alias("_h")), masks).select("_rid", "_at", "_seed").join(small_or_shuffled(tests), "_seed")
+    lean = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_rid"), F.col(text).alias("_t"))
+    sown = _seeds(lean.select("_rid", _hashes(F.col("_t")).alias("_h")), masks).select("_rid", "_at", "_seed")
+    slices = -(-bytes_of(tests) // BROADCAST_BYTES)
+    if slices <= 1 or slices > PASSES:
+        found = sown.join(small_or_shuffled(tests), "_seed")
+    else:
+        slices += 1  # a slice is not exactly its share
+        found = None
+        for i in range(slices):
+            part = sown.join(small_or_shuffled(tests.where(F.pmod("_seed", F.lit(slices)) == i)), "_seed")
+            found = part if found is None else found.union(part)
     hits = written(found.groupBy("_rid", "_item", (F.col("_at") - F.col("_item_at")).alias("_shift")).agg(F.count("*").alias("_hits")), "hits")
     with_hits = small_or_shuffled(hits.select("_rid").distinct())
-    bodies = lean.join(with_hits, "_rid").select(key, "_rid", _hashes(F.col("_t")).alias("_h")).dropDuplicates(["_rid"])
-    placed = bodies.join(hits, "_rid").join(small_or_shuffled(items), "_item")
+    bodies = lean.join(with_hits, "_rid").select("_key", "_rid", _hashes(F.col("_t")).alias("_h")).dropDuplicates(["_rid"])
+    placed = bodies.join(hits.join(small_or_shuffled(items), "_item"), "_rid")
     first = F.greatest(F.lit(0), -F.col("_shift"))
-    inside = F.sequence(first, F.least(F.size("_b"), F.size("_h") - F.col("_shift")) - 1)
-    placed = placed.withColumn("_e", F.transform(inside, lambda j: F.get("_h", j + F.col("_shift")) == F.get("_b", j))).withColumn("_first", first)
+    last = F.least(F.size("_b"), F.size("_h") - F.col("_shift"))
+    same = F.zip_with(F.slice("_h", first + F.col("_shift") + 1, last - first), F.slice("_b", first + 1, last - first), lambda x, y: x == y)
     need = F.least(F.lit(MIN_WORDS), F.size("_b"))
+    placed = placed.select("_key", "_rid", "_id", "_shift", first.alias("_first"), need.alias("_need"), same.alias("_e"))
+    need = F.col("_need")
     likely = placed.where(F.size(F.filter("_e", lambda same: same)) >= MIN_SHARE * need)
     zero = F.lit(0)
     state = F.struct(zero.alias("at"), zero.alias("sum"), F.array().cast("array<int>").alias("low"), zero.alias("start"), zero.alias("n"))
@@ -90,15 +106,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     best = likely.withColumn("_s", F.aggregate("_e", state, step)).withColumn("n_words", F.col("_s.n"))
     good = best.where(F.col("n_words") >= need).withColumn("item_start", F.col("_first") + F.col("_s.start"))
     good = good.withColumn("n_equal", F.size(F.filter(F.slice("_e", F.col("_s.start") + 1, F.col("n_words")), lambda same: same)))
-    one = good.groupBy(key, "_rid", F.col("_id").alias(item)).agg(F.max_by(F.struct((F.col("item_start") + F.col("_shift")).alias("doc_start"), "item_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("_shift"))).alias("o"))
+    one = good.groupBy(F.col("_key").alias(key), "_rid", F.col("_id").alias(item)).agg(F.max_by(F.struct((F.col("item_start") + F.col("_shift")).alias("doc_start"), "item_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("_shift"))).alias("o"))
     return one.select(key, "_rid", item, "o.*")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    bad = written(find_overlaps(docs, benchmark, key, text).select("_rid").distinct(), "contaminated")
-    keyed = docs.withColumn("_r", F.xxhash64(F.col(key), F.col(text)))
-    return keyed.join(small_or_shuffled(bad), F.col("_r") == F.col("_rid"), "left_anti").drop("_r")
+    bad = written(find_overlaps(docs.select(key, text), benchmark, key, text).select("_rid").distinct(), "contaminated")
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("_rid"), F.struct("*").alias("row"))
+    return rows.join(small_or_shuffled(bad), "_rid", "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

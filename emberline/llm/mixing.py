@@ -26,7 +26,7 @@ from emberline.llm.words import n_words
 from emberline.operators.skew import join_on_hot_key
 from emberline.session import forget, table, written
 
-REPEATS, BLOCK_ROWS, SEED = 2.0, 1000, "mix"
+REPEATS, BLOCK_ROWS, LEAST_BLOCKS, SEED = 2.0, 1000, 64, "mix"
 #: Copies that one task numbers, on average.
 CELL_ROWS = 20_000
 
@@ -78,7 +78,7 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     budget = float(budget_tokens) if budget_tokens is not None else total * z * math.exp(highest)
     weights = sources.withColumn("exponent", F.lit(float(a))).withColumn("weight", F.when(F.col("tokens") > 0, F.exp(a * F.log(F.col("tokens") / float(max(total, 1)))) / float(z)).otherwise(0.0))
     passes = F.when(F.col("tokens") > 0, F.round(F.col("weight") * budget / F.col("tokens"), 9)).otherwise(1.0)
-    weights = weights.withColumn("passes", passes).withColumn("full", F.floor("passes")).withColumn("part", F.round((F.col("passes") - F.col("full")) * F.col("tokens")).cast("long")).withColumn("blocks", F.ceil(F.col("rows") / block_rows)).withColumn("exponent", F.lit(float(a)))
+    weights = weights.withColumn("passes", passes).withColumn("full", F.floor("passes")).withColumn("part", F.round((F.col("passes") - F.col("full")) * F.col("tokens")).cast("long")).withColumn("blocks", F.greatest(F.ceil(F.col("rows") / block_rows), F.least(F.col("rows"), F.lit(LEAST_BLOCKS)))).withColumn("exponent", F.lit(float(a)))
     weights = written(weights, "weights")
     rows = _blocked(join_on_hot_key(lean, weights, "_source", "rows", ["blocks", "part"], F.col("_row")), seed)
     by_block = written(rows.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("t"), F.max("part").alias("part")), "blocks")

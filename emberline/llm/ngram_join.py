@@ -355,7 +355,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", recal
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.struct("*").alias("row"))
     gone = written(each.where("rid <> first").select("rid").distinct(), "gone")
     rows = rows.join(small_or_shuffled(gone), "rid", "left_anti")
-    twice = written(each.where(F.col("rid") == F.col("first")).groupBy("rid").agg(F.count("*").alias("c")).where("c > 1").select("rid"), "twice")
+    twice = written(each.where((F.col("rid") == F.col("first")) & (F.col("n_copies") > 0)).groupBy("rid").agg(F.count("*").alias("c")).where("c > 1").select("rid"), "twice")
     if twice.limit(1).count():  # equal rows: texts move only for these
         rows = rows.join(small_or_shuffled(twice), "rid", "left_anti").unionByName(rows.join(small_or_shuffled(twice), "rid", "left_semi").dropDuplicates(["rid"]))
     return rows.select("row.*")

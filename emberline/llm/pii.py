@@ -6,8 +6,8 @@ each of its words is also replaced wherever it stands again as a word of its own
 
 An entity is a type with a canonical value (lower case, or digits alone; of a phone number the last ten), so its mentions share one
 replacement however they are written. Of names every word is an entity: a surname has one replacement under all forms of address, alone or
-after a given name. A given name, the first of several words, takes the ending of the gender that the forms of address in its text tell; where
-these tell none or both, it takes none. A replacement is drawn from an HMAC with SHA-512 of type, value and attempt: letters become letters of
+after a given name. A given name, what stands before a space within a name, takes the ending of the gender that the forms of address in its text tell; where
+these tell none or both, and for surnames, the word's own ending decides. A replacement is drawn from an HMAC with SHA-512 of type, value and attempt: letters become letters of
 the same script, digits digits, separators, case, country codes, top-level domains and card issuers stay, check digits hold, and name words
 keep their length.
 
@@ -141,6 +141,10 @@ def _letters(value: Column, h: Column) -> Column:
 def _name(value: Column, h: Column, told: Column) -> Column:
     """A name of the same script and word lengths; words end as the gender asks."""
 
+    # without a gender told, a word that itself ends as female names do keeps such an ending
+    first = F.substring(value, 1, 1)
+    told = F.when((told == "u") & F.right(value, F.lit(1)).isin("a", "а", "я", "α", "η"), "f").otherwise(told)
+
     def drawn(script: str) -> Column:
         consonants, vowels, female, male = _SOUNDS[script]
         n = F.length(value)
@@ -152,7 +156,6 @@ def _name(value: Column, h: Column, told: Column) -> Column:
 
         return F.array_join(F.transform(F.split(value, ""), one), "")
 
-    first = F.substring(value, 1, 1)
     return F.when(first.between("α", "ώ"), drawn("greek")).when(first.between("а", "я"), drawn("cyrillic")).otherwise(drawn("latin"))
 
 
@@ -210,7 +213,7 @@ def _mentions(rows: DataFrame) -> DataFrame:
     titled = F.coalesce(F.when(F.col("text").rlike(hint), F.regexp_extract_all("text", F.lit(PERSON), 0)), none)
     rows = rows.withColumn("titled", titled).withColumn("hinted", F.coalesce(F.col("text").rlike(hint), F.lit(False)))
     # (word, gender told of it, or u) of each name word after a form of address
-    words = F.flatten(F.transform("titled", lambda m: F.transform(F.split(bare_name(m), "[ -]"), lambda w, i: F.struct(w.alias("word"), F.when((i == 0) & bare_name(m).rlike("[ -]"), gender(m)).otherwise("u").alias("told")))))
+    words = F.flatten(F.transform("titled", lambda m: F.transform(F.split(bare_name(m), "[ -]"), lambda w: F.struct(w.alias("word"), F.when(F.contains(bare_name(m), F.lit(" ")) & F.array_contains(F.split(F.get(F.split(bare_name(m), " "), F.lit(0)), "-"), w), gender(m)).otherwise("u").alias("told")))))
     rows = rows.withColumn("words", F.when(F.size("titled") > 0, words).otherwise(F.array().cast("array<struct<word:string,told:string>>")))
     each = F.transform(F.array_distinct(F.transform("words", lambda w: w.word)), lambda w: F.struct(w.alias("word"), F.array_distinct(F.filter(F.transform(F.filter("words", lambda x: x.word == w), lambda x: x.told), lambda t: t != "u")).alias("t")))
     rows = rows.withColumn("told", F.map_from_entries(F.transform(each, lambda x: F.struct(x.word, F.when(F.size(x.t) == 1, F.get(x.t, F.lit(0))).otherwise("u")))))

@@ -3,15 +3,19 @@
 Two character models with one shared body: the longest order (a character after ``ORDER - 1`` others of its word) is counted for each
 class; all shorter orders are continuation counts over both classes together, so a rare expression that one class has not seen falls
 back to the same probability in both and tells nothing. A word's evidence is its toxic less its ordinary log-likelihood; a text's is
-the sum over its words divided by their number. A logistic curve turns that and the strongest words' share into a score.
+the sum over its words divided by their number. Strong words are told apart: their evidence per word of the text, and per word of the
+``STRETCH`` words in a row that hold most of it. A logistic curve turns these, all of them per word, into a score.
 
 Scoring tasks hold the log-likelihood ratio of every counted gram, keyed by a 64-bit hash of the gram, 12 bytes each: a gram that was
 not counted is found in no entry and falls back to its context. One thing is bounded, as a documented parameter: the labelled rows to
 which the curve is fitted (``FIT_ROWS``, those of least hash among a sixth that is left out of the counts until then). The final counts
 cover every labelled training row, that sixth included.
 
-Defined cases: a null or empty text has no words and gets the curve's value at zero evidence; a null label is no label; several labels
-of one document count as their maximum; without labels of both classes every score is 0; equal texts get equal scores.
+Defined cases: a null or empty text has no words and gets the curve's value at no evidence; texts are scored whole, however long; a null
+label is no label; several labels of one document count as their maximum; a null doc_id has no label and is not held out; without labels of
+both classes every score is 0; equal texts, and so repeated rows, get equal scores; a score at the threshold counts as toxic; rows of equal
+hash at the bound of the curve's rows are told apart by their features; an empty table gives no rows; ``without_toxic`` keeps the columns of
+its rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from emberline.session import table, written
 ORDER, DISCOUNT, FIT_ROWS, THRESHOLD = 5, 0.75, 20_000, 0.7
 #: Evidence of a word from which it counts as strong.
 STRONG = 3.0
+#: Words of the stretch in which strong words are looked for, and the evidence per word that counts as none.
+STRETCH, NONE = 128, 1e-3
 _EDGES = "#*$%&|<>.,;:!?\"'()[]{}"
-_FEATURES = ("mean", "share", "top")
+_FEATURES = ("mean", "share", "level", "densest")
 
 
 def _plain(word: str) -> str:
@@ -141,10 +147,11 @@ class Model:
         evidence = np.where(counts > 1, np.add.reduceat(r, first), 0.0)
         self.seen.update(zip(words, evidence.tolist(), strict=True))
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Evidence per word; of strong words alone, also as a logarithm; and that of the densest stretch."""
         words = text.split() if text else []
         if not words:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, math.log(NONE), math.log(NONE)
         if len(self.seen) > 200_000:  # a bound on memory
             self.seen.clear()
         seen = self.seen
@@ -152,9 +159,12 @@ class Model:
         if new:
             self.remember(list(dict.fromkeys(new)))
         each = np.array([seen[w] for w in words])
-        n = len(each)
-        strong = np.minimum(each[each > STRONG], 12.0)
-        return float(np.clip(each, -12, 12).mean()), float(strong.sum() / n), math.log1p(float(strong.sum()))
+        strong = np.where(each > STRONG, np.minimum(each, 12.0), 0.0)
+        share = float(strong.mean())
+        total = np.concatenate([[0.0], np.cumsum(strong)])
+        size = min(STRETCH, len(each))
+        densest = float((total[size:] - total[:-size]).max()) / size
+        return float(np.clip(each, -12, 12).mean()), share, math.log(share + NONE), math.log(max(densest, 0.0) + NONE)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.curve is None:
@@ -185,19 +195,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray |
 def _features(rows: DataFrame, model, keep: list[str], text: str, score: str | None) -> DataFrame:
     kinds = dict(rows.dtypes)
     names = [score] if score else list(_FEATURES)
+    kept = text in keep and kinds[text] == "string"  # then it need not come twice
+    at = keep.index(text) if kept else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         try:
             for b in batches:
-                f = np.array([held.features(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, 3)
+                f = np.array([held.features(t) for t in b.column(at).to_pylist()]).reshape(-1, len(_FEATURES))
                 new = [held.score(f)] if score else list(f.T)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(v, pa.float64()) for v in new]], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(v, pa.float64()) for v in new]], [*keep, *names])
         finally:
             held.seen.clear()  # the model outlives the task in its worker
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{n} double" for n in names])
-    return arrow_pass(rows.select(*keep, F.col(text).cast("string").alias("_text")), run, schema)
+    return arrow_pass(rows.select(*keep, *([] if kept else [F.col(text).cast("string").alias("_text")])), run, schema)
 
 
 def _ratio_table(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -222,13 +234,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     the curve and counted after it is fitted."""
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y")).withColumn("_c", F.crc32(F.col(key).cast("string").cast("binary"))).where("_c % 3 <> 1")
-    rows = docs.select(key, F.col(text).alias("_t")).join(small_or_shuffled(known), key)
-    part = F.floor(F.col("_c") / 3) % 6 == 0
-    counts = written(word_counts(rows.where(~part), "_t", "_y"), "words")
+    known = written(known.select(F.col(key).alias("_k"), "_y", (F.floor(F.col("_c") / 3) % 6 == 0).alias("_part"), F.xxhash64(key).alias("_h")), "known")
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(small_or_shuffled(known), "_k")
+    counts = written(word_counts(rows.where("not _part"), "_t", "_y"), "words")
     model = Model(_ratio_table(ratios(counts, order)), order, None)
-    fit = rows.where(part).withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(fit_rows)
-    seen = _features(fit, spark.sparkContext.broadcast(model), ["_y"], "_t", None).toPandas()
+    # the curve's rows are chosen by their ids, so that texts stay where they are; what comes to the driver are their features
+    chosen = written(known.where("_part").orderBy("_h", "_k").limit(fit_rows).select("_k"), "chosen")
+    fit = _features(rows.join(F.broadcast(chosen), "_k", "left_semi"), spark.sparkContext.broadcast(model), ["_y", "_h"], "_t", None)
+    seen = fit.orderBy("_h", "_y", *_FEATURES).limit(fit_rows).toPandas()
     curve = fit_curve(seen[list(_FEATURES)].to_numpy(float), seen["_y"].to_numpy(float))
+    part = F.col("_part")
     every = counts.union(word_counts(rows.where(part), "_t", "_y")).groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     return Model(_ratio_table(ratios(every, order)), order, curve)
 
@@ -241,11 +256,12 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", s
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is below ``threshold``, with their columns."""
     model = train(docs, labels, text, key)
-    return scored(docs, model, docs.columns, text, "_score").where(F.col("_score") < threshold).drop("_score")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names that the score's cannot meet
+    return scored(plain, model, plain.columns, plain.columns[docs.columns.index(text)]).where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return scored(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -5,11 +5,13 @@ that does not want a record steps over it without inflating it. The writer's tas
 manifest of the files that successful tasks made, with the offsets at which a file may be split, so retries and lost executors
 leave nothing that is read. The reader plans one partition for each such piece, takes over predicates on record type, record id,
 target URI, digest and page id, parses a record's headers first, and inflates a payload only if the record passes and the option
-``payload`` is not ``false``.
+``payload`` is not ``false``. With ``verify`` payloads are inflated, measured and held against their digests, but not handed on. Members of
+other writers, which do not tell their size, are inflated in pieces; what is not wanted of them is not kept.
 
 Paths are local, ``file:`` or of any scheme that pyarrow knows (hdfs, s3, gs). Defined cases: null html is an empty payload, null url
-gives no target URI, an empty table gives an empty archive, null page ids give records without a page id, and of rows that share page
-id and payload all are of one type.
+gives no target URI, an empty table gives an empty archive, null page ids give records without a page id; payloads are kept whole, however
+long; of equal payloads the least page id is the response, a null one only if there is no other; repeated rows, of one page id and payload,
+are all of one type; columns other than the three that are named are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from emberline.operators.skew import join_on_hot_key
-from emberline.session import fresh_path, table, written
+from emberline.operators.skew import join_on_hot_key, small_or_shuffled
+from emberline.session import forget, fresh_path, gone_at_exit, table, written
 
 #: Bytes of a file after which the next record may begin a new piece.
 PIECE_BYTES = 8 << 20
@@ -147,7 +149,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
+    def __init__(self, path: str, payload: str):
         self.path, self.payload = path, payload
         self.wanted: list[tuple[str, tuple]] = []
 
@@ -205,7 +207,7 @@ class WarcReader(DataSourceReader):
         if any(known[name] not in values for name, values in self.wanted):
             return None
         size, payload, digest = None, None, known["payload_digest"]
-        if self.payload or kind == "revisit":
+        if self.payload != "false" or kind == "revisit":
             block = rest(int(h.get("content-length", 0)))
             http, _, payload = block.partition(b"\r\n\r\n") if h.get("content-type", "").startswith("application/http") else (b"", b"", block)
             if kind == "revisit":
@@ -215,6 +217,8 @@ class WarcReader(DataSourceReader):
                 if digest is not None and digest != own:
                     raise ValueError(f"payload of {known['record_id']} does not match its digest")
                 digest = own
+                if self.payload == "verify":
+                    payload = None
         return (known["page_id"], kind, known["record_id"], known["target_uri"], _page(h.get("warc-refers-to")), digest, size, h.get("content-type"), payload)
 
 
@@ -250,40 +254,91 @@ def _packed_records(f, end: int):
         f.seek(at + size)
 
 
-def _foreign_members(f, at: int, end: int):
-    """Members whose headers do not give their size: inflated to find their ends."""
-    f.seek(at)
-    spare = b""
-    while spare or f.tell() < end:
-        unpack, raw = zlib.decompressobj(31), b""
-        while not unpack.eof:
-            data = spare or f.read(1 << 16)
+class _Inflated:
+    """The contents of gzip members, from ``at`` on, read in pieces."""
+
+    def __init__(self, f, at: int, end: int):
+        f.seek(at)
+        self.f, self.end, self.unpack, self.held = f, end, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        while True:
+            data = self.unpack.unconsumed_tail or (self.unpack.unused_data if self.unpack.eof else b"") or (self.f.read(1 << 16) if self.f.tell() < self.end else b"")
             if not data:
-                break
-            raw += unpack.decompress(data)
-            spare = unpack.unused_data
-        while raw.strip():
-            head, _, body = raw.lstrip(b"\r\n").partition(b"\r\n\r\n")
-            n = int(_headers(head).get("content-length", 0))
-            yield head, lambda k, body=body: body[:k]
-            raw = body[n:]
+                return False
+            if self.unpack.eof:
+                self.unpack = zlib.decompressobj(31)
+            got = self.unpack.decompress(data, 1 << 16)
+            if got:
+                self.held += got
+                return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before ``mark``, which is passed over; None at the end."""
+        while (i := self.held.find(mark)) < 0:
+            if not self.more():
+                return None
+        out, self.held = self.held[:i], self.held[i + len(mark) :]
+        return out
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        parts = []
+        while n > 0 and (self.held or self.more()):
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+    def skip_lines(self) -> None:
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held or not self.more():
+                return
+
+
+class _Plain(_Inflated):
+    """The contents of a file that is not compressed."""
+
+    def __init__(self, f, end: int):
+        self.f, self.end, self.held = f, end, b""
+
+    def more(self) -> bool:
+        got = self.f.read(1 << 16) if self.f.tell() < self.end else b""
+        self.held += got
+        return bool(got)
+
+
+def _records_of(source: _Inflated):
+    """(header block, function that gives so many bytes after it) of each record; a body is kept only if it is asked for."""
+    while True:
+        source.skip_lines()
+        head = source.until(b"\r\n\r\n")
+        if head is None:
+            return
+        left = [int(_headers(head).get("content-length", 0))]
+
+        def rest(n: int, left=left) -> bytes:
+            out = source.take(min(n, left[0]))
+            left[0] -= len(out)
+            return out
+
+        yield head, rest
+        source.take(left[0], keep=False)
+
+
+def _foreign_members(f, at: int, end: int):
+    """Members whose headers do not give their size."""
+    yield from _records_of(_Inflated(f, at, end))
 
 
 def _plain_records(f, end: int):
-    while f.tell() < end:
-        head = b""
-        while not head.endswith(b"\r\n\r\n"):
-            c = f.read(1)
-            if not c:
-                return
-            head = (head + c).lstrip(b"\r\n") if not head else head + c
-        start, n = f.tell(), int(_headers(head[:-4]).get("content-length", 0))
-        yield head[:-4], f.read
-        f.seek(start + n)
+    yield from _records_of(_Plain(f, end))
 
 
 class WarcSource(DataSource):
-    """Options: ``path``; ``payload`` (false: bodies are not inflated, payload and, for responses, payload_bytes are null)."""
+    """Options: ``path``; ``payload`` (false: bodies are not inflated, payload and, for responses, payload_bytes are null; verify: payload is
+    null, but measured and held against its digest)."""
 
     @classmethod
     def name(cls) -> str:
@@ -293,7 +348,7 @@ class WarcSource(DataSource):
         return _FIELDS
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower())
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return WarcWriter(self.options["path"], int(self.options.get("piece", PIECE_BYTES)))
@@ -313,7 +368,8 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = REVISIT_MIN_BYTES,
     first = written(ids.groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     later = join_on_hot_key(ids, first, "d", "n", ["first"], F.xxhash64("k")).where("first is not null and not (k <=> first)").select("k", "d", "first").distinct()
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("d", F.sha1("payload"))
-    rows = rows.join(later.withColumnRenamed("d", "d2"), F.col("page_id").eqNullSafe(F.col("k")) & (F.col("d") == F.col("d2")), "left")
+    later = written(later.withColumnRenamed("d", "d2"), "later")
+    rows = rows.join(small_or_shuffled(later), F.col("page_id").eqNullSafe(F.col("k")) & (F.col("d") == F.col("d2")), "left")
     rows = rows.select("page_id", "url", "payload", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
     limit, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     spark.conf.set(limit, BATCH_BYTES)
@@ -321,9 +377,10 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = REVISIT_MIN_BYTES,
         rows.write.format("warc").mode("append").option("path", path).save()
     finally:
         spark.conf.set(limit, before)
+        forget(first, later)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool | str = True) -> DataFrame:
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
@@ -331,4 +388,5 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("target_uri").alias("url"))
+    gone_at_exit(spark, path)
+    return read_warc(spark, path, "verify").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("target_uri").alias("url"))

@@ -206,7 +206,7 @@ def test_mixing(spark, none):
     d = spark.createDataFrame([(a, b, c, 0.0) for a, b, c in rows], "doc_id long, text string, source string, weight double")
     for options in ({"repeats": 1.5}, {"entropy": 1.3, "repeats": None}, {"repeats": 2.0, "budget_tokens": 9000}):
         _, sources = mixing.plan(d, block_rows=20, **options)
-        got = mixing.copies(d, sources).selectExpr("coalesce(source, '') s", "size(split(text, ' ')) n", "copies", "weight").toPandas()
+        got = mixing.copies(d, sources).selectExpr("coalesce(row.source, '') s", "size(split(row.text, ' ')) n", "copies", "weight").toPandas()
         got["t"] = got["n"].fillna(0) * got["copies"]
         by = got[got["s"] != "none"].groupby("s").agg(t=("t", "sum"), w=("weight", "first"))
         assert ((by["t"] / by["t"].sum() - by["w"]).abs() < 0.02).all()
@@ -216,14 +216,15 @@ def test_mixing(spark, none):
             assert by["t"].sum() <= 9000
         if "entropy" in options:
             assert -(by["w"] * np.log(by["w"])).sum() >= 1.3 - 1e-6
-    assert mixing.mixed(d).columns == d.columns
+    mix = mixing.mixed(d.withColumn("weight", F.lit(7.5)).withColumn("pass", F.lit("p")))
+    assert mix.columns == [*d.columns, "pass"] and {(r["weight"], r["pass"]) for r in mix.collect()} == {(7.5, "p")}
     assert mixing.mixed(none).count() == 0
 
 
 def test_pii(spark, none):
     text = "Mail Joe.S7@mail3.example.com or JOE.S7@MAIL3.EXAMPLE.COM, +1 (743) 555-3824, 743-555-3824; card 4111 1111 1111 1111 not 1234567812345678, 126.40.69.100. Frau Müller, госпожа Иванова"
     d = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (4, "clean 1.2.3 on 2024-01-02", 1), (1, text, 1)], "doc_id long, text string, found int").drop("found")
-    got = {r["doc_id"]: r for r in pii.surrogated(d, found="x").collect()}
+    got = {r["doc_id"]: r for r in pii.surrogated(d, key="k", found="x").collect()}
     assert got[2]["text"] is None and got[3]["text"] == "" and got[4]["text"] == "clean 1.2.3 on 2024-01-02"
     new = {x["original"]: x["replacement"] for x in got[1]["x"]}
     assert new["JOE.S7@MAIL3.EXAMPLE.COM"] == new["Joe.S7@mail3.example.com"].upper()
@@ -232,18 +233,18 @@ def test_pii(spark, none):
     digits = [int(c) for c in reversed(new["4111 1111 1111 1111"].replace(" ", ""))]
     assert sum(c if i % 2 == 0 else c * 2 - 9 * (c > 4) for i, c in enumerate(digits)) % 10 == 0
     assert "1234567812345678" in got[1]["text"] and "126.40.69.100" not in got[1]["text"]
-    assert new["Frau Müller"].endswith("a") and re.fullmatch("госпожа [А-Я][а-я]+а", new["госпожа Иванова"])
-    assert pii.surrogated(none).count() == 0
+    assert re.fullmatch("Frau [A-Z][a-z]{5}", new["Frau Müller"]) and re.fullmatch("госпожа [А-Я][а-я]+а", new["госпожа Иванова"])
+    assert pii.surrogated(none, key="k").count() == 0
 
 
 def test_pii_collisions(spark):
     d = spark.createDataFrame([(i, f"call ({i:03d}) 555-0{i:03d}, 10.0.{i % 250}.{i // 250} or {chr(97 + i % 26)}{i // 26 % 10}@x.io") for i in range(900)], "doc_id long, text string")
-    e = pii.entities(d).toPandas()
+    e = pii.entities(d, key="k").toPandas()
     assert not e.duplicated(["kind", "surrogate"]).any() and not e.duplicated(["kind", "value"]).any()
     originals = set(zip(e["kind"], e["value"], strict=True))
     assert not any((k, s) in originals for k, s in zip(e["kind"], e["surrogate"], strict=True))
     assert (e["attempt"] > 0).any()
-    new = {(x["kind"], x["original"]): x["replacement"] for r in pii.surrogated(d, found="x").collect() for x in r["x"]}
+    new = {(x["kind"], x["original"]): x["replacement"] for r in pii.surrogated(d, key="k", found="x").collect() for x in r["x"]}
     mails = e[e["kind"] == "email"].set_index("value")["surrogate"]
     assert all(mails[o] == n for (k, o), n in new.items() if k == "email")
 
@@ -251,21 +252,50 @@ def test_pii_collisions(spark):
 def test_pii_short_names(spark):
     """More people than names of their length: every one gets a replacement of their own, the same wherever they stand."""
     names = [a + b for a in "BCDFGHKLMN" for b in "aeiouylnrs"]
-    d = spark.createDataFrame([(i, f"Mr {n} met Mr {names[i - 1]}, 田{i}中@例え.io") for i, n in enumerate(names)], "doc_id long, text string")
-    e = pii.entities(d).toPandas()
-    assert (e["kind"] == "person").sum() == len(names) and (e["kind"] == "email").sum() == len(names)
+    d = spark.createDataFrame([(i, f"Mr {n} Roth met Mr {names[i - 1]} Roth, 田{i}中@例え.io") for i, n in enumerate(names)], "doc_id long, text string")
+    e = pii.entities(d, key="k").toPandas()
+    assert (e["kind"] == "person").sum() == len(names) + 1 and (e["kind"] == "email").sum() == len(names)
     assert not e.duplicated(["kind", "surrogate"]).any()
     originals = {(k, v[2:] if k == "person" else v) for k, v in zip(e["kind"], e["value"], strict=True)}
     assert not originals & set(zip(e["kind"], e["surrogate"], strict=True))
-    people = e[e["kind"] == "person"]
-    assert people["surrogate"].str.endswith("n").all() and (people["surrogate"].str.len() % 2 == 0).all()
+    people = e[e["value"].str.startswith("m|")]
+    assert len(people) == len(names) and people["surrogate"].str.endswith("n").all() and (people["surrogate"].str.len() % 2 == 0).all()
     new = {}
-    for r in pii.surrogated(d, found="x").collect():
+    for r in pii.surrogated(d, key="k", found="x").collect():
         for x in r["x"]:
             assert new.setdefault(x["original"], x["replacement"]) == x["replacement"] and x["replacement"] in r["text"]
     assert len(set(new.values())) == len(new) == 2 * len(names)
 
 
+def test_pii_one_person_has_one_name(spark):
+    rows = [(1, "Mr Smith met Mr John Smith and Dr Smith. Later Smith left, John too; Smithson not.", 5), (2, "Dr John Paul Smith", 6), (3, "Smith alone", 7), (4, "Mrs Smith-Jones, Ms Anna Smith; Anna", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _m int")
+    got = {r["doc_id"]: r for r in pii.surrogated(d, key="k").collect()}
+    assert [got[i]["_m"] for i in (1, 2, 3, 4)] == [5, 6, 7, 8]
+    m = re.fullmatch(r"Mr (\w+) met Mr (\w+) (\w+) and Dr (\w+)\. Later (\w+) left, (\w+) too; Smithson not\.", got[1]["text"])
+    surname, given = m[1], m[2]
+    assert m[3] == m[4] == m[5] == surname and m[6] == given and surname != given and given.endswith("n")
+    assert "Smith" not in got[1]["text"].replace("Smithson", "") and "John" not in got[1]["text"]
+    assert got[2]["text"].endswith(surname) and got[3]["text"] == "Smith alone"
+    m = re.fullmatch(r"Mrs (\w+)-(\w+), Ms (\w+) (\w+); (\w+)", got[4]["text"])
+    assert m[4] == surname and m[3] == m[5] and m[3].endswith("a")
+    other = {r["doc_id"]: r["text"] for r in pii.surrogated(d, key="another").collect()}
+    assert surname not in other[1]
+
+
+def test_pii_accounts(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, wrong DE88 3704 0044 0532 0130 00; 123-45-6789; 2001:0DB8:0:0:0:FF00:42:8329"
+    r = pii.surrogated(spark.createDataFrame([(text,)], "text string"), key="k", found="f").first()
+    new = {x["original"]: x["replacement"] for x in r["f"]}
+    assert [x["kind"] for x in r["f"]] == ["iban", "iban", "ssn", "ip"]
+    for old, n in new.items():
+        assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", old)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", n)) or ":" in old
+        if old[:2] in ("DE", "GB"):
+            solid = n.replace(" ", "")
+            assert n[:2] == old[:2] and int("".join(str(int(c, 36)) for c in solid[4:] + solid[:4])) % 97 == 1
+    assert "DE88 3704 0044 0532 0130 00" in r["text"] and re.fullmatch(r"[0-9A-F:]+", new["2001:0DB8:0:0:0:FF00:42:8329"])
+
+
 def brute_quality(t):
     w, t = split(t), t or ""
     seen, lines = set(), 0
@@ -322,6 +352,11 @@ def test_sharding(spark, docs, none, texts):
         a, b = sharding.jump_hash(sharding.mixed(keys), n), sharding.jump_hash(sharding.mixed(keys), n + 1)
         assert set(b[a != b]) <= {n} and abs((a != b).mean() - 1 / (n + 1)) < 0.02
     assert sharding.assign(none).count() == 0
+    named = spark.createDataFrame([("a", "t", 1), ("a", "t", 2), (None, "t", 3), ("b", None, 4)], "doc_id string, text string, n int")
+    y = sharding.assign(named, shards=3).toPandas()
+    assert len(y) == 4 and y[y["doc_id"] == "a"]["shard"].nunique() == 1 and ((y["grown_shard"] == y["shard"]) | (y["grown_shard"] == 3)).all()
+    many = sharding.assign(spark.range(9000).selectExpr("1L as doc_id", "'same' as text"), slot_rows=5).toPandas()
+    assert sorted(many["slot"]) == list(range(9000))
 
 
 def brute_secrets(t):
@@ -347,6 +382,12 @@ def test_secret_scan(spark, none):
     d = frame(spark, [f"é {good} and ghp_{body}000000", None, ""])
     rows = {r["doc_id"]: [(x["start"], x["end"], x["kind"]) for x in r["spans"]] for r in secret_scan.find_secrets(d).collect()}
     assert rows == {0: [(2, 42, "github")], 1: [], 2: []}
+    pack = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    jwt = f"{pack(b'{\"alg\":\"HS256\"}')}.{pack(b'{\"sub\":1}')}.{'s' * 43}"
+    assert [x[2] for x in secret_scan.scan(f"a {jwt} b eyJhbGci.eyJhbGci.{'s' * 43}", found)] == ["jwt"]
+    der = b"\x30\x82\x01\x00" + b"\1" * 256
+    pem = lambda x: f"-----BEGIN RSA PRIVATE KEY-----\n{base64.encodebytes(x).decode()}-----END RSA PRIVATE KEY-----"
+    assert [x[2] for x in secret_scan.scan(pem(der) + pem(der[:-1]), found)] == ["pem"]
     assert secret_scan.redact(d).where("doc_id = 0").first()["text"].startswith("é [github] and")
     assert secret_scan.find_secrets(none).count() == 0
 
@@ -416,21 +457,3 @@ def test_toxicity_counts_rows_of_the_curve(spark):
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     model.remember(["quivvox"])
     assert model.seen["quivvox"] > toxicity.STRONG
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert list(out.columns) == [*docs.columns, "shard"]
-    # each stage on what its predecessor kept, by the operators' own results
-    from emberline.session import table, written
-
-    kept = written(corpus_pipeline.toxic_out(spark, docs, sf), "t")
-    x = ngram_join.classes(kept).toPandas()
-    kept = kept.where(F.col("doc_id").isin([int(i) for i in x["class_id"].unique()]))
-    dirty = [r["doc_id"] for r in decontamination.find_overlaps(kept, table(spark, sf, "benchmark")).collect()]
-    kept = kept.where(~F.col("doc_id").isin(dirty) | F.lit(not dirty))
-    assert set(out["doc_id"]) == {r["doc_id"] for r in kept.select("doc_id").collect()}
-    assert (out["shard"] == sharding.jump_hash(sharding.mixed(out["doc_id"].to_numpy()), 8)).all()
