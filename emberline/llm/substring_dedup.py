@@ -246,7 +246,7 @@ def _counted(sent: DataFrame, groups: int, width: int, partitions: int) -> DataF
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """rid is not 0 nor negative, so that 0 can stand for no document."""
-    return docs.select(F.col(key), (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1) + F.when(F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1) == 0, 1).otherwise(0)).alias("rid"), F.col(text).cast("string").cast("binary").alias("t"))
+    return docs.select(F.col(key).alias("k"), (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1) + F.when(F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1) == 0, 1).otherwise(0)).alias("rid"), F.col(text).cast("string").cast("binary").alias("t"))
 
 
 def _shared_symbols(rows: DataFrame, buckets: int, groups: int, partitions: int) -> DataFrame:
@@ -262,22 +262,38 @@ def _shared_symbols(rows: DataFrame, buckets: int, groups: int, partitions: int)
     return _counted(arrow_pass(rows.select("rid", "t"), run, _FOUND), groups, 1, partitions)
 
 
-def _meet(rows: DataFrame, found: DataFrame, groups: int) -> DataFrame:
-    """Texts and what was found about them, by group of documents; the findings come first."""
-    own = rows.select((F.col("rid") % groups).alias("bucket"), F.lit(1).alias("kind"), F.col("t").alias("body"), "rid", *[c for c in rows.columns if c not in ("rid", "t")])
-    return own.unionByName(found, allowMissingColumns=True)
+def _packed(rows: DataFrame, groups: int) -> DataFrame:
+    """(bucket: group of documents, kind 1, body): the rows, whose rid tells the group, as compressed Arrow streams of a group each."""
+    def stream(b: pa.RecordBatch) -> bytes:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(b)
+        return out.getvalue().to_pybytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            home = b.column(b.schema.get_field_index("rid")).to_numpy() % groups
+            order = np.argsort(home, kind="stable")
+            home = home[order]
+            yield from _batched((int(home[x]), 1, stream(b.take(pa.array(order[x:y])))) for x, y in _stretches(home))
+
+    return arrow_pass(rows, run, _FOUND)
 
 
-def _learn(t: pa.Table, lo: int, hi: int) -> tuple[dict[int, np.ndarray], int]:
+def _learn(t: pa.Table, lo: int, hi: int) -> tuple[dict[int, np.ndarray], pa.Table]:
+    """What was found about the documents of a group, and their rows; findings come first."""
     kinds, bodies = t.column("kind").to_numpy(), t.column("body")
     known: dict[int, list[np.ndarray]] = {}
-    i = lo
-    while i < hi and kinds[i] == 0:
-        rids, count, at = _positions(bodies[int(i)].as_py())
+    streams = []
+    for i in range(lo, hi):
+        body = bodies[int(i)].as_py()
+        if kinds[i] == 1:
+            streams.append(pa.ipc.open_stream(body).read_all())
+            continue
+        rids, count, at = _positions(body)
         for r, part in zip(rids.tolist(), np.split(at, np.cumsum(count)[:-1]), strict=True):
             known.setdefault(r, []).append(part)
-        i += 1
-    return {r: np.concatenate(p) for r, p in known.items()}, i
+    return {r: np.concatenate(p) for r, p in known.items()}, pa.concat_tables(streams).combine_chunks() if streams else None
 
 
 def _hashed(words: np.ndarray, start: np.ndarray, power: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -299,11 +315,9 @@ def _named(sym: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, first:
 def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: int, partitions: int) -> DataFrame:
     def verify(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         words_of = WordHashes()
-        all_rids = t.column("rid").fill_null(0).to_numpy()
         for lo, hi in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
-            shared, i = _learn(t, lo, hi)
-            ids = all_rids[i:hi]
-            for rids, words, first in _pieces(ids, t.column("body").slice(i, hi - i).to_pylist(), words_of):
+            shared, own = _learn(t, lo, hi)
+            for rids, words, first in _pieces(own.column("rid").to_numpy(), own.column("t").to_pylist(), words_of):
                 sym, doc, at, a, b, size = parse(words, np.repeat(np.arange(len(rids)), np.diff(first)))
                 begin = np.searchsorted(doc, np.arange(len(rids)))
                 single = (b - a <= WINDOW) & (size >= LEAST) & (size <= WINDOW)
@@ -329,7 +343,7 @@ def _repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, groups: i
                 of = np.searchsorted(first, start, side="right") - 1
                 yield from _batched(_sent(keys, rids, of, start - first[of], buckets, groups))
 
-    sent = grouped_pass(_meet(rows, found, groups), "bucket", ["kind"], verify, _FOUND, partitions)
+    sent = grouped_pass(_packed(rows, groups).union(found), "bucket", ["kind"], verify, _FOUND, partitions)
     return _counted(sent, groups, 2, partitions)
 
 
@@ -343,7 +357,7 @@ def _applied(docs: DataFrame, key: str, text: str, with_text: bool) -> DataFrame
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    partitions = max(8, -(-size // PARTITION_BYTES))
     groups, buckets = max(8, n // GROUP_DOCS, 2 * partitions), max(48, n // 2500, 2 * partitions)
     symbols = written(_shared_symbols(rows, buckets, groups, partitions), "symbols")
     _release(spark)
@@ -354,11 +368,10 @@ def _applied(docs: DataFrame, key: str, text: str, with_text: bool) -> DataFrame
     what = "kept binary" if with_text else "kept_sha256 string"
 
     def cut(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        all_rids = t.column("rid").fill_null(0).to_numpy()
         for lo, hi in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
-            known, i = _learn(t, lo, hi)
+            known, own = _learn(t, lo, hi)
             total, removed, kept = [], [], []
-            for rid, body in zip(all_rids[i:hi].tolist(), t.column("body").slice(i, hi - i).to_pylist(), strict=True):
+            for rid, body in zip(own.column("rid").to_pylist(), own.column("t").to_pylist(), strict=True):
                 words = body.split() if body else []
                 total.append(len(words))
                 gone = 0
@@ -372,15 +385,15 @@ def _applied(docs: DataFrame, key: str, text: str, with_text: bool) -> DataFrame
                 removed.append(gone)
                 rest = b" ".join(words)
                 kept.append((body if not gone else rest) if with_text else hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([t.column(key).slice(i, hi - i).combine_chunks(), t.column("rid").slice(i, hi - i).combine_chunks(), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string())], [key, "rid", "n_words", "n_removed", what.split()[0]])
+            yield pa.RecordBatch.from_arrays([own.column("k").combine_chunks(), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string())], [key, "n_words", "n_removed", what.split()[0]])
 
-    met = _meet(rows, windows, groups)
-    return grouped_pass(met, "bucket", ["kind"], cut, f"`{key}` {kind}, rid long, n_words long, n_removed long, {what}", partitions)
+    met = _packed(rows, groups).union(windows)
+    return grouped_pass(met, "bucket", ["kind"], cut, f"`{key}` {kind}, n_words long, n_removed long, {what}", partitions)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for every row."""
-    return _applied(docs, key, text, False).drop("rid")
+    return _applied(docs, key, text, False)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
