@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 W, S = r"[\p{L}\p{N}_]", r"[\s\p{Z}]"
 URL = r"https?://[^\s\p{Z}]+"
-RT_PREFIX = rf"^rt{S}+@{W}+{S}*:?{S}*"
+RT_PREFIX = rf"^{S}*rt{S}+@{W}+{S}*:?{S}*"
 EMBEDDED = rf"(?is)(?:^|[^\p{{L}}\p{{N}}_])RT{S}+@{W}+{S}*:?{S}*(.+)$"
 RETWEET = rf"(?:^|[^\p{{L}}\p{{N}}_])RT{S}+@{W}"
 TRUNCATED = rf"(?:…|\.\.\.){S}*$"
@@ -70,35 +70,69 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(fold(c), "[^0-9a-z]", "")
 
 
-# fixed values: words that say what a message is about
-KEYWORDS = ["flood", "rain", "river", "water", "evacuat", "rescue", "damage", "bridge", "power", "emergency"]
+# fixed values: patterns of words that say what a message is about
+KEYWORDS = [
+    "flood", "evacu", "rescue", "donat", "sandbag", "shelter", "stranded", "power (?:is )?out", "boil", "volunteer", "relief", "emergency",
+    "water level", "high water", "submerged", "washed out", "closed", "damage", "victims", "prayers",
+]
 
 
 def flags(c: Column, keywords: list[str] = KEYWORDS) -> Column:
-    """keyword, place mark, retweet, link."""
+    """Of a masked text: keyword, place mark, retweet, link mark."""
     c = F.coalesce(c, F.lit(""))
-    return F.struct(F.lower(c).rlike("|".join(keywords)).cast("int").alias("keyword"), F.contains(c, F.lit("PLACE")).cast("int").alias("place"), c.startswith("RT ").cast("int").alias("retweet"), c.rlike(r"https?://|URL").cast("int").alias("link"))
+    return F.struct(c.rlike("(?i)" + "|".join(keywords)).cast("int").alias("keyword"), F.contains(c, F.lit("PLACE")).cast("int").alias("place"), c.startswith("RT ").cast("int").alias("retweet"), F.contains(c, F.lit("URL")).cast("int").alias("link"))
 
 
 # fixed values: province abbreviations
-PROVINCES = {"AB": "Alberta", "BC": "British Columbia", "MB": "Manitoba", "NB": "New Brunswick", "NL": "Newfoundland and Labrador", "NS": "Nova Scotia", "ON": "Ontario", "PE": "Prince Edward Island", "QC": "Quebec", "SK": "Saskatchewan"}
+PROVINCES = {"AB": "Alberta", "BC": "British Columbia", "SK": "Saskatchewan", "MB": "Manitoba", "ON": "Ontario"}
 
 
 def norm_locations(c: Column) -> Column:
-    """Names by ``;``: commas split too, abbreviations spelled out, repeats (whatever their case) dropped, order kept."""
+    """Names by ``;``: commas split too, abbreviations of either case spelled out, repeats (whatever their case) dropped, order kept."""
     names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     table = F.create_map(*[F.lit(x) for kv in PROVINCES.items() for x in kv])
-    full = F.transform(names, lambda x: F.coalesce(F.try_element_at(table, x), x))
+    full = F.transform(names, lambda x: F.coalesce(F.try_element_at(table, F.upper(x)), x))
     once = F.filter(full, lambda x, i: F.array_position(F.transform(full, F.lower), F.lower(x)) == i + 1)
     return F.array_join(once, ";")
 
 
+JUNK = "[\u1f00-\u1fff\ufffd]+"
+
+
+def without_links(c: Column) -> Column:
+    """Links and mentions as spaces."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), URL, " "), rf"@{W}+", " ")
+
+
+def plain_tokens(c: Column) -> Column:
+    """The tokens outside links and mentions, lower case, without the hash of a hashtag."""
+    return F.transform(tokens(without_links(c)), lambda t: F.lower(F.ltrim(t, F.lit("#"))))
+
+
 def mask_terms(c: Column, terms: list[str]) -> Column:
-    """Terms, links and mentions replaced by marks; a hashtag keeps its hash; repeated marks collapse."""
+    """Terms where a word or hashtag begins with them, links and mentions replaced by marks; the hash and the rest of the word stay; remains
+    of broken characters go; marks in a row become one."""
     if terms:
-        c = F.regexp_replace(c, r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + r")(?![\p{L}\p{N}_])", "PLACE")
-    c = F.regexp_replace(F.regexp_replace(c, URL, "URL"), rf"@{W}+", "@user")
-    return collapse(F.regexp_replace(c, rf"PLACE(?:{S}+PLACE)+", "PLACE"))
+        quoted = "|".join(rf"\Q{t}\E" for t in sorted(terms, key=lambda t: (-len(t), t)))
+        c = F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(#?)(?:{quoted})", "$1PLACE")
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, JUNK, ""), URL, "URL"), rf"@{W}+", "@user")
+    return F.regexp_replace(F.regexp_replace(c, rf"(?:PLACE{S}*)+", "PLACE "), rf"^{S}+|{S}+$", "")
+
+
+_CAPITAL = r"\p{Lu}[\p{L}\p{N}_'’]+"
+_HINTS = [
+    rf"(?<![\p{{L}}\p{{N}}_])(?:in|at|near|on|by|across|along|off){S}+(?:the{S}+)?({_CAPITAL}(?:{S}+{_CAPITAL}){{0,3}})",
+    rf"(?<![\p{{L}}\p{{N}}_])(\d+{S}*(?:st|nd|rd|th)?{S}+(?:St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Blvd|Trail|Way|Cres)(?![\p{{L}}\p{{N}}_]))",
+    rf"(?<![\p{{L}}\p{{N}}_])({_CAPITAL}{S}+(?:Trail|Drive|Road|Bridge|Crossing|Park|Street|Avenue|Creek|Lake|Reserve|Nation)(?![\p{{L}}\p{{N}}_]))",
+]
+_NO_PLACE = ["i", "the", "my", "our", "rt"]
+
+
+def place_hint(c: Column, found: Column) -> Column:
+    """Whether the text seems to name a place that is in none of the surfaces ``found``."""
+    known = F.lower(F.array_join(F.coalesce(found, F.array().cast("array<string>")), " "))
+    said = F.concat(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(h), 1) for h in _HINTS])
+    return F.exists(said, lambda x: ~F.contains(known, F.lower(x)) & ~F.lower(F.regexp_extract(x, rf"^[^\s\p{{Z}}]+", 0)).isin(_NO_PLACE))
 
 
 def citations(c: Column) -> Column:

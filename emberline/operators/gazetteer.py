@@ -9,10 +9,12 @@ from emberline.functions import text as T
 from emberline.operators.skew import small_or_shuffled
 
 EARTH_KM, MAX_WORDS = 6371.0, 5
-# fixed values: words that decide whether a span is a place
+#: Words that decide whether a span is a place; defaults of the rules.
 PREPOSITIONS = ["in", "at", "near", "from", "to", "of", "around", "outside", "into", "toward", "towards", "across"]
 STORMS = ["hurricane", "typhoon", "cyclone", "storm"]
 TOO_BROAD = ["earth", "world", "north", "south", "east", "west", "downtown", "city", "town", "river"]
+#: Words that may be small within a name; a default.
+SMALL = ["of", "the", "de", "du", "la"]
 ADMIN = ["country", "state", "province", "region"]
 # fixed values: precision of a kind of place
 PRECISION = {"point": "point", "line": "line", "city": "locality", "town": "locality", "locality": "locality", "province": "region", "state": "state", "country": "region"}
@@ -89,7 +91,7 @@ def candidate_spans(posts: DataFrame, index: DataFrame, row_id: str = "post_id",
 
 def plausible(span: Column, kind: Column) -> Column:
     """Capitalised in all words (small words aside), or a number; single broad words are not places."""
-    ok = F.forall(F.split(span, " "), lambda w: w.rlike(r"^[\p{Lu}\p{N}]") | w.isin("of", "the", "de", "du", "la"))
+    ok = F.forall(F.split(span, " "), lambda w: w.rlike(r"^[\p{Lu}\p{N}]") | w.isin(*SMALL))
     return ok & ~F.lower(span).isin(TOO_BROAD)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import text as T
 from emberline.operators.components import connected_components
+from emberline.operators.skew import join_on_hot_key
+from emberline.session import written
 
 MIN_PREFIX, BUCKET = 40, 16
 
@@ -32,26 +34,35 @@ def dup_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
 def trunc_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
     """(src, dst): first owners of the keys that begin with a truncated post's key less its last word.
 
-    An equi-join on the first characters, with the rest of the prefix as its condition. Prefixes shorter than the bucket join on as
-    many characters as they have, one bucket size at a time, so no pair is formed that shares no prefix.
+    An equi-join on the whole prefix: every key gives its own beginnings, of the lengths that prefixes of its first characters have, so a pair
+    is formed only where the prefix is equal, however many keys share an opening.
     """
     cut = F.regexp_replace("key", " [^ ]*$", "")
     p = posts.where(F.col("truncated") & (F.length("key") >= MIN_PREFIX)).select(F.col(post_id).alias("dst"), cut.alias("prefix")).where("prefix <> ''")
+    first = lambda c: F.substring(c, 1, BUCKET)
+    lengths = p.groupBy(first("prefix").alias("b")).agg(F.collect_set(F.length("prefix")).alias("sizes"))
     keys = owners(posts, post_id)
-    long = p.where(F.length("prefix") >= BUCKET).withColumn("b", F.substring("prefix", 1, BUCKET)).join(keys.withColumn("b", F.substring("k", 1, BUCKET)), "b")
-    short = p.where(F.length("prefix") < BUCKET)
-    sized = keys.withColumn("b", F.explode(F.transform(F.sequence(F.lit(1), F.lit(BUCKET - 1)), lambda i: F.substring("k", F.lit(1), i))))
-    few = short.join(sized.distinct(), F.col("prefix") == F.col("b")).drop("b")
-    out = long.where(F.col("k").startswith(F.col("prefix"))).select("owner", "dst").union(few.select("owner", "dst"))
+    long = keys.withColumn("b", first("k")).join(lengths.where(F.length("b") == BUCKET), "b")
+    short = keys.join(F.broadcast(lengths.where(F.length("b") < BUCKET).select(F.explode("sizes").alias("n")).distinct().agg(F.collect_set("n").alias("sizes"))))
+    begun = long.select("k", "owner", "sizes").unionByName(short.select("k", "owner", "sizes")).select("owner", F.length("k").alias("size"), "k", F.explode("sizes").alias("n")).where("n <= size")
+    out = begun.select("owner", F.expr("left(k, n)").alias("prefix")).distinct().join(p, "prefix")
     return out.where("owner <> dst").select(F.col("owner").alias("src"), "dst").distinct()
 
 
 def grouped(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> DataFrame:
-    """The keyed posts with group_id (the least post id of the group), group_size and is_canonical."""
-    p = keyed(posts, post_id, text)
+    """The keyed posts with group_id (the least post id of the group), group_size and is_canonical.
+
+    Keys are worked out once; groups are aggregates that are joined back, so a post that half of all repost meets in no one task.
+    """
+    p = written(keyed(posts, post_id, text), "keyed")
     members = connected_components(dup_edges(p, post_id).union(trunc_edges(p, post_id)))
-    g = p.join(members.withColumnRenamed("node", post_id), post_id, "left").withColumn("group_id", F.coalesce("component", post_id)).drop("component")
-    by = Window.partitionBy("group_id")
-    rank = F.when(F.col("is_retweet"), 0).otherwise(10000) + F.length(text)
-    best = F.row_number().over(by.orderBy(rank.desc(), post_id))
-    return g.withColumn("group_size", F.count("*").over(by)).withColumn("is_canonical", best == 1)
+    lean = p.select(post_id, "is_retweet", F.length(text).alias("_l")).join(members.withColumnRenamed("node", post_id), post_id, "left").select(post_id, F.coalesce("component", post_id).alias("group_id"), (F.when(F.col("is_retweet"), 0).otherwise(10000) + F.col("_l")).alias("_rank"))
+    lean = written(lean, "members")
+    groups = written(lean.groupBy("group_id").agg(F.count("*").alias("group_size"), F.max_by(post_id, F.struct("_rank", -F.col(post_id))).alias("_best")), "groups")
+    return p.join(_told(lean, groups, post_id), post_id)
+
+
+def _told(lean: DataFrame, groups: DataFrame, post_id: str) -> DataFrame:
+    g = groups.withColumn("n", F.col("group_size"))
+    out = join_on_hot_key(lean, g, "group_id", "n", ["group_size", "_best"], F.col(post_id))
+    return out.select(post_id, "group_id", "group_size", (F.col("_best") == F.col(post_id)).alias("is_canonical"))

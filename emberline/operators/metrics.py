@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     whole = part.groupBy("b").agg(F.sum("q").alias("bq"))
     before = whole.withColumn("under", F.coalesce(F.sum("bq").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "under")
     inside = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = part.withColumn("inside", inside).join(F.broadcast(before), "b").agg(F.sum(F.col("p") * (F.col("under") + F.col("inside") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    u = part.withColumn("inside", inside).join(before, "b").agg(F.sum(F.col("p") * (F.col("under") + F.col("inside") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return u.select((F.col("u") / (F.col("np") * F.col("nq"))).alias("auc"))
 
 
@@ -76,19 +77,25 @@ def token_set(a: str, b: str) -> float:
     return max([similarity(one, two)] + ([similarity(common, one), similarity(common, two)] if common else []))
 
 
+def like(a: str, b: str) -> bool:
+    return a == b or similarity(a, b) >= 85 or token_set(a, b) >= 95
+
+
 def matched_places(gold: list[str], found: list[str], ignored: frozenset[str] = frozenset()) -> tuple[int, int, int]:
-    """(hits, gold, found): in gold order, each name takes the first unused one that is like it."""
-    norm = lambda names: [n for n in (x.lower().lstrip("#").strip() for x in names or []) if n and n not in ignored]
-    g, f = norm(gold), norm(found)
-    free = list(range(len(f)))
+    """(hits, gold, found): in gold order, each name takes the first one like it that is still free.
+
+    Likeness is told once for every two different names, as a matrix; names are then dealt by crossing out its columns.
+    """
+    plain = [[n for n in (str(x).lower().lstrip("#").strip() for x in names or []) if n and n not in ignored] for names in (gold, found)]
+    wanted, offered = plain
+    table = np.array([[like(a, b) for b in offered] for a in wanted], bool).reshape(len(wanted), len(offered))
     hits = 0
-    for name in g:
-        for i in free:
-            if name == f[i] or similarity(name, f[i]) >= 85 or token_set(name, f[i]) >= 95:
-                free.remove(i)
-                hits += 1
-                break
-    return hits, len(g), len(f)
+    for row in range(len(wanted)):
+        at = np.flatnonzero(table[row])
+        if len(at):
+            table[:, at[0]] = False
+            hits += 1
+    return hits, len(wanted), len(offered)
 
 
 def place_scores(rows: DataFrame, gold: str, found: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+S = r"[\s\p{Z}]"
 # fixed values: the closed sets of codes
 CATEGORIES = ["INFRA", "EVAC", "HUMAN", "PROPERTY", "NEEDS", "AID", "ADVISORY", "SUPPORT", "OTHER"]
 HAZARDS = ["FLOOD", "STORM", "QUAKE", "FIRE", "BLAST", "CRASH", "ATTACK", "OTHER"]
@@ -22,7 +23,7 @@ def cap(budget: int, batch: int) -> int:
 
 
 def planned(rows: DataFrame, budget: int, batch: int, p: str = "p", hint: str = "hinted", row_id: str = "id") -> DataFrame:
-    """The rows to review in order, with tier and batch: uncertain ones, then likely ones (hinted first), then the others."""
+    """The rows to review in order, with tier, batch and line: uncertain ones, then likely ones (hinted first), then the others."""
     tier = F.when(F.col(p).between(0.15, 0.85), 1).when(F.col(p) > 0.85, 2).otherwise(3)
     first = F.when(tier == 1, F.lit(0)).when(tier == 2, 1 - F.col(hint).cast("int")).otherwise(0)
     second = F.when(tier == 1, F.abs(F.col(p) - 0.5)).otherwise(-F.col(p))
@@ -30,53 +31,76 @@ def planned(rows: DataFrame, budget: int, batch: int, p: str = "p", hint: str =
     top = q.orderBy("tier", "_a", "_b", row_id).limit(cap(budget, batch))
     # the limit bounds these rows by the budget, so that one window numbers them
     n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", "_a", "_b", row_id)) - 1
-    return top.withColumn("pos", n).withColumn("batch", F.floor(F.col("pos") / batch)).drop("_a", "_b")
+    return top.withColumn("pos", n).withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("line", (F.col("pos") % batch).cast("long")).drop("_a", "_b")
 
 
 def prompts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(batch, prompt): numbered lines, line breaks as spaces."""
-    line = F.struct("pos", F.concat_ws("\t", (F.col("pos") % F.lit(1 << 30)).cast("string"), F.regexp_replace(text, r"[\r\n]+", " ")).alias("line"))
-    return rows.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.line), "\n").alias("prompt"))
+    """(batch, prompt, n): lines numbered from 0, line breaks as spaces, and how many."""
+    line = F.struct("line", F.concat_ws("\t", F.col("line").cast("string"), F.regexp_replace(text, r"[\r\n]+", " ")).alias("said"))
+    return rows.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.said), "\n").alias("prompt"), F.count("*").alias("n"))
 
 
 def parsed(answers: DataFrame, column: str = "answer") -> DataFrame:
-    """Lines of answers as labels: id, rel, conf (0 to 9), hazard, cat, urg, cc, places. Lines that are not labels are dropped; of lines
-    with one id in an answer the first counts."""
-    lines = answers.select("batch", F.posexplode(F.split(column, "\n")).alias("at", "line")).withColumn("f", F.transform(F.split("line", r"\|"), lambda x: F.trim(x)))
+    """Lines of answers as labels: id, rel, conf (0 to 9), hazard, cat, urg, cc, places.
+
+    Codes are of either case; white space and backticks around a line, and fields of a dash, do not count. Relevant lines without a category
+    are OTHER, without an urgency 1. Lines that are not labels, and those whose id is not below the batch's ``n`` where that is given, are
+    dropped; of lines with one id in an answer the first counts.
+    """
+    lines = answers.select("batch", *(["n"] if "n" in answers.columns else [F.lit(None).cast("long").alias("n")]), F.posexplode(F.split(column, r"\r\n|\n|\r")).alias("at", "line"))
+    bare = F.btrim(F.regexp_replace("line", rf"^{S}+|{S}+$", ""), F.lit("`"))
+    lines = lines.withColumn("f", F.transform(F.split(bare, r"\|"), lambda x: F.regexp_replace(x, rf"^{S}+|{S}+$", "")))
     f = lambda i: F.get("f", F.lit(i))
-    ok = (F.size("f") >= 3) & f(0).rlike(r"^\d{1,9}$") & f(1).isin("0", "1")
-    x = lines.where(ok).withColumn("id", f(0).cast("long")).withColumn("rel", f(1).cast("int"))
-    x = x.withColumn("conf", F.when(f(2).rlike(r"^\d{1,4}$"), F.least(f(2).cast("int"), F.lit(9))).otherwise(5))
-    long = (F.size("f") >= 7) & f(3).isin(HAZARDS) & f(4).isin(CATEGORIES)
-    tail = F.slice("f", 4, 20)
+    ok = (F.size("f") >= 3) & f(0).rlike(r"^\d{1,18}$") & f(1).isin("0", "1")
+    x = lines.where(ok).withColumn("id", f(0).cast("long")).withColumn("rel", f(1).cast("int")).where(F.col("n").isNull() | (F.col("id") < F.col("n")))
+    x = x.withColumn("conf", F.when(f(2).rlike(r"^\d+$"), F.least(F.coalesce(f(2).try_cast("int"), F.lit(9)), F.lit(9))).otherwise(5))
+    levels = ["0", "1", "2", "3"]
+    long = (F.size("f") >= 7) & F.upper(f(3)).isin(HAZARDS) & F.upper(f(4)).isin(CATEGORIES)
+    tail = F.filter(F.slice("f", 4, F.size("f")), lambda t: t != "-")
     yes = F.col("rel") == 1
-    cat = F.when(long, f(4)).otherwise(F.coalesce(F.get(F.filter(tail, lambda t: t.isin(CATEGORIES)), F.lit(0)), F.lit("")))
-    urg = F.when(long & f(5).isin("0", "1", "2", "3"), f(5).cast("int")).when(~long, F.get(F.filter(tail, lambda t: t.isin("0", "1", "2", "3")), F.lit(0)).cast("int"))
-    named = F.when(long, F.coalesce(f(7), F.lit(""))).otherwise(F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.filter(tail, lambda t: ~t.isin([*CATEGORIES, "0", "1", "2", "3", "-", ""]))), -1), F.lit("")))
+    cat = F.when(long, F.upper(f(4))).otherwise(F.coalesce(F.upper(F.get(F.filter(tail, lambda t: F.upper(t).isin(CATEGORIES)), F.lit(0))), F.lit("OTHER")))
+    urg = F.coalesce(F.when(long, F.when(f(5).isin(levels), f(5))).otherwise(F.get(F.filter(tail, lambda t: t.isin(levels)), F.lit(0))).cast("int"), F.lit(1))
+    free = F.filter(tail, lambda t: (t != "") & ~F.upper(t).isin(CATEGORIES) & ~t.isin(levels))
+    named = F.when(long, F.coalesce(f(7), F.lit(""))).otherwise(F.coalesce(F.get(F.reverse(free), F.lit(0)), F.lit("")))
     places = F.filter(F.transform(F.split(named, ";"), lambda x: F.trim(x)), lambda t: ~t.isin("", "-"))
-    x = x.withColumn("cat", F.when(yes, cat).otherwise("")).withColumn("urg", F.when(yes, urg)).withColumn("hazard", F.when(yes & long, f(3)).otherwise("")).withColumn("cc", F.when(yes & long & (F.length(f(6)) == 2), f(6)))
+    x = x.withColumn("cat", F.when(yes, cat).otherwise("")).withColumn("urg", F.when(yes, urg).otherwise(0)).withColumn("hazard", F.when(yes & long, F.upper(f(3)))).withColumn("cc", F.when(yes & long & f(6).rlike("^[A-Za-z]{2}$"), F.upper(f(6))))
     x = x.withColumn("places", F.when(yes, places).otherwise(F.array().cast("array<string>")))
     first = F.row_number().over(Window.partitionBy("batch", "id").orderBy("at"))
     return x.withColumn("_r", first).where("_r = 1").select("batch", "id", "rel", "conf", "hazard", "cat", "urg", "cc", "places")
 
 
+def _overwritten(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The rows with what labels (one per ``key`` at most; rel, conf from 0 to 1, cat, urg, hazard, cc) say of them. Irrelevant ones keep
+    category, urgency and hazard, which are blanked later; a relevant one's country is that of its label, or none."""
+    given = labels.select(F.col(key).alias("_id"), *[(F.col(c) if c in labels.columns else F.lit(None).cast(k)).alias(f"_{c}") for c, k in (("rel", "int"), ("conf", "double"), ("cat", "string"), ("urg", "int"), ("hazard", "string"), ("cc", "string"))])
+    j = rows.join(given, F.col(key) == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    yes = hit & (F.col("_rel") == 1)
+    new = {
+        "cat": F.when(yes & (F.coalesce("_cat", F.lit("")) != ""), F.col("_cat")).otherwise(F.col("cat")),
+        "urg": F.when(yes & F.col("_urg").isNotNull(), F.col("_urg")).otherwise(F.col("urg")),
+        "hz": F.when(yes & (F.coalesce("_hazard", F.lit("")) != ""), F.col("_hazard")).otherwise(F.col("hz")),
+        "cc": F.when(yes, F.col("_cc")).otherwise(F.col("cc")),
+        "rel": F.when(hit, F.col("_rel")).otherwise(F.col("rel")),
+        "conf": F.when(hit & F.col("_conf").isNotNull(), F.col("_conf")).otherwise(F.col("conf")),
+        "decided_by": F.when(hit, "llm").otherwise(F.col("decided_by")),
+    }
+    return j.withColumns({c: v for c, v in new.items() if c in rows.columns}).drop("_id", "_rel", "_conf", "_cat", "_urg", "_hazard", "_cc")
+
+
 def applied(rows: DataFrame, labels: DataFrame, row_id: str = "id") -> DataFrame:
-    """Local labels overwritten where a label came; irrelevant rows keep theirs (and are blanked later)."""
-    new = labels.select(F.col(row_id).alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("rel", "conf", "hazard", "cat", "urg", "cc")])
-    j = rows.join(new, F.col(row_id) == F.col("_id"), "left")
-    hit, yes = F.col("_id").isNotNull(), F.col("_rel") == 1
-    given = lambda c: hit & yes & (F.coalesce(F.col(c), F.lit("")) != "")
-    out = j.withColumn("cat", F.when(given("_cat"), F.col("_cat")).otherwise(F.col("cat"))).withColumn("hz", F.when(given("_hazard"), F.col("_hazard")).otherwise(F.col("hz"))).withColumn("urg", F.when(hit & yes & F.col("_urg").isNotNull(), F.col("_urg")).otherwise(F.col("urg"))).withColumn("cc", F.when(given("_cc"), F.col("_cc")).otherwise(F.col("cc")))
-    out = out.withColumn("rel", F.when(hit, F.col("_rel")).otherwise(F.col("rel"))).withColumn("conf", F.when(hit, F.col("_conf") / 9).otherwise(F.col("conf"))).withColumn("decided_by", F.when(hit, "llm").otherwise(F.col("decided_by")))
-    return out.drop("_id", "_rel", "_conf", "_hazard", "_cat", "_urg", "_cc")
+    """Local labels overwritten where a reviewed one came, whose confidence is out of nine."""
+    return _overwritten(rows, labels.withColumn("conf", F.col("conf") / 9), row_id)
 
 
-def precomputed(rows: DataFrame, labels: DataFrame, key: str = "g", order: str = "pos") -> DataFrame:
-    """Labels made before: the first per key wins, only hits overwrite."""
-    first = labels.groupBy(key).agg(F.min_by(F.struct(*[c for c in labels.columns if c != key]), order).alias("l")).select(F.col(key).alias("_k"), "l.*")
-    renamed = first.select("_k", F.col("rel").alias("_rel"), F.col("cat").alias("_cat"))
-    j = rows.join(renamed, F.col(key) == F.col("_k"), "left")
-    return j.withColumn("rel", F.coalesce("_rel", "rel")).withColumn("cat", F.coalesce(F.when(F.col("_cat") != "", F.col("_cat")), F.col("cat"))).withColumn("decided_by", F.when(F.col("_k").isNotNull(), "llm").otherwise(F.col("decided_by"))).drop("_k", "_rel", "_cat")
+def precomputed(rows: DataFrame, labels: DataFrame, key: str = "g", order: str = "pos", default_hazard: str | None = None) -> DataFrame:
+    """Labels made before: the first per key wins; a label without a hazard has the default one, a country code has two letters."""
+    first = labels.groupBy(key).agg(F.min_by(F.struct(*[c for c in labels.columns if c != key]), order).alias("l")).select(key, "l.*")
+    if default_hazard is not None:
+        first = first.withColumn("hazard", F.coalesce(F.when(F.col("hazard") != "", F.col("hazard")), F.lit(default_hazard)) if "hazard" in first.columns else F.lit(default_hazard))
+    if "cc" in first.columns:
+        first = first.withColumn("cc", F.when(F.length("cc") == 2, F.col("cc")))
+    return _overwritten(rows, first, key)
 
 
 def blanked(rows: DataFrame) -> DataFrame:
@@ -157,7 +181,7 @@ def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int) -> Da
         except BudgetSpent:
             break
         if out:
-            answers.append((r["batch"], out))
+            answers.append((r["batch"], out, r["n"]))
     spark = rows.sparkSession
-    labels = parsed(spark.createDataFrame(answers, "batch long, answer string"))
-    return labels.withColumnRenamed("id", "pos").join(plan.select("batch", "pos", "id"), ["batch", "pos"]).drop("batch", "pos")
+    labels = parsed(spark.createDataFrame(answers, "batch long, answer string, n long"))
+    return labels.withColumnRenamed("id", "line").join(plan.select("batch", "line", "id"), ["batch", "line"]).drop("batch", "line")

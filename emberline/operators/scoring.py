@@ -48,6 +48,49 @@ def train_head(rows: DataFrame, label: str, features: str, weight: str, c: float
     return LogisticRegression(weightCol="weight", elasticNetParam=0.0, standardization=False, regParam=1 / (c * total), maxIter=200, tol=1e-8).fit(data)
 
 
+def trained_heads(rows: DataFrame, features: str, heads: dict[str, list[str]], weight: str | None = None, balanced: bool = True) -> dict[str, tuple[list[str], list[tuple[list[float], float]]]]:
+    """Per head its classes and a (weights, intercept) for each class that the rows have, in order; rows without a label are left out.
+
+    With ``balanced`` a row weighs the square root of the largest class's size over its own's. Two classes are one binary head.
+    """
+    out = {}
+    for name, classes in heads.items():
+        own = rows.where(F.col(name).isNotNull()).withColumn("_c", F.col(name).cast("string")).where(F.col("_c").isin(*classes))
+        sizes = {r["_c"]: r["count"] for r in own.groupBy("_c").count().collect()}  # as many rows as classes
+        seen = [c for c in classes if c in sizes]
+        if len(seen) < 2:
+            out[name] = (seen, [])
+            continue
+        largest = max(sizes.values())
+        w = F.coalesce(F.try_element_at(F.create_map(*[x for c in seen for x in (F.lit(c), F.lit((largest / sizes[c]) ** 0.5 if balanced else 1.0))]), "_c"), F.lit(1.0))
+        y = (F.array_position(F.array(*map(F.lit, seen)), F.col("_c")) - 1).cast("int")
+        model = train_head(own.withColumn("_y", y).withColumn("_w", w * (F.col(weight) if weight else F.lit(1.0))), "_y", features, "_w")
+        lines = [([float(x) for x in model.coefficientMatrix.toArray()[i]], float(model.interceptVector[i])) for i in range(model.coefficientMatrix.numRows)]
+        out[name] = (seen, [([0.0] * len(lines[0][0]), 0.0), lines[0]] if len(lines) == 1 else lines)
+    return out
+
+
+def imported_heads(table: DataFrame) -> dict[str, list[tuple[list[float], float]]]:
+    """Heads from a table as :func:`heads_table` writes it; a head of one line is binary. The table has a line per head and class."""
+    out: dict[str, list] = {}
+    for r in table.orderBy("head", "class").collect():
+        out.setdefault(r["head"], []).append((list(r["coef"]), r["intercept"]))
+    return {name: [([0.0] * len(lines[0][0]), 0.0), *lines] if len(lines) == 1 else lines for name, lines in out.items()}
+
+
+def leave_one_out(rows: DataFrame, by: str, features: str, label: str, weight: str = "weight") -> DataFrame:
+    """(by, n, right): for each value of ``by`` (few: one model each) how many of its rows a head trained on all others gets right."""
+    out = None
+    for (value,) in rows.select(by).distinct().orderBy(by).collect():
+        others, own = rows.where(~F.col(by).eqNullSafe(F.lit(value))), rows.where(F.col(by).eqNullSafe(F.lit(value)))
+        model = train_head(others, label, features, weight)
+        weights, intercept = [float(x) for x in model.coefficientMatrix.toArray()[0]], float(model.interceptVector[0])
+        guess = (binary(features, weights, intercept) >= 0.5).cast("int")
+        part = own.agg(F.lit(value).alias(by), F.count("*").alias("n"), F.count_if(guess == F.col(label)).alias("right"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def heads_table(spark, name: str, model) -> DataFrame:
     """A fitted model as (head, class, intercept, coef)."""
     rows = [(name, i, float(model.interceptVector[i]), [float(x) for x in model.coefficientMatrix.toArray()[i]]) for i in range(model.coefficientMatrix.numRows)]

@@ -2,49 +2,52 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import text as T
 
+# fixed values: words that are distinctive for floods in general and stay visible
+KEEP = [
+    "flood", "floods", "flooding", "flooded", "water", "rain", "river", "evacuation", "evacuated", "rescue", "help", "donate", "relief", "emergency", "red",
+    "cross", "storm", "prayers", "damage", "power", "bridge", "road", "closed", "shelter", "volunteers", "safe", "stay", "update", "news", "alert",
+]
+
 
 def document_frequency(docs: DataFrame, text: str = "text", least: int = 3, lower: bool = True) -> DataFrame:
-    """(token, df): in how many texts each token stands."""
-    t = T.tokens(F.lower(F.coalesce(F.col(text), F.lit(""))) if lower else F.col(text))
+    """(token, df): in how many texts each token stands, outside links and mentions and without the hash of hashtags."""
+    t = T.plain_tokens(F.col(text)) if lower else T.tokens(F.col(text))
     return docs.select(F.explode(F.array_distinct(t)).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
-def distinctive_terms(docs: DataFrame, background: DataFrame, text: str = "text", share: float = 0.004, ratio: float = 8.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(token, df): capitalised tokens and hashtags that many texts have and the background, smoothed, has an eighth as often or less."""
-    caps = F.transform(F.filter(T.tokens(F.col(text)), lambda t: t.rlike(r"^[#A-ZÀ-Þ]")), lambda t: F.lower(F.regexp_replace(t, "^#", "")))
+def distinctive_terms(docs: DataFrame, background: DataFrame, text: str = "text", share: float = 0.004, ratio: float = 8.0, keep: tuple[str, ...] = tuple(KEEP), common: tuple[str, ...] = ()) -> DataFrame:
+    """(token, df): capitalised tokens and hashtags that many texts have and the background, smoothed, has an eighth as often or less.
+
+    Words to keep, forms of the common words, and words with an apostrophe within are none. The background counts tokens of three texts or more.
+    """
+    marked = F.filter(T.tokens(T.without_links(F.col(text))), lambda t: t.rlike(r"^[#\p{Lu}]"))
+    caps = F.transform(marked, lambda t: F.ltrim(F.lower(t), F.lit("#")))
     df = docs.select(F.explode(F.array_distinct(caps)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    back = document_frequency(background, text, 1).withColumnRenamed("df", "back")
+    back = document_frequency(background, text).withColumnRenamed("df", "back")
     sizes = docs.agg(F.count("*").alias("n")).crossJoin(background.agg(F.count("*").alias("m")))
     j = df.join(back, "token", "left").crossJoin(F.broadcast(sizes))
     ok = (F.col("df") / F.col("n") >= share) & ((F.col("df") / F.col("n")) / ((F.coalesce("back", F.lit(0)) + 1) / (F.col("m") + 1)) >= ratio)
-    return j.where(ok & (F.length("token") >= 3) & ~F.col("token").isin(*keep) & ~F.col("token").rlike(r"['’]s$|ing$")).select("token", "df")
-
+    base = F.regexp_replace("token", r"['’]s$", "")
+    known = lambda c: c.isin(*common) if common else F.lit(False)
+    stem = F.regexp_replace(base, "ing$", "")
+    usual = known(base) | known(F.rtrim(base, F.lit("s"))) | (base.endswith("ing") & (known(stem) | known(F.concat(stem, F.lit("e")))))
+    return j.where(ok & (F.length("token") >= 3) & ~F.col("token").isin(*keep) & ~base.rlike("['’]") & ~usual).select("token", "df")
 
-def mask_proper_nouns(texts: DataFrame, dictionary: frozenset[str], text: str = "text") -> DataFrame:
-    """Capitalised words that do not begin a sentence and are in no dictionary become PLACE."""
-    word = re.compile(r"#?[A-Za-zÀ-ÿ][\w'’\-]*")
 
-    @F.pandas_udf("string")
-    def mask(s: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
-            out, end = [], 0
-            for m in word.finditer(t):
-                gap = t[end : m.start()]
-                begins = end == 0 or re.search(r"[.!?:\n]", gap) is not None
-                w = m.group()
-                noun = w[0].isupper() and not begins and w.lower() not in dictionary and w not in ("PLACE", "URL", "RT")
-                out += [gap, "PLACE" if noun else w]
-                end = m.end()
-            return re.sub(r"PLACE(?:\s+PLACE)+", "PLACE", "".join(out) + t[end:])
+def mask_proper_nouns(c: Column, common: tuple[str, ...], mark: str = "PLACE") -> Column:
+    """Capitalised words that do not begin a sentence, are not common and not to be kept become marks; white space stays as it is."""
+    words, gaps = F.split(c, rf"{T.S}+", -1), F.regexp_extract_all(c, F.lit(rf"{T.S}+"), 0)
+    before = lambda i: F.when(F.get(words, i - 1) != "", F.get(words, i - 1))
 
-        return s.map(one, na_action="ignore")
+    def one(w: Column, i: Column) -> Column:
+        core = F.ltrim(F.btrim(w, F.lit(".,!?:;\"'()")), F.lit("#"))
+        begins = before(i).isNull() | F.right(before(i), F.lit(1)).isin(".", "!", "?", ":")
+        noun = core.rlike(r"^\p{Lu}") & ~begins & ~F.lower(core).isin(*common, *KEEP) & ~core.isin("PLACE", "URL", "RT", "I") & ~core.rlike("^I['’]")
+        return F.when(noun, F.replace(w, core, F.lit(mark))).otherwise(w)
 
-    return texts.withColumn(text, mask(text))
+    return F.array_join(F.zip_with(F.transform(words, one), gaps, lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")

@@ -94,7 +94,7 @@ def facet_countries(records: DataFrame, spec: ViewSpec, k: int = 12) -> DataFram
 def kpis(records: DataFrame, spec: ViewSpec) -> DataFrame:
     inside = matches(spec)
     count = lambda c: F.count_if(c).cast("long")
-    return records.agg(F.count("*").alias("rows"), count(F.col("canon")).alias("uniq"), count(F.col("rel") == 1).alias("relevant"), count((F.col("rel") == 1) & (hazard() == "FLOOD")).alias("floods"), count(inside).alias("in_view"), count(inside & F.exists("places", lambda x: x.prec != "region")).alias("mapped"), F.count_distinct(F.when(inside, F.col("cc"))).alias("countries"))
+    return records.agg(F.count("*").alias("rows"), count(F.col("canon")).alias("uniq"), count(F.col("canon") & (F.col("rel") == 1)).alias("relevant"), count(F.col("canon") & (F.col("rel") == 1) & (hazard() == "FLOOD")).alias("floods"), count(inside).alias("in_view"), count(inside & F.exists("places", lambda x: x.prec != "region")).alias("mapped"), F.count_distinct(F.when(inside, F.col("cc"))).alias("countries"))
 
 
 def with_places(records: DataFrame, places: DataFrame) -> DataFrame:
@@ -122,6 +122,27 @@ def country_agg(records: DataFrame, spec: ViewSpec, centres: DataFrame) -> DataF
     return n.join(centres, "cc").withColumn("radius", F.least(F.lit(40.0), 7 + 2.2 * F.sqrt("n")))
 
 
+def timeline_of(records: DataFrame, spec: ViewSpec) -> DataFrame:
+    """The timeline of a view: unique rows if the view is of these, relevant ones if it is of these; ``seen`` counts what all filters leave."""
+    own = conditions(spec)
+    base = own["unique"] & (own["relevance"] if spec.relevance == "rel" else F.lit(True))
+    return timeline(records.where(base), matches(spec))
+
+
+def described(spec: ViewSpec, country_names: dict[str, str] | None = None) -> str:
+    """The filter in words."""
+    parts = [{"rel": "relevant", "unsure": "uncertain", "irr": "not relevant", "all": "all"}[spec.relevance] + " tweets"]
+    named = lambda c: "unknown" if c == "??" else (country_names or {}).get(c, c)
+    for label, values, join in (("hazard", spec.hazards, "/"), ("countries", tuple(map(named, spec.countries or ())), ", "), ("categories", spec.categories, "/"), ("urgency", spec.urgencies, "/"), ("places", spec.places, ", ")):
+        if values:
+            parts.append(f"{label} {join.join(map(str, values))}")
+    if spec.query:
+        parts.append(f'text contains "{spec.query}"')
+    if spec.start is not None:
+        parts.append(f"time {spec.start} to {spec.end}")
+    return "; ".join(parts)
+
+
 def timeline(rows: DataFrame, inside: Column, ts: str = "ts") -> DataFrame:
     """(bin, total, seen): bins of a day, six hours or an hour by the span; empty bins count 0. The span is one aggregate row."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -177,12 +198,17 @@ def csv_rows(records: DataFrame, spec: ViewSpec) -> DataFrame:
 
 
 def representative(records: DataFrame, n: int = 150) -> DataFrame:
-    """Quota per category of the best scored rows, filled up with the best others, cut at n."""
+    """Quota per category of the best scored rows, filled up with the best others, cut at n.
+
+    Only n rows of a category can matter: these are taken per slice of ids first, so that no category meets in one task whole.
+    """
     score = F.log2(1 + F.col("n")) + 1.5 * F.col("urg") + F.col("conf") + 0.5 * (F.size("places") > 0).cast("int")
-    r = records.withColumn("c", cat()).withColumn("score", score)
-    sizes = r.groupBy("c").agg(F.count("*").alias("k")).withColumn("quota", F.greatest(F.lit(3.0), F.bround(n * F.col("k") / F.sum("k").over(Window.partitionBy()))))
-    ranked = r.join(F.broadcast(sizes), "c").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "id"))).withColumn("picked", F.col("r") <= F.col("quota"))
-    return ranked.orderBy(F.desc("picked"), F.desc("score"), "id").limit(n).drop("r", "quota", "k", "picked")
+    r = records.withColumn("c", cat()).withColumn("score", score).withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(256)))
+    sizes = records.groupBy(cat().alias("c")).agg(F.count("*").alias("k")).withColumn("quota", F.greatest(F.lit(3.0), F.bround(n * F.col("k") / F.sum("k").over(Window.partitionBy()))))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
+    some = r.withColumn("r", best("c", "_p")).where(F.col("r") <= n)
+    ranked = some.join(F.broadcast(sizes), "c").withColumn("r", best("c")).withColumn("picked", F.col("r") <= F.col("quota"))
+    return ranked.orderBy(F.desc("picked"), F.desc("score"), "id").limit(n).drop("r", "quota", "k", "picked", "_p")
 
 
 def place_popup(records: DataFrame, spec: ViewSpec, name: str, k: int = 4) -> DataFrame:

@@ -11,14 +11,14 @@ from emberline.functions import text as T
 from emberline.operators import gazetteer as G
 from emberline.operators import grouping, metrics, review, sampling, scoring, terms, view
 from emberline.plans import relations as R
-from emberline.session import table
+from emberline.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 S, W = r"[\s\p{Z}]", r"[\p{L}\p{N}_]"
 P0, R0, L0 = f"({R.POSTS})", f"({R.RECORDS})", f"({R.PLACES})"
-_KEY = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({{0}}), 'https?://[^\s\p{{Z}}]+', ' ', 'g'), '^rt{S}+@{W}+{S}*:?{S}*', ''), '@{W}+', ' ', 'g'), '(?:…|\.\.\.){S}*$', ''), '[^\p{{L}}\p{{N}}_#]+', ' ', 'g'))".replace("{S}", S).replace("{W}", W)
+_KEY = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({{0}}), 'https?://[^\s\p{{Z}}]+', ' ', 'g'), '^{S}*rt{S}+@{W}+{S}*:?{S}*', ''), '@{W}+', ' ', 'g'), '(?:…|\.\.\.){S}*$', ''), '[^\p{{L}}\p{{N}}_#]+', ' ', 'g'))".replace("{S}", S).replace("{W}", W)
 
 
 def _key(c: str) -> str:
@@ -130,40 +130,60 @@ def tokens(s, d):
     return _docs(s, d).select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(f"select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '{_TOK}')) as token from documents) group by 1 having count(*) >= 3")
+_BARE = rf"regexp_replace(regexp_replace(text, 'https?://[^\s\p{{Z}}]+', ' ', 'g'), '@{W}+', ' ', 'g')"
+_PLAIN = f"select distinct doc_id, lang, lower(ltrim(t, '#')) as token from (select doc_id, lang, unnest(regexp_extract_all({_BARE}, '{_TOK}')) as t from documents)"
+
+
+@query(f"select token, count(*) as df from ({_PLAIN}) group by 1 having count(*) >= 3")
 def doc_freq(s, d):
     return terms.document_frequency(_docs(s, d))
 
 
-_CAPS = f"select distinct doc_id, lower(regexp_replace(t, '^#', '')) as token from (select doc_id, unnest(regexp_extract_all(text, '{_TOK}')) as t from documents where lang='fr') where regexp_matches(t, '^[#A-ZÀ-Þ]')"
+_CAPS = f"select distinct doc_id, ltrim(lower(t), '#') as token from (select doc_id, unnest(regexp_extract_all({_BARE}, '{_TOK}')) as t from documents where lang='fr') where regexp_matches(t, '^[#\\p{{Lu}}]')"
+_COMMON = ("bien", "fait", "go", "mak")
+
 
+def _listed_sql(words) -> str:
+    return "(" + ",".join(f"'{w}'" for w in words) + ")"
 
-@query(f"""with a as ({_CAPS}), f as (select token, count(*) as df from a group by 1), b as (select token, count(*) as back from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '{_TOK}')) as token from documents where lang<>'fr') group by 1),
- z as (select (select count(*) from documents where lang='fr') as n, (select count(*) from documents where lang<>'fr') as m)
- select token, df from f left join b using (token) cross join z where df/n >= 0.004 and (df/n) / ((coalesce(back,0)+1)/(m+1)) >= 8 and length(token) >= 3 and not regexp_matches(token, '[''’]s$|ing$')""")
+
+@query(f"""with a as ({_CAPS}), f as (select token, count(*) as df from a group by 1), b as (select token, count(*) as back from ({_PLAIN}) where lang<>'fr' group by 1 having count(*) >= 3),
+ z as (select (select count(*) from documents where lang='fr') as n, (select count(*) from documents where lang<>'fr') as m), x as (select *, regexp_replace(token, '[''’]s$', '') as base from f)
+ select token, df from x left join b using (token) cross join z where df/n >= 0.004 and (df/n) / ((coalesce(back,0)+1)/(m+1)) >= 8 and length(token) >= 3 and token not in {_listed_sql(terms.KEEP)} and not regexp_matches(base, '[''’]')
+ and base not in {_listed_sql(_COMMON)} and rtrim(base, 's') not in {_listed_sql(_COMMON)} and not (ends_with(base, 'ing') and (left(base, -3) in {_listed_sql(_COMMON)} or left(base, -3) || 'e' in {_listed_sql(_COMMON)}))""")
 def distinctive_terms(s, d):
     x = _docs(s, d)
-    return terms.distinctive_terms(x.where("lang = 'fr'"), x.where("lang <> 'fr'"))
+    return terms.distinctive_terms(x.where("lang = 'fr'"), x.where("lang <> 'fr'"), common=_COMMON)
 
 
-@query("select doc_id, lower(strip_accents(left(text, 60))) as folded from documents where lang in ('fr', 'es')")
+@query("select doc_id, lower(strip_accents(text)) as folded from documents")
 def fold(s, d):
-    return _docs(s, d).where(F.col("lang").isin("fr", "es")).select("doc_id", T.fold(F.expr("left(text, 60)")).alias("folded"))
+    return _docs(s, d).select("doc_id", T.fold("text").alias("folded"))
 
 
-@query(f"select post_id, cast(regexp_matches(lower(text), '{'|'.join(T.KEYWORDS)}') as int) as keyword, cast(contains(text, 'PLACE') as int) as place, cast(starts_with(text, 'RT ') as int) as retweet, cast(regexp_matches(text, 'https?://|URL') as int) as link from {P0}")
+@query(f"select post_id, cast(regexp_matches(text, '(?i){'|'.join(T.KEYWORDS)}') as int) as keyword, cast(contains(text, 'PLACE') as int) as place, cast(starts_with(text, 'RT ') as int) as retweet, cast(contains(text, 'URL') as int) as link from {P0}")
 def flags(s, d):
     return R.posts(s, d).select("post_id", T.flags(F.col("text")).alias("f")).select("post_id", "f.*")
 
 
-@query(rf"select post_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])(?i:other|that|the|for)(?:$|\b)', '\1PLACE', 'g'), 'https?://[^\s\p{{Z}}]+', 'URL', 'g'), '@{W}+', '@user', 'g'), 'PLACE(?:{S}+PLACE)+', 'PLACE', 'g'), '{S}+', ' ', 'g')) as masked from {P0} where regexp_matches(text, '^[\x00-\x7f…]*$')")
+@query(rf"select post_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])(#?)(?i:other|that|the|for)', '\1\2PLACE', 'g'), 'https?://[^\s\p{{Z}}]+', 'URL', 'g'), '@{W}+', '@user', 'g'), '(?:PLACE{S}*)+', 'PLACE ', 'g'), '^{S}+|{S}+$', '', 'g') as masked from {P0}")
 def mask_terms(s, d):
-    return R.posts(s, d).where(F.col("text").rlike("^[\\x00-\\x7f…]*$")).select("post_id", T.mask_terms(F.col("text"), ["the", "that", "for", "other"]).alias("masked"))
+    return R.posts(s, d).select("post_id", T.mask_terms(F.col("text"), ["the", "that", "for", "other"]).alias("masked"))
+
 
+@query()
+def mask_nouns(s, d):
+    return R.posts(s, d).select("post_id", terms.mask_proper_nouns(F.col("text"), ("the", "and")).alias("masked"))
+
+
+@query()
+def place_hint(s, d):
+    return R.posts(s, d).select("post_id", T.place_hint(F.col("text"), F.lit(None).cast("array<string>")).alias("hinted"))
 
-@query("select n_nationkey, case when n_nationkey % 2 = 0 then n_name || ';Alberta;' || 'Quebec' else n_name || ';Alberta' end as locs from nation")
+
+@query("select n_nationkey, case when n_nationkey % 2 = 0 then n_name || ';Alberta;' || 'Ontario' else n_name || ';Alberta' end as locs from nation")
 def norm_locations(s, d):
-    raw = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(",AB; alberta;QC;"), F.lower("n_name"))).otherwise(F.concat("n_name", F.lit(" , AB")))
+    raw = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(",ab; alberta;On;"), F.lower("n_name"))).otherwise(F.concat("n_name", F.lit(" , AB")))
     return table(s, d, "nation").select("n_nationkey", T.norm_locations(raw).alias("locs"))
 
 
@@ -178,13 +198,20 @@ def hash(s, d):  # noqa: A001
     return _docs(s, d).select("doc_id", F.substring(F.sha2(F.col("text"), 256), 1, 24).alias("h"))
 
 
-@query("select 'text' as text_col, avg(length(text)) as mean_chars from documents")
+@query("select 'words_of_it' as text_col, avg(length(text)) as mean_chars from documents")
 def text_col_fallback(s, d):
     from emberline.sources.files import detect_columns
 
     x = _docs(s, d).withColumnRenamed("text", "words_of_it")
     name, _ = detect_columns(x)
-    return x.agg(F.lit(name.replace("words_of_it", "text")).alias("text_col"), F.avg(F.length(name)).alias("mean_chars"))
+    return x.agg(F.lit(name).alias("text_col"), F.avg(F.length(name)).alias("mean_chars"))
+
+
+@query("select row_number() over (order by event_id) - 1 as row_id, event_id from events")
+def row_ids(s, d):
+    from emberline.sources.files import with_row_ids
+
+    return with_row_ids(table(s, d, "events").select("event_id")).select("row_id", "event_id")
 
 
 @query(f"select conv_id, turn, lag(role) over (partition by conv_id order by turn) as prev_role from conversations")
@@ -246,7 +273,7 @@ def dominant(s, d):
     return view.dominant(rows, "name", "c", "id")
 
 
-@query(f"select count(*) as rows, count(*) filter (canon) as uniq, count(*) filter (rel=1) as relevant, count(*) filter (rel=1 and {_HZ}='FLOOD') as floods, count(*) filter ({_where()}) as in_view, count(*) filter ({_where()} and id in (select id from {L0} where prec<>'region')) as mapped, count(distinct case when {_where()} then cc end) as countries from {R0}")
+@query(f"select count(*) as rows, count(*) filter (canon) as uniq, count(*) filter (canon and rel=1) as relevant, count(*) filter (canon and rel=1 and {_HZ}='FLOOD') as floods, count(*) filter ({_where()}) as in_view, count(*) filter ({_where()} and id in (select id from {L0} where prec<>'region')) as mapped, count(distinct case when {_where()} then cc end) as countries from {R0}")
 def kpis(s, d):
     return view.kpis(R.records(s, d), SPEC)
 
@@ -258,9 +285,9 @@ def _timeline_sql(source: str, inside: str) -> str:
  select b.bin as bin, coalesce(total,0) as total, coalesce(seen,0) as seen from b left join n on n.bin=b.bin"""
 
 
-@query(_timeline_sql(R0, _where()))
+@query(_timeline_sql(f"(select * from {R0} where canon and rel=1)", _where()))
 def timeline(s, d):
-    return view.timeline(R.plain_records(s, d), view.matches(SPEC))
+    return view.timeline_of(R.plain_records(s, d), SPEC)
 
 
 @query(_timeline_sql("events", "event_type='click'"))
@@ -445,20 +472,26 @@ def batches(s, d):
     return _plan(s, d, 5, 7).groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
 
 
-@query("select doc_id as id, cast(doc_id % 2 as int) as rel, cast(doc_id % 10 as int) as conf, case when doc_id % 2 = 1 then 'INFRA' else '' end as cat, case when doc_id % 2 = 1 then cast(doc_id % 4 as int) end as urg, case when doc_id % 2 = 1 then 'High River' else '' end as places from documents where doc_id % 3 <> 2")
+@query("select doc_id as id, cast(doc_id % 2 as int) as rel, cast(doc_id % 10 as int) as conf, case when doc_id % 2 = 0 then '' when doc_id % 5 = 0 then 'OTHER' else 'INFRA' end as cat, case when doc_id % 2 = 0 then 0 when doc_id % 5 = 0 then 1 else cast(doc_id % 4 as int) end as urg, case when doc_id % 2 = 1 then 'High River' else '' end as places, case when doc_id % 2 = 1 and doc_id % 7 = 0 then 'QUAKE' end as hazard, case when doc_id % 2 = 1 and doc_id % 7 = 0 and doc_id % 5 <> 0 then 'CA' end as cc from documents where doc_id % 3 <> 2 and not (doc_id % 7 = 0 and doc_id % 5 = 0)")
 def parse_labels(s, d):
-    i = F.col("doc_id").cast("string")
-    rel = (F.col("doc_id") % 2).cast("string")
-    good = F.concat_ws("|", i, rel, (F.col("doc_id") % 10).cast("string"), F.when(F.col("doc_id") % 2 == 1, F.concat_ws("|", F.lit("INFRA"), (F.col("doc_id") % 4).cast("string"), F.lit("High River"))))
-    lines = F.when(F.col("doc_id") % 3 == 2, F.concat(i, F.lit("|2|9\nnot a line\n|1|"))).otherwise(F.concat(good, F.lit("\n"), i, F.lit("|0|1")))
-    x = review.parsed(_docs(s, d).select((F.col("doc_id") * 1).alias("batch"), lines.alias("answer")))
-    return x.select("id", "rel", "conf", "cat", "urg", F.array_join("places", ";").alias("places"))
+    i, odd = F.col("doc_id"), F.col("doc_id") % 2 == 1
+    urg = (i % 4).cast("string")
+    tail = F.when(odd & (i % 7 == 0), F.concat(F.lit("|quake|Infra|"), urg, F.lit("|ca|High River; -"))).when(odd & (i % 5 == 0), F.lit("|-|High River")).when(odd, F.concat(F.lit("|infra|-|"), urg, F.lit("|High River")))
+    good = F.concat(F.lit(" `"), i.cast("string"), F.lit("| "), (i % 2).cast("string"), F.lit(" |"), (i % 10).cast("string"), F.coalesce(tail, F.lit("")), F.lit("`"))
+    lines = F.when(i % 3 == 2, F.concat(i.cast("string"), F.lit("|2|9\nnot a line\n|1|"))).otherwise(F.concat(good, F.lit("\n"), i.cast("string"), F.lit("|0|1")))
+    x = review.parsed(_docs(s, d).where("not (doc_id % 7 = 0 and doc_id % 5 = 0)").select((i * 1).alias("batch"), lines.alias("answer")))
+    return x.select("id", "rel", "conf", "cat", "urg", F.array_join("places", ";").alias("places"), "hazard", "cc")
 
 
-@query(f"with f as (select g, quality as lrel, case when doc_id % 2 = 0 then 'AID' else '' end as lcat from (select doc_id - doc_id % 3 as g, doc_id, quality, row_number() over (partition by doc_id - doc_id % 3 order by doc_id) as k from labels) where k=1) select id, coalesce(lrel, rel) as rel, case when coalesce(lcat,'')<>'' then lcat else cat end as cat, case when f.g is not null then 'llm' else decided_by end as decided_by from {R0} r left join f on f.g=r.g")
+_FIRST = "select g, quality as lrel, case when doc_id % 2 = 0 then 'AID' else '' end as lcat, cast(doc_id % 4 as int) as lurg, case when doc_id % 5 = 0 then '' else 'FIRE' end as lhz, case when doc_id % 4 = 0 then 'C' when doc_id % 3 = 0 then 'CA' end as lcc, (doc_id % 10) / 10e0 as lconf from (select doc_id - doc_id % 3 as g, doc_id, quality, row_number() over (partition by doc_id - doc_id % 3 order by doc_id) as k from labels) where k=1"
+
+
+@query(f"with f as ({_FIRST}) select id, coalesce(lrel, rel) as rel, round(coalesce(lconf, conf), 6) as conf, case when lrel=1 and lcat<>'' then lcat else cat end as cat, case when lrel=1 then lurg else urg end as urg, case when lrel=1 then case when lhz='' then 'STORM' else lhz end else hz end as hz, case when lrel=1 then case when length(lcc)=2 then lcc end else cc end as cc, case when f.g is not null then 'llm' else decided_by end as decided_by from {R0} r left join f on f.g=r.g")
 def precomputed_override(s, d):
-    labels = table(s, d, "labels").select((F.col("doc_id") - F.col("doc_id") % 3).alias("g"), F.col("doc_id").alias("pos"), F.col("quality").alias("rel"), F.when(F.col("doc_id") % 2 == 0, "AID").otherwise("").alias("cat"))
-    return review.precomputed(R.plain_records(s, d), labels).select("id", "rel", "cat", "decided_by")
+    i = F.col("doc_id")
+    labels = table(s, d, "labels").select((i - i % 3).alias("g"), i.alias("pos"), F.col("quality").alias("rel"), F.when(i % 2 == 0, "AID").otherwise("").alias("cat"), (i % 4).cast("int").alias("urg"), F.when(i % 5 == 0, "").otherwise("FIRE").alias("hazard"), F.when(i % 4 == 0, "C").when(i % 3 == 0, "CA").alias("cc"), ((i % 10) / F.lit(10.0)).alias("conf"))
+    x = review.precomputed(R.plain_records(s, d), labels, default_hazard="STORM")
+    return x.select("id", "rel", F.round("conf", 6).alias("conf"), "cat", "urg", "hz", "cc", "decided_by")
 
 
 @query(f"select r.id as id, c.urg as urg, c.cat as cat from {R0} r left join (select g, urg, cat from {R0} where canon) c on c.g=r.g")
@@ -524,24 +557,24 @@ def dedupe_first(s, d):
     return sampling.first_per_key(_docs(s, d).select("source", "doc_id", "lang"), "source", "doc_id")
 
 
-_BK, _DK = _key("left(text, 60)"), _key("left(text, 60)")
+def _keys(df):
+    return df.withColumn("key", T.norm_key(F.col("text")))
 
 
-def _keys(df):
-    return df.withColumn("key", T.norm_key(F.expr("left(text, 60)")))
+_HELD = f"(select {_key('text')} as key from documents where doc_id % 20 = 0)"
 
 
-@query(f"select doc_id from documents where {_DK} not in (select {_BK} from benchmark union select {_key('left(text, 60)')} from documents where doc_id % 50 = 0)")
+@query(f"with h as (select {_key('text')} as key from benchmark union select key from {_HELD}) select doc_id from documents where {_key('text')} not in (select key from h where key <> '')")
 def leakage_guard(s, d):
     x = _keys(_docs(s, d))
-    held = _keys(table(s, d, "benchmark")).select("key").union(x.where("doc_id % 50 = 0").select("key"))
+    held = _keys(table(s, d, "benchmark")).select("key").union(x.where("doc_id % 20 = 0").select("key"))
     return sampling.leakage_guard(x, held, "key").select("doc_id")
 
 
-@query(f"select source, count(*) as n from documents where {_DK} in (select {_DK} from documents where doc_id % 50 = 0) group by 1")
+@query(f"select source, count(*) as n from documents where {_key('text')} in (select key from {_HELD} where key <> '') group by 1")
 def leakage_report(s, d):
     x = _keys(_docs(s, d))
-    return sampling.leaked(x, x.where("doc_id % 50 = 0"), "key", "source")
+    return sampling.leaked(x, x.where("doc_id % 20 = 0"), "key", "source")
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -723,13 +756,13 @@ def decimate(s, d):
 
 
 def _seed_index(s, d):
-    """A dictionary from the texts themselves: capitalised words of a narrow range of frequency, numbered in order."""
+    """A dictionary from the texts themselves: capitalised words of a narrow range of frequency, numbered by their hash."""
     df = terms.document_frequency(_docs(s, d), "text", 5, lower=False).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$"))
-    p = df.select("token", F.row_number().over(Window.orderBy("token")).cast("long").alias("place_id"))  # the dictionary is small by its range of frequency
-    return p.select(F.lower("token").alias("key"), F.struct(F.col("token").alias("name"), "place_id", F.lit("town").alias("kind"), F.lit(1_500_000).cast("long").alias("pop")).alias("place"))
+    p = df.select("token", "df", F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 12), 16, 10).cast("long").alias("place_id"))
+    return written(p.select(F.lower("token").alias("key"), F.struct(F.col("token").alias("name"), "place_id", F.lit("town").alias("kind"), (F.col("df") * 50_000).cast("long").alias("pop")).alias("place")), "dictionary")
 
 
-@query(f"with df as (select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(text, '{_TOK}')) as token from documents) group by 1), i as (select token, lower(token) as key, row_number() over (order by token) as place_id from df where df between 5 and 40 and regexp_matches(token, '^[A-Z][a-z]{{4,}}$')), t as (select post_id, unnest(regexp_extract_all(text, '#?[A-Za-zÀ-ÿ0-9''’\\-.]+')) as tok from {P0}) select post_id, place_id, count(*) as n from t join i on lower(regexp_replace(regexp_replace(tok, '^[.''’\\-]+', ''), '[.''’\\-]+$', '')) = i.key group by 1,2")
+@query(f"with df as (select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(text, '{_TOK}')) as token from documents) group by 1), i as (select token, lower(token) as key, cast('0x' || left(md5(token), 12) as bigint) as place_id from df where df between 5 and 40 and regexp_matches(token, '^[A-Z][a-z]{{4,}}$')), t as (select post_id, unnest(regexp_extract_all(text, '#?[A-Za-zÀ-ÿ0-9''’\\-.]+')) as tok from {P0}) select post_id, place_id, count(*) as n from t join i on lower(regexp_replace(regexp_replace(tok, '^[.''’\\-]+', ''), '[.''’\\-]+$', '')) = i.key group by 1,2")
 def candidate_spans(s, d):
     c = G.candidate_spans(R.posts(s, d), _seed_index(s, d)).where("n = 1")
     return c.groupBy("post_id", F.col("place.place_id").alias("place_id")).agg(F.count("*").alias("n"))
@@ -759,4 +792,10 @@ def resolve_llm_places(s, d):
 def process_end_to_end(s, d):
     from emberline.plans.process import process
 
-    return process(R.posts(s, d), _seed_index(s, d), budget=3, batch=20).select("post_id", "group_id", "rel", "cat", "urg", "decided_by")
+    posts = R.posts(s, d)
+    vectors = table(s, d, "embeddings")
+    n = vectors.agg(F.max("vec_id")).first()[0] + 1
+    own = posts.select("post_id", (F.col("post_id") % n).alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id").select("post_id", "embedding")
+    train = vectors.select(F.col("embedding"), (F.col("label") % 2).cast("int").alias("relevant"), F.get(F.array(*map(F.lit, review.CATEGORIES)), (F.col("label") % len(review.CATEGORIES)).cast("int")).alias("category"))
+    heads = scoring.trained_heads(train, "embedding", {"relevant": ["0", "1"], "category": review.CATEGORIES})
+    return process(posts, _seed_index(s, d), own, heads, budget=3, batch=20).select("post_id", "group_id", "rel", "cat", "urg", "decided_by", "place_hint")

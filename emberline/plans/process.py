@@ -1,10 +1,11 @@
-"""An upload from posts to labelled posts: grouped, places found, scored, reviewed within the budget, propagated to all copies."""
+"""An upload from posts to labelled posts: grouped, places found, scored by heads, reviewed within the budget, propagated to all copies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions import text as T
 from emberline.operators import gazetteer, grouping, review, scoring
 from emberline.session import written
 
@@ -18,18 +19,30 @@ def rule_answers(prompt: str) -> str:
     return "\n".join(out)
 
 
-def process(posts: DataFrame, index: DataFrame, budget: int = 0, batch: int = 200, provider: review.Provider | None = None) -> DataFrame:
-    """The posts with group, places and labels. Only canonical posts are scored and reviewed."""
+def process(posts: DataFrame, index: DataFrame, vectors: DataFrame, heads: dict, precomputed: DataFrame | None = None, default_hazard: str = "FLOOD", event_cc: str | None = None, budget: int = 0, batch: int = 200, provider: review.Provider | None = None) -> DataFrame:
+    """The posts with group, places, country and labels. Only canonical posts are scored and reviewed.
+
+    ``vectors`` has post_id and embedding; a post without one has probability 0.5 and category OTHER. ``heads`` are those of
+    :func:`scoring.trained_heads`, with ``relevant`` and ``category``. ``precomputed`` labels, by group_id, come before the review.
+    """
     g = written(grouping.grouped(posts), "grouped")
     canon = g.where("is_canonical").select(F.col("post_id").alias("id"), "group_id", "text")
     found = gazetteer.extracted(canon, index, "id")
-    x = canon.join(found, "id", "left")
-    p = F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000.0  # stands where a trained head's probability goes
-    x = x.withColumn("p", p).withColumn("hinted", F.coalesce(F.size("places") > 0, F.lit(False)))
+    x = canon.join(found, "id", "left").join(vectors.select(F.col("post_id").alias("id"), "embedding"), "id", "left")
+    none = F.col("embedding").isNull()
+    (_, relevant), (names, categories) = heads["relevant"], heads["category"]
+    p = F.coalesce(F.when(~none, F.get(scoring.softmax("embedding", relevant), F.lit(1))), F.lit(0.5)) if relevant else F.lit(0.5)
+    x = x.withColumn("p", p)
+    cat = F.when(~none, scoring.argmax(scoring.softmax("embedding", categories), names)) if categories else F.lit(None).cast("string")
+    surfaces = F.transform(F.coalesce("places", F.array().cast(dict(found.dtypes)["places"])), lambda s: s.span)
     r, c, _ = review.confidence(F.col("p"))
-    x = x.withColumn("rel", r).withColumn("conf", c).withColumn("cat", F.lit("OTHER")).withColumn("hz", F.lit("")).withColumn("cc", F.lit(None).cast("string")).withColumn("urg", scoring.fallback_urgency(F.col("cat"))).withColumn("decided_by", F.lit("local"))
+    x = x.withColumn("cat", F.coalesce(cat, F.lit("OTHER"))).withColumn("place_hint", T.place_hint(F.col("text"), surfaces)).withColumn("hinted", F.col("place_hint"))
+    x = x.withColumn("rel", r).withColumn("conf", c).withColumn("hz", F.lit(default_hazard)).withColumn("cc", F.lit(None).cast("string")).withColumn("urg", scoring.fallback_urgency(F.col("cat"))).withColumn("decided_by", F.lit("local")).drop("embedding")
+    if precomputed is not None:
+        x = review.precomputed(x, precomputed, "group_id", default_hazard=default_hazard)
     x = written(x, "scored")
     provider = provider or review.Provider(rule_answers, budget, "live")
-    labels = review.reviewed(x, provider, budget, batch)
+    labels = review.reviewed(x.where("decided_by = 'local'"), provider, budget, batch)
     x = review.blanked(review.applied(x, labels))
-    return review.propagated(g, x, ["rel", "cat", "urg", "conf", "hz", "cc", "decided_by", "places"])
+    x = x.withColumn("cc", F.coalesce("cc", F.lit(event_cc)))
+    return review.propagated(g, x, ["rel", "cat", "urg", "conf", "hz", "cc", "decided_by", "places", "place_hint"])

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from emberline.operators import view
 from emberline.session import table
 
-POSTS = """select doc_id*4 as post_id, left(text,200) as text from documents
-union all select doc_id*4+1, concat('RT @user', cast(doc_id%7 as varchar(10)), ': ', left(text,200)) from documents where doc_id%5=0
+POSTS = """select doc_id*4 as post_id, text as text from documents
+union all select doc_id*4+1, concat('RT @user', cast(doc_id%7 as varchar(10)), ': ', text) from documents where doc_id%5=0
 union all select doc_id*4+2, concat('RT @u: ', left(text,100), '…') from documents where doc_id%7=0
-union all select doc_id*4+3, concat('wow RT @u ', left(text,200)) from documents where doc_id%11=0"""
+union all select doc_id*4+3, concat('wow RT @u ', text) from documents where doc_id%11=0"""
 _REL = "coalesce(l.quality, cast(d.doc_id % 2 as int))"
 RECORDS = f"""select d.doc_id as id, d.doc_id - d.doc_id % 3 as g, 1 + d.doc_id % 5 as n, d.doc_id % 3 = 0 as canon,
-  left(d.text, 200) as text, {_REL} as rel, ((d.doc_id * 37) % 1000) / 1000e0 as p, ((d.doc_id * 53) % 101) / 100e0 as conf,
+  d.text as text, {_REL} as rel, ((d.doc_id * 37) % 1000) / 1000e0 as p, ((d.doc_id * 53) % 101) / 100e0 as conf,
   case when {_REL} = 0 then '' else case (d.doc_id * 7) % 10 when 0 then 'INFRA' when 1 then 'EVAC' when 2 then 'HUMAN' when 3 then 'PROPERTY'
     when 4 then 'NEEDS' when 5 then 'AID' when 6 then 'ADVISORY' when 7 then 'SUPPORT' when 8 then 'OTHER' else '' end end as cat,
   case when {_REL} = 0 then 0 else cast((d.doc_id * 11) % 4 as int) end as urg,

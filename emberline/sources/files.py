@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: column names by priority
@@ -40,20 +40,33 @@ def read_by_event(spark: SparkSession, glob: str) -> DataFrame:
     return df.withColumn("event", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
+def _best(columns: list[str], ranked: list[str]) -> str | None:
+    """Of the columns, whatever their case, the one whose name ranks first; of several spellings the last."""
+    rank = {name: i for i, name in enumerate(ranked)}
+    known = [(rank[c.lower().strip()], -at, c) for at, c in enumerate(columns) if c.lower().strip() in rank]
+    return min(known)[2] if known else None
+
+
 def detect_columns(df: DataFrame) -> tuple[str, str | None]:
-    """The text and time columns by name; without one, the string column with the longest mean text."""
-    names = {c.lower().strip(): c for c in reversed(df.columns)}
-    text = next((names[n] for n in TEXT_COLUMNS if n in names), None)
-    time = next((names[n] for n in TIME_COLUMNS if n in names), None)
+    """The text and time columns by name; without a text column, the string column with the longest mean text, of equals the first."""
+    text, time = _best(df.columns, TEXT_COLUMNS), _best(df.columns, TIME_COLUMNS)
     if text is None:
         strings = [c for c, t in df.dtypes if t == "string" and c != time]
         if not strings:
             raise ValueError("no text column")
-        means = df.agg(*[F.coalesce(F.avg(F.length(c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(strings)]).first()
-        text = max(enumerate(strings), key=lambda x: (means[f"c{x[0]}"], -x[0]))[1]
+        lengths = F.array(*[F.struct(F.coalesce(F.avg(F.length(c)), F.lit(0.0)).alias("mean"), F.lit(-i).alias("at")) for i, c in enumerate(strings)])
+        text = strings[-df.agg(F.array_max(lengths).alias("m")).first()["m"]["at"]]
     return text, time
 
 
+def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Rows numbered from 0 in the order of their files: each partition is counted, and starts where those before it end."""
+    by_part = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    sizes = by_part.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    starts = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return by_part.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + F.col("_m") - F.col("_first")).cast("long")).drop("_p", "_m", "_first", "_start")
+
+
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     df.write.csv(path, header=True, quoteAll=quote_all, escape='"', mode="overwrite")
 
