@@ -28,7 +28,7 @@ from emberline.session import forget, table, written
 
 REPEATS, BLOCK_ROWS, LEAST_BLOCKS, SEED = 2.0, 1000, 64, "mix"
 #: Copies that one task numbers, on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def _stats(sources: DataFrame, points: list[float]) -> list[tuple[float, float]]:
