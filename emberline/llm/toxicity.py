@@ -175,7 +175,7 @@ class Model:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray | None:
-    """Penalised logistic regression by Newton steps."""
+    """Penalised logistic regression by Newton steps, each shortened until the loss falls as its slope says."""
     if not len(y) or y.min() == y.max():
         return None
     mean, spread = x.mean(0), x.std(0) + 1e-9
@@ -183,11 +183,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray |
     w = np.zeros(a.shape[1])
     hold = ridge * np.eye(len(w))
     hold[-1, -1] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold, a.T @ (p - y) + hold @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ hold @ w / 2)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        slope = a.T @ (p - y) + hold @ w
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold, slope)
+        size = 1.0
+        while (new := loss(w - size * step)) > now - 1e-4 * size * (slope @ step) and size > 1e-10:
+            size /= 2
+        w, now = w - size * step, min(new, now)
+        if np.abs(size * step).max() < 1e-8:
             break
     return np.array([[*mean, 0], [*spread, 1], w])
 

@@ -416,6 +416,22 @@ def test_toxicity(spark, none):
     assert toxicity.without_toxic(none.select("doc_id", "text"), known).count() == 0
 
 
+def test_curve_is_the_minimum():
+    """Rare, nearly separable labels and skewed features, as large tables have them: steps must not run away."""
+    rng = np.random.default_rng(3)
+    for n, share in ((300, 0.5), (12_000, 0.02), (12_000, 0.0005)):
+        y = (rng.random(n) < share).astype(float)
+        y[:2] = 0, 1
+        strong = np.where(y > 0, rng.gamma(2, 0.3, n), rng.random(n) ** 30 * 0.05)
+        x = np.column_stack([rng.normal(-3 + 2 * y, 0.2), strong, np.log(strong + 1e-3), np.log(strong * 1.5 + 1e-3)])
+        mean, spread, w = toxicity.fit_curve(x, y)
+        a = np.column_stack([(x - mean[:-1]) / spread[:-1], np.ones(n)])
+        p = 1 / (1 + np.exp(-a @ w))
+        slope = a.T @ (p - y) + np.array([0.1] * 4 + [1e-6]) * w
+        assert np.isfinite(w).all() and np.abs(slope).max() < 1e-3
+        assert ((p >= 0.5) == (y > 0)).mean() > 0.95
+
+
 def test_toxicity_of_every_gram(spark):
     """Each counted gram has its own ratio, and none that was not counted has one, however many there are."""
     rng = random.Random(4)
