@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text as T
-from emberline.operators.skew import small_or_shuffled
+from emberline.operators.skew import join_on_hot_key, small_or_shuffled
+from emberline.session import written
 
 EARTH_KM, MAX_WORDS = 6371.0, 5
 #: Words that decide whether a span is a place; defaults of the rules.
@@ -16,6 +17,8 @@ TOO_BROAD = ["earth", "world", "north", "south", "east", "west", "downtown", "ci
 #: Words that may be small within a name; a default.
 SMALL = ["of", "the", "de", "du", "la"]
 ADMIN = ["country", "state", "province", "region"]
+# fixed values: words of direction before the name of a region
+DIRECTIONS = ["southern", "northern", "central", "eastern", "western", "south", "north", "east", "west"]
 # fixed values: precision of a kind of place
 PRECISION = {"point": "point", "line": "line", "city": "locality", "town": "locality", "locality": "locality", "province": "region", "state": "state", "country": "region"}
 
@@ -52,6 +55,28 @@ def name_index(places: DataFrame, priority: str = "priority") -> DataFrame:
     return every.groupBy(F.col("_v").alias("key")).agg(F.min_by(F.struct(*places.columns), F.struct(priority, "place_id")).alias("place"))
 
 
+def tries(name: Column) -> Column:
+    """What a name is looked up by, in order: its variants, the name without a word of direction (for regions alone), the name closed up."""
+    key = F.translate(F.lower(F.trim(name)), "\u2019", "'")
+    rest = F.regexp_extract(key, rf"^({'|'.join(DIRECTIONS)})\s+(.+)$", 2)
+    as_try = lambda x, region: F.struct(x.alias("key"), F.lit(region).alias("region"))
+    out = F.concat(F.transform(variants(key), lambda x: as_try(x, False)), F.array(as_try(rest, True), as_try(T.squash(key), False)))
+    return F.when(~key.isin(TOO_BROAD), F.filter(out, lambda x: x["key"] != ""))
+
+
+def resolved(mentions: DataFrame, index: DataFrame, row_id: str = "id", name: str = "name") -> DataFrame:
+    """The mentions with the ``place`` of the first try that the index has; null where none has, for a null name and for broad words.
+
+    Each distinct name is looked up once; names that hold many mentions are joined back salted.
+    """
+    named = mentions.groupBy(name).agg(F.count("*").alias("_n")).where(F.col(name).isNotNull())
+    each = named.select(name, "_n", F.posexplode(tries(F.col(name))).alias("_at", "_try")).select(name, "_n", "_at", F.col("_try.key").alias("key"), F.col("_try.region").alias("_region"))
+    precision = F.create_map(*[F.lit(x) for kind in PRECISION.items() for x in kind])
+    hit = each.join(small_or_shuffled(index.select("key", "place")), "key").where(~F.col("_region") | F.coalesce(F.try_element_at(precision, F.col("place.kind")) == "region", F.lit(False)))
+    found = written(hit.groupBy(name).agg(F.min_by("place", "_at").alias("place"), F.max("_n").alias("_n")), "resolved")
+    return join_on_hot_key(mentions, found, name, "_n", ["place"], F.xxhash64(row_id))
+
+
 def kind_of_tags(tags: str) -> Column:
     """The kind of a mapped feature from its tags, by the first rule that holds."""
     t = lambda k: F.try_element_at(tags, F.lit(k))

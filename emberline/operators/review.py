@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.session import written
+
 S = r"[\s\p{Z}]"
 # fixed values: the closed sets of codes
 CATEGORIES = ["INFRA", "EVAC", "HUMAN", "PROPERTY", "NEEDS", "AID", "ADVISORY", "SUPPORT", "OTHER"]
@@ -171,9 +173,8 @@ class Provider:
         Path(path).write_text(json.dumps(self.cache))
 
 
-def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int) -> DataFrame | None:
-    """Labels of the planned rows: id and the label columns. At most budget prompts come to the driver; a failed batch has no labels."""
-    plan = planned(rows, budget, batch)
+def _asked(plan: DataFrame, provider: Provider) -> DataFrame:
+    """The labels that the provider gives for the lines of a plan, by batch and line, until the budget is spent."""
     answers = []
     for r in prompts(plan).orderBy("batch").toLocalIterator():
         try:
@@ -182,6 +183,27 @@ def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int) -> Da
             break
         if out:
             answers.append((r["batch"], out, r["n"]))
-    spark = rows.sparkSession
-    labels = parsed(spark.createDataFrame(answers, "batch long, answer string, n long"))
-    return labels.withColumnRenamed("id", "line").join(plan.select("batch", "line", "id"), ["batch", "line"]).drop("batch", "line")
+    return parsed(plan.sparkSession.createDataFrame(answers, "batch long, answer string, n long")).withColumnRenamed("id", "line")
+
+
+def lacking(plan: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
+    """The lines that the labels lack, of batches that have some labels and lack at least ``least``, numbered from 0 again."""
+    open_lines = plan.join(labels.select("batch").distinct(), "batch", "left_semi").join(labels.select("batch", "line"), ["batch", "line"], "left_anti")
+    # a batch is bounded by the lines of a prompt
+    own = Window.partitionBy("batch")
+    again = open_lines.withColumn("_n", F.count("*").over(own)).withColumn("line", (F.row_number().over(own.orderBy("line")) - 1).cast("long"))
+    return again.where(F.col("_n") >= least).drop("_n")
+
+
+def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int) -> DataFrame:
+    """Labels of the planned rows: id and the label columns. At most budget prompts come to the driver; a failed batch has no labels.
+
+    Batches whose answers lack three lines or more are asked for these once again, after all batches, while the budget lasts.
+    """
+    plan = written(planned(rows, budget, batch).select("batch", "line", "id", "text"), "plan")
+    by_line = lambda labels, lines: labels.join(lines.select("batch", "line", "id"), ["batch", "line"]).drop("batch", "line")
+    first = _asked(plan, provider)
+    if provider.mode == "dry":
+        return by_line(first, plan)
+    again = written(lacking(plan, first), "lacking")
+    return by_line(first, plan).unionByName(by_line(_asked(again, provider), again))

@@ -141,3 +141,28 @@ def test_storm_names_are_no_places(spark):
     p = spark.createDataFrame([(1, "Hurricane Sandy hits"), (2, "flood in High River and High River again"), (3, "#Sandy")], "post_id long, text string")
     got = {r["post_id"]: [x["span"] for x in r["places"]] for r in gazetteer.extracted(p, index).collect()}
     assert got == {2: ["High River"], 3: ["Sandy"]}
+
+
+def test_names_are_resolved_by_their_first_try(spark):
+    index = spark.createDataFrame([("calgary", ("Calgary", 1, "city")), ("alberta", ("Alberta", 2, "province")), ("highriver", ("High River", 3, "town")), ("17 avenue", ("17 Avenue", 4, "line")), ("west", ("West", 5, "town"))], "key string, place struct<name:string,place_id:long,kind:string>")
+    names = ["Calgary", "City of Calgary", "Southern Alberta", "South Calgary", "High-River", "17th Avenue", "west", "nowhere", "", None, "Calgary", "CALGARY "]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {r["id"]: r["place"] and r["place"]["place_id"] for r in gazetteer.resolved(rows, index).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: None, 4: 3, 5: 4, 6: None, 7: None, 8: None, 9: None, 10: 1, 11: 1}
+
+
+def test_missing_lines_are_asked_for_once(spark):
+    rows = spark.createDataFrame([(i, f"post {i}", 0.5, False) for i in range(12)], "id long, text string, p double, hinted boolean")
+    asked = []
+
+    def answer(prompt):
+        asked.append(prompt)
+        lines = prompt.split("\n")
+        return "\n".join(f"{x.split(chr(9))[0]}|1|9|INFRA|2|{x.split(chr(9))[1]}" for x in (lines[:-3] if len(asked) == 1 else lines[:-2] if len(asked) == 2 else lines[1:]))
+
+    got = {r["id"]: r["places"] for r in review.reviewed(rows, review.Provider(answer, 5, "live"), 5, 6).collect()}
+    assert len(asked) == 3 and asked[2].split("\n") == ["0\tpost 3", "1\tpost 4", "2\tpost 5"]
+    assert got == {i: [f"post {i}"] for i in (0, 1, 2, 4, 5, 6, 7, 8, 9)}
+    asked.clear()
+    assert review.reviewed(rows, review.Provider(answer, 2, "live"), 2, 6).count() == 7
+    assert review.reviewed(rows, review.Provider(), 5, 6).count() == 0
