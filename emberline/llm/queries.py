@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import decontamination, mixing, ngram_join, pii, quality, secret_scan, sharding, substring_dedup, toxicity, warc
+from emberline.llm import decontamination, mixing, ngram_join, pii, quality, secret_scan, sharding, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         sharding.op8_sharding,
         secret_scan.op9_secret_scan,
         toxicity.op10_toxicity,
+        spelling.op11_spelling,
     )
 }
 ORACLES: dict[str, str] = {}
