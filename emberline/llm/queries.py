@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import decontamination, mixing, ngram_join, pii, quality, secret_scan, sharding, spelling, substring_dedup, toxicity, warc
+from emberline.llm import decontamination, hard_negatives, mixing, ngram_join, pii, quality, secret_scan, sharding, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         secret_scan.op9_secret_scan,
         toxicity.op10_toxicity,
         spelling.op11_spelling,
+        hard_negatives.op12_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {}
