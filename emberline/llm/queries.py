@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import decontamination, hard_negatives, mixing, ngram_join, pii, quality, secret_scan, sharding, spelling, substring_dedup, toxicity, warc
+from emberline.llm import decontamination, hard_negatives, mixing, ngram_join, pii, quality, quality_classifier, secret_scan, sharding, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         toxicity.op10_toxicity,
         spelling.op11_spelling,
         hard_negatives.op12_hard_negatives,
+        quality_classifier.op13_quality_classifier,
     )
 }
 ORACLES: dict[str, str] = {}
