@@ -48,13 +48,14 @@ def made(spark, tmp_path_factory):
     put("labels", [(i, i % 3 % 2, int("grunk" in (t or "") or "blorf" in (t or "") or "snarp" in (t or ""))) for i, t in enumerate(texts)] + [(1, None, None), (None, 1, 1), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     pages = [(i, f"http://h/{i}", h) for i, h in enumerate(["<p>é</p>", None, "", "<p>é</p>", "x" * 300_000, "y"])] + [(5, "u", "y"), (5, "u", "y"), (None, None, "<p>é</p>"), (None, "n", "alone")]
     put("pages", [(*p, "extra") for p in pages], "page_id long, url string, html string, payload string")
+    put("embeddings", [(i, [rng.gauss(0, 0.1) for _ in range(4)], i % 3) for i in range(120)], "vec_id long, embedding array<float>, label int")
     return d, rows, bench, pages
 
 
 @pytest.fixture(scope="module")
 def nothing(spark, made, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{made[0]}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return d
 
