@@ -6,7 +6,8 @@ the sparse dot product with the weights.
 
 Training takes at most ``FIT_ROWS`` labelled rows, those of least hash of the key: a documented bound. Their sparse features are written once; in
 each of ``EPOCHS`` passes every one of ``SHARDS`` tasks updates its own copy of the leader's sums over its rows, in order of their hash, and the
-copies are averaged: what reaches the driver is ``SHARDS`` tables of 2^``BITS`` sums, however many rows there are. Every row is scored.
+copies are averaged by tasks of their own, slice by slice: what reaches the driver is one table of 2^``BITS`` sums, however many rows there
+are. Every row is scored.
 
 Defined cases: a null or empty text has no n-grams and gets the value of the constant alone; texts are read whole, however long; a null label
 is no label; several labels of one document count as their maximum; a null key has no label and is not held out; rows equal in key and text are
@@ -29,7 +30,7 @@ from emberline.llm.arrow import arrow_pass
 from emberline.operators.skew import grouped_pass, small_or_shuffled
 from emberline.session import forget, table, written
 
-BITS, FIT_ROWS, SHARDS, EPOCHS, THRESHOLD = 18, 20_000, 8, 4, 0.3
+BITS, FIT_ROWS, SHARDS, SLICES, EPOCHS, THRESHOLD = 18, 20_000, 8, 16, 4, 0.3
 #: Of the updates: step size, its offset, and the weights of the two penalties.
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.0, 0.1
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -110,6 +111,14 @@ def _sparse(rows: DataFrame, bits: int) -> DataFrame:
     return arrow_pass(rows, run, "shard int, h long, th long, y int, at array<int>, value array<double>")
 
 
+def _averaged(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The mean of each slice over its copies."""
+    for a, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
+        own = t.slice(a, e - a)
+        mean = sum(np.frombuffer(x) for x in own.column("sums").to_pylist()) / (e - a)
+        yield pa.RecordBatch.from_pydict({"slice": own.column("slice").slice(0, 1).combine_chunks(), "sums": pa.array([mean.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", learned: Column | None = None, bits: int = BITS, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights, the constant's last. ``learned`` (of the labels' columns) tells which labels may be learned from."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.lit(True) if learned is None else learned))
@@ -127,11 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             for a, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
                 own, (z, n) = t.slice(a, e - a), (x.copy() for x in held.value)
                 follow(z, n, ((at.values.to_numpy(), value.values.to_numpy(), y) for at, value, y in zip(own.column("at"), own.column("value"), own.column("y").to_pylist(), strict=True)))
-                yield pa.RecordBatch.from_pydict({"shard": own.column("shard").slice(0, 1).combine_chunks(), "sums": pa.array([np.concatenate([z, n]).tobytes()], pa.binary())})
+                parts = [np.concatenate(p).tobytes() for p in zip(np.array_split(z, SLICES), np.array_split(n, SLICES), strict=True)]
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "shard": pa.array(own.column("shard").to_pylist()[:1] * SLICES, pa.int32()), "sums": pa.array(parts, pa.binary())})
 
-        parts = sorted(grouped_pass(sparse, "shard", ["h", "th"], run, "shard int, sums binary").collect(), key=lambda r: r["shard"])
+        copies = grouped_pass(sparse, "shard", ["h", "th"], run, "slice int, shard int, sums binary")
+        parts = sorted(grouped_pass(copies, "slice", ["shard"], _averaged, "slice int, sums binary").collect())
         if parts:
-            z, n = np.split(sum(np.frombuffer(r["sums"]) for r in parts) / len(parts), 2)
+            halves = [np.split(np.frombuffer(r["sums"]), 2) for r in parts]
+            z, n = (np.concatenate([h[i] for h in halves]) for i in (0, 1))
+        held.destroy()
     forget(chosen, sparse)
     return weights(z, n)
 
