@@ -66,6 +66,15 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).lower(), na_action="ignore")
 
 
+_LATIN = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0xE0, 0x100)}
+_ACCENTED = {k: v for k, v in _LATIN.items() if v != k}
+
+
+def fold_token(c: Column) -> Column:
+    """:func:`fold` for tokens, whose letters go no further than U+00FF: native."""
+    return F.translate(F.lower(c), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+
+
 def squash(c: Column) -> Column:
     return F.regexp_replace(fold(c), "[^0-9a-z]", "")
 
