@@ -4,10 +4,9 @@ Words and runs of marks, one by one and in pairs, are hashed into 2^``BITS`` pla
 are, and whether a word repeats the one before). A text is the logarithms of its counts, scaled to length 1; its score the logistic value of
 the sparse dot product with the weights.
 
-Training takes at most ``FIT_ROWS`` labelled rows, those of least hash of the key: a documented bound. Their sparse features are written once; in
-each of ``EPOCHS`` passes every one of ``SHARDS`` tasks updates its own copy of the leader's sums over its rows, in order of their hash, and the
-copies are averaged by tasks of their own, slice by slice: what reaches the driver is one table of 2^``BITS`` sums, however many rows there
-are. Every row is scored.
+Training takes at most ``FIT_ROWS`` labelled rows, those of least hash of the key: a documented bound. They are dealt over ``SHARDS`` tasks by
+their hash; each goes over its rows ``EPOCHS`` times, in order of their hash, updating the leader's sums, and the leaders are averaged by tasks of
+their own, slice by slice: what reaches the driver is one table of 2^``BITS`` weights, however many rows there are. Every row is scored.
 
 Defined cases: a null or empty text has no n-grams and gets the value of the constant alone; texts are read whole, however long; a null label
 is no label; several labels of one document count as their maximum; a null key has no label and is not held out; rows equal in key and text are
@@ -97,26 +96,12 @@ def follow(z: np.ndarray, n: np.ndarray, rows: Iterator[tuple[np.ndarray, np.nda
         n[at] = n_at + slope * slope
 
 
-def _sparse(rows: DataFrame, bits: int) -> DataFrame:
-    """(shard, h, th, y, at, value) of rows (shard, h, th, y, t)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Features(bits)
-        for b in batches:
-            for first in range(0, b.num_rows, 256):
-                part = b.slice(first, 256)
-                found = [made.of(t) for t in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["shard", "h", "th", "y", "at", "value"])
-
-    return arrow_pass(rows, run, "shard int, h long, th long, y int, at array<int>, value array<double>")
-
-
 def _averaged(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The mean of each slice over its copies."""
     for a, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
         own = t.slice(a, e - a)
-        mean = sum(np.frombuffer(x) for x in own.column("sums").to_pylist()) / (e - a)
-        yield pa.RecordBatch.from_pydict({"slice": own.column("slice").slice(0, 1).combine_chunks(), "sums": pa.array([mean.tobytes()], pa.binary())})
+        mean = sum(np.frombuffer(x) for x in own.column("weights").to_pylist()) / (e - a)
+        yield pa.RecordBatch.from_pydict({"slice": own.column("slice").slice(0, 1).combine_chunks(), "weights": pa.array([mean.tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", learned: Column | None = None, bits: int = BITS, fit_rows: int = FIT_ROWS, epochs: int = EPOCHS) -> np.ndarray:
@@ -127,26 +112,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     # rows are chosen by narrow keys; texts stay where they are
     chosen = written(rows.select("_k", "th").join(small_or_shuffled(known), "_k").distinct().orderBy("h", "_k", "th").limit(fit_rows), "chosen")
     picked = rows.join(F.broadcast(chosen), ["_k", "th"]).select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), "h", "th", "y", "t").dropDuplicates(["h", "th"])
-    sparse = written(_sparse(picked, bits), "sparse")
-    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    for _ in range(epochs):
-        held = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        def run(t: pa.Table, starts: np.ndarray, held=held) -> Iterator[pa.RecordBatch]:
-            for a, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
-                own, (z, n) = t.slice(a, e - a), (x.copy() for x in held.value)
-                follow(z, n, ((at.values.to_numpy(), value.values.to_numpy(), y) for at, value, y in zip(own.column("at"), own.column("value"), own.column("y").to_pylist(), strict=True)))
-                parts = [np.concatenate(p).tobytes() for p in zip(np.array_split(z, SLICES), np.array_split(n, SLICES), strict=True)]
-                yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "shard": pa.array(own.column("shard").to_pylist()[:1] * SLICES, pa.int32()), "sums": pa.array(parts, pa.binary())})
-
-        copies = grouped_pass(sparse, "shard", ["h", "th"], run, "slice int, shard int, sums binary")
-        parts = sorted(grouped_pass(copies, "slice", ["shard"], _averaged, "slice int, sums binary").collect())
-        if parts:
-            halves = [np.split(np.frombuffer(r["sums"]), 2) for r in parts]
-            z, n = (np.concatenate([h[i] for h in halves]) for i in (0, 1))
-        held.destroy()
-    forget(chosen, sparse)
-    return weights(z, n)
+
+    def run(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        made = Features(bits)
+        for a, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            own = t.slice(a, e - a)
+            seen = [(*made.of(x), y) for x, y in zip(own.column("t").to_pylist(), own.column("y").to_pylist(), strict=True)]
+            z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+            for _ in range(epochs):
+                follow(z, n, iter(seen))
+            parts = [w.tobytes() for w in np.array_split(weights(z, n), SLICES)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "shard": pa.array(own.column("shard").to_pylist()[:1] * SLICES, pa.int32()), "weights": pa.array(parts, pa.binary())})
+
+    leaders = grouped_pass(picked, "shard", ["h", "th"], run, "slice int, shard int, weights binary")
+    parts = sorted(grouped_pass(leaders, "slice", ["shard"], _averaged, "slice int, weights binary").collect())
+    forget(chosen)
+    return np.concatenate([np.frombuffer(r["weights"]) for r in parts]) if parts else np.zeros((1 << bits) + 1)
 
 
 def scored(docs: DataFrame, model: np.ndarray, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:
