@@ -103,6 +103,16 @@ def gazetteer(names: N.Sources, c: N.Context, common: DataFrame) -> Gazetteer:
     return Gazetteer(c, names, keys, written(firsts, "firsts"), written(_tags(names, c, keys), "tags"), written(common.select("word").distinct(), "common"))
 
 
+def plain_gazetteer(places: DataFrame) -> Gazetteer:
+    """A gazetteer of ready-made places (key, place), without facts, hashtags or words of a language: for :func:`known_spans`."""
+    spark = places.sparkSession
+    keys = written(places.select("key", F.col("place").cast(N.PLACE).alias("place")).select("key", "place", F.col("place").alias("plain"), *[F.lit(False).alias(f) for f in ("small_ok", "known_city", "is_admin", "mid_ok", "is_nation")]), "keys")
+    words = F.split(T.fold(F.col("key")), " ")
+    firsts = keys.where(F.size(words) <= MAX_WORDS).groupBy(words[0].alias("first")).agg(F.max(F.size(words)).alias("words"))
+    none = spark.createDataFrame([], "key string, place " + N.PLACE)
+    return Gazetteer(N.Context(), N.Sources(), keys, written(firsts, "firsts"), none, none.select(F.col("key").alias("word")))
+
+
 def _token_rows(posts: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row, pos, tok, prev, next): tokens with the one before and, themselves included, the next five."""
     toks = posts.select(row_id, T.tokens(F.col(text), T.GAZETTEER_TOKEN).alias("t"))

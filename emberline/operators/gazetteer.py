@@ -1,26 +1,15 @@
-"""Place names: indexes, candidates, resolution, extraction, regions."""
+"""Geometry of places, mapped features, and what places together tell: countries, modes, regions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions import text as T
-from emberline.operators.skew import join_on_hot_key, small_or_shuffled
-from emberline.session import written
+from emberline.operators import place_values as V
+from emberline.operators.skew import small_or_shuffled
 
-EARTH_KM, MAX_WORDS = 6371.0, 5
-#: Words that decide whether a span is a place; defaults of the rules.
-PREPOSITIONS = ["in", "at", "near", "from", "to", "of", "around", "outside", "into", "toward", "towards", "across"]
-STORMS = ["hurricane", "typhoon", "cyclone", "storm"]
-TOO_BROAD = ["earth", "world", "north", "south", "east", "west", "downtown", "city", "town", "river"]
-#: Words that may be small within a name; a default.
-SMALL = ["of", "the", "de", "du", "la"]
-ADMIN = ["country", "state", "province", "region"]
-# fixed values: words of direction before the name of a region
-DIRECTIONS = ["southern", "northern", "central", "eastern", "western", "south", "north", "east", "west"]
-# fixed values: precision of a kind of place
-PRECISION = {"point": "point", "line": "line", "city": "locality", "town": "locality", "locality": "locality", "province": "region", "state": "state", "country": "region"}
+EARTH_KM = 6371.0
+ADMIN = ["country", "state", "province"]
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -34,49 +23,6 @@ def snapped_box(lat: Column, lon: Column) -> Column:
     return F.struct((y - 1.0).alias("s"), (x - 1.75).alias("w"), (y + 1.0).alias("n"), (x + 1.75).alias("e"))
 
 
-def variants(name: Column) -> Column:
-    """Ever simpler forms of a name, in order, each once."""
-    base = F.lower(F.trim(name))
-    plain = F.regexp_replace(base, r"(\d+)(st|nd|rd|th)(?![\p{L}\p{N}_])", "$1")
-    bare = F.trim(F.regexp_replace(plain, r"^(the|city of|town of|village of|county of|municipality of) ", ""))
-    cut = bare
-    out = [base, plain, bare]
-    for _ in range(3):
-        cut = F.trim(F.regexp_replace(cut, r" (\d+|nation|first nation|city|county|region|area|valley|province|state)$", ""))
-        out.append(cut)
-    return F.array_distinct(F.filter(F.array(*out), lambda x: x != ""))
-
-
-def name_index(places: DataFrame, priority: str = "priority") -> DataFrame:
-    """(key, place): every variant of every name; the first definition of a key wins. Keys of over three letters, and the names themselves."""
-    keys = places.withColumn("_v", F.explode(variants(F.col("name")))).where((F.length("_v") > 3) | (F.col("_v") == F.lower("name")))
-    closed = places.where(F.contains("name", F.lit(" "))).withColumn("_v", F.lower(F.regexp_replace("name", "[ '-]", ""))).withColumn(priority, F.col(priority) + 1000)
-    every = keys.unionByName(closed)
-    return every.groupBy(F.col("_v").alias("key")).agg(F.min_by(F.struct(*places.columns), F.struct(priority, "place_id")).alias("place"))
-
-
-def tries(name: Column) -> Column:
-    """What a name is looked up by, in order: its variants, the name without a word of direction (for regions alone), the name closed up."""
-    key = F.translate(F.lower(F.trim(name)), "\u2019", "'")
-    rest = F.regexp_extract(key, rf"^({'|'.join(DIRECTIONS)})\s+(.+)$", 2)
-    as_try = lambda x, region: F.struct(x.alias("key"), F.lit(region).alias("region"))
-    out = F.concat(F.transform(variants(key), lambda x: as_try(x, False)), F.array(as_try(rest, True), as_try(T.squash(key), False)))
-    return F.when(~key.isin(TOO_BROAD), F.filter(out, lambda x: x["key"] != ""))
-
-
-def resolved(mentions: DataFrame, index: DataFrame, row_id: str = "id", name: str = "name") -> DataFrame:
-    """The mentions with the ``place`` of the first try that the index has; null where none has, for a null name and for broad words.
-
-    Each distinct name is looked up once; names that hold many mentions are joined back salted.
-    """
-    named = mentions.groupBy(name).agg(F.count("*").alias("_n")).where(F.col(name).isNotNull())
-    each = named.select(name, "_n", F.posexplode(tries(F.col(name))).alias("_at", "_try")).select(name, "_n", "_at", F.col("_try.key").alias("key"), F.col("_try.region").alias("_region"))
-    precision = F.create_map(*[F.lit(x) for kind in PRECISION.items() for x in kind])
-    hit = each.join(small_or_shuffled(index.select("key", "place")), "key").where(~F.col("_region") | F.coalesce(F.try_element_at(precision, F.col("place.kind")) == "region", F.lit(False)))
-    found = written(hit.groupBy(name).agg(F.min_by("place", "_at").alias("place"), F.max("_n").alias("_n")), "resolved")
-    return join_on_hot_key(mentions, found, name, "_n", ["place"], F.xxhash64(row_id))
-
-
 def kind_of_tags(tags: str) -> Column:
     """The kind of a mapped feature from its tags, by the first rule that holds."""
     t = lambda k: F.try_element_at(tags, F.lit(k))
@@ -101,50 +47,6 @@ def member_names(relations: DataFrame, ways: DataFrame) -> DataFrame:
     return ways.join(m, "way_id", "left").withColumn("name", F.coalesce("name", "_n")).drop("_n")
 
 
-def token_rows(posts: DataFrame, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    return posts.select(row_id, F.posexplode(T.tokens(F.col(text), T.GAZETTEER_TOKEN)).alias("pos", "token"))
-
-
-def candidate_spans(posts: DataFrame, index: DataFrame, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    """(row, pos, n, key, place): runs of up to five tokens whose form is a key, hashtags alone; the index is broadcast if small."""
-    toks = posts.select(row_id, F.transform(T.tokens(F.col(text), T.GAZETTEER_TOKEN), lambda t: F.regexp_replace(t, r"^[.'’\-]+|[.'’\-]+$", "")).alias("t"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_WORDS)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i + n - 1 <= F.size("t")), lambda i: F.struct((i - 1).alias("pos"), n.alias("n"), F.array_join(F.slice("t", i, n), " ").alias("span")))))
-    e = toks.select(row_id, "t", F.explode(spans).alias("s")).select(row_id, "t", "s.*").withColumn("span", F.when((F.col("n") == 1) & F.col("span").startswith("#"), F.substring("span", 2, 200)).otherwise(F.col("span"))).where(~F.contains("span", F.lit("#")) & (F.col("span") != ""))
-    e = e.withColumn("key", F.lower("span"))
-    return e.join(small_or_shuffled(index), "key").withColumn("prev", F.get("t", F.col("pos") - 1)).drop("t")
-
-
-def plausible(span: Column, kind: Column) -> Column:
-    """Capitalised in all words (small words aside), or a number; single broad words are not places."""
-    ok = F.forall(F.split(span, " "), lambda w: w.rlike(r"^[\p{Lu}\p{N}]") | w.isin(*SMALL))
-    return ok & ~F.lower(span).isin(TOO_BROAD)
-
-
-def extracted(posts: DataFrame, index: DataFrame, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    """(row, places): spans taken left to right, longest first, that the rules allow; each name once. Spans of a row meet as one array."""
-    c = candidate_spans(posts, index, row_id, text)
-    prev = F.lower(F.coalesce("prev", F.lit("")))
-    capital = F.coalesce(F.col("prev").rlike(r"^\p{Lu}"), F.lit(False)) & ~prev.isin(PREPOSITIONS)
-    small = (F.col("n") == 1) & (F.coalesce(F.col("place.pop"), F.lit(0)) < 1_000_000) & ~F.col("place.kind").isin(ADMIN)
-    c = c.where(plausible(F.col("span"), F.col("place.kind")) & ~prev.isin(STORMS) & ~(small & capital & (F.col("pos") > 0)))
-    spans = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("pos"), (-F.col("n")).alias("neg"), F.col("n").alias("n"), F.col("place").alias("place"), F.col("span").alias("span"))))
-    got = c.groupBy(row_id).agg(spans.alias("s"))
-    # a span is taken if it begins where no taken span reaches
-    ends = F.aggregate("s", F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")), lambda a, x: F.when(x.pos >= a.end, F.struct((x.pos + x.n).alias("end"), F.concat(a["at"], F.array(x.pos)).alias("at"))).otherwise(a))["at"]
-    taken = got.withColumn("_at", ends)
-    first = F.filter("s", lambda x, i: F.array_contains("_at", x.pos) & ((i == 0) | (F.get("s", i - 1).pos != x.pos)))
-    taken = taken.withColumn("_f", first)
-    once = F.filter("_f", lambda x, i: F.array_position(F.transform("_f", lambda y: y.place["name"]), x.place["name"]) == i + 1)
-    return taken.select(row_id, once.alias("places"))
-
-
-def masked(posts: DataFrame, found: DataFrame, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    """Texts with the extracted spans, longest first, as PLACE; repeats of a name that are not spans stay."""
-    j = posts.join(found, row_id, "left")
-    out = F.aggregate(F.coalesce(F.col("places"), F.array().cast(dict(found.dtypes)["places"])), F.col(text), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), x.span, F.lit(r"\E(?![\p{L}\p{N}_])")), F.lit("PLACE")))
-    return j.select(row_id, out.alias("masked"))
-
-
 def nearest(mentions: DataFrame, candidates: DataFrame, on: str, lat: float, lon: float, weight: str = "size") -> DataFrame:
     """Of each mention's candidates the one with the least distance less 60 times the logarithm of its size."""
     d = haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")) - 60 * F.log10(F.greatest(F.col(weight), F.lit(1)))
@@ -166,12 +68,6 @@ def in_world(candidates: DataFrame, mention: list[str], cc: str | None = None) -
     return candidates.groupBy(*mention).agg(best.alias("b")).select(*mention, "b.*")
 
 
-def hashtag_keys(tag: Column, suffixes: tuple[str, ...] = ("flood", "floods", "fire", "strong", "storm", "quake"), prefixes: tuple[str, ...] = ("prayfor", "helpfor", "save")) -> Column:
-    """The tag, then without a known ending, then without a known beginning."""
-    t = F.lower(F.regexp_replace(tag, "^#", ""))
-    return F.array_distinct(F.filter(F.array(t, F.regexp_replace(t, f"({'|'.join(suffixes)})$", ""), F.regexp_replace(t, f"^({'|'.join(prefixes)})", "")), lambda x: F.length(x) >= 4))
-
-
 def consistent(places: str) -> Column:
     """Places of the leading country, of no country, administrative ones and great cities, where a country leads with two votes or more."""
     weight = lambda x: F.when(x.kind.isin(ADMIN), 2).otherwise(1)
@@ -191,10 +87,10 @@ def country_vote(rows: DataFrame, row_id: str = "id", event_cc: str | None = Non
 
 
 def mode(mentions: DataFrame, row_id: str = "id") -> DataFrame:
-    """(top_cc, top_share, is_global): shares of countries over rows with one; global if the top has under 0.6 or three have 0.08."""
+    """(top_cc, top_share, is_global): shares of countries in all that rows speak of; global if the top has under 0.6 or three have 0.08."""
     per = mentions.where("cc is not null").select(row_id, "cc").distinct()
     n = per.groupBy("cc").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cc").limit(12)
-    shares = n.crossJoin(F.broadcast(per.agg(F.count_distinct(row_id).alias("m")))).withColumn("share", F.round(F.col("n") / F.col("m"), 3))
+    shares = n.crossJoin(F.broadcast(per.agg(F.count("*").alias("m")))).withColumn("share", F.round(F.col("n") / F.col("m"), 3))
     return shares.agg(F.max_by("cc", F.struct("n", F.col("share"))).alias("top_cc"), F.max("share").alias("top_share"), ((F.max("share") < 0.6) | (F.count_if(F.col("share") >= 0.08) >= 3)).alias("is_global"))
 
 
@@ -218,7 +114,7 @@ def weighted_centers(rows: DataFrame, by: str, weight: str) -> DataFrame:
 
 def resolved_names(named: DataFrame, index: DataFrame, lookups: int, row_id: str = "id") -> DataFrame:
     """(key, source, place_id): distinct names by the index; of the others the first ``lookups``, in order of first occurrence, are geocoded."""
-    first = named.withColumn("key", F.lower("name")).where(~F.col("key").isin(TOO_BROAD)).groupBy("key").agg(F.min(F.struct(row_id, "pos")).alias("at"))
+    first = named.withColumn("key", F.lower("name")).where(~F.col("key").isin(V.TOO_BROAD)).groupBy("key").agg(F.min(F.struct(row_id, "pos")).alias("at"))
     hit = first.join(small_or_shuffled(index.select("key", F.col("place.place_id").alias("place_id"))), "key", "left")
     known = hit.where("place_id is not null").select("key", F.lit("gazetteer").alias("source"), "place_id")
     asked = hit.where("place_id is null").orderBy("at", "key").limit(lookups).select("key", F.lit("geocoder").alias("source"), F.lit(None).cast("long").alias("place_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberline.functions import text as T
 from emberline.operators import place_values as V
 from emberline.operators.gazetteer import haversine
-from emberline.operators.skew import join_on_hot_key, small_or_shuffled
+from emberline.operators.skew import as_small_as, join_on_hot_key, small_or_shuffled
 from emberline.session import forget, written
 
 #: What a name resolves to.
@@ -161,10 +161,11 @@ class Sources:
     run_together: DataFrame | None = None  # (squashed, key, rank): features, then the register, then the world
 
     def seen_by(self, c: Context) -> Sources:
-        """The sources that a context uses."""
-        ranks = ["features"] + ["official"] * c.canada + ["world"] * c.world
+        """The sources that a context uses; features are sought near an anchor alone."""
+        near = bool(c.anchor or c.centre)
+        ranks = ["features"] * near + ["official"] * c.canada + ["world"] * c.world
         run = self.run_together.where(F.col("source").isin(ranks)) if self.run_together is not None else None
-        return Sources(self.official if c.canada else None, self.features, self.world if c.world else None, self.countries if c.world else None, run)
+        return Sources(self.official if c.canada else None, self.features if near else None, self.world if c.world else None, self.countries if c.world else None, run)
 
 
 def sources(official: DataFrame | None = None, features: DataFrame | None = None, world: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> Sources:
@@ -211,7 +212,7 @@ def best_feature(asked: DataFrame, index: DataFrame, c: Context) -> DataFrame:
     """(id, place): of all points of a name the one nearest the anchor, under the name and kind of the first feature."""
     anchor = c.anchor or c.centre
     near = F.array_min(F.transform("points", lambda p: F.struct(_km(p.lat, p.lon, anchor).alias("km"), p.lat.alias("lat"), p.lon.alias("lon"))))
-    hit = asked.join(small_or_shuffled(index.withColumn("near", near).drop("points")), F.col("k") == F.col("key"))
+    hit = asked.join(as_small_as(index.withColumn("near", near).drop("points"), index), F.col("k") == F.col("key"))
     # the key itself is tried before its folded form
     each = hit.groupBy("id", "folded").agg(F.min_by(F.struct("name", "kind"), "at").alias("f"), F.min(F.struct("near.km", "at", "near.lat", "near.lon")).alias("p"))
     best = each.groupBy("id").agg(F.min_by(F.struct("f", "p"), "folded").alias("b"))
@@ -236,7 +237,7 @@ def best_official(asked: DataFrame, index: DataFrame, c: Context) -> DataFrame:
 
 def best_world(asked: DataFrame, index: DataFrame, c: Context) -> DataFrame:
     """(id, world) of (id, k, cc): proper names before other spellings, the hinted country first, then by distance and size, or by rank and size."""
-    hit = asked.join(small_or_shuffled(index.withColumnRenamed("cc", "own")), F.col("k") == F.col("key"))
+    hit = asked.join(as_small_as(index.withColumnRenamed("cc", "own"), index), F.col("k") == F.col("key"))
     record = F.struct("name", "lat", "lon", "own", "state", "pop", "kind")
     other = ~F.coalesce(F.col("own") == F.upper("cc"), F.lit(False))
     if c.centre:
@@ -261,20 +262,22 @@ def looked_up(pairs: DataFrame, names: Sources, c: Context) -> DataFrame:
     """
     spark, names = pairs.sparkSession, names.seen_by(c)
     target = F.coalesce(F.lower(_of(V.ALIASES, F.col("key"))), F.col("key")) if c.canada else F.col("key")
-    asked = written(pairs.select("key", "cc").distinct().withColumn("id", F.monotonically_increasing_id()).withColumn("target", target), "asked")
-    ids = {True: asked.select("id", "cc", "target"), False: asked.select("id", "cc", F.col("key").alias("target"))}
-    out = asked
-    for full in (True, False):
-        forms = _with_each_form(ids[full], F.col("target"))
-        found = ids[full].select("id")
-        if names.features is not None and (c.anchor or c.centre):
-            found = found.join(best_feature(forms, names.features, c), "id", "left")
-        if names.official is not None:
-            found = found.join(best_official(forms, names.official, c), "id", "left")
-        if names.world is not None:
-            found = found.join(best_world(forms.groupBy("id", "cc").agg(F.max_by("k", "folded").alias("k")), names.world, c), "id", "left")
-        tiers = [F.col(t) for t in ("feature", "near", "world", "wide") if t in found.columns] or [F.lit(None).cast(PLACE)]
-        out = out.join(found.select("id", F.coalesce(*tiers).alias("whole" if full else "plain")), "id")
+    pairs = pairs.select("key", "cc").distinct()
+    # each key is sought in the sources once, whether asked for itself or as what a short name leads to
+    each = pairs.union(pairs.select(target, "cc")).distinct() if c.canada else pairs
+    asked = written(each.withColumn("id", F.monotonically_increasing_id()), "asked")
+    forms = _with_each_form(asked, F.col("key"))
+    found = asked
+    if names.features is not None:
+        found = found.join(best_feature(forms, names.features, c), "id", "left")
+    if names.official is not None:
+        found = found.join(best_official(forms, names.official, c), "id", "left")
+    if names.world is not None:
+        found = found.join(best_world(forms.groupBy("id", "cc").agg(F.max_by("k", "folded").alias("k")), names.world, c), "id", "left")
+    tiers = [F.col(t) for t in ("feature", "near", "world", "wide") if t in found.columns] or [F.lit(None).cast(PLACE)]
+    found = written(found.select("key", "cc", F.coalesce(*tiers).alias("plain")), "found")
+    at_target = as_small_as(found.select(F.col("key").alias("target"), F.col("cc").alias("_target_cc"), F.col("plain").alias("whole")), found)
+    out = found.withColumn("target", target).alias("f").join(at_target.alias("t"), (F.col("f.target") == F.col("t.target")) & F.col("f.cc").eqNullSafe(F.col("t._target_cc")), "left").select("f.*", "whole")
     whole = F.when(F.lit(False), F.lit(None).cast(PLACE))
     if names.world is not None:
         regions = small_table(spark, [(k, n.lower(), cc) for k, (n, cc) in V.REGION_ALIASES.items()], "id string, k string, cc string")
@@ -330,3 +333,23 @@ def resolved(mentions: DataFrame, names: Sources, c: Context, row_id: str = "id"
     out = join_on_hot_key(rows, groups, "_pair", "_n", ["place"], F.xxhash64(row_id)).drop("_pair")
     forget(each)
     return out
+
+
+def places_of_labels(rows: DataFrame, names: Sources, c: Context, row_id: str = "id", label_names: str = "label_places", cc: str = "cc", answers: DataFrame | None = None, lookups: int = 0) -> DataFrame:
+    """(row, more): the places that the names of a label stand for, in order, each once; names too broad stand for none.
+
+    The label's country is a hint. Of the names that stand for nothing the first ``lookups``, in order of rows and names, are taken from
+    ``answers`` (name, place) of a geocoder.
+    """
+    each = rows.select(row_id, F.upper(cc).alias("hint"), F.posexplode(label_names).alias("at", "name")).where(F.trim("name") != "").withColumn("_row", F.xxhash64(row_id, "at"))
+    found = resolved(each, names, c, "_row", "name", "hint")
+    if answers is not None and lookups:
+        found = written(found, "named-places")
+        asked = found.where(F.col("place").isNull() & ~F.lower(F.trim("name")).isin(V.TOO_BROAD)).orderBy(row_id, "at").limit(lookups).select(F.col(row_id).alias("_i"), F.col("at").alias("_at"), F.col("name").alias("_name"))
+        told = answers.groupBy(F.col("name").alias("_name")).agg(F.min("place").cast(PLACE).alias("_told"))
+        told = asked.join(told, "_name").select("_i", "_at", "_told")
+        found = found.join(F.broadcast(told), (F.col(row_id) == F.col("_i")) & (F.col("at") == F.col("_at")), "left").withColumn("place", F.coalesce("place", "_told"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "name", "place")))
+    got = found.where("place is not null").groupBy(row_id).agg(ordered.alias("s"))
+    once = F.filter("s", lambda x, i: F.array_position(F.transform("s", lambda y: y.place["name"]), x.place["name"]) == i + 1)
+    return got.select(row_id, F.transform(once, lambda x: F.struct(x["name"].alias("span"), x.place.alias("place"))).alias("more"))

@@ -74,7 +74,7 @@ def parsed(answers: DataFrame, column: str = "answer") -> DataFrame:
 def _overwritten(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """The rows with what labels (one per ``key`` at most; rel, conf from 0 to 1, cat, urg, hazard, cc) say of them. Irrelevant ones keep
     category, urgency and hazard, which are blanked later; a relevant one's country is that of its label, or none."""
-    given = labels.select(F.col(key).alias("_id"), *[(F.col(c) if c in labels.columns else F.lit(None).cast(k)).alias(f"_{c}") for c, k in (("rel", "int"), ("conf", "double"), ("cat", "string"), ("urg", "int"), ("hazard", "string"), ("cc", "string"))])
+    given = labels.select(F.col(key).alias("_id"), *[(F.col(c) if c in labels.columns else F.lit(None).cast(k)).alias(f"_{c}") for c, k in (("rel", "int"), ("conf", "double"), ("cat", "string"), ("urg", "int"), ("hazard", "string"), ("cc", "string"), ("places", "array<string>"))])
     j = rows.join(given, F.col(key) == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
     yes = hit & (F.col("_rel") == 1)
@@ -85,9 +85,10 @@ def _overwritten(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
         "cc": F.when(yes, F.col("_cc")).otherwise(F.col("cc")),
         "rel": F.when(hit, F.col("_rel")).otherwise(F.col("rel")),
         "conf": F.when(hit & F.col("_conf").isNotNull(), F.col("_conf")).otherwise(F.col("conf")),
+        "label_places": F.when(hit, F.coalesce("_places", F.array().cast("array<string>"))).otherwise(F.col("label_places")) if "label_places" in rows.columns else None,
         "decided_by": F.when(hit, "llm").otherwise(F.col("decided_by")),
     }
-    return j.withColumns({c: v for c, v in new.items() if c in rows.columns}).drop("_id", "_rel", "_conf", "_cat", "_urg", "_hazard", "_cc")
+    return j.withColumns({c: v for c, v in new.items() if c in rows.columns and v is not None}).drop("_id", "_rel", "_conf", "_cat", "_urg", "_hazard", "_cc", "_places")
 
 
 def applied(rows: DataFrame, labels: DataFrame, row_id: str = "id") -> DataFrame:
@@ -195,12 +196,12 @@ def lacking(plan: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     return again.where(F.col("_n") >= least).drop("_n")
 
 
-def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int) -> DataFrame:
+def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int, p: str = "p", hint: str = "hinted") -> DataFrame:
     """Labels of the planned rows: id and the label columns. At most budget prompts come to the driver; a failed batch has no labels.
 
     Batches whose answers lack three lines or more are asked for these once again, after all batches, while the budget lasts.
     """
-    plan = written(planned(rows, budget, batch).select("batch", "line", "id", "text"), "plan")
+    plan = written(planned(rows, budget, batch, p, hint).select("batch", "line", "id", "text"), "plan")
     by_line = lambda labels, lines: labels.join(lines.select("batch", "line", "id"), ["batch", "line"]).drop("batch", "line")
     first = _asked(plan, provider)
     if provider.mode == "dry":

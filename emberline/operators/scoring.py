@@ -41,6 +41,32 @@ def fallback_urgency(cat: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in URGENCY.items() for x in kv]), cat), F.lit(1))
 
 
+def predicted(rows: DataFrame, features: str, heads: dict[str, tuple[list[str], list[tuple[list[float], float]]]], hazard: str = "FLOOD") -> DataFrame:
+    """The rows with p, cat, cat_conf, urg, hz, p_flood, uncertainty and flood_uncertainty.
+
+    Heads: ``relevant`` and ``category``, and where they are there ``urgency`` and ``hazard``; without the last every relevant row is of ``hazard``. A row
+    without features has probability 0.5 and category OTHER.
+    """
+    none = F.col(features).isNull()
+
+    def of(name: str) -> tuple[list[str], Column] | None:
+        classes, lines = heads.get(name, ([], []))
+        return (classes, softmax(features, lines)) if lines else None
+
+    relevant, category, urgency, kind = (of(n) for n in ("relevant", "category", "urgency", "hazard"))
+    out = rows.withColumn("p", F.coalesce(F.when(~none, F.get(relevant[1], F.lit(1))), F.lit(0.5)) if relevant else F.lit(0.5))
+    for name, head in (("category", category), ("urgency", urgency), ("hazard", kind)):
+        out = out.withColumn(f"_{name}", F.when(~none, head[1]) if head else F.lit(None).cast("array<double>"))
+    out = out.withColumn("cat", F.coalesce(argmax("_category", category[0]), F.lit("OTHER")) if category else F.lit("OTHER")).withColumn("cat_conf", F.coalesce(F.array_max("_category"), F.lit(0.0)))
+    out = out.withColumn("urg", F.coalesce(argmax("_urgency", urgency[0]).cast("int"), fallback_urgency(F.col("cat"))) if urgency else fallback_urgency(F.col("cat")))
+    out = out.withColumn("hz", F.coalesce(argmax("_hazard", kind[0]), F.lit(hazard)) if kind else F.lit(hazard))
+    flood = F.get("_hazard", F.lit(kind[0].index(hazard))) if kind and hazard in kind[0] else F.lit(0.0) if kind else F.lit(1.0)
+    out = out.withColumn("p_flood", F.col("p") * F.coalesce(flood, F.lit(1.0)))
+    for p, name in (("p", "uncertainty"), ("p_flood", "flood_uncertainty")):
+        out = out.withColumn(name, 1 - 2 * F.abs(F.col(p) - 0.5))
+    return out.drop("_category", "_urgency", "_hazard")
+
+
 def train_head(rows: DataFrame, label: str, features: str, weight: str, c: float = 2.0):
     """Weighted logistic regression whose penalty equals C times the weighted loss plus half the squared norm."""
     total = rows.agg(F.sum(weight)).first()[0]

@@ -31,7 +31,10 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def bytes_of(df: DataFrame) -> int:
-    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    """The bytes of a table's rows, scanned once per frame."""
+    if not hasattr(df, "_row_bytes"):
+        df._row_bytes = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return df._row_bytes
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -39,6 +42,11 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= limit else df.hint("shuffle_merge")
 
 
+def as_small_as(df: DataFrame, base: DataFrame) -> DataFrame:
+    """:func:`small_or_shuffled` for what is made of ``base`` row by row and takes no more room."""
+    return F.broadcast(df) if bytes_of(base) <= BROADCAST_BYTES else df.hint("shuffle_merge")
+
+
 def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, values: list[str], salt: Column, share: int = 1000) -> DataFrame:
     """Left join of ``rows`` to one row per ``key`` in ``groups`` (a written table with the group's row count in ``size``).
 

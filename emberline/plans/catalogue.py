@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from emberline.functions import text as T
 from emberline.operators import gazetteer as G
-from emberline.operators import grouping, metrics, review, sampling, scoring, terms, view
+from emberline.operators import extraction, grouping, metrics, review, sampling, scoring, terms, view
+from emberline.plans import place_queries
 from emberline.plans import relations as R
-from emberline.session import table, written
+from emberline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -701,7 +702,7 @@ def weighted_center(s, d):
     return G.weighted_centers(R.places(s, d), "cc", "id").select("cc", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query(f"with p as (select distinct id, cc from {L0}), n as (select cc, count(*) as n, round(count(*)/(select count(distinct id) from p),3) as share from p group by 1 order by n desc, cc limit 12) select max(share) as top_share, max(share)<0.6 or count(*) filter (share>=0.08)>=3 as is_global from n")
+@query(f"with p as (select distinct id, cc from {L0}), n as (select cc, count(*) as n, round(count(*)/(select count(*) from p),3) as share from p group by 1 order by n desc, cc limit 12) select max(share) as top_share, max(share)<0.6 or count(*) filter (share>=0.08)>=3 as is_global from n")
 def mode_detect(s, d):
     return G.mode(R.places(s, d)).select("top_share", "is_global")
 
@@ -745,7 +746,7 @@ def resolve_world(s, d):
 @query("select n_nationkey, n_nationkey as place_id from nation where length(n_name) >= 4")
 def hashtag_resolve(s, d):
     n = table(s, d, "nation").where(F.length("n_name") >= 4)
-    tags = n.select("n_nationkey", F.explode(G.hashtag_keys(F.concat(F.lit("#"), F.regexp_replace("n_name", " ", ""), F.lit("Flood")))).alias("key"))
+    tags = n.select("n_nationkey", F.explode(extraction.tag_keys(F.concat(F.lit("#"), F.regexp_replace("n_name", " ", ""), F.lit("Flood")))).alias("key"))
     index = table(s, d, "nation").select(F.lower(F.regexp_replace("n_name", " ", "")).alias("key"), F.col("n_nationkey").alias("place_id"))
     return tags.join(F.broadcast(index), "key").select("n_nationkey", "place_id").distinct()
 
@@ -755,47 +756,13 @@ def decimate(s, d):
     return table(s, d, "embeddings").select("vec_id", G.decimated("embedding").alias("p")).select("vec_id", F.round(F.get("p", F.lit(2)).cast("double"), 5).alias("third"), F.size("p").cast("long").alias("n"))
 
 
-def _seed_index(s, d):
-    """A dictionary from the texts themselves: capitalised words of a narrow range of frequency, numbered by their hash."""
-    df = terms.document_frequency(_docs(s, d), "text", 5, lower=False).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$"))
-    p = df.select("token", "df", F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 12), 16, 10).cast("long").alias("place_id"))
-    return written(p.select(F.lower("token").alias("key"), F.struct(F.col("token").alias("name"), "place_id", F.lit("town").alias("kind"), (F.col("df") * 50_000).cast("long").alias("pop")).alias("place")), "dictionary")
-
-
-@query(f"with df as (select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(text, '{_TOK}')) as token from documents) group by 1), i as (select token, lower(token) as key, cast('0x' || left(md5(token), 12) as bigint) as place_id from df where df between 5 and 40 and regexp_matches(token, '^[A-Z][a-z]{{4,}}$')), t as (select post_id, unnest(regexp_extract_all(text, '#?[A-Za-zÀ-ÿ0-9''’\\-.]+')) as tok from {P0}) select post_id, place_id, count(*) as n from t join i on lower(regexp_replace(regexp_replace(tok, '^[.''’\\-]+', ''), '[.''’\\-]+$', '')) = i.key group by 1,2")
-def candidate_spans(s, d):
-    c = G.candidate_spans(R.posts(s, d), _seed_index(s, d)).where("n = 1")
-    return c.groupBy("post_id", F.col("place.place_id").alias("place_id")).agg(F.count("*").alias("n"))
-
-
-@query()
-def extract(s, d):
-    return G.extracted(R.posts(s, d), _seed_index(s, d)).select("post_id", F.array_join(F.transform("places", lambda x: x.span), ";").alias("names"))
-
-
-@query()
-def mask_spans(s, d):
-    p = R.posts(s, d)
-    return G.masked(p, G.extracted(p, _seed_index(s, d)))
-
-
 @query(f"with n as (select id, pos, lower(name) as key from {L0}), f as (select key, min(id*10+pos) as at0 from n group by 1), k as (select lower(n_name) as key, n_nationkey as place_id from nation where n_nationkey % 2 = 0), h as (select f.*, place_id from f left join k using (key)), g as (select key, 'geocoder' as source, null::bigint as place_id from h where place_id is null order by at0, key limit 5) select key, 'gazetteer' as source, place_id from h where place_id is not null union all select * from g")
 def resolve_llm_places(s, d):
     index = table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("key"), F.struct(F.col("n_nationkey").cast("long").alias("place_id")).alias("place"))
     return G.resolved_names(R.places(s, d), index, 5)
 
 
-# --- the whole --------------------------------------------------------------------------------------------------------------
-
+# --- extraction, resolution and the whole, with sources made from the texts -------------------------------------------------
 
-@query()
-def process_end_to_end(s, d):
-    from emberline.plans.process import process
-
-    posts = R.posts(s, d)
-    vectors = table(s, d, "embeddings")
-    n = vectors.agg(F.max("vec_id")).first()[0] + 1
-    own = posts.select("post_id", (F.col("post_id") % n).alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id").select("post_id", "embedding")
-    train = vectors.select(F.col("embedding"), (F.col("label") % 2).cast("int").alias("relevant"), F.get(F.array(*map(F.lit, review.CATEGORIES)), (F.col("label") % len(review.CATEGORIES)).cast("int")).alias("category"))
-    heads = scoring.trained_heads(train, "embedding", {"relevant": ["0", "1"], "category": review.CATEGORIES})
-    return process(posts, _seed_index(s, d), own, heads, budget=3, batch=20).select("post_id", "group_id", "rel", "cat", "urg", "decided_by", "place_hint")
+QUERIES |= place_queries.QUERIES
+ORACLES |= place_queries.ORACLES
