@@ -71,8 +71,9 @@ _ACCENTED = {k: v for k, v in _LATIN.items() if v != k}
 
 
 def fold_token(c: Column) -> Column:
-    """:func:`fold` for tokens, whose letters go no further than U+00FF: native."""
-    return F.translate(F.lower(c), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+    """:func:`fold` for tokens, whose letters go no further than U+00FF: native. Those of ASCII alone are not looked through."""
+    low = F.lower(c)
+    return F.when(F.octet_length(c) > F.length(c), F.translate(low, "".join(_ACCENTED), "".join(_ACCENTED.values()))).otherwise(low)
 
 
 def squash(c: Column) -> Column:

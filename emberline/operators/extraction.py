@@ -1,7 +1,7 @@
 """Places named in texts: spans that a gazetteer knows, by the rules that tell places from people, storms and words; their masking.
 
-Texts are read once, token by token. A token stays only if some key begins with it, and is then tried with as many tokens as the longest such key has;
-keys, places and facts are joined, never held by tasks. Whether a span is a place depends on its own words, its position and the token before it
+Texts are read once, token by token. Keys are a trie whose levels are tables of prefixes: a token stays only if some key begins with it, is followed
+by the next only if some key goes on so, and makes a span where a key ends; keys, places and facts are joined, never held by tasks. Whether a span is a place depends on its own words, its position and the token before it
 alone, so all spans are judged apart; of those accepted the longest at each token is taken, from left to right.
 """
 
@@ -32,7 +32,8 @@ class Gazetteer:
     context: N.Context
     names: N.Sources
     keys: DataFrame  # (key, place, plain, facts)
-    firsts: DataFrame  # (first, words): first words of keys, folded, and the most words of such a key
+    trie: DataFrame  # (n, prefix, ends, goes_on): first n words of keys, folded
+    words: int  # words of the longest key
     tags: DataFrame  # (key, place)
     common: DataFrame  # (word)
 
@@ -98,25 +99,33 @@ def gazetteer(names: N.Sources, c: N.Context, common: DataFrame) -> Gazetteer:
     else:
         keys = looked.join(facts, "key", "left").select("key", "place", "plain", *[F.coalesce(f, F.lit(False)).alias(f) for f in flags], F.col("small_ok").isNotNull().alias("has_source"))
     keys = written(keys, "keys")
+    return Gazetteer(c, names, keys, *_trie(keys), written(_tags(names, c, keys), "tags"), written(common.select("word").distinct(), "common"))
+
+
+def _trie(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The prefixes of all keys of at most five words, and the most words."""
     words = F.split(T.fold(F.col("key")), " ")
-    firsts = keys.where(F.size(words) <= MAX_WORDS).groupBy(words[0].alias("first")).agg(F.max(F.size(words)).alias("words"))
-    return Gazetteer(c, names, keys, written(firsts, "firsts"), written(_tags(names, c, keys), "tags"), written(common.select("word").distinct(), "common"))
+    each = keys.where(F.size(words) <= MAX_WORDS).select(words.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    prefix = F.array_join(F.slice("w", 1, F.col("n")), " ")
+    trie = written(each.groupBy("n", prefix.alias("prefix")).agg(F.bool_or(F.size("w") == F.col("n")).alias("ends"), F.bool_or(F.size("w") > F.col("n")).alias("goes_on")), "trie")
+    return trie, trie.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
 
 
 def plain_gazetteer(places: DataFrame) -> Gazetteer:
     """A gazetteer of ready-made places (key, place), without facts, hashtags or words of a language: for :func:`known_spans`."""
     spark = places.sparkSession
     keys = written(places.select("key", F.col("place").cast(N.PLACE).alias("place")).select("key", "place", F.col("place").alias("plain"), *[F.lit(False).alias(f) for f in ("small_ok", "known_city", "is_admin", "mid_ok", "is_nation")]), "keys")
-    words = F.split(T.fold(F.col("key")), " ")
-    firsts = keys.where(F.size(words) <= MAX_WORDS).groupBy(words[0].alias("first")).agg(F.max(F.size(words)).alias("words"))
     none = spark.createDataFrame([], "key string, place " + N.PLACE)
-    return Gazetteer(N.Context(), N.Sources(), keys, written(firsts, "firsts"), none, none.select(F.col("key").alias("word")))
+    return Gazetteer(N.Context(), N.Sources(), keys, *_trie(keys), none, none.select(F.col("key").alias("word")))
 
 
-def _token_rows(posts: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row, pos, tok, prev, next): tokens with the one before and, themselves included, the next five."""
-    toks = posts.select(row_id, T.tokens(F.col(text), T.GAZETTEER_TOKEN).alias("t"))
-    return toks.select(row_id, F.explode(F.transform("t", lambda x, i: F.struct(i.alias("pos"), x.alias("tok"), F.get("t", i - 1).alias("prev"), F.slice("t", i + 1, MAX_WORDS).alias("next")))).alias("r")).select(row_id, "r.*")
+def _token_rows(posts: DataFrame, row_id: str, text: str, words: int) -> DataFrame:
+    """(row, pos, t0, prev, t1, ...): tokens with the one before and the ``words`` - 1 that follow."""
+    t = posts.select(row_id, T.tokens(F.col(text), T.GAZETTEER_TOKEN).alias("t")).where(F.size("t") > 0)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.size("t") - 1))
+    later = [F.slice("t", k + 1, F.size("t")) for k in range(1, words)]
+    zipped = F.arrays_zip(F.col("t").alias("t0"), before.alias("prev"), *[x.alias(f"t{k}") for k, x in enumerate(later, 1)])
+    return t.select(row_id, F.posexplode(zipped).alias("pos", "r")).select(row_id, "pos", "r.*")
 
 
 def _upper(c: Column) -> Column:
@@ -125,12 +134,18 @@ def _upper(c: Column) -> Column:
 
 def known_spans(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
     """(row, pos, n, span, key, prev, place, facts): runs of up to five tokens that some key of the gazetteer, or its folded form, equals."""
-    rows = _token_rows(posts, row_id, text).where(~F.col("tok").startswith("#"))
-    first = T.fold_token(F.trim("tok", F.lit(_EDGE)))
-    begun = rows.withColumn("first", first).join(g.firsts.hint(g.hint(g.firsts)), "first")
-    each = begun.select(row_id, "pos", "prev", "next", F.explode(F.sequence(F.lit(1), F.least("words", F.size("next")))).alias("n"))
-    each = each.withColumn("next", F.slice("next", 1, F.col("n"))).where(~F.exists("next", lambda w: w.startswith("#")))
-    each = each.withColumn("span", F.array_join(F.transform("next", lambda w: F.trim(w, F.lit(_EDGE))), " ")).withColumn("key", F.lower("span")).drop("next")
+    rows = _token_rows(posts, row_id, text, g.words).where(~F.col("t0").startswith("#"))
+    cut = lambda k: F.trim(f"t{k}", F.lit(_EDGE))
+    how, level = g.hint(g.trie), lambda n: g.trie.where(F.col("n") == n + 1).select(F.col("prefix").alias(f"p{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"g{n}"))
+    rows = rows.withColumn("p0", T.fold_token(cut(0))).join(level(0).hint(how), "p0")
+    for k in range(1, g.words):
+        # what goes no further meets nothing, evenly
+        on = F.col(f"g{k - 1}") & ~F.col(f"t{k}").startswith("#")
+        none = F.concat(F.lit("\x01"), F.pmod(F.xxhash64(row_id, "pos"), F.lit(1000)).cast("string"))
+        rows = rows.withColumn(f"p{k}", F.when(on, F.concat_ws(" ", f"p{k - 1}", T.fold_token(cut(k)))).otherwise(none)).join(level(k).hint(how), f"p{k}", "left")
+    rows = rows.where(" or ".join(f"e{k}" for k in range(g.words)))
+    spans = F.array(*[F.when(F.col(f"e{k}"), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *[cut(i) for i in range(k + 1)]).alias("span"))) for k in range(g.words)])
+    each = rows.select(row_id, "pos", "prev", F.explode(spans).alias("s")).where("s is not null").select(row_id, "pos", "prev", "s.n", "s.span").withColumn("key", F.lower("span"))
     how = g.hint(g.keys)
     exact = g.keys.select("key", F.col("place").alias("_place"), "small_ok", "is_admin", "mid_ok", "is_nation", F.lit(True).alias("_exact")).hint(how)
     folded = g.keys.select(F.col("key").alias("_fold"), F.col("plain").alias("_plain"), "known_city").hint(how)
