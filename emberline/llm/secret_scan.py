@@ -37,7 +37,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", re.ASCII)
 _NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", re.ASCII)
 _JWT = re.compile(r"(?<![0-9A-Za-z_-])(eyJ[0-9A-Za-z_-]+)\.([0-9A-Za-z_-]{2,})\.[0-9A-Za-z_-]{16,}", re.ASCII)
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s+([0-9A-Za-z+/=\s]+?)-----END \1PRIVATE KEY-----", re.ASCII)
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s+([0-9A-Za-z+/=][0-9A-Za-z+/=\s]*?)-----END \1PRIVATE KEY-----", re.ASCII)
 #: Lower-cased keywords with the kind that they may begin.
 _KEYWORDS = {"password": ASSIGN, "passwd": ASSIGN, "secret": ASSIGN, "token": ASSIGN, "apikey": ASSIGN, "api_key": ASSIGN, "akia": ACCESS} | {f"gh{c}_": GITHUB for c in "pousr"} | {"npm_": NPM, "eyj": JWT, "-----begin ": PEM}
 _LOWER = {c: c + 32 for c in range(65, 91)}

@@ -222,10 +222,16 @@ class WarcReader(DataSourceReader):
         return (known["page_id"], kind, known["record_id"], known["target_uri"], _page(h.get("warc-refers-to")), digest, size, h.get("content-type"), payload)
 
 
+class Damaged(ValueError):
+    """A record or member that does not hold what its headers say."""
+
+
 def _packed_records(f, end: int):
     """(header block, function that inflates so many bytes after it) of each gzip member."""
     while (at := f.tell()) < end:
         fixed = f.read(12)
+        if len(fixed) < 12:
+            raise Damaged(f"the member at byte {at} is cut")
         size = None
         if fixed[3] & 4:
             extra = f.read(struct.unpack("<H", fixed[10:12])[0])
@@ -242,12 +248,17 @@ def _packed_records(f, end: int):
         unpack = zlib.decompressobj(-15)
         raw = unpack.decompress(packed, 8192)
         while b"\r\n\r\n" not in raw:
-            raw += unpack.decompress(unpack.unconsumed_tail or f.read(4096), 8192)
+            packed = unpack.unconsumed_tail or f.read(min(4096, max(0, at + size - 8 - f.tell())))
+            if not packed or unpack.eof:
+                raise Damaged(f"the record at byte {at} ends within its header block")
+            raw += unpack.decompress(packed, 8192)
         head, _, tail = raw.partition(b"\r\n\r\n")
 
         def rest(n: int, unpack=unpack, tail=tail, at=at, size=size) -> bytes:
             if len(tail) < n:
-                tail += unpack.decompress(unpack.unconsumed_tail + f.read(at + size - 8 - f.tell()))
+                tail += unpack.decompress(unpack.unconsumed_tail + f.read(max(0, at + size - 8 - f.tell())))
+            if len(tail) < n:
+                raise Damaged(f"the record at byte {at} ends within its block")
             return tail[:n]
 
         yield head, rest
@@ -273,6 +284,9 @@ class _Inflated:
                 self.held += got
                 return True
 
+    def is_cut(self) -> bool:
+        return not self.unpack.eof
+
     def until(self, mark: bytes) -> bytes | None:
         """What stands before ``mark``, which is passed over; None at the end."""
         while (i := self.held.find(mark)) < 0:
@@ -303,6 +317,9 @@ class _Plain(_Inflated):
     def __init__(self, f, end: int):
         self.f, self.end, self.held = f, end, b""
 
+    def is_cut(self) -> bool:
+        return False
+
     def more(self) -> bool:
         got = self.f.read(1 << 16) if self.f.tell() < self.end else b""
         self.held += got
@@ -315,11 +332,16 @@ def _records_of(source: _Inflated):
         source.skip_lines()
         head = source.until(b"\r\n\r\n")
         if head is None:
+            if source.held.strip() or source.is_cut():
+                raise Damaged("the last record ends within its header block")
             return
         left = [int(_headers(head).get("content-length", 0))]
 
         def rest(n: int, left=left) -> bytes:
-            out = source.take(min(n, left[0]))
+            sought = min(n, left[0])
+            out = source.take(sought)
+            if len(out) < sought:
+                raise Damaged("the last record ends within its block")
             left[0] -= len(out)
             return out
 

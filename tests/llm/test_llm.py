@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -78,6 +80,37 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == [(7, b"hello")] * 3 + [(8, b"")]
 
 
+def test_damaged_records_are_an_error(spark, tmp_path):
+    """Members cut anywhere, and header blocks that do not end, are told; none is waited for."""
+    import gzip
+    import io
+
+    raw = warc.record(7, "http://x", b"hello" * 5000, None, False)
+    whole, open_head = warc.member(raw), b"WARC/1.0\r\nContent-Length: 5\r\n" + b"x" * 9000
+
+    def read(data, records):
+        return [(head, len(rest(25_000))) for head, rest in records(io.BytesIO(data), len(data))]
+
+    packed = warc._packed_records
+    assert len(read(whole + whole, packed)) == 2
+    for cut in (5, 14, 30, 60, len(whole) - 30, len(whole) + 7):
+        with pytest.raises((warc.Damaged, struct.error, zlib.error)):
+            read((whole + whole)[:cut], packed)
+    for data, records in ((warc.member(open_head), packed), (gzip.compress(open_head), packed), (open_head, warc._plain_records), (raw[:200], warc._plain_records), (raw[:-9000], warc._plain_records)):
+        with pytest.raises(warc.Damaged):
+            read(data, records)
+    (tmp_path / "a.warc.gz").write_bytes(whole[:30])
+    with pytest.raises(Exception, match="byte 0"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_many_blanks_in_a_key_take_no_time():
+    began = time.time()
+    for text in ("-----BEGIN PRIVATE KEY-----" + "\n" * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY-----" + " A" * 500_000):
+        secret_scan.scan(text, secret_scan.automaton())
+    assert time.time() - began < 5
+
+
 def brute_repeats(texts, n):
     seen = Counter()
     for t in texts:
