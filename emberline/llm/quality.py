@@ -6,7 +6,9 @@ above, P(Bin(n, risk) <= k) must be at most ``error`` divided by the number of a
 vouch for any cutoff reject nothing beyond the base rule. All of it is native; the holdout is the whole label table.
 
 Defined cases: a null text has no words and fails the base rule; a null language is the stratum ``und``; a null label is none; several
-labels of a document count as their minimum; an empty table gives no rows; without labels only the base rule rejects.
+labels of a document count as their minimum; an empty table gives no rows; without labels only the base rule rejects; texts are counted
+whole, however long; a value at a cutoff is kept; repeated rows are judged alike and count as often as they stand; columns beside those named
+are kept under their own names, whatever these are.
 """
 
 from __future__ import annotations
@@ -96,13 +98,16 @@ def cutoffs(features: DataFrame, labels: DataFrame, key: str = "doc_id", stratum
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, the base counts, base_failed, kept and the rules that reject it. Texts are read once and not shuffled."""
-    f = counts(docs.select(key, F.col(text).alias("_t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("stratum"), *keep), "_t")
+    # the caller's columns keep out of the way of those worked out here
+    kept = {f"_keep{i}": c for i, c in enumerate((key, *keep))}
+    f = counts(docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.col(text).alias("_t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("stratum")), "_t")
     f = f.withColumns({r: F.coalesce(F.expr(f"cast({x} as double)"), F.lit(0.0)) for r, x in RULES.items()})
     f = written(f.drop("_t"), "features")
-    cut = written(cutoffs(f, labels, key), "cutoffs")
+    cut = written(cutoffs(f, labels.withColumnRenamed(key, "_keep0"), "_keep0"), "cutoffs")
     rows = f.join(small_or_shuffled(cut.withColumnRenamed("stratum", "_st")), F.col("stratum") == F.col("_st"), "left")
     broken = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
-    return rows.withColumn("rejected_by", broken).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).select(key, *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    rows = rows.withColumn("rejected_by", broken).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return rows.select(*[F.col(k).alias(c) for k, c in kept.items()], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

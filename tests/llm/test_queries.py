@@ -263,6 +263,13 @@ def test_op7(spark, made):
     assert Counter((r["doc_id"], r["base_failed"], r["kept"]) for r in own) == Counter(want)
 
 
+def test_quality_keeps_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b " * 30, "en", "s", "w", 5)], "doc_id long, text string, lang string, stratum string, level string, _keep1 int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    row = quality.judged(docs, labels, keep=("stratum", "level", "_keep1", "text")).first()
+    assert (row["doc_id"], row["stratum"], row["level"], row["_keep1"], row["text"]) == (1, "s", "w", 5, "a b " * 30)
+
+
 def test_cutoffs_per_stratum(spark):
     rng = random.Random(6)
     text = lambda marks: " ".join(f"w{rng.randrange(5000)}" + ("##" if rng.random() < marks else "") for _ in range(25))
