@@ -119,7 +119,7 @@ def plain_gazetteer(places: DataFrame) -> Gazetteer:
     return Gazetteer(N.Context(), N.Sources(), keys, *_trie(keys), none, none.select(F.col("key").alias("word")))
 
 
-def _token_rows(posts: DataFrame, row_id: str, text: str, words: int) -> DataFrame:
+def token_rows(posts: DataFrame, row_id: str, text: str, words: int = 1) -> DataFrame:
     """(row, pos, t0, prev, t1, ...): tokens with the one before and the ``words`` - 1 that follow."""
     t = posts.select(row_id, T.tokens(F.col(text), T.GAZETTEER_TOKEN).alias("t")).where(F.size("t") > 0)
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.size("t") - 1))
@@ -134,7 +134,7 @@ def _upper(c: Column) -> Column:
 
 def known_spans(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
     """(row, pos, n, span, key, prev, place, facts): runs of up to five tokens that some key of the gazetteer, or its folded form, equals."""
-    rows = _token_rows(posts, row_id, text, g.words).where(~F.col("t0").startswith("#"))
+    rows = token_rows(posts, row_id, text, g.words).where(~F.col("t0").startswith("#"))
     cut = lambda k: F.trim(f"t{k}", F.lit(_EDGE))
     how, level = g.hint(g.trie), lambda n: g.trie.where(F.col("n") == n + 1).select(F.col("prefix").alias(f"p{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"g{n}"))
     rows = rows.withColumn("p0", T.fold_token(cut(0))).join(level(0).hint(how), "p0")

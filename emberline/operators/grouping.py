@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from emberline.operators.components import connected_components
 from emberline.operators.skew import join_on_hot_key
 from emberline.session import written
 
-MIN_PREFIX, BUCKET = 40, 16
+MIN_PREFIX = 40
 
 
 def keyed(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> DataFrame:
@@ -31,21 +35,52 @@ def dup_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
     return both.join(owners(posts, post_id), "k").where("owner <> dst").select(F.col("owner").alias("src"), "dst").distinct()
 
 
-def trunc_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
-    """(src, dst): first owners of the keys that begin with a truncated post's key less its last word.
+def prefixed(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, owner) of keys (k, owner) and prefixes (prefix): every key with every prefix that it begins with; both are distinct.
 
-    An equi-join on the whole prefix: every key gives its own beginnings, of the lengths that prefixes of its first characters have, so a pair
-    is formed only where the prefix is equal, however many keys share an opening.
+    Keys and prefixes are dealt by ranges and sorted together: the keys of a prefix follow it. One scan keeps the prefixes that are still open on a
+    stack. Prefixes that are open where a later range begins are sought by the first strings of the ranges, a row each, and put in front of it.
     """
+    both = keys.select(F.col("k").alias("s"), "owner").unionByName(prefixes.select(F.col("prefix").alias("s"), F.lit(None).cast("long").alias("owner")))
+    ranged = written(both.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "ranged")
+    firsts = sorted((r["first"].encode(), r["part"]) for r in ranged.groupBy("part").agg(F.min("s").alias("first")).collect())  # as many rows as ranges
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list = []
+            for prefix in b.column(0).to_pylist():
+                at = bisect.bisect_right(firsts, (prefix.encode(), 1 << 31))
+                while at < len(firsts) and firsts[at][0].startswith(prefix.encode()):
+                    out.append((prefix, firsts[at][1]))
+                    at += 1
+            yield pa.RecordBatch.from_pydict({"s": pa.array([x for x, _ in out], pa.string()), "part": pa.array([x for _, x in out], pa.int32())})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, stack = None, []
+        for b in batches:
+            found: list = []
+            for own, s, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != part:
+                    part, stack = own, []
+                while stack and not s.startswith(stack[-1]):
+                    stack.pop()
+                if owner is None:
+                    stack += [s] * (not stack or stack[-1] != s)
+                else:
+                    found += [(p, owner) for p in stack]
+            yield pa.RecordBatch.from_pydict({"prefix": pa.array([p for p, _ in found], pa.string()), "owner": pa.array([o for _, o in found], pa.int64())})
+
+    begun = prefixes.select("prefix").mapInArrow(carried, "s string, part int").withColumn("owner", F.lit(None).cast("long"))
+    rows = ranged.select("part", "s", "owner").unionByName(begun)
+    # a prefix stands before a key that equals it, as nulls come first
+    return rows.repartition("part").sortWithinPartitions("part", "s", F.asc_nulls_first("owner")).mapInArrow(scan, "prefix string, owner long")
+
+
+def trunc_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
+    """(src, dst): first owners of the keys that begin with a truncated post's key less its last word."""
     cut = F.regexp_replace("key", " [^ ]*$", "")
-    p = posts.where(F.col("truncated") & (F.length("key") >= MIN_PREFIX)).select(F.col(post_id).alias("dst"), cut.alias("prefix")).where("prefix <> ''")
-    first = lambda c: F.substring(c, 1, BUCKET)
-    lengths = p.groupBy(first("prefix").alias("b")).agg(F.collect_set(F.length("prefix")).alias("sizes"))
-    keys = owners(posts, post_id)
-    long = keys.withColumn("b", first("k")).join(lengths.where(F.length("b") == BUCKET), "b")
-    short = keys.join(F.broadcast(lengths.where(F.length("b") < BUCKET).select(F.explode("sizes").alias("n")).distinct().agg(F.collect_set("n").alias("sizes"))))
-    begun = long.select("k", "owner", "sizes").unionByName(short.select("k", "owner", "sizes")).select("owner", F.length("k").alias("size"), "k", F.explode("sizes").alias("n")).where("n <= size")
-    out = begun.select("owner", F.expr("left(k, n)").alias("prefix")).distinct().join(p, "prefix")
+    p = written(posts.where(F.col("truncated") & (F.length("key") >= MIN_PREFIX)).select(F.col(post_id).alias("dst"), cut.alias("prefix")).where("prefix <> ''"), "truncated")
+    out = prefixed(owners(posts, post_id), p.select("prefix").distinct()).join(p, "prefix")
     return out.where("owner <> dst").select(F.col("owner").alias("src"), "dst").distinct()
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.place_values import PROVINCES
+
 
 def prf(rows: DataFrame, truth: str, guess: str, by: list[str] | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1; denominators are at least 1."""
@@ -98,12 +100,16 @@ def matched_places(gold: list[str], found: list[str], ignored: frozenset[str] =
     return hits, len(wanted), len(offered)
 
 
-def place_scores(rows: DataFrame, gold: str, found: str) -> DataFrame:
-    """Micro-averaged recall and precision of place lists."""
+def place_scores(rows: DataFrame, gold: str, found: str, relevant: str | None = None, regions: bool = True) -> DataFrame:
+    """Micro-averaged recall and precision of place lists: of relevant rows alone, where ``relevant`` names a flag, and without provinces, which are
+    trivially right, unless ``regions``."""
+    ignored = frozenset() if regions else frozenset(p.lower() for p in PROVINCES)
 
     @F.pandas_udf("hits long, gold long, found long")
     def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([matched_places(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)], columns=["hits", "gold", "found"])
+        lists = lambda v: list(v) if v is not None else []
+        return pd.DataFrame([matched_places(lists(x), lists(y), ignored) for x, y in zip(a, b, strict=True)], columns=["hits", "gold", "found"])
 
-    m = rows.select(match(gold, found).alias("m")).select("m.*").agg(F.sum("hits").alias("hits"), F.sum("gold").alias("gold"), F.sum("found").alias("found"))
+    kept = rows.where(F.col(relevant) == 1) if relevant else rows
+    m = kept.select(match(gold, found).alias("m")).select("m.*").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "gold", "found")])
     return m.withColumn("recall", F.col("hits") / F.greatest("gold", F.lit(1))).withColumn("precision", F.col("hits") / F.greatest("found", F.lit(1)))

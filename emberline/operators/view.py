@@ -85,10 +85,10 @@ def facets(records: DataFrame, spec: ViewSpec) -> DataFrame:
 
 
 def facet_countries(records: DataFrame, spec: ViewSpec, k: int = 12) -> DataFrame:
-    """The k most frequent countries, unknown last, and those selected."""
+    """The k most frequent countries, the unknown one behind all others, and those selected."""
     n = facets(records, spec).where("facet = 'country'").select("value", "n")
-    top = n.where("value <> '??'").orderBy(F.desc("n"), "value").limit(k)
-    return top.union(n.where("value = '??'")).union(n.where(F.col("value").isin(*(spec.countries or ())))).distinct()
+    top = n.orderBy(F.col("value") == "??", F.desc("n"), "value").limit(k)
+    return top.union(n.where(F.col("value").isin(*(spec.countries or ())))).distinct()
 
 
 def kpis(records: DataFrame, spec: ViewSpec) -> DataFrame:
@@ -164,6 +164,20 @@ def fit_bounds(records: DataFrame, spec: ViewSpec, tail: float = 0.01) -> DataFr
     return e.select("x.lat", "x.lon").agg(at("lat", tail).alias("south"), at("lat", 1 - tail).alias("north"), at("lon", tail).alias("west"), at("lon", 1 - tail).alias("east"))
 
 
+def fit_bounds_weighted(records: DataFrame, spec: ViewSpec, tail: float = 0.05, regions: bool = False) -> DataFrame:
+    """South, north, west, east of the densest places by how often each is named, with the zoom and centre that show them.
+
+    Quantiles are linear between the values as if each stood there as often as its place is named; the rows are places with their counts.
+    """
+    e = records.where(matches(spec)).select("id", F.explode("places").alias("x")).where(F.lit(regions) | (F.col("x.prec") != "region"))
+    each = e.groupBy("x.name").agg(F.count("*").alias("n"), F.min_by("x.lat", "id").alias("lat"), F.min_by("x.lon", "id").alias("lon"))
+    at = lambda c, f: F.expr(f"percentile({c}, {f}, n)")
+    box = each.agg(at("lat", tail).alias("south"), at("lat", 1 - tail).alias("north"), at("lon", tail).alias("west"), at("lon", 1 - tail).alias("east"))
+    span = F.greatest(F.greatest(F.col("north") - F.col("south"), F.lit(0.05)), F.greatest(F.col("east") - F.col("west"), F.lit(0.05)) / 1.6)
+    zoom = F.least(F.lit(10.0), F.greatest(F.lit(1.0), 8 - F.sqrt(span)))
+    return box.select("*", zoom.alias("zoom"), ((F.col("south") + F.col("north")) / 2).alias("lat"), ((F.col("west") + F.col("east")) / 2).alias("lon"))
+
+
 def listed(records: DataFrame, spec: ViewSpec, how: str, k: int = 60) -> DataFrame:
     order = {"urgent": [F.desc("urg"), F.desc("n"), F.desc("conf"), "id"], "shared": [F.desc("n"), F.desc("urg"), "id"], "newest": [F.desc_nulls_last("ts"), "id"]}[how]
     return records.where(matches(spec)).orderBy(*order).limit(k)

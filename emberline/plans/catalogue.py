@@ -215,11 +215,22 @@ def row_ids(s, d):
     return with_row_ids(table(s, d, "events").select("event_id")).select("row_id", "event_id")
 
 
-@query(f"select conv_id, turn, lag(role) over (partition by conv_id order by turn) as prev_role from conversations")
-def prev_token(s, d):
+@query("select conv_id, turn, lag(role) over (partition by conv_id order by turn) as prev_role from conversations")
+def prev_role(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("prev_role"))
 
 
+@query(
+    r"with t as (select doc_id, unnest(regexp_extract_all(text, '#?[A-Za-zÀ-ÿ0-9''’\-.]+')) as tok, unnest(range(len(regexp_extract_all(text, '#?[A-Za-zÀ-ÿ0-9''’\-.]+')))) as pos from documents), l as (select *, lag(tok) over (partition by doc_id order by pos) as prev from t) select doc_id, count(*) as tokens, count(*) filter (prev is null) as first, count(*) filter (regexp_matches(prev, '^\p{Lu}') and regexp_matches(tok, '^\p{Lu}')) as both_capital, count(*) filter (lower(prev) in ('in', 'at', 'of', 'to', 'the', 'de', 'des')) as after_small from l group by 1"
+)
+def prev_token(s, d):
+    """What stands before each token, which tells people, storms and places apart."""
+    t = extraction.token_rows(table(s, d, "documents"), "doc_id", "text")
+    big = lambda c: F.coalesce(F.col(c).rlike(r"^\p{Lu}"), F.lit(False))
+    count = lambda c: F.count_if(c).cast("long")
+    return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), count(F.col("prev").isNull()).alias("first"), count(big("prev") & big("t0")).alias("both_capital"), count(F.lower("prev").isin("in", "at", "of", "to", "the", "de", "des")).alias("after_small"))
+
+
 # --- view -------------------------------------------------------------------------------------------------------------------
 
 
@@ -253,7 +264,7 @@ def facets(s, d):
     return view.facets(R.plain_records(s, d), SPEC)
 
 
-@query(f"with f as (select value, n from ({_FACETS}) where facet='country') select * from (select * from f where value<>'??' order by n desc, value limit 12) union select * from f where value='??' union select * from f where value in ('N1','N2','N3','N4','N5','N6','N7','??')")
+@query(f"with f as (select value, n from ({_FACETS}) where facet='country') select * from (select * from f order by value='??', n desc, value limit 12) union select * from f where value in ('N1','N2','N3','N4','N5','N6','N7','??')")
 def facet_countries(s, d):
     return view.facet_countries(R.plain_records(s, d), SPEC)
 
@@ -301,6 +312,14 @@ def fit_bounds(s, d):
     return view.fit_bounds(R.records(s, d), _WIDE)
 
 
+@query(
+    f"with p as (select l.name, count(*) as n, arg_min(l.lat, r.id) as lat, arg_min(l.lon, r.id) as lon from {R0} r join {L0} l on l.id=r.id where {_WHERE_WIDE} and prec<>'region' group by 1), w as (select lat, lon, unnest(range(n)) as k from p), b as (select quantile_cont(lat, 0.05) as south, quantile_cont(lat, 0.95) as north, quantile_cont(lon, 0.05) as west, quantile_cont(lon, 0.95) as east from w) select round(south, 6) as south, round(north, 6) as north, round(west, 6) as west, round(east, 6) as east, round(least(10.0, greatest(1.0, 8 - sqrt(greatest(greatest(north - south, 0.05), greatest(east - west, 0.05) / 1.6)))), 6) as zoom, round((south + north) / 2, 6) as lat, round((west + east) / 2, 6) as lon from b"
+)
+def fit_bounds_weighted(s, d):
+    x = view.fit_bounds_weighted(R.records(s, d), _WIDE)
+    return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
+
+
 @query(f"select id, urg, n, conf from {R0} where {_WHERE_WIDE} order by urg desc, n desc, conf desc, id limit 60")
 def list_urgent(s, d):
     return view.listed(R.plain_records(s, d), _WIDE, "urgent").select("id", "urg", "n", "conf")
@@ -521,9 +540,10 @@ def consistency(s, d):
 # --- splits, guards, joins --------------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, regexp_matches(lower(text), 'the|der|que') as proxy from documents")
+@query("select doc_id, regexp_matches(lower(text), 'the|der|que') as proxy, regexp_matches(text, '(?i)" + "|".join(T.PROXY) + "') as relevant from documents")
 def proxy_rel(s, d):
-    return _docs(s, d).select("doc_id", F.col("text").rlike("(?i)the|der|que").alias("proxy"))
+    text = F.col("text")
+    return _docs(s, d).select("doc_id", T.proxy_relevant(text, ["the", "der", "que"]).alias("proxy"), T.proxy_relevant(text).alias("relevant"))
 
 
 _SPLIT = "with b as (select doc_id, regexp_matches(lower(text), 'the') as pos, md5(cast(doc_id as varchar) || 's') as h from documents), r as (select *, row_number() over (partition by pos order by h, doc_id) as k from b), x as (select doc_id, pos, case when k <= 30 then 'gold' when k <= 45 then 'tune' else 'train' end as split from r)"

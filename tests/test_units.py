@@ -150,3 +150,42 @@ def test_missing_lines_are_asked_for_once(spark):
     asked.clear()
     assert review.reviewed(rows, review.Provider(answer, 2, "live"), 2, 6).count() == 7
     assert review.reviewed(rows, review.Provider(), 5, 6).count() == 0
+
+
+def test_prefixes_meet_their_keys(spark):
+    """Nested prefixes, keys that equal one, an opening that most keys share, and prefixes that are open over many ranges."""
+    rng = random.Random(5)
+    keys = {"".join(rng.choice("ab é") for _ in range(rng.randrange(1, 9))) for _ in range(400)} | {"common opening " + "".join(rng.choice("abc") for _ in range(8)) for _ in range(900)}
+    prefixes = {k[: rng.randrange(1, len(k) + 1)] for k in rng.sample(sorted(keys), 150)} | {"common opening ", "common", "zz"}
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(sorted(keys))], "k string, owner long").repartition(3)
+    for parts in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = [tuple(r) for r in grouping.prefixed(rows, spark.createDataFrame([(p,) for p in prefixes], "prefix string")).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(set(got)) and set(got) == {(p, i) for i, k in enumerate(sorted(keys)) for p in prefixes if k.startswith(p)}
+
+
+def test_rows_of_files_by_name(spark, tmp_path):
+    """Files of unequal sizes, read in several splits, are numbered in the order of their names."""
+    sizes = {"a": 3, "b": 4000, "c": 1, "d": 900}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = files.with_row_ids(spark.read.text(str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["value"] for r in sorted(got, key=lambda r: r["row_id"])] == [f"{name}{i}" for name, n in sizes.items() for i in range(n)]
+    assert sorted(r["row_id"] for r in got) == list(range(sum(sizes.values())))
+
+
+def test_place_scores_of_relevant_rows(spark):
+    x = spark.createDataFrame([(1, ["Calgary", "Alberta"], ["calgary", "Alberta"]), (1, ["High River"], []), (0, ["Banff"], ["Banff"]), (1, None, ["Ontario"])], "rel int, gold array<string>, found array<string>")
+    r = metrics.place_scores(x, "gold", "found", "rel", regions=False).first()
+    assert (r["hits"], r["gold"], r["found"], r["recall"], r["precision"]) == (1, 2, 1, 0.5, 1.0)
+    r = metrics.place_scores(x, "gold", "found").first()
+    assert (r["hits"], r["gold"], r["found"]) == (3, 4, 4)
