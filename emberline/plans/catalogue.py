@@ -767,7 +767,7 @@ def resolve_world(s, d):
 def hashtag_resolve(s, d):
     n = table(s, d, "nation").where(F.length("n_name") >= 4)
     tags = n.select("n_nationkey", F.explode(extraction.tag_keys(F.concat(F.lit("#"), F.regexp_replace("n_name", " ", ""), F.lit("Flood")))).alias("key"))
-    index = table(s, d, "nation").select(F.lower(F.regexp_replace("n_name", " ", "")).alias("key"), F.col("n_nationkey").alias("place_id"))
+    index = table(s, d, "nation").select(F.lower(F.regexp_replace("n_name", "[ _]", "")).alias("key"), F.col("n_nationkey").alias("place_id"))
     return tags.join(F.broadcast(index), "key").select("n_nationkey", "place_id").distinct()
 
 
