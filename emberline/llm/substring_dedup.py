@@ -49,16 +49,14 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _FOUND = "bucket long, kind int, body binary"
 
 
-def _near(values: np.ndarray, doc: np.ndarray, own: np.ndarray, side: int) -> np.ndarray:
-    """The neighbour's value in the same document, else ``own``."""
-    out = own.copy()
-    if side < 0:
-        same = doc[1:] == doc[:-1]
-        out[1:][same] = np.minimum(values[:-1][same], own[1:][same] + 1)
-    else:
-        same = doc[1:] == doc[:-1]
-        out[:-1][same] = np.maximum(values[1:][same], own[:-1][same] - 1)
-    return out
+def _with(lo: np.ndarray, hi: np.ndarray, st: np.ndarray, en: np.ndarray, doc: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """``lo`` and ``hi`` with all that the neighbour before (-1) or after (1) depends on; where a document has none, a word beyond its edge."""
+    lo, hi = (np.minimum(lo, st - 1), hi.copy()) if side < 0 else (lo.copy(), np.maximum(hi, en + 1))
+    same = np.flatnonzero(doc[1:] == doc[:-1])
+    own, other = (same + 1, same) if side < 0 else (same, same + 1)
+    was_lo, was_hi = lo.copy(), hi.copy()
+    lo[own], hi[own] = np.minimum(lo[own], was_lo[other]), np.maximum(hi[own], was_hi[other])
+    return lo, hi
 
 
 def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
@@ -74,8 +72,10 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             last = np.append(g[1:], len(sym)) - 1
             k = last - g + 1
             s = np.where(k > 1, _mix(sym[g] * _A + k.astype(np.uint64) * _B + salt), sym[g])
-            st, en, lo, hi, doc = st[g], en[last], lo[g], hi[last], doc[g]
-            lo, hi = np.minimum(lo, _near(lo, doc, st - 1, -1)), np.maximum(hi, _near(hi, doc, en + 1, 1))
+            st, en, lo, hi, doc = st[g], en[last], np.minimum.reduceat(lo, g) if len(g) else lo, np.maximum.reduceat(hi, g) if len(g) else hi, doc[g]
+            # a run ends where both neighbours differ
+            before, after = _with(lo, hi, st, en, doc, -1), _with(lo, hi, st, en, doc, 1)
+            lo, hi = np.minimum(before[0], after[0]), np.maximum(before[1], after[1])
             # pairs of a left and a right symbol
             right = (_mix(s ^ (salt + _A)) >> np.uint64(40)) & np.uint64(1) == 1
             first = np.zeros(len(s), bool)
@@ -84,12 +84,13 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             f = np.flatnonzero(first)
             lo2, hi2, en2 = lo.copy(), hi.copy(), en.copy()
             alone = ~first & ~second
-            left_alone, right_alone = alone & ~right, alone & right
-            hi2[left_alone] = np.maximum(hi, _near(hi, doc, en + 1, 1))[left_alone]
-            lo2[right_alone] = np.minimum(lo, _near(lo, doc, st - 1, -1))[right_alone]
+            # a left symbol is alone for what follows, a right one for what stands before
+            for own, side in ((alone & ~right, 1), (alone & right, -1)):
+                near = _with(lo, hi, st, en, doc, side)
+                lo2[own], hi2[own] = near[0][own], near[1][own]
             new = s.copy()
             new[f] = _mix(s[f] * _A + s[f + 1] * _B + salt)
-            hi2[f], en2[f] = hi[f + 1], en[f + 1]
+            lo2[f], hi2[f], en2[f] = np.minimum(lo[f], lo[f + 1]), np.maximum(hi[f], hi[f + 1]), en[f + 1]
             keep = ~second
             sym, st, en, lo, hi, doc = new[keep], st[keep], en2[keep], lo2[keep], hi2[keep], doc[keep]
     return sym, doc, st, lo, hi, en - st

@@ -111,6 +111,34 @@ def test_many_blanks_in_a_key_take_no_time():
     assert time.time() - began < 5
 
 
+def test_symbols_are_decided_by_the_words_told():
+    """Equal windows hold the same symbols, of the same extent, at the same places: near copies of random texts over few words."""
+    rng = np.random.default_rng(7)
+    n = substring_dedup.WINDOW
+    for size in (3, 20, 500):
+        base = rng.integers(0, size, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        docs = []
+        for _ in range(12):
+            d = base[rng.integers(0, 30) : len(base) - rng.integers(0, 30)].copy()
+            at = rng.integers(0, len(d), 4)
+            d[at] = rng.integers(0, size, 4).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            docs.append(d)
+        words, first = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+        sym, doc, st, lo, hi, _ = substring_dedup.parse(words, np.repeat(np.arange(len(docs)), np.diff(first)))
+        seen: dict[bytes, set] = {}
+        checked = 0
+        for d, w in enumerate(docs):
+            own = doc == d
+            for i in range(len(w) - n + 1):
+                x = first[d] + i
+                m = own & (lo >= x) & (hi <= x + n)
+                inside = set(zip(sym[m].tolist(), (st[m] - x).tolist(), (lo[m] - x).tolist(), (hi[m] - x).tolist(), strict=True))
+                key = w[i : i + n].tobytes()
+                checked += key in seen
+                assert seen.setdefault(key, inside) == inside
+        assert checked > 1000
+
+
 def brute_repeats(texts, n):
     seen = Counter()
     for t in texts:
