@@ -9,12 +9,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.llm import decontamination, ngram_join, quality, secret_scan, sharding
-from emberline.llm.queries import QUERIES
+from emberline.llm.queries import ORACLES, QUERIES
 from tests.llm.test_llm import brute_quality, brute_repeats, brute_secrets, prose, split
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, weight double, _m int, _rid long, _t string, row string, score string, kind int, s long, key string, size int, _seed long"
@@ -361,3 +362,16 @@ def test_pipeline(spark, made, nothing):
     times = Counter((r["doc_id"], r["text"]) for r in out)
     once = Counter((r[0], r[1]) for r in kept)
     assert all(n <= times[k] <= 2 * n for k, n in once.items())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    """The queries with SQL give the same rows in DuckDB."""
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    df, rel = QUERIES[name](spark, d), con.sql(ORACLES[name])
+    cols = sorted(df.columns)
+    assert sorted(rel.columns) == cols
+    assert Counter(map(tuple, df.select(cols).collect())) == Counter(rel.select(*[f'"{c}"' for c in cols]).fetchall())
