@@ -21,18 +21,22 @@ def prf(rows: DataFrame, truth: str, guess: str, by: list[str] | None = None) ->
     return a.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Exact area under the curve with ties, from counts per score: no global sort of rows.
+def auc(rows: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """Exact area under the curve with ties, from counts per score: no global sort of rows. ``by``: one for each group; null without both classes.
 
     Distinct scores are cut into ranges of a bounded number each; ranges are summed, then scores within a range.
     """
-    n = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("q"))
+    by = by or []
+    n = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("q"))
     part = n.withColumn("b", F.floor(F.col("s") * 1024))
-    whole = part.groupBy("b").agg(F.sum("q").alias("bq"))
-    before = whole.withColumn("under", F.coalesce(F.sum("bq").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "under")
-    inside = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = part.withColumn("inside", inside).join(before, "b").agg(F.sum(F.col("p") * (F.col("under") + F.col("inside") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return u.select((F.col("u") / (F.col("np") * F.col("nq"))).alias("auc"))
+    whole = part.groupBy(*by, "b").agg(F.sum("q").alias("bq"))
+    earlier = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.withColumn("under", F.coalesce(F.sum("bq").over(earlier), F.lit(0))).select(*by, "b", "under")
+    inside = F.coalesce(F.sum("q").over(Window.partitionBy(*by, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("l.b") == F.col("r.b")]
+    met = part.withColumn("inside", inside).alias("l").join(before.alias("r"), same).select("l.*", "r.under")
+    u = met.groupBy(*by).agg(F.sum(F.col("p") * (F.col("under") + F.col("inside") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    return u.select(*by, F.try_divide("u", F.col("np") * F.col("nq")).alias("auc"))
 
 
 def confusion(rows: DataFrame, truth: str, guess: str, k: int = 6) -> DataFrame:

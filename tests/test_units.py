@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import text as T
-from emberline.operators import extraction, grouping, metrics, review
+from emberline.operators import extraction, grouping, metrics, review, scoring
 from emberline.operators.components import connected_components
 from emberline.operators.skew import join_on_hot_key
 from emberline.session import written
@@ -189,3 +189,28 @@ def test_place_scores_of_relevant_rows(spark):
     assert (r["hits"], r["gold"], r["found"], r["recall"], r["precision"]) == (1, 2, 1, 0.5, 1.0)
     r = metrics.place_scores(x, "gold", "found").first()
     assert (r["hits"], r["gold"], r["found"]) == (3, 4, 4)
+
+
+def area(pairs):
+    good, bad = [p for y, p in pairs if y == 1], [p for y, p in pairs if y == 0]
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) if good and bad else None
+
+
+def test_areas_of_groups(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.randrange(2), round(rng.random(), 2)) for g in ("a", "b", None) for _ in range(200)] + [("one", 1, 0.5)]
+    got = {r["g"]: r["auc"] for r in metrics.auc(spark.createDataFrame(rows, "g string, y int, p double"), "y", "p", ["g"]).collect()}
+    assert got.keys() == {"a", "b", None, "one"} and got["one"] is None
+    assert all(abs(got[g] - area([r[1:] for r in rows if r[0] == g])) < 1e-12 for g in ("a", "b", None))
+
+
+def test_each_event_by_a_head_of_the_others(spark):
+    rng = random.Random(4)
+    rows = [(e, y, [rng.gauss(y * 1.5, 1), rng.gauss(0, 1)], 1.0) for e in ("flood", "fire", "quake") for y in (0, 1) for _ in range(25)]
+    df = spark.createDataFrame(rows, "event string, y int, x array<double>, weight double")
+    got = {r["event"]: r for r in scoring.leave_one_out(df, "event", "x", "y").collect()}
+    for e in ("flood", "fire", "quake"):
+        m = scoring.train_head(df.where(F.col("event") != e), "y", "x", "weight")
+        w, b = m.coefficientMatrix.toArray()[0], m.interceptVector[0]
+        own = [(y, w[0] * x[0] + w[1] * x[1] + b) for v, y, x, _ in rows if v == e]
+        assert got[e]["n"] == 50 and got[e]["right"] == sum((z >= 0) == (y == 1) for y, z in own) and abs(got[e]["auc"] - area(own)) < 1e-9
