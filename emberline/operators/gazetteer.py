@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators import place_values as V
@@ -26,15 +26,51 @@ def snapped_box(lat: Column, lon: Column) -> Column:
 def kind_of_tags(tags: str) -> Column:
     """The kind of a mapped feature from its tags, by the first rule that holds."""
     t = lambda k: F.try_element_at(tags, F.lit(k))
-    return F.when(t("highway").isNotNull(), "line").when(t("waterway").isNotNull(), "line").when(t("place").isin("city", "town", "village", "hamlet"), "locality").when(t("place").isNotNull(), "locality").when(t("natural") == "water", "line").when(t("boundary") == "administrative", "region").otherwise("point")
+    # fixed values: the rules in their order
+    rules = [
+        (t("place").isNotNull(), t("place")),
+        (t("boundary") == "administrative", "neighbourhood"),
+        (t("waterway").isNotNull(), "river"),
+        ((t("bridge") == "yes") | (t("man_made") == "bridge"), "bridge"),
+        (t("highway").isNotNull(), "road"),
+        (t("leisure") == "park", "park"),
+        (t("boundary") == "aboriginal_lands", "first_nation"),
+        (t("leisure").isin("stadium", "sports_centre"), "landmark"),
+        *[(t(k).isNotNull(), "landmark") for k in ("amenity", "tourism", "landuse", "shop")],
+    ]
+    out = F.lit("other")
+    for holds, kind in reversed(rules):
+        out = F.when(F.coalesce(holds, F.lit(False)), kind).otherwise(out)
+    return out
 
 
 def feature_names(features: DataFrame, most_points: int = 1500) -> DataFrame:
-    """(name, kind, points): current, old, alternative and short names, split at slashes; first kind, bounded points."""
+    """(at, name, kind, points) of features (feature_id, tags, lat, lon): under their name, its parts at slashes, and their old, alternative and short names.
+
+    Kind and order of a name are those of its first feature; its points are those of the first ``most_points``. Features without a name or a place have none.
+    """
     t = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
-    names = F.filter(F.flatten(F.transform(F.array(t("name"), t("old_name"), t("alt_name"), t("short_name")), lambda x: F.transform(F.split(x, "[/;]"), lambda x: F.trim(x)))), lambda x: F.length(x) > 3)
-    e = features.withColumn("kind", kind_of_tags("tags")).withColumn("name", F.explode(F.array_distinct(names)))
-    return e.groupBy("name").agg(F.min_by("kind", "feature_id").alias("kind"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "points"))), lambda x: x.points)), 1, most_points).alias("points"))
+    cut = lambda c, by: F.transform(F.split(c, by), lambda x: F.trim(x))
+    others = F.filter(F.flatten(F.array(*[cut(t(k), ";") for k in ("old_name", "alt_name", "short_name")])), lambda x: x != "")
+    parts = F.when(F.contains(t("name"), F.lit("/")), F.filter(cut(t("name"), "/"), lambda x: F.length(x) > 3)).otherwise(F.array().cast("array<string>"))
+    named = features.where((t("name") != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    e = named.select("feature_id", kind_of_tags("tags").alias("kind"), F.struct(F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")).alias("point"), F.explode(F.concat(F.array(t("name")), others, parts)).alias("name"))
+    # a name of very many features keeps its first ones: they are counted out before they meet
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("feature_id"))
+    e = e.withColumn("_n", nth).where(F.col("_n") <= most_points)
+    points = F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "point"))), lambda x: x.point)
+    return e.groupBy("name").agg(F.min("feature_id").alias("at"), F.min_by("kind", "feature_id").alias("kind"), points.alias("points")).select("at", "name", "kind", "points")
+
+
+def with_rivers(names: DataFrame, ways: DataFrame, step: int = 8, most_points: int = 1500) -> DataFrame:
+    """``names`` with rivers (way_id, name, points) by every ``step``-th vertex of their ways in place of what stood under their names."""
+    sampled = ways.where(F.col("name").isNotNull()).withColumn("points", decimated("points", step, 1 << 30))
+    points = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("way_id", "points"))), lambda x: x.points)), 1, most_points)
+    rivers = sampled.groupBy("name").agg(F.min("way_id").alias("way"), points.alias("points"))
+    told = names.join(rivers.select("name", F.col("points").alias("_p")), "name", "left")
+    kept = told.select("at", "name", F.when(F.col("_p").isNotNull(), "river").otherwise(F.col("kind")).alias("kind"), F.coalesce("_p", "points").alias("points"))
+    new = rivers.join(names.select("name"), "name", "left_anti").select((F.lit(1 << 62) + F.col("way")).alias("at"), "name", F.lit("river").alias("kind"), "points")
+    return kept.unionByName(new)
 
 
 def decimated(points: str, step: int = 8, most: int = 1500) -> Column:

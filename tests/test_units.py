@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import text as T
-from emberline.operators import extraction, grouping, metrics, review, scoring
+from emberline.operators import extraction, gazetteer, grouping, metrics, review, scoring
 from emberline.operators.components import connected_components
 from emberline.operators.skew import join_on_hot_key
 from emberline.session import written
@@ -214,3 +214,28 @@ def test_each_event_by_a_head_of_the_others(spark):
         w, b = m.coefficientMatrix.toArray()[0], m.interceptVector[0]
         own = [(y, w[0] * x[0] + w[1] * x[1] + b) for v, y, x, _ in rows if v == e]
         assert got[e]["n"] == 50 and got[e]["right"] == sum((z >= 0) == (y == 1) for y, z in own) and abs(got[e]["auc"] - area(own)) < 1e-9
+
+
+def test_mapped_features(spark):
+    tags = [
+        {"place": "town", "highway": "x"}, {"boundary": "administrative", "waterway": "river"}, {"waterway": "river", "bridge": "yes"}, {"highway": "primary", "bridge": "yes"}, {"man_made": "bridge"},
+        {"highway": "primary", "leisure": "park"}, {"leisure": "park"}, {"boundary": "aboriginal_lands", "amenity": "x"}, {"leisure": "stadium"}, {"shop": "x"}, {"leisure": "pitch"}, {},
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, tags map<string,string>")
+    assert [r["k"] for r in df.select("i", gazetteer.kind_of_tags("tags").alias("k")).orderBy("i").collect()] == ["town", "neighbourhood", "river", "bridge", "bridge", "road", "park", "first_nation", "landmark", "landmark", "other", "other"]
+    rows = [
+        (2, {"name": "Old Bridge", "bridge": "yes", "old_name": "Langevin; Lang ;"}, 1.000001, 2.0), (1, {"name": "Bridgeland/Up/Riverside", "place": "suburb"}, 3.0, 4.0), (5, {"name": "Langevin", "highway": "x"}, 5.0, 6.0),
+        (7, {"place": "town"}, 1.0, 1.0), (8, {"name": "Nowhere"}, None, None),
+    ]
+    names = gazetteer.feature_names(spark.createDataFrame(rows, "feature_id long, tags map<string,string>, lat double, lon double"))
+    got = {r["name"]: (r["at"], r["kind"], [tuple(p) for p in r["points"]]) for r in names.collect()}
+    assert got == {
+        "Old Bridge": (2, "bridge", [(1.0, 2.0)]), "Langevin": (2, "bridge", [(1.0, 2.0), (5.0, 6.0)]), "Lang": (2, "bridge", [(1.0, 2.0)]), "Bridgeland/Up/Riverside": (1, "suburb", [(3.0, 4.0)]),
+        "Bridgeland": (1, "suburb", [(3.0, 4.0)]), "Riverside": (1, "suburb", [(3.0, 4.0)]),
+    }
+    assert max(len(r["points"]) for r in gazetteer.feature_names(spark.createDataFrame([(i, {"name": "Long Road"}, 1.0, 1.0) for i in range(30)], "feature_id long, tags map<string,string>, lat double, lon double"), 20).collect()) == 20
+    line = lambda n: [(float(i), 0.0) for i in range(n)]
+    ways = spark.createDataFrame([(11, None, line(17)), (12, "Lang", line(9)), (13, None, line(3))], "way_id long, name string, points array<struct<lat:double,lon:double>>")
+    relations = spark.createDataFrame([(1, "Bow", [11, 12]), (2, "Elbow", [11])], "relation_id long, name string, members array<long>")
+    rivers = {r["name"]: (r["kind"], [p["lat"] for p in r["points"]]) for r in gazetteer.with_rivers(names, gazetteer.member_names(relations, ways)).collect()}
+    assert rivers["Bow"] == ("river", [0.0, 8.0, 16.0]) and rivers["Lang"] == ("river", [0.0, 8.0]) and rivers["Langevin"][0] == "bridge" and len(rivers) == 7
