@@ -225,5 +225,32 @@ def representative(records: DataFrame, n: int = 150) -> DataFrame:
     return ranked.orderBy(F.desc("picked"), F.desc("score"), "id").limit(n).drop("r", "quota", "k", "picked", "_p")
 
 
+def cited_lines(records: DataFrame, n: int = 150, country_names: dict[str, str] | None = None) -> DataFrame:
+    """(at, id, line, excerpt) of the representative rows, the best first, numbered from 0: what a summary cites, and what stands for one."""
+    picked = representative(records, n)
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")) - 1  # n rows at most
+    named = F.array_join(F.transform(F.slice("places", 1, 3), lambda x: x["name"]), ",")
+    places = F.when(named == "", "-").otherwise(named)
+    country = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in country_names.items() for x in kv]), F.col("cc")), F.col("cc")) if country_names else F.col("cc")
+    where = F.when(F.coalesce("cc", F.lit("")) != "", F.concat(places, F.lit("; "), country)).otherwise(places)
+    what = F.concat_ws(", ", F.when(F.coalesce("hz", F.lit("")) != "", F.col("hz")), F.col("c"))
+    line = F.format_string("[%d] (%s, urgency %d, shared %dx, where: %s) %s", at, what, F.col("urg"), F.col("n"), where, F.col("text"))
+    return picked.select(at.alias("at"), "id", line.alias("line"), F.format_string("- (%s, urgency %d) %s", F.col("c"), F.col("urg"), F.col("text")).alias("excerpt"))
+
+
+def summarised(records: DataFrame, provider=None, template: str = "{n} of {total}: {filters}\n{lines}", filters: str = "", n: int = 150, k: int = 8) -> dict:
+    """A summary by a provider's model of the representative rows (at most ``n`` come to the driver); without one, the best ``k`` themselves.
+
+    ``provider.answer`` takes a prompt, the template filled in, and gives the text, or nothing where it calls no model.
+    """
+    rows = cited_lines(records, n).orderBy("at").collect()
+    if not rows:
+        return {"markdown": "", "cited": [], "asked": False}
+    said = provider.answer(template.format(n=len(rows), total=records.count(), filters=filters, lines="\n".join(r["line"] for r in rows))) if provider else None
+    if said is None:
+        return {"markdown": "\n".join(r["excerpt"] for r in rows[:k]), "cited": [r["id"] for r in rows[:k]], "asked": False}
+    return {"markdown": said, "cited": [r["id"] for r in rows], "asked": True}
+
+
 def place_popup(records: DataFrame, spec: ViewSpec, name: str, k: int = 4) -> DataFrame:
     return listed(records, replace(spec, places=(name,)), "urgent", k)

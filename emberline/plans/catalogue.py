@@ -537,6 +537,15 @@ def consistency(s, d):
     return a.select("id", F.array_join(F.transform(G.consistent("places"), lambda p: p["name"]), ";").alias("names"))
 
 
+@query(
+    f"with r as (select *, {_CAT} as c from {R0} where {_WHERE_WIDE}), q as (select r.*, log2(1 + n) + 1.5 * urg + conf + (case when id % 13 % 4 > 0 then 0.5 else 0 end) as score from r), s as (select c, greatest(3.0, round_even(12 * count(*) / sum(count(*)) over (), 0)) as quota from r group by 1), k as (select q.*, quota, row_number() over (partition by q.c order by score desc, id) as rk from q join s on s.c = q.c), t as (select * from k order by rk <= quota desc, score desc, id limit 12), o as (select *, row_number() over (order by score desc, id) - 1 as nr from t),"
+    f" p as (select id, string_agg(name, ',' order by pos) as named from {L0} group by 1) select nr, o.id, '[' || nr || '] (' || case when coalesce(hz, '') <> '' then hz || ', ' else '' end || o.c || ', urgency ' || urg || ', shared ' || n || 'x, where: ' || coalesce(named, '-') || case when cc is not null then '; ' || cc else '' end || ') ' || text as line from o left join p on p.id = o.id"
+)
+def cited_lines(s, d):
+    rows = R.records(s, d).where(F.col("canon") & (F.col("rel") == 1))
+    return view.cited_lines(rows, 12).select(F.col("at").cast("long").alias("nr"), "id", "line")
+
+
 # --- splits, guards, joins --------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import text as T
-from emberline.operators import extraction, gazetteer, grouping, metrics, review, scoring
+from emberline.operators import extraction, gazetteer, grouping, metrics, review, scoring, view
 from emberline.operators.components import connected_components
 from emberline.operators.skew import join_on_hot_key
 from emberline.session import written
@@ -239,3 +239,15 @@ def test_mapped_features(spark):
     relations = spark.createDataFrame([(1, "Bow", [11, 12]), (2, "Elbow", [11])], "relation_id long, name string, members array<long>")
     rivers = {r["name"]: (r["kind"], [p["lat"] for p in r["points"]]) for r in gazetteer.with_rivers(names, gazetteer.member_names(relations, ways)).collect()}
     assert rivers["Bow"] == ("river", [0.0, 8.0, 16.0]) and rivers["Lang"] == ("river", [0.0, 8.0]) and rivers["Langevin"][0] == "bridge" and len(rivers) == 7
+
+
+def test_summaries_cite_rows_or_excerpt_them(spark):
+    rows = [(i, 1 + i, i % 4, 0.5, "AID" if i % 2 else "", "FLOOD" if i else "", "CA" if i % 3 else None, f"text {i}", [{"name": "A"}] if i else []) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, n int, urg int, conf double, cat string, hz string, cc string, text string, places array<struct<name:string>>")
+    plain = view.summarised(df)
+    assert plain["asked"] is False and len(plain["cited"]) == 8 and plain["markdown"].split("\n")[0] == f"- (AID, urgency 3) text {plain['cited'][0]}"
+    seen = []
+    told = view.summarised(df, review.Provider(lambda p: seen.append(p) or "all is wet [0]", 1, "live"), filters="all")
+    assert told == {"markdown": "all is wet [0]", "cited": told["cited"], "asked": True} and sorted(told["cited"]) == list(range(10))
+    assert seen[0].startswith("10 of 10: all\n[0] (FLOOD, AID, urgency 3, shared ") and "where: -) text 0" in seen[0]
+    assert view.summarised(df, review.Provider()) == plain and view.summarised(df.limit(0))["cited"] == []
