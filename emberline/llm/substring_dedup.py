@@ -49,16 +49,6 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _FOUND = "bucket long, kind int, body binary"
 
 
-def _with(lo: np.ndarray, hi: np.ndarray, st: np.ndarray, en: np.ndarray, doc: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """``lo`` and ``hi`` with all that the neighbour before (-1) or after (1) depends on; where a document has none, a word beyond its edge."""
-    lo, hi = (np.minimum(lo, st - 1), hi.copy()) if side < 0 else (lo.copy(), np.maximum(hi, en + 1))
-    same = np.flatnonzero(doc[1:] == doc[:-1])
-    own, other = (same + 1, same) if side < 0 else (same, same + 1)
-    was_lo, was_hi = lo.copy(), hi.copy()
-    lo[own], hi[own] = np.minimum(lo[own], was_lo[other]), np.maximum(hi[own], was_hi[other])
-    return lo, hi
-
-
 def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """(symbol, document, place, first, past, size): the last round's symbols, the word at which each begins, the words [first, past) that
     decide it, and how many it stands for."""
@@ -72,10 +62,14 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             last = np.append(g[1:], len(sym)) - 1
             k = last - g + 1
             s = np.where(k > 1, _mix(sym[g] * _A + k.astype(np.uint64) * _B + salt), sym[g])
-            st, en, lo, hi, doc = st[g], en[last], np.minimum.reduceat(lo, g) if len(g) else lo, np.maximum.reduceat(hi, g) if len(g) else hi, doc[g]
-            # a run ends where both neighbours differ
-            before, after = _with(lo, hi, st, en, doc, -1), _with(lo, hi, st, en, doc, 1)
-            lo, hi = np.minimum(before[0], after[0]), np.maximum(before[1], after[1])
+            # a run ends where the symbols beside it differ: it depends on its own and on these two, with all that they depend on. At the edge of a document
+            # it depends on a word that is not there, so no window has it, and what the next document adds to that does not matter
+            st, en, doc = st[g], en[last], doc[g]
+            run_lo, run_hi = np.minimum(np.minimum.reduceat(lo, g) if len(g) else lo, st - 1), np.maximum(np.maximum.reduceat(hi, g) if len(g) else hi, en + 1)
+            for out, was, join in ((run_lo, lo, np.minimum), (run_hi, hi, np.maximum)):
+                join(out[1:], was[g[1:] - 1], out=out[1:])
+                join(out[:-1], was[g[1:]], out=out[:-1])
+            lo, hi = run_lo, run_hi
             # pairs of a left and a right symbol
             right = (_mix(s ^ (salt + _A)) >> np.uint64(40)) & np.uint64(1) == 1
             first = np.zeros(len(s), bool)
@@ -85,9 +79,9 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             lo2, hi2, en2 = lo.copy(), hi.copy(), en.copy()
             alone = ~first & ~second
             # a left symbol is alone for what follows, a right one for what stands before
-            for own, side in ((alone & ~right, 1), (alone & right, -1)):
-                near = _with(lo, hi, st, en, doc, side)
-                lo2[own], hi2[own] = near[0][own], near[1][own]
+            left_alone, right_alone = np.flatnonzero(alone[:-1] & ~right[:-1]), np.flatnonzero(alone[1:] & right[1:]) + 1
+            for own, other in ((left_alone, left_alone + 1), (right_alone, right_alone - 1)):
+                lo2[own], hi2[own] = np.minimum(lo[own], lo[other]), np.maximum(hi[own], hi[other])
             new = s.copy()
             new[f] = _mix(s[f] * _A + s[f + 1] * _B + salt)
             lo2[f], hi2[f], en2[f] = np.minimum(lo[f], lo[f + 1]), np.maximum(hi[f], hi[f + 1]), en[f + 1]
