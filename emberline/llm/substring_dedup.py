@@ -9,7 +9,8 @@ holds all of them has the symbol, at the same place, wherever it starts.
 1. The symbols of the last round are counted over all documents; each document learns which of its symbols are shared. A symbol that stands
    nowhere else rules out all windows that hold the words it depends on.
 2. What the shared symbols leave is named: a window's name is made of its interior symbols and their places in it, and beside it stands a
-   second hash, of its 35 words themselves, which verifies what the symbols reveal. Both, 128 bits together, are counted over all documents.
+   second hash, of its 35 words themselves, which verifies what the symbols reveal. Both are made of 64-bit hashes of words, so that two words of
+   one hash would count as equal; both together are counted over all documents.
 3. Documents learn their repeated windows and drop the words that these cover.
 
 Counting works on packed arrays: each task sends a key once, and tells its own documents itself what it finds twice, so a passage that
