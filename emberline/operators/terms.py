@@ -39,15 +39,28 @@ def distinctive_terms(docs: DataFrame, background: DataFrame, text: str = "text"
     return j.where(ok & (F.length("token") >= 3) & ~F.col("token").isin(*keep) & ~base.rlike("['’]") & ~usual).select("token", "df")
 
 
-def mask_proper_nouns(c: Column, common: tuple[str, ...], mark: str = "PLACE") -> Column:
-    """Capitalised words that do not begin a sentence, are not common and not to be kept become marks; white space stays as it is."""
-    words, gaps = F.split(c, rf"{T.S}+", -1), F.regexp_extract_all(c, F.lit(rf"{T.S}+"), 0)
-    before = lambda i: F.when(F.get(words, i - 1) != "", F.get(words, i - 1))
+_EDGES = r"[.,!?:;\"'()]"
+_END = rf"{_EDGES}*(?!{T.S.replace('[', '[^', 1)})"
+
+
+def _any_case(word: str) -> str:
+    """A pattern of what ``lower`` makes this word of; the Kelvin sign is lowered to a letter of ASCII."""
+    forms = lambda x: {x, *(y for y in (x.upper(), "\u212a", "\u212b", "\u2126", "\u1e9e") if len(y) == 1 and y.lower() == x)}
+    return "".join("[" + "".join(rf"\x{{{ord(y):x}}}" for y in sorted(forms(x))) + "]" for x in word)
+
 
-    def one(w: Column, i: Column) -> Column:
-        core = F.ltrim(F.btrim(w, F.lit(".,!?:;\"'()")), F.lit("#"))
-        begins = before(i).isNull() | F.right(before(i), F.lit(1)).isin(".", "!", "?", ":")
-        noun = core.rlike(r"^\p{Lu}") & ~begins & ~F.lower(core).isin(*common, *KEEP) & ~core.isin("PLACE", "URL", "RT", "I") & ~core.rlike("^I['’]")
-        return F.when(noun, F.replace(w, core, F.lit(mark))).otherwise(w)
+def _noun_pattern(common: tuple[str, ...]) -> str:
+    """What stands before a proper noun and the noun itself: white space after a word that ends no sentence, marks, then a capital.
 
-    return F.array_join(F.zip_with(F.transform(words, one), gaps, lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
+    Each step begins at white space and takes one word, so that the work grows with the text.
+    """
+    space = T.S
+    before = rf"{space}(?<=[^\s\p{{Z}}.!?:]{space}){space}*+{_EDGES}*+#*+"
+    usual = "|".join(_any_case(w) for w in (*common, *KEEP) if w == w.lower())
+    fixed = "PLACE|URL|RT|I"
+    return rf"({before})(?=\p{{Lu}})(?!I['’])(?!(?:{fixed}|{usual}){_END})\p{{Lu}}(?:[^\s\p{{Z}}]*[^\s\p{{Z}}.,!?:;\"'()])?(?={_END})"
+
+
+def mask_proper_nouns(c: Column, common: tuple[str, ...], mark: str = "PLACE") -> Column:
+    """Capitalised words that do not begin a sentence, are not common and not to be kept become marks; white space stays as it is."""
+    return F.regexp_replace(c, _noun_pattern(common), "$1" + mark.replace("\\", "\\\\").replace("$", "\\$"))

@@ -41,6 +41,17 @@ def test_text(spark):
     assert one(spark, T.norm_key(F.lit("RT @x: Water rising http://t.co/1 @you…"))) == "water rising"
 
 
+def test_proper_nouns(spark):
+    from emberline.operators import terms
+
+    mask = lambda t: one(spark, terms.mask_proper_nouns(F.lit(t), ("the", "and")))
+    assert mask(" Near  Calgary, the #Bow's (High River). Then: They left I'm Ris\u212a And RIVER \u212anow A' #'Abc") == " Near  PLACE, the #PLACE (PLACE River). Then: They left I'm PLACE And RIVER PLACE PLACE' #'Abc"
+    assert mask("") == "" and one(spark, terms.mask_proper_nouns(F.lit(None).cast("string"), ("the",))) is None
+    # a text of very many words costs no more than as many short ones
+    many = spark.range(1).select(F.repeat(F.lit("in Calgary now "), 200_000).alias("t")).select(terms.mask_proper_nouns(F.col("t"), ("the",)).alias("m"))
+    assert many.select((F.length("m") - F.length(F.replace("m", F.lit("PLACE"), F.lit("")))).alias("n")).first()["n"] == 5 * 200_000
+
+
 def posts(spark, order):
     text = "The river is over its banks at the old bridge and people are moving to the high school tonight"
     rows = [(1, text), (2, f"RT @x: {text}"), (3, f"RT @y: {text[:60]}…"), (4, "something else"), (5, None), (6, ""), (7, "RT @z: something else")]
