@@ -7,6 +7,7 @@ alone, so all spans are judged apart; of those accepted the longest at each toke
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from emberline.functions import text as T
 from emberline.operators import names as N
 from emberline.operators import place_values as V
-from emberline.operators.skew import BROADCAST_BYTES, bytes_of
+from emberline.operators.skew import BROADCAST_BYTES, bytes_of, row_bytes
 from emberline.session import written
 
 MAX_WORDS = 5
@@ -34,6 +35,7 @@ class Gazetteer:
     keys: DataFrame  # (key, place, plain, facts)
     trie: DataFrame  # (n, prefix, ends, goes_on): first n words of keys, folded
     words: int  # words of the longest key
+    level_bytes: dict[int, int]  # bytes of each level of the trie
     tags: DataFrame  # (key, place)
     common: DataFrame  # (word)
 
@@ -102,13 +104,14 @@ def gazetteer(names: N.Sources, c: N.Context, common: DataFrame) -> Gazetteer:
     return Gazetteer(c, names, keys, *_trie(keys), written(_tags(names, c, keys), "tags"), written(common.select("word").distinct(), "common"))
 
 
-def _trie(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The prefixes of all keys of at most five words, and the most words."""
+def _trie(keys: DataFrame) -> tuple[DataFrame, int, dict[int, int]]:
+    """The prefixes of all keys of at most five words, the most words, and the bytes of each level."""
     words = F.split(T.fold(F.col("key")), " ")
     each = keys.where(F.size(words) <= MAX_WORDS).select(words.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
     prefix = F.array_join(F.slice("w", 1, F.col("n")), " ")
     trie = written(each.groupBy("n", prefix.alias("prefix")).agg(F.bool_or(F.size("w") == F.col("n")).alias("ends"), F.bool_or(F.size("w") > F.col("n")).alias("goes_on")), "trie")
-    return trie, trie.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    sizes = {r["n"]: r["b"] for r in trie.groupBy("n").agg(F.sum(row_bytes(trie)).alias("b")).collect()}  # five rows at most
+    return trie, max(sizes, default=1), sizes
 
 
 def plain_gazetteer(places: DataFrame) -> Gazetteer:
@@ -121,11 +124,12 @@ def plain_gazetteer(places: DataFrame) -> Gazetteer:
 
 def token_rows(posts: DataFrame, row_id: str, text: str, words: int = 1) -> DataFrame:
     """(row, pos, t0, prev, t1, ...): tokens with the one before and the ``words`` - 1 that follow."""
-    t = posts.select(row_id, T.tokens(F.col(text), T.GAZETTEER_TOKEN).alias("t")).where(F.size("t") > 0)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.size("t") - 1))
+    t = posts.select(row_id, T.tokens(F.col(text), T.GAZETTEER_TOKEN).alias("t"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
     later = [F.slice("t", k + 1, F.size("t")) for k in range(1, words)]
     zipped = F.arrays_zip(F.col("t").alias("t0"), before.alias("prev"), *[x.alias(f"t{k}") for k, x in enumerate(later, 1)])
-    return t.select(row_id, F.posexplode(zipped).alias("pos", "r")).select(row_id, "pos", "r.*")
+    # outer, as else the planner asks first, per text, whether there are any, and looks for the tokens many times over
+    return t.select(row_id, F.posexplode_outer(zipped).alias("pos", "r")).select(row_id, "pos", "r.*").where("t0 is not null")
 
 
 def _upper(c: Column) -> Column:
@@ -136,13 +140,15 @@ def known_spans(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: s
     """(row, pos, n, span, key, prev, place, facts): runs of up to five tokens that some key of the gazetteer, or its folded form, equals."""
     rows = token_rows(posts, row_id, text, g.words).where(~F.col("t0").startswith("#"))
     cut = lambda k: F.trim(f"t{k}", F.lit(_EDGE))
-    how, level = g.hint(g.trie), lambda n: g.trie.where(F.col("n") == n + 1).select(F.col("prefix").alias(f"p{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"g{n}"))
-    rows = rows.withColumn("p0", T.fold_token(cut(0))).join(level(0).hint(how), "p0")
+    # the first levels are small whatever the number of keys; a level that is sent to all needs no shuffle, in which a frequent word would meet itself
+    how = lambda n: "broadcast" if g.level_bytes.get(n + 1, 0) <= BROADCAST_BYTES else "shuffle_merge"
+    level = lambda n: g.trie.where(F.col("n") == n + 1).select(F.col("prefix").alias(f"p{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"g{n}"))
+    rows = rows.withColumn("p0", T.fold_token(cut(0))).join(level(0).hint(how(0)), "p0")
     for k in range(1, g.words):
         # what goes no further meets nothing, evenly
         on = F.col(f"g{k - 1}") & ~F.col(f"t{k}").startswith("#")
         none = F.concat(F.lit("\x01"), F.pmod(F.xxhash64(row_id, "pos"), F.lit(1000)).cast("string"))
-        rows = rows.withColumn(f"p{k}", F.when(on, F.concat_ws(" ", f"p{k - 1}", T.fold_token(cut(k)))).otherwise(none)).join(level(k).hint(how), f"p{k}", "left")
+        rows = rows.withColumn(f"p{k}", F.when(on, F.concat_ws(" ", f"p{k - 1}", T.fold_token(cut(k)))).otherwise(none)).join(level(k).hint(how(k)), f"p{k}", "left")
     rows = rows.where(" or ".join(f"e{k}" for k in range(g.words)))
     spans = F.array(*[F.when(F.col(f"e{k}"), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *[cut(i) for i in range(k + 1)]).alias("span"))) for k in range(g.words)])
     each = rows.select(row_id, "pos", "prev", F.explode(spans).alias("s")).where("s is not null").select(row_id, "pos", "prev", "s.n", "s.span").withColumn("key", F.lower("span"))
@@ -199,7 +205,7 @@ def accepted(spans: DataFrame, g: Gazetteer) -> DataFrame:
 
 def hashtags(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
     """(row, pos, span, tag, place): hashtags that stand for a place, with the part of them that does."""
-    toks = posts.select(row_id, F.posexplode(T.tokens(F.col(text), T.GAZETTEER_TOKEN)).alias("pos", "span")).where(F.col("span").startswith("#"))
+    toks = posts.select(row_id, F.posexplode_outer(F.filter(F.transform(T.tokens(F.col(text), T.GAZETTEER_TOKEN), lambda t, i: F.struct(i.alias("pos"), t.alias("span"))), lambda x: x.span.startswith("#"))).alias("_", "r")).select(row_id, "r.*").where("span is not null")
     each = toks.select(row_id, "pos", "span", F.posexplode(tag_keys(F.col("span"))).alias("at", "key"))
     hit = each.join(g.tags.hint(g.hint(g.tags)), "key")
     return hit.groupBy(row_id, "pos", "span").agg(F.min_by(F.struct("key", "place"), "at").alias("b")).select(row_id, "pos", "span", F.col("b.key").alias("tag"), "b.place")
@@ -210,50 +216,72 @@ def agreeing(spans: Column) -> Column:
     administrative = lambda x: x.place.kind.isin("country", "state", "province")
     codes = F.array_distinct(F.filter(F.transform(spans, lambda x: x.place.cc), lambda c: c.isNotNull()))
     votes = F.transform(codes, lambda c, i: F.struct(F.aggregate(spans, F.lit(0), lambda a, x: a + F.when(x.place.cc == c, F.when(administrative(x), 2).otherwise(1)).otherwise(0)).alias("n"), (-i).alias("at"), c.alias("cc")))
-    top = F.array_max(votes)
-    keep = F.filter(spans, lambda x: x.place.cc.isNull() | (x.place.cc == top.cc) | administrative(x) | (F.coalesce(x.place["pop"], F.lit(0)) >= V.GREAT_CITY))
-    return F.when(top.n >= 2, keep).otherwise(spans)
+    keep = lambda top: F.filter(spans, lambda x: x.place.cc.isNull() | (x.place.cc == top.cc) | administrative(x) | (F.coalesce(x.place["pop"], F.lit(0)) >= V.GREAT_CITY))
+    # the votes are counted once per row, not once per span
+    return F.transform(F.array(F.array_max(votes)), lambda top: F.when(top.n >= 2, keep(top)).otherwise(spans))[0]
+
+
+def firsts(spans: Column, name: Callable[[Column], Column]) -> Column:
+    """The spans that are the first of their name, in order: names are sorted, so that nothing is compared with all others."""
+    named = F.sort_array(F.transform(spans, lambda x, i: F.struct(name(x).alias("name"), i.alias("i"))))
+    first = lambda w: F.filter(w, lambda x, i: (i == 0) | ~x["name"].eqNullSafe(F.get(w, i - 1)["name"]))
+    at = F.transform(F.array(named), lambda w: F.sort_array(F.transform(first(w), lambda x: x.i)))[0]
+    return F.transform(at, lambda i: F.get(spans, i))
 
 
 def extracted(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
     """(row, places) of rows that name a place: spans in order, each place once under its first span. A null text names none."""
     a = accepted(known_spans(posts, g, row_id, text), g).select(row_id, "pos", "n", "span", F.lit(None).cast("string").alias("tag"), "place")
     t = hashtags(posts, g, row_id, text).select(row_id, "pos", F.lit(1).alias("n"), "span", "tag", "place")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("shorter"), "n", "span", "tag", "place")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("shorter"), "n", "span", "tag", "place")))
     rows = a.union(t).groupBy(row_id).agg(ordered.alias("s"))
     # the longest span at each token, from left to right, that begins where no taken one reaches
     step = lambda acc, x, i: F.when(x.pos >= acc.end, F.struct((x.pos + x.n).alias("end"), F.concat(acc["at"], F.array(i)).alias("at"))).otherwise(acc)
     numbered = F.transform("s", lambda x, i: F.struct(x.pos.alias("pos"), x.n.alias("n"), i.alias("i")))
     taken = F.aggregate(numbered, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")), lambda acc, x: step(acc, x, x.i))["at"]
     rows = rows.select(row_id, F.transform(taken, lambda i: F.get("s", i)).alias("s"))
-    once = F.filter("s", lambda x, i: F.array_position(F.transform("s", lambda y: y.place["name"]), x.place["name"]) == i + 1)
+    once = firsts(F.col("s"), lambda x: x.place["name"])
     rows = rows.select(row_id, F.transform(once, lambda x: F.struct(x.pos.alias("pos"), x.n.alias("n"), x.span.alias("span"), x.tag.alias("tag"), x.place.alias("place"))).cast(SPANS).alias("places"))
-    return rows.withColumn("places", agreeing(F.col("places"))) if g.names.seen_by(g.context).world is not None else rows
+    rows = rows.withColumn("places", agreeing(F.col("places"))) if g.names.seen_by(g.context).world is not None else rows
+    # a table: what callers ask of the places would else be worked out where the spans are, once per span
+    return written(rows, "places")
+
+
+def with_offsets(posts: DataFrame, found: DataFrame, row_id: str = "post_id", text: str = "text", how: str = "left") -> DataFrame:
+    """(row, text, places): each place with the characters at which its span begins and ends (exclusive). Rows without places have none, or (``how`` inner) are left out."""
+    size = lambda a: F.aggregate(a, F.lit(0), lambda n, w: n + F.length(w))
+    x = _cut(posts, found, row_id, text, how)
+    # characters from the end of the place before to this one's beginning, and within it; then their sums from left to right
+    since = lambda i: F.coalesce(F.get("places", i - 1).pos + F.get("places", i - 1).n, F.lit(0))
+    before = lambda p, i: size(F.slice("_g", since(i) + 1, p.pos - since(i))) + size(F.slice("_t", since(i) + 1, p.pos - since(i))) + F.length(F.get("_g", p.pos))
+    within = lambda p: size(F.slice("_g", p.pos + 2, p.n - 1)) + size(F.slice("_t", p.pos + 1, p.n))
+    lengths = F.transform("places", lambda p, i: F.struct(before(p, i).alias("before"), within(p).alias("within")))
+    ends = F.aggregate(lengths, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")), lambda a, l: F.struct((a.end + l.before + l.within).alias("end"), F.concat(a.starts, F.array(a.end + l.before)).alias("starts")))
+    x = x.withColumn("_s", ends.starts)
 
+    def placed(p: Column, i: Column) -> Column:
+        start = F.get("_s", i)
+        return F.struct(p.pos.alias("pos"), p.n.alias("n"), p.span.alias("span"), p.tag.alias("tag"), p.place.alias("place"), start.alias("start"), (start + within(p)).alias("end"))
 
-def with_offsets(posts: DataFrame, found: DataFrame, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    """(row, text, places): each place with the characters at which its span begins and ends (exclusive). Rows without places have none."""
-    gaps = F.split(F.coalesce(F.col(text), F.lit("")), T.GAZETTEER_TOKEN, -1)
-    x = posts.select(row_id, text).join(found, row_id, "left").withColumn("_t", T.tokens(F.col(text), T.GAZETTEER_TOKEN)).withColumn("_g", gaps)
-    size = lambda a, first, n: F.aggregate(F.slice(a, first, n), F.lit(0), lambda s, w: s + F.length(w))
+    return x.select(row_id, text, F.transform("places", placed).alias("places"))
 
-    def placed(p: Column) -> Column:
-        start = size("_g", F.lit(1), p.pos + 1) + size("_t", F.lit(1), p.pos)
-        length = size("_g", p.pos + 2, p.n - 1) + size("_t", p.pos + 1, p.n)
-        return F.struct(p.pos.alias("pos"), p.n.alias("n"), p.span.alias("span"), p.tag.alias("tag"), p.place.alias("place"), start.alias("start"), (start + length).alias("end"))
 
-    return x.select(row_id, text, F.transform(F.coalesce("places", F.array().cast(SPANS)), placed).alias("places"))
+def _cut(posts: DataFrame, found: DataFrame, row_id: str, text: str, how: str = "left") -> DataFrame:
+    """(row, text, places, _t, _g): the texts as tokens and the gaps around them, one more than tokens."""
+    x = posts.select(row_id, text).join(found.select(row_id, "places"), row_id, how).withColumn("places", F.coalesce("places", F.array().cast(SPANS)))
+    return x.withColumn("_t", T.tokens(F.col(text), T.GAZETTEER_TOKEN)).withColumn("_g", F.split(F.coalesce(F.col(text), F.lit("")), T.GAZETTEER_TOKEN, -1))
 
 
 def masked(posts: DataFrame, found: DataFrame, row_id: str = "post_id", text: str = "text", token: str = "PLACE") -> DataFrame:
     """(row, masked): the extracted spans, and nothing else, as ``token``; a hashtag keeps the rest of its letters, in small ones."""
-    x = with_offsets(posts, found, row_id, text)
+    x = _cut(posts, found, row_id, text)
     low = lambda p: F.lower(F.substr(p.span, F.lit(2)))
     at = lambda p: F.instr(low(p), p.tag)
     tag = lambda p: F.concat(F.lit("#"), F.when(at(p) > 0, F.concat(F.substr(low(p), F.lit(1), at(p) - 1), F.lit(token), F.substr(low(p), at(p) + F.length(p.tag)))).otherwise(F.lit(token)))
     new = lambda p: F.when(p.span.startswith("#"), tag(p)).otherwise(F.lit(token))
-    # what stands between the places, kept as pieces
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate("places", start, lambda a, p: F.struct(p.end.alias("end"), F.concat(a.out, F.array(F.substr(F.col(text), a.end + 1, p.start - a.end), new(p))).alias("out")))
-    x = x.withColumn("_w", walked)
-    return x.select(row_id, F.concat(F.array_join("_w.out", ""), F.substr(F.coalesce(F.col(text), F.lit("")), F.col("_w.end") + 1)).alias("masked"))
+    # what stands between the places, each piece read once
+    piece = lambda first, n: F.array_join(F.zip_with(F.slice("_g", first + 1, n), F.slice("_t", first + 1, n), lambda g, t: F.concat(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit("")))), "")
+    past = lambda p: F.coalesce(p.pos + p.n, F.lit(0))
+    head = F.transform("places", lambda p, i: F.concat(piece(past(F.get("places", i - 1)), p.pos - past(F.get("places", i - 1))), F.get("_g", p.pos), new(p)))
+    last = past(F.get("places", F.size("places") - 1))
+    return x.select(row_id, F.concat(F.array_join(head, ""), piece(last, F.size("_g") - last)).alias("masked"))

@@ -17,7 +17,7 @@ KEEP = [
 def document_frequency(docs: DataFrame, text: str = "text", least: int = 3, lower: bool = True) -> DataFrame:
     """(token, df): in how many texts each token stands, outside links and mentions and without the hash of hashtags."""
     t = T.plain_tokens(F.col(text)) if lower else T.tokens(F.col(text))
-    return docs.select(F.explode(F.array_distinct(t)).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return docs.select(F.explode_outer(F.array_distinct(t)).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
 def distinctive_terms(docs: DataFrame, background: DataFrame, text: str = "text", share: float = 0.004, ratio: float = 8.0, keep: tuple[str, ...] = tuple(KEEP), common: tuple[str, ...] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from emberline.operators import names as N
 from emberline.operators import place_values as V
 from emberline.operators import terms
 from emberline.plans import relations as R
-from emberline.session import table
+from emberline.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,13 +40,14 @@ def _number(c) -> F.Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def _frequent(s: SparkSession, d: str) -> DataFrame:
-    return terms.document_frequency(table(s, d, "documents"), "text", 5, lower=False).withColumn("h", _number(F.col("token")))
+def frequent(s: SparkSession, d: str) -> DataFrame:
+    """(token, df, h), written: registers, cities and words of a language are made of it, and read it many times."""
+    return written(terms.document_frequency(table(s, d, "documents"), "text", 5, lower=False).withColumn("h", _number(F.col("token"))), "frequent")
 
 
-def register(s: SparkSession, d: str) -> DataFrame:
+def register(s: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
     """A register of capitalised words that 5 to 40 texts have; what it says of them follows from a hash."""
-    t = _frequent(s, d).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$"))
+    t = (t or frequent(s, d)).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$"))
     term = F.get(F.array(*map(F.lit, ("City", "Town", "Hamlet", "River"))), (F.col("h") % 4).cast("int"))
     return t.select(F.col("h").alias("at"), F.col("token").alias("name"), F.expr("50 + (h % 1000) / 50e0").alias("lat"), F.expr("-115 + (h % 89) / 50e0").alias("lon"), F.lit("Alberta").alias("province"), term.alias("term"), F.lit("").alias("category"), F.expr("(h % 13) * 150000").alias("relevance"))
 
@@ -60,14 +61,14 @@ def features(s: SparkSession, d: str) -> DataFrame:
     return toks.where(ok).select(F.col("doc_id").alias("at"), F.array_join("t", " ").alias("name"), kind.alias("kind"), F.array(point(100, 89), point(83, 71)).alias("points"))
 
 
-def common(s: SparkSession, d: str) -> DataFrame:
-    return _frequent(s, d).where(F.col("token").rlike("^[a-z]{3,}$") & (F.col("h") % 7 == 0)).select(F.col("token").alias("word"))
+def common(s: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
+    return (t or frequent(s, d)).where(F.col("token").rlike("^[a-z]{3,}$") & (F.col("h") % 7 == 0)).select(F.col("token").alias("word"))
 
 
-def world(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def world(s: SparkSession, d: str, t: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cities named by capitalised words that 41 to 90 texts have, in states of six countries, one of them the register's."""
     code = F.get(F.array(F.lit("CA"), *[F.lit(f"N{i}") for i in range(5)]), (F.col("h") % 6).cast("int"))
-    t = _frequent(s, d).where(F.col("df").between(41, 90) & F.col("token").rlike("^[A-Z][a-z]{4,}$"))
+    t = (t or frequent(s, d)).where(F.col("df").between(41, 90) & F.col("token").rlike("^[A-Z][a-z]{4,}$"))
     cities = t.select(F.col("h").alias("at"), F.col("token").alias("name"), F.col("token").alias("ascii"), F.array().cast("array<string>").alias("others"), F.expr("(h % 170) - 85e0").alias("lat"), F.expr("(h % 359) - 179e0").alias("lon"), code.alias("cc"), F.expr("'S' || (h % 3)").alias("state_code"), F.expr("h % 3000000").alias("pop"))
     n = table(s, d, "nation").where("n_nationkey between 0 and 5").select(F.col("n_nationkey").cast("long").alias("at"), F.when(F.col("n_nationkey") == 5, "CA").otherwise(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("cc"), F.initcap("n_name").alias("name"))
     states = n.select(F.col("at"), "cc", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select((F.col("at") * 3 + F.col("k")).alias("at"), F.concat("cc", F.lit(".S"), F.col("k").cast("string")).alias("code"), F.concat(F.lit("Province"), F.col("cc"), F.col("k").cast("string")).alias("name")).withColumn("ascii", F.col("name"))
@@ -75,7 +76,8 @@ def world(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def event(s: SparkSession, d: str) -> E.Gazetteer:
-    return E.gazetteer(N.sources(register(s, d), features(s, d)), N.Context(centre=CENTRE), common(s, d))
+    t = frequent(s, d)
+    return E.gazetteer(N.sources(register(s, d, t), features(s, d)), N.Context(centre=CENTRE), common(s, d, t))
 
 
 def _list(words) -> str:
@@ -136,7 +138,7 @@ _CTE = rf"""with recursive freq as (select token, count(*) as df, cast('0x' || l
 @query(_CTE + "select post_id, string_agg(concat(start, '-', stop, '=', name), ';' order by pos) as places from placed group by 1")
 def extract(s, d):
     posts, g = event_posts(s, d), event(s, d)
-    x = E.with_offsets(posts, E.extracted(posts, g)).where(F.size("places") > 0)
+    x = E.with_offsets(posts, E.extracted(posts, g), how="inner")
     return x.select("post_id", F.array_join(F.transform("places", lambda p: F.concat(p.start.cast("string"), F.lit("-"), p.end.cast("string"), F.lit("="), p.place["name"])), ";").alias("places"))
 
 
@@ -163,7 +165,7 @@ _SEED = r"seed as (select token, lower(token) as key from (select token, count(*
 def candidate_spans(s, d):
     """Spans of every length that a dictionary of words, and of the first two or three words of two texts in three, holds."""
     docs = table(s, d, "documents")
-    seed = _frequent(s, d).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$")).select(F.lower("token").alias("key"))
+    seed = frequent(s, d).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$")).select(F.lower("token").alias("key"))
     t = docs.withColumn("t", F.transform(F.slice(T.tokens(F.col("text"), T.GAZETTEER_TOKEN), 1, 3), lambda w: F.trim(w, F.lit(".'’-")))).withColumn("k", 3 - F.col("doc_id") % 3)
     first = t.where("k > 1 and size(t) >= k").select(F.lower(F.array_join(F.slice("t", 1, F.col("k").cast("int")), " ")).alias("key"))
     keys = seed.union(first).distinct()
@@ -192,7 +194,8 @@ def region_context(s, d):
     """The region that all posts are about, by two extractions."""
     from emberline.operators import context
 
-    r = context.region_of(R.posts(s, d), N.sources(register(s, d), None, world(s, d)), common(s, d))
+    t = frequent(s, d)
+    r = context.region_of(R.posts(s, d), N.sources(register(s, d, t), None, world(s, d, t)), common(s, d, t))
     lat, lon = r.centre or (None, None)
     return s.createDataFrame([(r.mode, r.country, lat, lon, r.foreign, ";".join(n for n, _ in r.top))], "mode string, country string, lat double, lon double, foreign boolean, top string")
 
@@ -210,6 +213,7 @@ def process_end_to_end(s, d):
     train = vectors.select("embedding", (F.col("label") % 2).cast("int").alias("relevant"), pick(review.CATEGORIES).alias("category"), pick(review.HAZARDS).alias("hazard"))
     heads = scoring.trained_heads(train, "embedding", {"relevant": ["0", "1"], "category": review.CATEGORIES, "hazard": review.HAZARDS})
     before = table(s, d, "labels").where("doc_id % 7 = 0").select((F.col("doc_id") * 4).alias("group_id"), F.lit(0).alias("pos"), F.col("quality").alias("rel"), F.lit(0.9).alias("conf"), F.lit("AID").alias("cat"), F.lit(1).alias("urg"), F.lit("").alias("hazard"), F.lit("CA").alias("cc"), F.array(F.lit("Calgary"), F.lit("Alberta")).alias("places"))
-    sources = N.sources(register(s, d), features(s, d), world(s, d))
-    out = process(posts, sources, common(s, d), own, heads, precomputed=before, budget=3, batch=20)
+    t = frequent(s, d)
+    sources = N.sources(register(s, d, t), features(s, d), world(s, d, t))
+    out = process(posts, sources, common(s, d, t), own, heads, precomputed=before, budget=3, batch=20)
     return out.select("post_id", "group_id", "rel", "cat", "urg", "hz", "cc", "decided_by", "place_hint", F.array_join(F.transform("places", lambda x: x.place["name"]), ";").alias("places"))

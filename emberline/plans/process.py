@@ -72,7 +72,7 @@ def process(
     region = region or context.region_of(g, sources, common)
     gazetteer = context.gazetteer_for(region, sources, common)
     canon = g.where("is_canonical").select(F.col("post_id").alias("id"), "group_id", "text")
-    found = written(extraction.extracted(canon, gazetteer, "id"), "places")
+    found = extraction.extracted(canon, gazetteer, "id")
     if callable(vectors):
         vectors = vectors(masked(canon, found, terms or []).withColumnRenamed("id", "post_id"))
     x = canon.join(found, "id", "left").withColumn("places", F.coalesce("places", F.array().cast(extraction.SPANS)))

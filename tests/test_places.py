@@ -195,3 +195,29 @@ def test_random_texts(spark, gazetteers, which):
     pool = [w for k in keys for w in (k, k.title(), k.upper(), *k.title().split())] + ["in", "near", "Jeff", "Hurricane", "storm", "the", "of", "#x", "People", "and,", "flood"] * 8
     texts = [" ".join(rng.choice(pool) + rng.choice(["", "", "", ".", ",", "'", "-"]) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
     assert found(spark, g, texts) == [plain_spans(re.sub(r"#[^ ]*", "#x", t), keys, facts, set(COMMON), True) for t in texts]
+
+
+def test_long_texts(spark, gazetteers):
+    """Spans of a text are read a few times, whatever their number: a text of very many places is done at once."""
+    named = [f"{w} {i}" for i in range(4000) for w in ("Calgary and Manila", "near Edmonton", "#calgaryFlood")]
+    texts = [" ".join(named), "Nothing here", None]
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id long, text string")
+    got = E.extracted(posts, gazetteers["event"])
+    assert got.count() == 1
+    placed = E.with_offsets(posts, got, how="inner").collect()
+    assert [p["place"]["name"] for p in placed[0]["places"]] == ["Calgary", "Manila", "Edmonton"]
+    assert [texts[0][p["start"] : p["end"]] for p in placed[0]["places"]] == ["Calgary", "Manila", "Edmonton"]
+    plan = E.known_spans(posts, gazetteers["event"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # the tokens are looked for once per text
+
+
+def test_levels_by_their_own_size(spark):
+    """A level of the trie that is small is sent to all, whatever the size of the whole."""
+    g = E.plain_gazetteer(spark.createDataFrame([("calgary tower", None), ("calgary", None)], f"key string, place {N.PLACE}"))
+    assert set(g.level_bytes) == {1, 2} and all(v > 0 for v in g.level_bytes.values())
+    from dataclasses import replace
+
+    wide = replace(g, level_bytes={1: 10, 2: 1 << 40})
+    posts = spark.createDataFrame([(1, "the Calgary Tower")], "post_id long, text string")
+    plan = E.known_spans(posts, wide)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 3  # the second level; the first, and the keys twice
