@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 W, S = r"[\p{L}\p{N}_]", r"[\s\p{Z}]"
 URL = r"https?://[^\s\p{Z}]+"
@@ -24,15 +24,26 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"{S}+", " "))
 
 
-@F.pandas_udf(StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+#: What may be an entity: as ``html.unescape`` takes it.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _entities(s: pd.Series) -> pd.Series:
+    return s.map(lambda e: [html.unescape(x) for x in e], na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """Entities resolved. What goes to Python are the entities, not the texts; texts without an ampersand send nothing."""
+    found = F.when(F.contains(c, F.lit("&")), F.regexp_extract_all(c, F.lit(ENTITY), 0))
+    told = _entities(F.when(F.size(found) > 0, found))
+    pieces = F.zip_with(F.split(c, ENTITY, -1), told, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.coalesce(F.array_join(pieces, ""), c)).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
-    """Entities resolved, white space collapsed; null counts as empty. Only texts with an ampersand go to Python."""
-    c = F.coalesce(c, F.lit(""))
-    return collapse(F.when(F.contains(c, F.lit("&")), unescape(c)).otherwise(c))
+    """Entities resolved, white space collapsed; null counts as empty."""
+    return collapse(unescape(F.coalesce(c, F.lit(""))))
 
 
 def norm_key(c: Column) -> Column:
@@ -45,11 +56,13 @@ def norm_key(c: Column) -> Column:
 
 def embedded_key(c: Column) -> Column:
     """The key of the post that a retweet carries; empty without one."""
-    return norm_key(F.regexp_extract(F.coalesce(c, F.lit("")), EMBEDDED, 1))
+    c = F.coalesce(c, F.lit(""))
+    return F.when(F.contains(c, F.lit("@")), norm_key(F.regexp_extract(c, EMBEDDED, 1))).otherwise("")
 
 
 def is_retweet(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(RETWEET)
+    c = F.coalesce(c, F.lit(""))
+    return F.contains(c, F.lit("@")) & c.rlike(RETWEET)
 
 
 def is_truncated(c: Column) -> Column:

@@ -69,6 +69,16 @@ def test_groups_whatever_the_order(spark):
     assert [p for p, _, _, c in seen[0] if c] == [1, 4]
 
 
+def test_entities(spark):
+    import html
+
+    texts = ["a &amp; b", "&lt&gt;&notit; &#65;&#x42 &#xD800; &unknown; &", "no entity", "&amp;amp;", "&&amp;&", "", None, "x &\u00e9t\u00e9; &Aacute y"]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.unescape(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [t if t is None else html.unescape(t) for t in texts]
+    plan = spark.createDataFrame([("a",)], "t string").select(T.clean_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_entities(CASE" in plan  # entities go to Python, texts do not
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 230)]
