@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from emberline.functions import text as T
 from emberline.operators.components import connected_components
-from emberline.operators.skew import join_on_hot_key
+from emberline.operators.skew import join_on_hot_key, small_or_shuffled
 from emberline.session import written
 
 MIN_PREFIX = 40
+#: Rows that a task of the scan holds before it gives them on.
+MOST_FOUND = 5000
 
 
 def keyed(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> DataFrame:
@@ -23,16 +25,26 @@ def keyed(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> Dat
     return posts.withColumn(text, c).where(F.length(text) > 0).withColumn("key", T.norm_key(F.col(text))).withColumn("inner_key", T.embedded_key(F.col(text))).withColumn("is_retweet", T.is_retweet(F.col(text))).withColumn("truncated", T.is_truncated(F.col(text)))
 
 
-def owners(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
-    """(k, owner): each key's first post, of own and embedded keys."""
-    both = posts.select(F.explode(F.array_distinct(F.array("key", "inner_key"))).alias("k"), F.col(post_id).alias("p")).where("k <> ''")
-    return both.groupBy("k").agg(F.min("p").alias("owner"))
+def key_rows(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
+    """(d, p), written: the digest of each key, own or embedded, with its post. Texts are read once and go through no shuffle: keys are equal where
+    their SHA-256 is."""
+    both = posts.select(F.explode_outer(F.array_distinct(F.array("key", "inner_key"))).alias("k"), F.col(post_id).alias("p")).where("k <> ''")
+    return written(both.select(F.unhex(F.sha2("k", 256)).alias("d"), "p"), "key-rows")
 
 
 def dup_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
     """(src, dst): a post and the first owner of one of its keys. Stars, not pairs."""
-    both = posts.select(F.explode(F.array_distinct(F.array("key", "inner_key"))).alias("k"), F.col(post_id).alias("dst")).where("k <> ''")
-    return both.join(owners(posts, post_id), "k").where("owner <> dst").select(F.col("owner").alias("src"), "dst").distinct()
+    rows = key_rows(posts, post_id)
+    owner = rows.groupBy("d").agg(F.min("p").alias("src"))
+    return rows.withColumnRenamed("p", "dst").join(owner, "d").where("src <> dst").select("src", "dst").distinct()
+
+
+def owners(posts: DataFrame, post_id: str, least: int, most: int, openings: DataFrame) -> DataFrame:
+    """(k, owner): the first ``most`` characters of each key, own or embedded, that begins with one of the openings (o, hashes of ``least`` characters), with
+    its first post. Keys that differ later stay apart."""
+    both = posts.select(F.explode_outer(F.array_distinct(F.array("key", "inner_key"))).alias("k"), F.col(post_id).alias("p")).where(F.length("k") >= least)
+    near = both.select(F.xxhash64(F.left("k", F.lit(least))).alias("o"), F.left("k", F.lit(most)).alias("s"), F.unhex(F.sha2("k", 256)).alias("d"), "p").join(small_or_shuffled(openings), "o", "left_semi")
+    return near.groupBy("d", "s").agg(F.min("p").alias("owner")).select(F.col("s").alias("k"), "owner")
 
 
 def prefixed(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -55,6 +67,9 @@ def prefixed(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
                     at += 1
             yield pa.RecordBatch.from_pydict({"s": pa.array([x for x, _ in out], pa.string()), "part": pa.array([x for _, x in out], pa.int32())})
 
+    def told(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"prefix": pa.array([p for p, _ in found], pa.string()), "owner": pa.array([o for _, o in found], pa.int64())})
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack = None, []
         for b in batches:
@@ -68,7 +83,10 @@ def prefixed(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
                     stack += [s] * (not stack or stack[-1] != s)
                 else:
                     found += [(p, owner) for p in stack]
-            yield pa.RecordBatch.from_pydict({"prefix": pa.array([p for p, _ in found], pa.string()), "owner": pa.array([o for _, o in found], pa.int64())})
+                if len(found) >= MOST_FOUND:
+                    yield told(found)
+                    found = []
+            yield told(found)
 
     begun = prefixes.select("prefix").mapInArrow(carried, "s string, part int").withColumn("owner", F.lit(None).cast("long"))
     rows = ranged.select("part", "s", "owner").unionByName(begun)
@@ -80,7 +98,11 @@ def trunc_edges(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
     """(src, dst): first owners of the keys that begin with a truncated post's key less its last word."""
     cut = F.regexp_replace("key", " [^ ]*$", "")
     p = written(posts.where(F.col("truncated") & (F.length("key") >= MIN_PREFIX)).select(F.col(post_id).alias("dst"), cut.alias("prefix")).where("prefix <> ''"), "truncated")
-    out = prefixed(owners(posts, post_id), p.select("prefix").distinct()).join(p, "prefix")
+    size = p.agg(F.min(F.length("prefix")).alias("least"), F.max(F.length("prefix")).alias("most")).first()
+    least, most = size["least"] or 1, size["most"] or 1
+    # a key can begin with a prefix only if it begins as some prefix does; no more of it is read than the longest prefix has
+    openings = written(p.select(F.xxhash64(F.left("prefix", F.lit(least))).alias("o")).distinct(), "openings")
+    out = prefixed(owners(posts, post_id, least, most, openings), p.select("prefix").distinct()).join(p, "prefix")
     return out.where("owner <> dst").select(F.col("owner").alias("src"), "dst").distinct()
 
 

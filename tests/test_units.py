@@ -79,6 +79,17 @@ def test_entities(spark):
     assert "_entities(CASE" in plan  # entities go to Python, texts do not
 
 
+def test_truncated_by_openings(spark):
+    """Keys are read as far as the longest prefix; those that differ beyond it have owners of their own."""
+    head = "the river is over its banks at the old bridge in the town"
+    rows = [(1, f"{head} tonight and people move"), (2, f"{head} tonight and people stay"), (3, f"RT @x: {head} tonigh\u2026"), (4, f"{head} ton\u2026"), (5, "something else that is long enough to be a key of its own"), (6, f"{head} tonight and people move")]
+    posts = grouping.keyed(spark.createDataFrame(rows, "post_id long, text string"))
+    got = {(r["src"], r["dst"]) for r in grouping.trunc_edges(posts).collect()}
+    assert got == {(s, t) for s in (1, 2, 3, 4) for t in (3, 4) if s != t}
+    plan = grouping.dup_edges(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["src"], r["dst"]) for r in grouping.dup_edges(posts).collect()} == {(1, 6)} and "inner_key" not in plan  # digests alone are dealt
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 230)]
