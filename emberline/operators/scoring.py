@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions import text as T
 from emberline.operators.metrics import auc
 
 
@@ -21,9 +22,9 @@ def binary(vec: str, weights: list[float], intercept: float) -> Column:
 def softmax(vec: str, heads: list[tuple[list[float], float]]) -> Column:
     """Class probabilities as an array."""
     logits = F.array(*[dot(vec, w) + b for w, b in heads])
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    # logits, their top, powers and sum are each worked out once per row, not once per class
+    exps = T.once(logits, lambda z: T.once(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
+    return T.once(exps, lambda e: T.once(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(probabilities: str, names: list[str]) -> Column:

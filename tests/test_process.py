@@ -1,5 +1,9 @@
 """The whole process on a few posts, stage by stage, and what posts are about."""
 
+import math
+import random
+import re
+
 import pytest
 
 from emberline.functions import text as T
@@ -82,3 +86,26 @@ def test_place_hint_reads_once(spark):
     got = lambda t, *known: spark.range(1).select(T.place_hint(F.lit(t), F.array(*map(F.lit, known)).cast("array<string>")).alias("x")).first()["x"]
     # the first hit takes the words that another alternative would take
     assert [got("we live in My Valley Road"), got("near Frog Lake"), got("near Frog Lake", "frog lake"), got("on 5 th Avenue"), got("the Old Bridge"), got("in Élan"), got(None)] == [False, True, False, True, True, False, False]
+
+
+def test_heads_are_worked_out_once(spark):
+    line = lambda i: ([0.5 * i, -1.0], 0.1 * i)
+    pr = scoring.softmax("e", [line(i) for i in range(9)])
+    # a product per class, not one per class for each use of the others
+    assert str(pr).count("zip_with") <= 9
+    got = spark.createDataFrame([([1.0, 2.0],), (None,)], "e array<double>").select(pr.alias("p")).collect()
+    logits = [0.5 * i - 2.0 + 0.1 * i for i in range(9)]
+    e = [math.exp(x - max(logits)) for x in logits]
+    assert got[0]["p"] == pytest.approx([x / sum(e) for x in e])
+
+
+def test_place_names_by_one_pattern(spark):
+    n = r"[A-Z][\w'’]+"
+    plain = re.compile(rf"(?<!\w)(?:in|at|near|on|by|across|along|off)\s+(?:the\s+)?({n}(?:\s+{n}){{0,3}})|(?<!\w)(\d+\s*(?:st|nd|rd|th)?\s+(?:St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Blvd|Trail|Way|Cres)(?!\w))|(?<!\w)({n}\s+(?:Trail|Drive|Road|Bridge|Crossing|Park|Street|Avenue|Creek|Lake|Reserve|Nation)(?!\w))")
+    words = ["in", "near", "the", "Calgary", "High", "River", "Bow", "Trail", "Park", "5", "12", "th", "St", "Ave", "Street", "x", "I", "Roads", "and,", "(in", "atlas", "O'Brien", "off"]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.place_names(F.col("t")).alias("p")).collect()
+    assert len(rows) == 2000 and all(r["p"] == [a or b or c for a, b, c in plain.findall(texts[r["i"]])] for r in rows)
+    # the pattern goes over a text once, not once for each of its groups
+    assert str(T.place_names(F.col("t"))).count("regexp_extract_all") == 1
