@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from emberline.functions import text as T
 from emberline.operators import names as N
 from emberline.operators import place_values as V
-from emberline.operators.skew import BROADCAST_BYTES, bytes_of, row_bytes
-from emberline.session import written
+from emberline.operators.skew import BROADCAST_BYTES, bytes_of, dealt, row_bytes
+from emberline.session import forget, written
 
 MAX_WORDS = 5
 _EDGE = ".'’-"
@@ -33,7 +33,7 @@ class Gazetteer:
     context: N.Context
     names: N.Sources
     keys: DataFrame  # (key, place, plain, facts)
-    trie: DataFrame  # (n, prefix, ends, goes_on): first n words of keys, folded
+    trie: DataFrame  # (n, prefix, ends, goes_on, whole, forms): first n words of keys, folded; whether they are a key, and keys folded to them
     words: int  # words of the longest key
     level_bytes: dict[int, int]  # bytes of each level of the trie
     tags: DataFrame  # (key, place)
@@ -107,9 +107,12 @@ def gazetteer(names: N.Sources, c: N.Context, common: DataFrame) -> Gazetteer:
 def _trie(keys: DataFrame) -> tuple[DataFrame, int, dict[int, int]]:
     """The prefixes of all keys of at most five words, the most words, and the bytes of each level."""
     words = F.split(T.fold(F.col("key")), " ")
-    each = keys.where(F.size(words) <= MAX_WORDS).select(words.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    each = keys.where(F.size(words) <= MAX_WORDS).select("key", words.alias("w")).select("key", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
     prefix = F.array_join(F.slice("w", 1, F.col("n")), " ")
-    trie = written(each.groupBy("n", prefix.alias("prefix")).agg(F.bool_or(F.size("w") == F.col("n")).alias("ends"), F.bool_or(F.size("w") > F.col("n")).alias("goes_on")), "trie")
+    ends = F.size("w") == F.col("n")
+    form = F.when(ends & (F.col("key") != F.array_join("w", " ")), F.col("key"))
+    whole = ends & (F.col("key") == F.array_join("w", " "))
+    trie = written(each.groupBy("n", prefix.alias("prefix")).agg(F.bool_or(ends).alias("ends"), F.bool_or(F.size("w") > F.col("n")).alias("goes_on"), F.bool_or(whole).alias("whole"), F.collect_set(form).alias("forms")), "trie")
     sizes = {r["n"]: r["b"] for r in trie.groupBy("n").agg(F.sum(row_bytes(trie)).alias("b")).collect()}  # five rows at most
     return trie, max(sizes, default=1), sizes
 
@@ -136,22 +139,50 @@ def _upper(c: Column) -> Column:
     return c.rlike(r"\p{Lu}") & ~c.rlike(r"\p{Ll}")
 
 
-def known_spans(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    """(row, pos, n, span, key, prev, place, facts): runs of up to five tokens that some key of the gazetteer, or its folded form, equals."""
-    rows = token_rows(posts, row_id, text, g.words).where(~F.col("t0").startswith("#"))
-    cut = lambda k: F.trim(f"t{k}", F.lit(_EDGE))
+_cut = lambda k: F.trim(f"t{k}", F.lit(_EDGE))
+
+
+def _level(g: Gazetteer, n: int) -> DataFrame:
     # the first levels are small whatever the number of keys; a level that is sent to all needs no shuffle, in which a frequent word would meet itself
-    how = lambda n: "broadcast" if g.level_bytes.get(n + 1, 0) <= BROADCAST_BYTES else "shuffle_merge"
-    level = lambda n: g.trie.where(F.col("n") == n + 1).select(F.col("prefix").alias(f"p{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"g{n}"))
-    rows = rows.withColumn("p0", T.fold_token(cut(0))).join(level(0).hint(how(0)), "p0")
+    how = "broadcast" if g.level_bytes.get(n + 1, 0) <= BROADCAST_BYTES else "shuffle_merge"
+    return g.trie.where(F.col("n") == n + 1).select(F.col("prefix").alias(f"p{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("ends", "goes_on", "whole", "forms")]).hint(how)
+
+
+def begun(posts: DataFrame, g: Gazetteer, row_id: str, text: str, tags: bool = False) -> DataFrame:
+    """The token rows with which a key may begin, and (``tags``) those of hashtags, with what the first level of the trie says."""
+    rows = token_rows(dealt(posts, row_id, text), row_id, text, g.words)
+    is_tag = F.col("t0").startswith("#")
+    if not tags:
+        return rows.where(~is_tag).withColumn("p0", T.fold_token(_cut(0))).join(_level(g, 0), "p0")
+    return rows.withColumn("p0", F.when(~is_tag, T.fold_token(_cut(0)))).join(_level(g, 0), "p0", "left").where(is_tag | F.col("goes_on0").isNotNull())
+
+
+def spans_begun(rows: DataFrame, g: Gazetteer, row_id: str) -> DataFrame:
+    """(row, pos, n, span, key, prev): runs of up to five tokens, from those of :func:`begun`, that are a key or whose folded form is one; hashtags have n 0."""
+    is_tag = F.col("t0").startswith("#")
     for k in range(1, g.words):
         # what goes no further meets nothing, evenly
-        on = F.col(f"g{k - 1}") & ~F.col(f"t{k}").startswith("#")
+        on = F.col(f"goes_on{k - 1}") & ~F.col(f"t{k}").startswith("#")
         none = F.concat(F.lit("\x01"), F.pmod(F.xxhash64(row_id, "pos"), F.lit(1000)).cast("string"))
-        rows = rows.withColumn(f"p{k}", F.when(on, F.concat_ws(" ", f"p{k - 1}", T.fold_token(cut(k)))).otherwise(none)).join(level(k).hint(how(k)), f"p{k}", "left")
-    rows = rows.where(" or ".join(f"e{k}" for k in range(g.words)))
-    spans = F.array(*[F.when(F.col(f"e{k}"), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *[cut(i) for i in range(k + 1)]).alias("span"))) for k in range(g.words)])
-    each = rows.select(row_id, "pos", "prev", F.explode(spans).alias("s")).where("s is not null").select(row_id, "pos", "prev", "s.n", "s.span").withColumn("key", F.lower("span"))
+        rows = rows.withColumn(f"p{k}", F.when(on, F.concat_ws(" ", f"p{k - 1}", T.fold_token(_cut(k)))).otherwise(none)).join(_level(g, k), f"p{k}", "left")
+    rows = rows.where(is_tag | F.expr(" or ".join(f"ends{k}" for k in range(g.words))))
+    tag = F.when(is_tag, F.struct(F.lit(0).alias("n"), F.col("t0").alias("span"), F.lit(True).alias("whole"), F.array().cast("array<string>").alias("forms")))
+    spans = F.array(tag, *[F.when(F.col(f"ends{k}"), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *[_cut(i) for i in range(k + 1)]).alias("span"), F.col(f"whole{k}").alias("whole"), F.col(f"forms{k}").alias("forms"))) for k in range(g.words)])
+    each = rows.select(row_id, "pos", "prev", F.explode(spans).alias("s")).where("s is not null").select(row_id, "pos", "prev", "s.*").withColumn("key", F.lower("span"))
+    return each.where(F.col("whole") | F.array_contains("forms", F.col("key"))).select(row_id, "pos", "n", "span", "key", "prev")
+
+
+def held_spans(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
+    """(row, pos, n, span, key, prev) of spans that the gazetteer holds, whatever places they stand for: the trie alone tells."""
+    return spans_begun(begun(posts, g, row_id, text), g, row_id)
+
+
+def known_spans(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
+    """(row, pos, n, span, key, prev, place, facts): runs of up to five tokens that some key of the gazetteer, or its folded form, equals."""
+    return _with_places(held_spans(posts, g, row_id, text), g, row_id)
+
+
+def _with_places(each: DataFrame, g: Gazetteer, row_id: str) -> DataFrame:
     how = g.hint(g.keys)
     exact = g.keys.select("key", F.col("place").alias("_place"), "small_ok", "is_admin", "mid_ok", "is_nation", F.lit(True).alias("_exact")).hint(how)
     folded = g.keys.select(F.col("key").alias("_fold"), F.col("plain").alias("_plain"), "known_city").hint(how)
@@ -178,6 +209,16 @@ def plausible(spans: DataFrame, g: Gazetteer) -> Column:
     return whole & F.when(F.col("n") == 1, ~key.isin(V.STOP) & single).otherwise(capital)
 
 
+def possible(g: Gazetteer) -> Column:
+    """What :func:`accepted` asks of (span, key, n, prev) alone: without it no span needs its place."""
+    w, key = F.col("span"), F.col("key")
+    capital = F.forall(F.split(w, " "), lambda x: x.rlike(r"^[\p{Lu}\p{N}]") | F.lower(x).isin(V.SMALL))
+    short = list(V.ALIASES) + (list(V.REGION_ALIASES) if g.names.seen_by(g.context).world is not None else [])
+    single = ~key.isin(V.STOP) & F.when(F.length(w) < 3, key.isin(short) & _upper(w)).otherwise(w.rlike(r"^\p{Lu}") | (F.length(w) >= 5))
+    storm = F.ltrim(F.lower(F.coalesce("prev", F.lit(""))), F.lit("#")).isin(V.STORMS)
+    return ~key.isin(V.BLOCK) & ~storm & ~(key.isin(list(V.ALIASES)) & (F.col("n") == 1) & (F.length("key") <= 3) & ~_upper(w)) & F.when(F.col("n") == 1, single).otherwise(capital)
+
+
 def accepted(spans: DataFrame, g: Gazetteer) -> DataFrame:
     """The known spans that are places: not blocked, plausible, and neither a storm's name nor a person's."""
     words = g.common.hint(g.hint(g.common))
@@ -203,9 +244,8 @@ def accepted(spans: DataFrame, g: Gazetteer) -> DataFrame:
     return x.where(~out).select(*[c for c in spans.columns if c in ("pos", "n", "span", "place") or c == spans.columns[0]])
 
 
-def hashtags(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
-    """(row, pos, span, tag, place): hashtags that stand for a place, with the part of them that does."""
-    toks = posts.select(row_id, F.posexplode_outer(F.filter(F.transform(T.tokens(F.col(text), T.GAZETTEER_TOKEN), lambda t, i: F.struct(i.alias("pos"), t.alias("span"))), lambda x: x.span.startswith("#"))).alias("_", "r")).select(row_id, "r.*").where("span is not null")
+def hashtags(toks: DataFrame, g: Gazetteer, row_id: str = "post_id") -> DataFrame:
+    """(row, pos, span, tag, place) of hashtags (row, pos, span): those that stand for a place, with the part of them that does."""
     each = toks.select(row_id, "pos", "span", F.posexplode(tag_keys(F.col("span"))).alias("at", "key"))
     hit = each.join(g.tags.hint(g.hint(g.tags)), "key")
     return hit.groupBy(row_id, "pos", "span").agg(F.min_by(F.struct("key", "place"), "at").alias("b")).select(row_id, "pos", "span", F.col("b.key").alias("tag"), "b.place")
@@ -231,8 +271,11 @@ def firsts(spans: Column, name: Callable[[Column], Column]) -> Column:
 
 def extracted(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str = "text") -> DataFrame:
     """(row, places) of rows that name a place: spans in order, each place once under its first span. A null text names none."""
-    a = accepted(known_spans(posts, g, row_id, text), g).select(row_id, "pos", "n", "span", F.lit(None).cast("string").alias("tag"), "place")
-    t = hashtags(posts, g, row_id, text).select(row_id, "pos", F.lit(1).alias("n"), "span", "tag", "place")
+    # texts are read once, for spans and for hashtags
+    first = written(spans_begun(begun(posts, g, row_id, text, tags=True), g, row_id).where((F.col("n") == 0) | possible(g)), "begun")
+    spans = _with_places(first.where("n > 0"), g, row_id)
+    a = accepted(spans, g).select(row_id, "pos", "n", "span", F.lit(None).cast("string").alias("tag"), "place")
+    t = hashtags(first.where("n = 0"), g, row_id).select(row_id, "pos", F.lit(1).alias("n"), "span", "tag", "place")
     ordered = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("shorter"), "n", "span", "tag", "place")))
     rows = a.union(t).groupBy(row_id).agg(ordered.alias("s"))
     # the longest span at each token, from left to right, that begins where no taken one reaches
@@ -244,44 +287,45 @@ def extracted(posts: DataFrame, g: Gazetteer, row_id: str = "post_id", text: str
     rows = rows.select(row_id, F.transform(once, lambda x: F.struct(x.pos.alias("pos"), x.n.alias("n"), x.span.alias("span"), x.tag.alias("tag"), x.place.alias("place"))).cast(SPANS).alias("places"))
     rows = rows.withColumn("places", agreeing(F.col("places"))) if g.names.seen_by(g.context).world is not None else rows
     # a table: what callers ask of the places would else be worked out where the spans are, once per span
-    return written(rows, "places")
+    out = written(rows, "places")
+    forget(first)
+    return out
 
 
 def with_offsets(posts: DataFrame, found: DataFrame, row_id: str = "post_id", text: str = "text", how: str = "left") -> DataFrame:
     """(row, text, places): each place with the characters at which its span begins and ends (exclusive). Rows without places have none, or (``how`` inner) are left out."""
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, w: n + F.length(w))
-    x = _cut(posts, found, row_id, text, how)
+    x = _pieces(posts, found, row_id, text, how)
+    size = lambda first, n: F.length(F.array_join(F.slice("_p", first + 1, n), ""))
+    gap = lambda p: F.length(T.gap(F.get("_p", p.pos)))
     # characters from the end of the place before to this one's beginning, and within it; then their sums from left to right
     since = lambda i: F.coalesce(F.get("places", i - 1).pos + F.get("places", i - 1).n, F.lit(0))
-    before = lambda p, i: size(F.slice("_g", since(i) + 1, p.pos - since(i))) + size(F.slice("_t", since(i) + 1, p.pos - since(i))) + F.length(F.get("_g", p.pos))
-    within = lambda p: size(F.slice("_g", p.pos + 2, p.n - 1)) + size(F.slice("_t", p.pos + 1, p.n))
+    before = lambda p, i: size(since(i), p.pos - since(i)) + gap(p)
+    within = lambda p: size(p.pos, p.n) - gap(p)
     lengths = F.transform("places", lambda p, i: F.struct(before(p, i).alias("before"), within(p).alias("within")))
-    ends = F.aggregate(lengths, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")), lambda a, l: F.struct((a.end + l.before + l.within).alias("end"), F.concat(a.starts, F.array(a.end + l.before)).alias("starts")))
-    x = x.withColumn("_s", ends.starts)
-
-    def placed(p: Column, i: Column) -> Column:
-        start = F.get("_s", i)
-        return F.struct(p.pos.alias("pos"), p.n.alias("n"), p.span.alias("span"), p.tag.alias("tag"), p.place.alias("place"), start.alias("start"), (start + within(p)).alias("end"))
-
-    return x.select(row_id, text, F.transform("places", placed).alias("places"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int>>").alias("at"))
+    sums = lambda a, l: F.struct((a.end + l.before + l.within).alias("end"), F.concat(a["at"], F.array(F.struct((a.end + l.before).alias("start"), (a.end + l.before + l.within).alias("stop")))).alias("at"))
+    x = x.withColumn("_at", F.aggregate(lengths, none, sums)["at"])
+    placed = lambda p, at: F.struct(p.pos.alias("pos"), p.n.alias("n"), p.span.alias("span"), p.tag.alias("tag"), p.place.alias("place"), at.start.alias("start"), at.stop.alias("end"))
+    return x.select(row_id, text, F.zip_with("places", "_at", placed).alias("places"))
 
 
-def _cut(posts: DataFrame, found: DataFrame, row_id: str, text: str, how: str = "left") -> DataFrame:
-    """(row, text, places, _t, _g): the texts as tokens and the gaps around them, one more than tokens."""
-    x = posts.select(row_id, text).join(found.select(row_id, "places"), row_id, how).withColumn("places", F.coalesce("places", F.array().cast(SPANS)))
-    return x.withColumn("_t", T.tokens(F.col(text), T.GAZETTEER_TOKEN)).withColumn("_g", F.split(F.coalesce(F.col(text), F.lit("")), T.GAZETTEER_TOKEN, -1))
+def _pieces(posts: DataFrame, found: DataFrame, row_id: str, text: str, how: str = "left") -> DataFrame:
+    """(row, text, places, _p): the texts cut behind each token, with what follows the last; those without places stay whole."""
+    x = dealt(posts, row_id, text).join(found.select(row_id, "places"), row_id, how).withColumn("places", F.coalesce("places", F.array().cast(SPANS)))
+    return x.withColumn("_p", F.when(F.size("places") > 0, T.pieces(F.col(text))))
 
 
 def masked(posts: DataFrame, found: DataFrame, row_id: str = "post_id", text: str = "text", token: str = "PLACE") -> DataFrame:
     """(row, masked): the extracted spans, and nothing else, as ``token``; a hashtag keeps the rest of its letters, in small ones."""
-    x = _cut(posts, found, row_id, text)
+    x = _pieces(posts, found, row_id, text)
     low = lambda p: F.lower(F.substr(p.span, F.lit(2)))
     at = lambda p: F.instr(low(p), p.tag)
     tag = lambda p: F.concat(F.lit("#"), F.when(at(p) > 0, F.concat(F.substr(low(p), F.lit(1), at(p) - 1), F.lit(token), F.substr(low(p), at(p) + F.length(p.tag)))).otherwise(F.lit(token)))
     new = lambda p: F.when(p.span.startswith("#"), tag(p)).otherwise(F.lit(token))
     # what stands between the places, each piece read once
-    piece = lambda first, n: F.array_join(F.zip_with(F.slice("_g", first + 1, n), F.slice("_t", first + 1, n), lambda g, t: F.concat(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit("")))), "")
+    between = lambda first, n: F.array_join(F.slice("_p", first + 1, n), "")
     past = lambda p: F.coalesce(p.pos + p.n, F.lit(0))
-    head = F.transform("places", lambda p, i: F.concat(piece(past(F.get("places", i - 1)), p.pos - past(F.get("places", i - 1))), F.get("_g", p.pos), new(p)))
+    head = F.transform("places", lambda p, i: F.concat(between(past(F.get("places", i - 1)), p.pos - past(F.get("places", i - 1))), T.gap(F.get("_p", p.pos)), new(p)))
     last = past(F.get("places", F.size("places") - 1))
-    return x.select(row_id, F.concat(F.array_join(head, ""), piece(last, F.size("_g") - last)).alias("masked"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return x.select(row_id, F.when(F.size("places") > 0, F.concat(F.array_join(head, ""), between(last, F.size("_p") - last))).otherwise(whole).alias("masked"))

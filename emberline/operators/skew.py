@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes, by a scan of its rows, up to which a lookup table is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of text that a task of an extraction takes.
+TASK_BYTES = 16 << 20
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -47,6 +49,13 @@ def as_small_as(df: DataFrame, base: DataFrame) -> DataFrame:
     return F.broadcast(df) if bytes_of(base) <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
+def dealt(df: DataFrame, key: str, text: str, size: int = TASK_BYTES) -> DataFrame:
+    """(key, text) dealt by ``key`` to as many tasks as the texts fill, so that a task's work and memory do not grow with the table."""
+    if not hasattr(df, "_text_bytes"):
+        df._text_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.select(key, text).repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df._text_bytes // size)), key)
+
+
 def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: str, size: str, values: list[str], salt: Column, share: int = 1000) -> DataFrame:
     """Left join of ``rows`` to one row per ``key`` in ``groups`` (a written table with the group's row count in ``size``).
 

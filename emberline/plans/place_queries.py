@@ -54,7 +54,7 @@ def register(s: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
 
 def features(s: SparkSession, d: str) -> DataFrame:
     """Features named by the first two words of every fifth text, where both are capitalised; two points each."""
-    toks = table(s, d, "documents").where("doc_id % 5 = 0").withColumn("t", F.transform(F.slice(T.tokens(F.col("text"), T.GAZETTEER_TOKEN), 1, 2), lambda w: F.trim(w, F.lit(".'’-"))))
+    toks = table(s, d, "documents").where("doc_id % 5 = 0").withColumn("t", F.transform(T.first_tokens(F.col("text"), 2), lambda w: F.trim(w, F.lit(".'’-"))))
     ok = (F.size("t") == 2) & F.forall("t", lambda w: w.rlike("^[A-Z][A-Za-z]{2,}$")) & ~F.lower(F.get("t", F.lit(0))).isin("the", "downtown")
     point = lambda a, b: F.struct(F.expr(f"50 + (doc_id % {a}) / 50e0").alias("lat"), F.expr(f"-115 + (doc_id % {b}) / 50e0").alias("lon"))
     kind = F.get(F.array(*map(F.lit, ("town", "road", "park"))), (F.col("doc_id") % 3).cast("int"))
@@ -166,12 +166,12 @@ def candidate_spans(s, d):
     """Spans of every length that a dictionary of words, and of the first two or three words of two texts in three, holds."""
     docs = table(s, d, "documents")
     seed = frequent(s, d).where(F.col("df").between(5, 40) & F.col("token").rlike("^[A-Z][a-z]{4,}$")).select(F.lower("token").alias("key"))
-    t = docs.withColumn("t", F.transform(F.slice(T.tokens(F.col("text"), T.GAZETTEER_TOKEN), 1, 3), lambda w: F.trim(w, F.lit(".'’-")))).withColumn("k", 3 - F.col("doc_id") % 3)
+    t = docs.withColumn("t", F.transform(T.first_tokens(F.col("text"), 3), lambda w: F.trim(w, F.lit(".'’-")))).withColumn("k", 3 - F.col("doc_id") % 3)
     first = t.where("k > 1 and size(t) >= k").select(F.lower(F.array_join(F.slice("t", 1, F.col("k").cast("int")), " ")).alias("key"))
     keys = seed.union(first).distinct()
     place = F.struct(F.col("key").alias("name"), *[F.lit(None).alias(c) for c in ("lat", "lon", "kind", "source", "precision", "province", "cc", "pop", "rel")])
     g = E.plain_gazetteer(keys.select("key", place.alias("place")))
-    spans = E.known_spans(docs.select(F.col("doc_id").alias("post_id"), "text"), g).where(F.size(F.split("key", " ")) == F.col("n"))
+    spans = E.held_spans(docs.select(F.col("doc_id").alias("post_id"), "text"), g).where(F.size(F.split("key", " ")) == F.col("n"))
     return spans.groupBy("post_id", "n").agg(F.count("*").alias("spans"), F.count_distinct("key").alias("names"))
 
 

@@ -221,3 +221,21 @@ def test_levels_by_their_own_size(spark):
     posts = spark.createDataFrame([(1, "the Calgary Tower")], "post_id long, text string")
     plan = E.known_spans(posts, wide)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 3  # the second level; the first, and the keys twice
+
+
+def test_held_spans_need_no_keys(spark):
+    keys = [("café",), ("bow river",), ("élan vital",), ("elan vital",)]
+    g = E.plain_gazetteer(spark.createDataFrame(keys, "key string").select("key", F.lit(None).cast(N.PLACE).alias("place")))
+    texts = spark.createDataFrame([(0, "Cafe Café, Bow River"), (1, "Élan vital élan Vital Elan vital"), (2, None)], "post_id int, text string")
+    spans = E.held_spans(texts, g)
+    # an accented key holds itself alone, a plain one also what is folded to it
+    assert sorted((r["post_id"], r["pos"], r["key"]) for r in spans.collect()) == [(0, 1, "café"), (0, 2, "bow river"), (1, 0, "élan vital"), (1, 2, "élan vital"), (1, 4, "elan vital")]
+    # spans are not dealt out by their keys: texts alone are, in tasks of bounded size
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "RepartitionByExpression" in plan
+
+
+def test_pieces_and_first_tokens(spark):
+    texts = ["", "a #b  ##c, d", " … ", "#", "x" * 5 + "文" * 200000, "no-end's 12.5 #É# "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.pieces(F.col("t")).alias("p"), T.tokens(F.col("t"), T.GAZETTEER_TOKEN).alias("k"), T.first_tokens(F.col("t"), 2).alias("f")).collect()
+    assert all("".join(r["p"]) == r["t"] and len(r["p"]) >= len(r["k"]) and all(p.endswith(k) for p, k in zip(r["p"], r["k"])) and r["f"] == r["k"][:2] for r in rows)
