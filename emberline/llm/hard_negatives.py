@@ -2,10 +2,11 @@
 
 Vectors are whole numbers. Pairs of components are quantised to the nearest of 256 whole centroids; a row keeps its codes, its vector and the
 norm of what the codes miss. Rows lie in blocks of some thousands, sorted by label; anchors in blocks of their own; every block of anchors
-meets every block of rows, one pair of blocks at a time. Within a pair, lookup tables give the score of anchor and centroids, exact in whole
+meets every block of rows, one pair of blocks at a time: a task reads some files of each, and neither side is sent to the driver, to all or through
+a shuffle, as anchors times blocks grow with the square of the table. Within a pair, lookup tables give the score of anchor and centroids, exact in whole
 numbers; the true score lies within the product of the anchor's norm and the residual's norm of it. Only rows whose interval can reach the
 best of a block (positives) or a window (negatives) are scored exactly. What a pair of blocks yields is its best few rows per anchor, which
-windows merge; thus the result is exact whatever the centroids are.
+tasks merge over their blocks and windows over tasks; thus the result is exact whatever the centroids are.
 
 The centroids are fitted to at most ``FIT_ROWS`` rows (those of least hash), the one bound here; every row is quantised.
 
@@ -34,6 +35,8 @@ FIT_ROWS, WIDTH, CENTROIDS = 4096, 2, 256
 #: Anchors in a block and of a lookup table, and rows in a block at most.
 ANCHORS, TABLE, ROWS = 1024, 128, 32_768
 _LEAST_ROWS, _CHUNK = 2048, 1024
+#: Rows found that a task holds before it gives them on.
+MOST_FOUND = 500_000
 _FAR = np.iinfo(np.int64).max // 2
 _I8 = np.dtype("<i8")
 
@@ -148,27 +151,49 @@ def _anchor_blocks(anchors: DataFrame, dims: int, blocks: int, windows: bool) ->
         for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
             own = t.slice(a, z - a).combine_chunks()
             cells = {"anchor_ids": own.column("id").to_numpy(), "anchor_labels": own.column("label").to_numpy(), "anchor_vectors": _matrix(own.column("v").chunk(0), dims)}
-            made = {"anchors": pa.array([z - a], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in cells.items()}}
+            made = {"own": pa.array([own.column("own")[0].as_py()], pa.int32()), "anchors": pa.array([z - a], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in cells.items()}}
             yield pa.RecordBatch.from_pydict(made | {k: pa.array([own.column(k).to_pylist()], pa.list_(pa.list_(pa.int64()))) for k in names})
 
     dealt = anchors.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("own", "id", "label", "v", *names)
-    return grouped_pass(dealt, "own", ["id"], run, "anchors int, anchor_ids binary, anchor_labels binary, anchor_vectors binary" + "".join(f", {n} array<array<bigint>>" for n in names))
+    return grouped_pass(dealt, "own", ["id"], run, "own int, anchors int, anchor_ids binary, anchor_labels binary, anchor_vectors binary" + "".join(f", {n} array<array<bigint>>" for n in names))
 
 
-def _meeting(row_blocks: DataFrame, anchor_blocks: DataFrame, blocks: int, fn, schema: str) -> DataFrame:
-    """``fn`` on every pair of a block of anchors and a block of rows."""
-    pairs = anchor_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(row_blocks, "block")
+def _meeting(row_blocks: DataFrame, anchor_blocks: DataFrame, fn, by: list[str], most: int) -> DataFrame:
+    """``fn`` on every pair of a block of anchors and a block of rows; of what a task finds, the best ``most`` rows for each of ``by``."""
+    # every file of rows meets every file of anchors where it is read: a join on the block's number would send all anchors along once per block
+    pairs = row_blocks.hint("shuffle_replicate_nl").crossJoin(anchor_blocks)
+    names = [*by, "key", "is_null", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for row in b.to_pylist():
-                yield from fn(row)
-
-    return arrow_pass(pairs, run, schema)
+                new = fn(row)
+                held[row["own"]] = _best_rows([np.concatenate(c) for c in zip(held[row["own"]], new, strict=True)], len(by), most) if row["own"] in held else new
+            if sum(len(c[0]) for c in held.values()) > MOST_FOUND:
+                yield from (pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names) for c in held.values())
+                held = {}
+        yield from (pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names) for c in held.values())
+
+    return arrow_pass(pairs, run, ", ".join(f"{n} long" for n in names))
+
+
+def _best_rows(found: list[np.ndarray], by: int, most: int) -> list[np.ndarray]:
+    """The best ``most`` rows of columns (the first ``by`` of them, key, is_null, score) for each value of the first ``by``, as :func:`_ranked` orders them."""
+    *groups, key, is_null, score = found
+    order = np.lexsort((key, is_null, -score, *reversed(groups)))
+    found = [c[order] for c in found]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in found[:by]:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(starts, np.diff([*starts, len(order)]))
+    return [c[place < most] for c in found]
 
 
 def _positives(centroids, dims: int, most: int):
-    def fn(row: dict) -> Iterator[pa.RecordBatch]:
+    def fn(row: dict) -> list[np.ndarray]:
         block = _Block(row, dims)
         ids, labels = np.frombuffer(row["anchor_ids"], _I8), np.frombuffer(row["anchor_labels"], _I8)
         vectors = np.frombuffer(row["anchor_vectors"], _I8).reshape(row["anchors"], dims)
@@ -188,13 +213,13 @@ def _positives(centroids, dims: int, most: int):
                     at, scores = block.best(block.vectors[at] @ vectors[i], at, most)
                     for held, new in zip(found, (np.full(len(at), ids[i]), block.keys[at], block.nulls[at], scores), strict=True):
                         held.append(new)
-        yield _found(found, ["id", "key", "is_null", "score"])
+        return _columns(found)
 
     return fn
 
 
 def _negatives(centroids, dims: int, most: int):
-    def fn(row: dict) -> Iterator[pa.RecordBatch]:
+    def fn(row: dict) -> list[np.ndarray]:
         block = _Block(row, dims)
         ids, labels = np.frombuffer(row["anchor_ids"], _I8), np.frombuffer(row["anchor_labels"], _I8)
         vectors = np.frombuffer(row["anchor_vectors"], _I8).reshape(row["anchors"], dims)
@@ -225,13 +250,13 @@ def _negatives(centroids, dims: int, most: int):
                     at, own = block.best(scores[at], near[at], most)
                     for held, n in zip(found, (np.full(len(at), ids[i]), np.full(len(at), w), block.keys[at], block.nulls[at], own), strict=True):
                         held.append(n)
-        yield _found(found, ["id", "window", "key", "is_null", "score"])
+        return _columns(found)
 
     return fn
 
 
-def _found(columns: list[list], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in columns], names)
+def _columns(found: list[list]) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, np.int64), *c]) for c in found]
 
 
 def _ranked(found: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -258,13 +283,13 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     stored = written(_row_blocks(rows, centroids, dims, blocks), "blocks")
     anchors = rows.where("is_anchor").select("id", F.col("key").alias("anchor_id"), "label", "v")
     groups = max(1, math.ceil(n_anchors / ANCHORS))
-    found = _meeting(stored, written(_anchor_blocks(anchors, dims, groups, False), "anchors"), blocks, _positives(centroids, dims, positives), "id long, key long, is_null long, score long")
+    found = _meeting(stored, written(_anchor_blocks(anchors, dims, groups, False), "anchors"), _positives(centroids, dims, positives), ["id"], positives)
     near = written(_ranked(found, ["id"], positives).select("id", "place", F.col("key").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     # 50 p <= 100 n <= 95 p, in whole scores
     bounds = near.select("id", "place", F.expr(f"(({low} * positive_score) - pmod({low} * positive_score, 100)) div 100 + if(pmod({low} * positive_score, 100) > 0, 1, 0)").alias("least"), F.expr(f"(({high} * positive_score) - pmod({high} * positive_score, 100)) div 100").alias("most"))
     lists = bounds.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "least", "most"))).alias("w")).select("id", F.col("w.least").alias("low"), F.col("w.most").alias("high"))
     framed = _anchor_blocks(anchors.join(lists, "id"), dims, groups, True)
-    found = _meeting(stored, written(framed, "windows"), blocks, _negatives(centroids, dims, negatives), "id long, window long, key long, is_null long, score long")
+    found = _meeting(stored, written(framed, "windows"), _negatives(centroids, dims, negatives), ["id", "window"], negatives)
     last = _ranked(found, ["id", "window"], negatives).select("id", (F.col("window") + 1).cast("int").alias("place"), F.col("place").alias("rank"), F.col("key").alias("negative_id"), F.col("score").alias("negative_score"))
     out = last.join(near, ["id", "place"]).join(anchors.select("id", "anchor_id"), "id")
     out = written(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")

@@ -147,6 +147,34 @@ def test_op12(spark, tmp_path):
     assert Counter(tuple(r[c] for c in names) for r in small.collect()) == want
 
 
+def test_blocks_meet_without_copies_of_anchors(spark):
+    """Anchors are not sent along once per block of rows, by the driver or a shuffle; what a task finds does not grow with the blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-90, 90, (600, 4))
+    rows = spark.createDataFrame([(i, i % 3, [int(c) for c in v]) for i, v in enumerate(x)], "id long, label long, v array<long>").withColumn("key", F.col("id"))
+    centroids = spark.sparkContext.broadcast(hard_negatives.fit_centroids(x))
+    blocks = hard_negatives._row_blocks(rows, centroids, 4, 30).coalesce(1)
+    anchors = hard_negatives._anchor_blocks(rows.where("id % 10 = 0"), 4, 3, False)
+    found = hard_negatives._meeting(blocks, anchors.coalesce(1), hard_negatives._positives(centroids, 4, 5), ["id"], 5)
+    got = Counter(r["id"] for r in found.collect())
+    assert "BroadcastNestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "BroadcastHash" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got == dict.fromkeys(range(0, 600, 10), 5)
+
+
+def test_best_rows_are_those_of_the_windows(spark):
+    rng = np.random.default_rng(6)
+    columns = [rng.integers(0, 4, 500), rng.integers(0, 3, 500), rng.integers(0, 60, 500), rng.integers(0, 2, 500), rng.integers(-4, 4, 500)]
+    got = hard_negatives._best_rows(columns, 2, 3)
+    order = sorted(zip(*(c.tolist() for c in columns), strict=True), key=lambda r: (r[0], r[1], -r[4], r[3], r[2]))
+    seen: Counter = Counter()
+    want = []
+    for r in order:
+        seen[r[:2]] += 1
+        want += [r] * (seen[r[:2]] <= 3)
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == want
+    assert [len(c) for c in hard_negatives._best_rows([c[:0] for c in columns], 2, 3)] == [0] * 5
+
+
 def test_bounds_hold():
     """Every score lies within the norms' product of the sum of its lookups, for centroids of another table too."""
     rng = np.random.default_rng(1)
