@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import extraction, names
 from emberline.operators.gazetteer import haversine, snapped_box
-from emberline.session import written
+from emberline.session import forget, written
 
 # fixed values: share of a country under which, or number of countries with the second share from which, posts are about the world
 ONE_EVENT, LARGE, MANY = 0.6, 0.08, 3
@@ -101,7 +101,9 @@ def foreign_region(places: DataFrame, country: str) -> Region:
 def region_of(posts: DataFrame, sources: names.Sources, common: DataFrame, row_id: str = "post_id", text: str = "text") -> Region:
     """The region that the posts are about, by an extraction over the world and, for the register's country, one by the register alone."""
     world = extraction.gazetteer(sources, names.Context(world=True), common)
-    said = written(place_rows(extraction.extracted(posts, world, row_id, text), row_id), "said")
+    found = extraction.extracted(posts, world, row_id, text)
+    said = written(place_rows(found, row_id), "said")
+    forget(found)
     shares = country_shares(said, row_id).collect()
     if is_global([r["share"] for r in shares]):
         return Region("global")
@@ -109,7 +111,10 @@ def region_of(posts: DataFrame, sources: names.Sources, common: DataFrame, row_i
     if country not in (None, "CA"):
         return foreign_region(said, country)
     home = extraction.gazetteer(sources, names.Context(), common)
-    return home_region(place_rows(extraction.extracted(posts, home, row_id, text), row_id))
+    found = extraction.extracted(posts, home, row_id, text)
+    out = home_region(place_rows(found, row_id))
+    forget(found)
+    return out
 
 
 def gazetteer_for(region: Region, sources: names.Sources, common: DataFrame) -> extraction.Gazetteer:

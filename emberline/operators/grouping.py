@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from emberline.functions import text as T
 from emberline.operators.components import connected_components
 from emberline.operators.skew import join_on_hot_key, small_or_shuffled
-from emberline.session import written
+from emberline.session import forget, written
 
 MIN_PREFIX = 40
 #: Rows that a task of the scan holds before it gives them on.
 MOST_FOUND = 5000
 
 
+def cleaned(posts: DataFrame, text: str = "text") -> DataFrame:
+    """The posts whose text, cleaned, is not empty."""
+    return posts.withColumn(text, T.clean_text(F.col(text))).where(F.length(text) > 0)
+
+
 def keyed(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> DataFrame:
     """Non-empty posts with key, embedded key and flags."""
-    c = T.clean_text(F.col(text))
-    return posts.withColumn(text, c).where(F.length(text) > 0).withColumn("key", T.norm_key(F.col(text))).withColumn("inner_key", T.embedded_key(F.col(text))).withColumn("is_retweet", T.is_retweet(F.col(text))).withColumn("truncated", T.is_truncated(F.col(text)))
+    return cleaned(posts, text).withColumn("key", T.norm_key(F.col(text))).withColumn("inner_key", T.embedded_key(F.col(text))).withColumn("is_retweet", T.is_retweet(F.col(text))).withColumn("truncated", T.is_truncated(F.col(text)))
 
 
 def key_rows(posts: DataFrame, post_id: str = "post_id") -> DataFrame:
@@ -112,11 +116,27 @@ def grouped(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> D
     Keys are worked out once; groups are aggregates that are joined back, so a post that half of all repost meets in no one task.
     """
     p = written(keyed(posts, post_id, text), "keyed")
+    return p.join(_grouped_ids(p.withColumn("_l", F.length(text)), post_id)[0], post_id)
+
+
+def grouped_texts(posts: DataFrame, post_id: str = "post_id", text: str = "text") -> DataFrame:
+    """:func:`grouped` less the keys, written. Keys are worked out without the texts and are gone when these are written, once; nothing else stays."""
+    p = written(keyed(posts, post_id, text).select(post_id, "key", "inner_key", "is_retweet", "truncated", F.length(text).alias("_l")), "keys-of-posts")
+    told, *made = _grouped_ids(p, post_id)
+    told = written(told.join(p.select(post_id, "is_retweet", "truncated"), post_id), "told")
+    forget(p, *made)
+    out = written(cleaned(posts, text).join(told, post_id), "grouped")
+    forget(told)
+    return out
+
+
+def _grouped_ids(p: DataFrame, post_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(post, group_id, group_size, is_canonical) of written keyed posts with the length ``_l`` of their texts; beside it the tables that it reads."""
     members = connected_components(dup_edges(p, post_id).union(trunc_edges(p, post_id)))
-    lean = p.select(post_id, "is_retweet", F.length(text).alias("_l")).join(members.withColumnRenamed("node", post_id), post_id, "left").select(post_id, F.coalesce("component", post_id).alias("group_id"), (F.when(F.col("is_retweet"), 0).otherwise(10000) + F.col("_l")).alias("_rank"))
+    lean = p.select(post_id, "is_retweet", "_l").join(members.withColumnRenamed("node", post_id), post_id, "left").select(post_id, F.coalesce("component", post_id).alias("group_id"), (F.when(F.col("is_retweet"), 0).otherwise(10000) + F.col("_l")).alias("_rank"))
     lean = written(lean, "members")
     groups = written(lean.groupBy("group_id").agg(F.count("*").alias("group_size"), F.max_by(post_id, F.struct("_rank", -F.col(post_id))).alias("_best")), "groups")
-    return p.join(_told(lean, groups, post_id), post_id)
+    return _told(lean, groups, post_id), lean, groups
 
 
 def _told(lean: DataFrame, groups: DataFrame, post_id: str) -> DataFrame:

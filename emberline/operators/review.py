@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.skew import small_or_shuffled
 from emberline.session import written
 
 S = r"[\s\p{Z}]"
@@ -196,12 +197,17 @@ def lacking(plan: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     return again.where(F.col("_n") >= least).drop("_n")
 
 
-def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int, p: str = "p", hint: str = "hinted") -> DataFrame:
+def reviewed(rows: DataFrame, provider: Provider, budget: int, batch: int, p: str = "p", hint: str = "hinted", texts: DataFrame | None = None) -> DataFrame:
     """Labels of the planned rows: id and the label columns. At most budget prompts come to the driver; a failed batch has no labels.
 
+    ``texts`` (id, text) are for rows without a text: only those of planned rows are looked up.
+
     Batches whose answers lack three lines or more are asked for these once again, after all batches, while the budget lasts.
     """
-    plan = written(planned(rows, budget, batch, p, hint).select("batch", "line", "id", "text"), "plan")
+    plan = planned(rows, budget, batch, p, hint)
+    if texts is not None:
+        plan = texts.join(small_or_shuffled(written(plan.select("batch", "line", "id"), "planned")), "id")
+    plan = written(plan.select("batch", "line", "id", "text"), "plan")
     by_line = lambda labels, lines: labels.join(lines.select("batch", "line", "id"), ["batch", "line"]).drop("batch", "line")
     first = _asked(plan, provider)
     if provider.mode == "dry":

@@ -215,5 +215,5 @@ def process_end_to_end(s, d):
     before = table(s, d, "labels").where("doc_id % 7 = 0").select((F.col("doc_id") * 4).alias("group_id"), F.lit(0).alias("pos"), F.col("quality").alias("rel"), F.lit(0.9).alias("conf"), F.lit("AID").alias("cat"), F.lit(1).alias("urg"), F.lit("").alias("hazard"), F.lit("CA").alias("cc"), F.array(F.lit("Calgary"), F.lit("Alberta")).alias("places"))
     t = frequent(s, d)
     sources = N.sources(register(s, d, t), features(s, d), world(s, d, t))
-    out = process(posts, sources, common(s, d, t), own, heads, precomputed=before, budget=3, batch=20)
+    out = process(posts, sources, common(s, d, t), own, heads, precomputed=before, budget=3, batch=20, with_text=False)
     return out.select("post_id", "group_id", "rel", "cat", "urg", "hz", "cc", "decided_by", "place_hint", F.array_join(F.transform("places", lambda x: x.place["name"]), ";").alias("places"))

@@ -62,13 +62,16 @@ def process(
     time: str | None = None,
     answers: DataFrame | None = None,
     lookups: int = 80,
+    with_text: bool = True,
 ) -> DataFrame:
     """The posts (post_id, text) with group, labels, places and country. Only canonical posts are scored and reviewed.
 
+    Texts are written once, with their groups; the tables of each stage do without them. ``with_text``: the posts returned have theirs.
+
     ``vectors`` are (post_id, embedding), or what makes them of (post_id, masked). ``heads`` as :func:`scoring.predicted` takes them. ``precomputed`` labels,
     by group_id, come before the review. ``region`` is worked out from all posts if it is not given; ``answers`` are a geocoder's.
     """
-    g = written(grouping.grouped(posts), "grouped")
+    g = grouping.grouped_texts(posts)
     region = region or context.region_of(g, sources, common)
     gazetteer = context.gazetteer_for(region, sources, common)
     canon = g.where("is_canonical").select(F.col("post_id").alias("id"), "group_id", "text")
@@ -78,17 +81,17 @@ def process(
     x = canon.join(found, "id", "left").withColumn("places", F.coalesce("places", F.array().cast(extraction.SPANS)))
     x = x.join(vectors.select(F.col("post_id").alias("id"), "embedding"), "id", "left")
     x = x.withColumn("place_hint", T.place_hint(F.col("text"), F.transform("places", lambda s: s.span)))
-    x = scoring.predicted(x, "embedding", heads, default_hazard).drop("embedding")
+    x = scoring.predicted(x, "embedding", heads, default_hazard).drop("embedding", "text")
     relevant, confident, _ = review.confidence(F.col("p"))
     x = x.withColumns({"rel": relevant, "conf": confident, "cc": F.lit(None).cast("string"), "label_places": F.array().cast("array<string>"), "decided_by": F.lit("local")})
     if precomputed is not None:
         x = review.precomputed(x, precomputed, "group_id", default_hazard=default_hazard)
     x = written(x, "scored")
     provider = provider or review.Provider(rule_answers, budget, "live")
-    labels = review.reviewed(x.where("decided_by = 'local'"), provider, budget, batch, "p_flood", "place_hint")
+    labels = review.reviewed(x.where("decided_by = 'local'"), provider, budget, batch, "p_flood", "place_hint", texts=canon.select("id", "text"))
     y = with_label_places(review.applied(x, labels), gazetteer, answers, lookups)
     y = review.blanked(y.withColumn("cc", context.voted_country(F.col("cc"), F.col("places"), region)))
-    out = review.propagated(g, y, LABELS)
+    out = review.propagated(g if with_text else g.drop("text"), y, LABELS)
     out = written(stamped(out, posts, time) if time else out, "processed")
     forget(g, found, x)
     return out

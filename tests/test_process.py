@@ -3,12 +3,14 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from emberline.functions import text as T
-from emberline.operators import context, review, scoring
+from emberline.operators import context, grouping, review, scoring
 from emberline.plans.process import process
+from emberline.session import shared_dir
 from pyspark.sql import functions as F
 from tests.test_places import COMMON, names  # noqa: F401
 
@@ -76,6 +78,28 @@ def test_process(spark, names, common):  # noqa: F811
     assert all((r["cat"], r["hz"], r["urg"]) == ("", "", 0) for r in out.values() if r["rel"] == 0) and out[3]["cc"] == "CA"
 
 
+def test_texts_are_written_once(spark):
+    """Grouped posts are one table; none with keys, or with texts a second time, stays beside it."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    old = set(folder.iterdir())
+    p = posts(spark, [*HOME, "", None])
+    got = grouping.grouped_texts(p)
+    made = [x for x in folder.iterdir() if x not in old]
+    assert {x.name.rsplit("-", 1)[0] for x in made if {"text", "key", "inner_key"} & set(spark.read.parquet(str(x)).columns)} == {"grouped"}
+    assert not any(x.name.startswith(("keyed-", "keys-of-posts-", "members-", "groups-", "told-")) for x in made)
+    want = grouping.grouped(p).drop("key", "inner_key")
+    assert set(got.columns) == set(want.columns) and sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.count() == 5
+
+
+def test_planned_rows_get_their_texts(spark):
+    rows = spark.createDataFrame([(i, 0.5 + i / 100, False, f"text {i}") for i in range(9)], "id long, p double, hinted boolean, text string")
+    asked: list = []
+    say = lambda prompt: asked.append(prompt) or "\n".join(f"{i}|1|8|AID|2|-" for i in range(2))
+    for own, texts in ((rows, None), (rows.drop("text"), rows.select("id", "text"))):
+        assert sorted(r["id"] for r in review.reviewed(own, review.Provider(say, 2, "live"), 2, 2, texts=texts).collect()) == [0, 1, 2, 3]
+    assert len(asked) == 4 and asked[:2] == asked[2:] == ["0\ttext 0\n1\ttext 1", "0\ttext 2\n1\ttext 3"]
+
+
 def test_predictions_without_heads(spark):
     x = spark.createDataFrame([(1, [1.0]), (2, None)], "id long, embedding array<double>")
     got = [r.asDict() for r in scoring.predicted(x, "embedding", {}).orderBy("id").collect()]
